@@ -22,7 +22,7 @@ WORD = "[A-Za-z0-9_]"
 
 __all__ = [
     "WS", "WORD", "js_trim", "collapse_ws", "is_blank", "utf16_len", "explode_lines",
-    "format_size", "format_tokens", "format_fixed1", "truncate", "lit_array",
+    "format_size", "format_tokens", "format_fixed1", "truncate", "lit_array", "explode_rows",
 ]
 
 
@@ -79,14 +79,29 @@ def _to_fixed1(x: float) -> str:
     return str(Decimal(x).quantize(Decimal("0.1"), rounding=ROUND_HALF_UP))
 
 
-@F.pandas_udf("string")
-def format_fixed1(x: pd.Series) -> pd.Series:
-    """Render-time only: exact ``toFixed(1)`` of a double."""
+def _fixed1_series(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if pd.isna(v) else _to_fixed1(float(v)))
 
 
+def format_fixed1(c) -> Column:
+    """Render-time only: exact ``toFixed(1)`` of a double (Arrow-batched)."""
+    return F.pandas_udf(_fixed1_series, "string")(c)
+
+
 def format_tokens(count_col) -> Column:
     c = F.col(count_col) if isinstance(count_col, str) else count_col
     return (F.when(c >= 1000000, F.concat(format_fixed1(c / F.lit(1000000.0)), F.lit("M")))
             .when(c >= 1000, F.concat(format_fixed1(c / F.lit(1000.0)), F.lit("K")))
             .otherwise(c.cast("long").cast("string")))
+
+
+def explode_rows(df: DataFrame, arr: Column, keep, pos: str = "pos", val: str = "val") -> DataFrame:
+    """``posexplode`` without the inferred ``size(arr) > 0`` filter.
+
+    Catalyst infers that filter for an inner generator and pushes it below the
+    projections, which re-evaluates the whole (often regex-heavy) array
+    expression a second time.  The outer generator has no such filter; empty
+    arrays yield one null row, dropped here."""
+    return (df.select(*keep, F.posexplode_outer(arr).alias(pos, val))
+            .where(F.col(pos).isNotNull())
+            .withColumn(pos, F.col(pos).cast("int")))

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import WS, collapse_ws, js_trim
+from quire.functions.text import WS, collapse_ws, explode_rows, js_trim
 
 # --- fixed values -------------------------------------------------------------
 DAMPING = 0.85
@@ -63,40 +63,79 @@ def token_set(c: Column) -> Column:
     """array<string>: lower-cased words over [a-z0-9 CJK]; words holding CJK also
     contribute every character; distinct."""
     words = F.filter(F.split(F.lower(c), f"[^{TOKEN_CLASS}]+", -1), lambda w: w != "")
-    chars = F.flatten(F.transform(F.filter(words, lambda w: w.rlike(CJK_RE)),
-                                  lambda w: F.split(w, "(?!^)", -1)))
-    return F.array_distinct(F.concat(words, chars))
+    chars = F.filter(F.flatten(F.transform(F.filter(words, lambda w: w.rlike(CJK_RE)),
+                                           lambda w: F.split(w, "", -1))), lambda ch: ch != "")
+    # the per-word CJK test only runs for text that holds CJK at all
+    return F.array_distinct(F.when(c.rlike(CJK_RE), F.concat(words, chars)).otherwise(words))
+
+
+def with_sentences(df: DataFrame, text: str = "text", out: str = "ss", clean: bool = True) -> DataFrame:
+    """Adds ``out`` = array of sentences of ``text`` (cleaned first).
+
+    Written as stacked projections over named columns: each expensive piece
+    (cleaning, the regex runs, the tail) is computed once and referenced by name,
+    and Catalyst keeps projects apart when collapsing would duplicate them."""
+    keep = [c for c in df.columns if c != out]
+    d = df.withColumn("_c", clean_text(F.col(text)) if clean else F.col(text))
+    c = F.col("_c")
+    # cleaned text holds no whitespace but single spaces and newlines
+    trim = (lambda x: F.btrim(x, F.lit(" \n"))) if clean else js_trim
+    d = d.select(*keep, "_c",
+                 F.filter(F.transform(F.regexp_extract_all(c, F.lit(SENTENCE_RE), 0), trim),
+                          lambda s: s != "").alias("_runs"),
+                 trim(F.when(c.rlike(f"[^{DELIMS}\n]"),
+                                F.regexp_replace(F.regexp_extract(c, TAIL_RUN_RE, 0), f"^[{DELIMS}]?\n?", ""))
+                         .otherwise(c)).alias("_tail"))
+    ss = (F.when(F.col("_c").isNull() | (F.col("_c") == ""), F.array().cast("array<string>"))
+          .when(F.col("_tail") != "", F.concat(F.col("_runs"), F.array(F.col("_tail"))))
+          .otherwise(F.col("_runs")))
+    return d.select(*keep, ss.alias(out))
 
 
 def sentences(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, pos, text) from ``docs(doc_id, text)``, pos 0-based."""
-    return docs.select("doc_id", F.posexplode(split_sentences(clean_text(F.col(text))))
-                       .alias("pos", "text")).withColumn("pos", F.col("pos").cast("int"))
+    ss = with_sentences(docs.select("doc_id", text), text, "ss")
+    return explode_rows(ss, F.col("ss"), ["doc_id"], "pos", "text")
 
 
 def sentence_tokens(nodes: DataFrame, idx: str = "pos") -> DataFrame:
     """(doc_id, idx, n_tokens, token) — one row per distinct token of a node."""
     t = nodes.select("doc_id", F.col(idx).alias("idx"), token_set(F.col("text")).alias("toks"))
-    return t.select("doc_id", "idx", F.size("toks").alias("n_tokens"), F.explode("toks").alias("token"))
+    t = t.select("doc_id", "idx", F.size("toks").alias("n_tokens"), "toks")
+    return explode_rows(t, F.col("toks"), ["doc_id", "idx", "n_tokens"], "_k", "token").drop("_k")
 
 
-def similarity_edges(nodes: DataFrame, idx: str = "pos") -> DataFrame:
-    """(doc_id, i, j, sim) for i != j with sim > 0, both directions.
+def similarity_pairs(nodes: DataFrame, idx: str = "pos") -> DataFrame:
+    """(doc_id, i, j, sim) for i < j with sim > 0.
 
-    Jaccard = |A∩B| / (|A| + |B| - |A∩B|); empty sets have no tokens and so no
-    edges (similarity 0)."""
+    Inverted-index join: two sentences meet only through a shared token, and the
+    number of shared tokens is the intersection size.  Jaccard =
+    |A∩B| / (|A| + |B| - |A∩B|); an empty set has no tokens, hence no pairs."""
     tok = sentence_tokens(nodes, idx)
-    a = tok.select("doc_id", "token", F.col("idx").alias("i"), F.col("n_tokens").alias("ni"))
-    b = tok.select("doc_id", "token", F.col("idx").alias("j"), F.col("n_tokens").alias("nj"))
-    inter = (a.join(b, ["doc_id", "token"]).where(F.col("i") < F.col("j"))
-             .groupBy("doc_id", "i", "j", "ni", "nj").agg(F.count(F.lit(1)).alias("inter")))
-    half = inter.select("doc_id", "i", "j",
+    # one token table on both sides: the shuffle on (doc_id, token) is reused
+    a, b = tok.alias("a"), tok.alias("b")
+    inter = (a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.token") == F.col("b.token"))
+                    & (F.col("a.idx") < F.col("b.idx")))
+             .groupBy(F.col("a.doc_id").alias("doc_id"), F.col("a.idx").alias("i"), F.col("b.idx").alias("j"),
+                      F.col("a.n_tokens").alias("ni"), F.col("b.n_tokens").alias("nj"))
+             .agg(F.count(F.lit(1)).alias("inter")))
+    return inter.select("doc_id", "i", "j",
                         (F.col("inter") / (F.col("ni") + F.col("nj") - F.col("inter"))).alias("sim"))
+
+
+def similarity_edges(nodes: DataFrame, idx: str = "pos") -> DataFrame:
+    """Both directions of :func:`similarity_pairs`."""
+    half = similarity_pairs(nodes, idx)
     return half.unionByName(half.select("doc_id", F.col("j").alias("i"), F.col("i").alias("j"), "sim"))
 
 
-def _power_iteration(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray,
+def _power_iteration(n: int, i: np.ndarray, j: np.ndarray, sim: np.ndarray,
                      damping: float, iterations: int, tol: float) -> tuple[np.ndarray, int]:
+    src = np.concatenate([j, i])
+    dst = np.concatenate([i, j])
+    w = np.concatenate([sim, sim])
+    rowsum = np.bincount(src, weights=w, minlength=n)
+    w = w / rowsum[src] if len(w) else w
     s = np.ones(n)
     it = 0
     for it in range(1, iterations + 1):
@@ -108,59 +147,46 @@ def _power_iteration(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray,
     return s, it
 
 
-def textrank(nodes: DataFrame, edges: DataFrame, idx: str = "pos",
+def textrank(nodes: DataFrame, pairs: DataFrame, idx: str = "pos",
              damping: float = DAMPING, iterations: int = ITERATIONS, tol: float = TOLERANCE,
              max_group_edges: int = MAX_GROUP_EDGES) -> DataFrame:
     """(doc_id, idx, score, iterations) for every node.
 
-    ``edges(doc_id, i, j, sim)`` are symmetric; the walk moves from j to i with
-    weight sim(j,i)/rowsum(j).  Start 1, ``s_i = (1-d) + d * Σ_j w(j->i) s_j``,
-    synchronous, at most ``iterations`` rounds, stop per document when the
-    largest change is below ``tol``."""
+    ``nodes(doc_id, idx)`` must number each document's nodes densely from 0;
+    ``pairs(doc_id, i, j, sim)`` hold i < j (the graph is symmetric).  The walk
+    moves from j to i with weight sim(j,i)/rowsum(j).  Start 1,
+    ``s_i = (1-d) + d * Σ_j w(j->i) s_j``, synchronous, at most ``iterations``
+    rounds, each document stops when its largest change is below ``tol``.
+
+    A document with n nodes has at most n(n-1) directed edges, so documents with
+    n(n-1) <= ``max_group_edges`` have a proven bound and iterate in one pandas
+    group; the rest iterate as a distributed DataFrame loop."""
     n_nodes = nodes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    rowsum = edges.groupBy("doc_id", F.col("j").alias("src")).agg(F.sum("sim").alias("rowsum"))
-    wedges = (edges.select("doc_id", F.col("j").alias("src"), F.col("i").alias("dst"), "sim")
-              .join(rowsum, ["doc_id", "src"])
-              .select("doc_id", "src", "dst", (F.col("sim") / F.col("rowsum")).alias("w")))
-    e_count = wedges.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_edges"))
-    sizes = n_nodes.join(e_count, "doc_id", "left").fillna(0, ["n_edges"])
-    # nodes are re-indexed densely inside the document for the numpy kernel
-    dense = nodes.select("doc_id", F.col(idx).alias("idx"),
-                         (F.dense_rank().over(Window.partitionBy("doc_id").orderBy(idx)) - 1).alias("k"))
-
-    small_docs = sizes.where(F.col("n_edges") <= max_group_edges)
-    big_docs = sizes.where(F.col("n_edges") > max_group_edges)
-
-    # -- bounded documents: one pandas group each ---------------------------------
-    grp_edges = (wedges.join(small_docs.select("doc_id", "n"), "doc_id")
-                 .join(dense.select("doc_id", F.col("idx").alias("src"), F.col("k").alias("ks")), ["doc_id", "src"])
-                 .join(dense.select("doc_id", F.col("idx").alias("dst"), F.col("k").alias("kd")), ["doc_id", "dst"])
-                 .select("doc_id", "n", "ks", "kd", "w"))
+    bounded = F.col("n") * (F.col("n") - 1) <= max_group_edges
+    small_docs = n_nodes.where(bounded)
+    rows = (pairs.join(small_docs.select("doc_id"), "doc_id", "left_semi")
+            .select("doc_id", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "sim",
+                    F.lit(None).cast("long").alias("n"))
+            .unionByName(small_docs.select("doc_id", F.lit(-1).alias("i"), F.lit(-1).alias("j"),
+                                           F.lit(0.0).alias("sim"), "n")))
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = int(pdf["n"].iloc[0])
-        s, it = _power_iteration(n, pdf["ks"].to_numpy(), pdf["kd"].to_numpy(), pdf["w"].to_numpy(),
-                                 damping, iterations, tol)
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "k": np.arange(n, dtype=np.int64),
+        head = pdf["i"].to_numpy() < 0
+        n = int(pdf.loc[head, "n"].iloc[0])
+        e = pdf.loc[~head]
+        s, it = _power_iteration(n, e["i"].to_numpy(np.int64), e["j"].to_numpy(np.int64),
+                                 e["sim"].to_numpy(np.float64), damping, iterations, tol)
+        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "idx": np.arange(n, dtype=np.int64),
                              "score": s, "iterations": it})
 
-    small = grp_edges.groupBy("doc_id").applyInPandas(
-        kernel, "doc_id long, k long, score double, iterations int")
-
-    # -- documents without edges: every node scores (1-d) after two rounds ----------
-    # (round 1 moves each node from 1 to 1-d; round 2 changes nothing)
-    iso = 2 if iterations >= 2 and (1 - (1 - damping)) >= tol else 1
-    lonely = (dense.join(sizes.where(F.col("n_edges") == 0).select("doc_id"), "doc_id")
-              .select("doc_id", "k", F.lit(1 - damping).alias("score"), F.lit(iso).alias("iterations")))
-
-    scored = small.unionByName(lonely)
-    big = _textrank_loop(dense, wedges, big_docs, damping, iterations, tol)
-    scored = scored.unionByName(big)
-    return (dense.join(scored, ["doc_id", "k"])
-            .select("doc_id", F.col("idx").alias(idx), "score", "iterations"))
+    small = rows.groupBy("doc_id").applyInPandas(
+        kernel, "doc_id long, idx long, score double, iterations int")
+    big = _textrank_loop(nodes.select("doc_id", F.col(idx).alias("idx")), pairs,
+                         n_nodes.where(~bounded), damping, iterations, tol)
+    return small.unionByName(big).withColumnRenamed("idx", idx)
 
 
-def _textrank_loop(dense: DataFrame, wedges: DataFrame, docs: DataFrame,
+def _textrank_loop(nodes: DataFrame, pairs: DataFrame, docs: DataFrame,
                    damping: float, iterations: int, tol: float,
                    checkpoint_every: int = 5) -> DataFrame:
     """Distributed power iteration for documents too large for one task.
@@ -169,35 +195,37 @@ def _textrank_loop(dense: DataFrame, wedges: DataFrame, docs: DataFrame,
     per ``(doc_id, dst)``; documents whose largest change falls under ``tol``
     leave the loop.  Lineage is cut with reliable checkpoints."""
     from quire.session import cut_lineage
-    spark = dense.sparkSession
-    nodes = dense.join(docs.select("doc_id"), "doc_id").select("doc_id", "k", "idx")
-    e = (wedges.join(docs.select("doc_id"), "doc_id")
-         .join(dense.select("doc_id", F.col("idx").alias("src"), F.col("k").alias("ks")), ["doc_id", "src"])
-         .join(dense.select("doc_id", F.col("idx").alias("dst"), F.col("k").alias("kd")), ["doc_id", "dst"])
-         .select("doc_id", "ks", "kd", "w"))
-    schema = "doc_id long, k long, score double, iterations int"
+    spark = nodes.sparkSession
+    schema = "doc_id long, idx long, score double, iterations int"
+    big = docs.select("doc_id")
+    if big.isEmpty():  # node counts only: no pairs are formed for this check
+        return spark.createDataFrame([], schema)
+    e = pairs.join(big, "doc_id", "left_semi")
+    e = e.select("doc_id", F.col("j").alias("src"), F.col("i").alias("dst"), "sim").unionByName(
+        e.select("doc_id", F.col("i").alias("src"), F.col("j").alias("dst"), "sim"))
+    rowsum = e.groupBy("doc_id", "src").agg(F.sum("sim").alias("rowsum"))
+    e = cut_lineage(e.join(rowsum, ["doc_id", "src"])
+                    .select("doc_id", "src", "dst", (F.col("sim") / F.col("rowsum")).alias("w"))
+                    .repartition("doc_id", "src"))
+    active = cut_lineage(nodes.join(big, "doc_id", "left_semi")
+                         .select("doc_id", F.col("idx").cast("long").alias("idx"), F.lit(1.0).alias("s")))
     done = spark.createDataFrame([], schema)
-    if not docs.take(1):
-        return done
-    e = cut_lineage(e.repartition("doc_id", "ks"))
-    active = cut_lineage(nodes.select("doc_id", "k", F.lit(1.0).alias("s")))
     for it in range(1, iterations + 1):
-        contrib = (e.join(active.select("doc_id", F.col("k").alias("ks"), "s"), ["doc_id", "ks"])
-                   .groupBy("doc_id", F.col("kd").alias("k")).agg(F.sum(F.col("w") * F.col("s")).alias("acc")))
-        new = (active.join(contrib, ["doc_id", "k"], "left")
-               .select("doc_id", "k", "s",
+        contrib = (e.join(active.select("doc_id", F.col("idx").alias("src"), "s"), ["doc_id", "src"])
+                   .groupBy("doc_id", F.col("dst").alias("idx"))
+                   .agg(F.sum(F.col("w") * F.col("s")).alias("acc")))
+        new = (active.join(contrib, ["doc_id", "idx"], "left")
+               .select("doc_id", "idx", "s",
                        ((1 - damping) + damping * F.coalesce(F.col("acc"), F.lit(0.0))).alias("new")))
         change = new.groupBy("doc_id").agg(F.max(F.abs(F.col("new") - F.col("s"))).alias("change"))
-        new = new.join(change, "doc_id")
-        new = cut_lineage(new) if it % checkpoint_every == 0 or it == iterations else new.persist()
-        finished = new.where((F.col("change") < tol) | F.lit(it == iterations))
-        done = done.unionByName(finished.select("doc_id", "k", F.col("new").alias("score"),
-                                                F.lit(it).alias("iterations")))
-        active = new.where(~((F.col("change") < tol) | F.lit(it == iterations))) \
-            .select("doc_id", "k", F.col("new").alias("s"))
+        stop = (F.col("change") < tol) | F.lit(it == iterations)
+        new = cut_lineage(new.join(change, "doc_id").withColumn("stop", stop))
+        done = done.unionByName(new.where("stop").select(
+            "doc_id", "idx", F.col("new").alias("score"), F.lit(it).alias("iterations")))
+        active = new.where(~F.col("stop")).select("doc_id", "idx", F.col("new").alias("s"))
         if it % checkpoint_every == 0:
             done = cut_lineage(done)
-        if not active.take(1):
+        if active.isEmpty():
             break
     return done
 
@@ -214,9 +242,8 @@ def summary_select(docs: DataFrame, max_length: int = 600, min_sentences: int =
     short = sent.where((F.length("clean") <= max_length) | (F.size("ss") <= min_sentences)) \
         .select("doc_id", F.col("clean").alias("summary"))
     long_docs = sent.where(~((F.length("clean") <= max_length) | (F.size("ss") <= min_sentences)))
-    nodes = long_docs.select("doc_id", F.posexplode("ss").alias("pos", "text")) \
-        .withColumn("pos", F.col("pos").cast("int"))
-    scores = textrank(nodes, similarity_edges(nodes), max_group_edges=max_group_edges)
+    nodes = explode_rows(long_docs, F.col("ss"), ["doc_id"], "pos", "text")
+    scores = textrank(nodes, similarity_pairs(nodes), max_group_edges=max_group_edges)
     ranked = nodes.join(scores, ["doc_id", "pos"]).select(
         "doc_id", "pos", F.length("text").alias("len"), F.round("score", 9).alias("score"))
     # ordered fold over a compact (score, pos, len) array per document
@@ -232,7 +259,7 @@ def summary_select(docs: DataFrame, max_length: int = 600, min_sentences: int =
         return F.struct(cur.alias("cur"), n.alias("n"),
                         (acc["stop"] | ((cur >= max_length) & (n >= min_sentences))).alias("stop"),
                         F.when(take, F.concat(acc["picked"], F.array(x["pos"]))).otherwise(acc["picked"]).alias("picked"))
-    picked = arr.select("doc_id", F.explode(F.aggregate("order", init, step)["picked"]).alias("pos"))
+    picked = explode_rows(arr, F.aggregate("order", init, step)["picked"], ["doc_id"], "_k", "pos")
     chosen = nodes.join(picked, ["doc_id", "pos"])
     joined = chosen.groupBy("doc_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), "\n")
@@ -248,14 +275,14 @@ def key_sentences(docs: DataFrame, k: int = 5, min_length: int = 20,
     sentences, positioned at the first equal sentence, in position order."""
     ss = docs.select("doc_id", split_sentences(clean_text(F.col("text"))).alias("ss"))
     ss = ss.select("doc_id", "ss", F.filter("ss", lambda s: F.length(s) >= min_length).alias("valid"))
-    few = ss.where(F.size("valid") <= k).select("doc_id", F.posexplode("valid").alias("position", "text")) \
+    few = explode_rows(ss.where(F.size("valid") <= k), F.col("valid"), ["doc_id"], "position", "text") \
         .select("doc_id", F.col("position").cast("int").alias("position"), F.lit(1.0).alias("score"),
                 "text", F.col("position").cast("int").alias("vidx"))
     many = ss.where(F.size("valid") > k)
-    nodes = many.select("doc_id", "ss", F.posexplode("valid").alias("vidx", "text")) \
+    nodes = explode_rows(many, F.col("valid"), ["doc_id", "ss"], "vidx", "text") \
         .select("doc_id", F.col("vidx").cast("int").alias("vidx"), "text",
                 (F.array_position("ss", F.col("text")) - 1).cast("int").alias("position"))
-    scores = textrank(nodes, similarity_edges(nodes, "vidx"), idx="vidx", max_group_edges=max_group_edges)
+    scores = textrank(nodes, similarity_pairs(nodes, "vidx"), idx="vidx", max_group_edges=max_group_edges)
     top = (nodes.join(scores, ["doc_id", "vidx"])
            .withColumn("r", F.row_number().over(
                Window.partitionBy("doc_id").orderBy(F.round("score", 9).desc(), "vidx")))

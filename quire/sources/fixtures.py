@@ -148,3 +148,14 @@ def duck_with(*names: str) -> str:
 _d("v_paged", ("documents",), """
 SELECT doc_id, text, 1 + CAST(floor(length(text) / 1500) AS INT) AS n_pages FROM {documents}
 """)
+
+_d("v_prose", ("documents",), """
+SELECT doc_id, concat(
+  CASE WHEN doc_id % 7 = 0 THEN replace(text, chr(10), concat(chr(13), chr(10)))
+       WHEN doc_id % 11 = 0 THEN replace(text, chr(10), chr(13)) ELSE text END,
+  CASE WHEN doc_id % 5 = 0 THEN concat(chr(10), '这是第一句话。这是第二句话！Mixed 中文 words；最后一句')
+       ELSE '' END,
+  CASE WHEN doc_id % 6 = 0 THEN concat(chr(10), '  ', chr(9), 'Trailing   spaced   line', '...!!')
+       ELSE '' END) AS text
+FROM {documents}
+""")
