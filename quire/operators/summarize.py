@@ -272,23 +272,28 @@ def key_sentences(docs: DataFrame, k: int = 5, min_length: int = 20,
     """(doc_id, rank, position, score, text): sentences of at least ``min_length``
     chars; when there are at most ``k`` they are all returned with score 1 and
     their index among them; otherwise the ``k`` best by TextRank over those
-    sentences, positioned at the first equal sentence, in position order."""
-    ss = docs.select("doc_id", split_sentences(clean_text(F.col("text"))).alias("ss"))
-    ss = ss.select("doc_id", "ss", F.filter("ss", lambda s: F.length(s) >= min_length).alias("valid"))
-    few = explode_rows(ss.where(F.size("valid") <= k), F.col("valid"), ["doc_id"], "position", "text") \
-        .select("doc_id", F.col("position").cast("int").alias("position"), F.lit(1.0).alias("score"),
-                "text", F.col("position").cast("int").alias("vidx"))
-    many = ss.where(F.size("valid") > k)
-    nodes = explode_rows(many, F.col("valid"), ["doc_id", "ss"], "vidx", "text") \
-        .select("doc_id", F.col("vidx").cast("int").alias("vidx"), "text",
-                (F.array_position("ss", F.col("text")) - 1).cast("int").alias("position"))
+    sentences, positioned at the first equal sentence, in position order.
+
+    Equal sentences have equal length, so the first equal sentence is always a
+    valid one: ``min(pos)`` per ``(doc_id, text)`` among valid sentences."""
+    ss = with_sentences(docs.select("doc_id", "text"), "text", "ss")
+    valid = F.filter(F.transform("ss", lambda s, i: F.struct(i.alias("pos"), s.alias("text"))),
+                     lambda x: F.length(x["text"]) >= min_length)
+    ss = ss.select("doc_id", valid.alias("valid")).select("doc_id", "valid", F.size("valid").alias("n_valid"))
+    nodes = explode_rows(ss, F.col("valid"), ["doc_id", "n_valid"], "vidx", "v") \
+        .select("doc_id", "n_valid", "vidx", F.col("v.pos").alias("pos"), F.col("v.text").alias("text"))
     scores = textrank(nodes, similarity_pairs(nodes, "vidx"), idx="vidx", max_group_edges=max_group_edges)
+    few = F.col("n_valid") <= k
     top = (nodes.join(scores, ["doc_id", "vidx"])
            .withColumn("r", F.row_number().over(
                Window.partitionBy("doc_id").orderBy(F.round("score", 9).desc(), "vidx")))
-           .where(F.col("r") <= k)
-           .select("doc_id", "position", "score", "text", "vidx"))
-    out = few.unionByName(top)
+           .where(F.col("r") <= k))
+    first = (nodes.join(top.select("doc_id", "text").distinct(), ["doc_id", "text"], "left_semi")
+             .groupBy("doc_id", "text").agg(F.min("pos").alias("first_pos")))
+    out = top.join(first, ["doc_id", "text"]).select(
+        "doc_id", "vidx", "text",
+        F.when(few, F.col("vidx")).otherwise(F.col("first_pos")).cast("int").alias("position"),
+        F.when(few, F.lit(1.0)).otherwise(F.col("score")).alias("score"))
     w = Window.partitionBy("doc_id").orderBy("position", F.col("score").desc(), "vidx")
     return out.withColumn("rank", F.row_number().over(w)).select("doc_id", "rank", "position", "score", "text")
 
