@@ -119,7 +119,13 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for dep in spec.deps:
         args[dep] = table(spark, sf_dir, dep) if dep in TABLES else derived(spark, sf_dir, dep)
     sql = _macros(spec.sql, "spark")
-    return spark.sql(sql, **args) if args else spark.sql(sql)
+    if not args:
+        return spark.sql(sql)
+    # only dependency names are placeholders; every other brace is literal text
+    sql = sql.replace("{", "{{").replace("}", "}}")
+    for dep in spec.deps:
+        sql = sql.replace("{{" + dep + "}}", "{" + dep + "}")
+    return spark.sql(sql, **args)
 
 
 def _order(names) -> list:
@@ -141,7 +147,8 @@ def duck_with(*names: str) -> str:
     parts = []
     for n in _order(names):
         sql = _macros(DERIVED[n].sql, "duckdb")
-        sql = re.sub(r"\{(\w+)\}", lambda m: m.group(1), sql)
+        for dep in DERIVED[n].deps:
+            sql = sql.replace("{" + dep + "}", dep)
         parts.append(f"{n} AS (\n{sql}\n)")
     return "WITH " + ",\n".join(parts) + "\n"
 
@@ -159,3 +166,71 @@ SELECT doc_id, concat(
        ELSE '' END) AS text
 FROM {documents}
 """)
+
+_d("v_code_lines", ("part",), """
+SELECT concat(p.lang, '/m', CAST(CAST(floor(p.p_partkey / 700) AS BIGINT) AS STRING), CASE p.lang WHEN 'python' THEN '.py' WHEN 'typescript' THEN '.ts' WHEN 'go' THEN '.go' WHEN 'rust' THEN '.rs' WHEN 'java' THEN '.java' WHEN 'cpp' THEN '.cpp' ELSE '.rb' END) AS path,
+       p.lang AS language,
+       CAST(CAST(floor(p.p_partkey / 7) AS BIGINT) % 100 * 14 + t.off + 1 AS INT) AS line_no,
+       replace(replace(t.tmpl, '{K}', CAST(p.p_partkey AS STRING)), '{N}', p.p_name) AS text
+FROM (SELECT p_partkey, p_name,
+             CASE p_partkey % 7 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 2 THEN 'go'
+                  WHEN 3 THEN 'rust' WHEN 4 THEN 'java' WHEN 5 THEN 'cpp' ELSE 'ruby' END AS lang
+      FROM {part}) p
+JOIN (VALUES
+  ('python', 0, 'import os'),
+  ('python', 1, 'from pkg.mod{K} import thing'),
+  ('python', 2, '# helper for {N}'),
+  ('python', 3, 'def func_{K}(x):'),
+  ('python', 4, '    \"\"\"Docstring for {N}.\"\"\"'),
+  ('python', 5, '    return svc.a(x) + svc.b(x)'),
+  ('python', 6, ''),
+  ('python', 7, 'class Item{K}:'),
+  ('python', 8, '    def _hidden(self):'),
+  ('python', 9, 'async def load_{K}(y):'),
+  ('python', 10, '    '''''''),
+  ('python', 11, '    spans lines {K}'),
+  ('python', 12, '    '''''''),
+  ('typescript', 0, 'import { a } from ''./mod{K}'';'),
+  ('typescript', 1, '/** Service {N} */'),
+  ('typescript', 2, 'export class Service{K} {'),
+  ('typescript', 3, '  private secret{K}(): void {'),
+  ('typescript', 4, '  public run{K}(x: number): string {'),
+  ('typescript', 5, '    if (x) { return svc.b(x); }'),
+  ('typescript', 6, '// comment line'),
+  ('typescript', 7, 'export const arrow{K} = async (a) => a;'),
+  ('typescript', 8, 'function _hidden{K}() {'),
+  ('typescript', 9, 'export interface Shape{K} { }'),
+  ('typescript', 10, '  Logger.info(JSON.parse(x));'),
+  ('go', 0, 'import ('),
+  ('go', 1, '// Handler{K} handles {N}'),
+  ('go', 2, 'type Handler{K} struct {'),
+  ('go', 3, 'func (h *Handler{K}) Serve() {'),
+  ('go', 4, 'func helper{K}(x int) int {'),
+  ('go', 5, '}'),
+  ('rust', 0, 'use std::io;'),
+  ('rust', 1, '/// Widget {N}'),
+  ('rust', 2, 'pub struct Widget{K} {'),
+  ('rust', 3, 'pub fn build_{K}() -> u32 {'),
+  ('rust', 4, 'async fn fetch_{K}() {'),
+  ('rust', 5, 'enum Mode{K} { A, B }'),
+  ('java', 0, 'import java.util.List;'),
+  ('java', 1, '/* Bean {N} */'),
+  ('java', 2, 'public class Bean{K} {'),
+  ('java', 3, 'public static int compute{K}(int x) {'),
+  ('java', 4, 'private void hidden{K}() {'),
+  ('java', 5, 'interface Api{K} {'),
+  ('cpp', 0, '#include <vector>'),
+  ('cpp', 1, '#include "local{K}.h"'),
+  ('cpp', 2, '#define MAX{K} 10'),
+  ('cpp', 3, 'class Engine{K} {'),
+  ('cpp', 4, 'int run{K}(int a) {'),
+  ('cpp', 5, 'static int *alloc{K}(int n);'),
+  ('cpp', 6, 'struct Pt{K} {'),
+  ('cpp', 7, ' * star comment {K}'),
+  ('ruby', 0, 'require "json"'),
+  ('ruby', 1, '# Model {N}'),
+  ('ruby', 2, 'class Model{K}'),
+  ('ruby', 3, 'def process_{K}(x)'),
+  ('ruby', 4, 'module Tools{K}'),
+  ('ruby', 5, 'import_like {K}')) AS t(lang, off, tmpl) ON t.lang = p.lang
+""")
