@@ -234,3 +234,41 @@ JOIN (VALUES
   ('ruby', 4, 'module Tools{K}'),
   ('ruby', 5, 'import_like {K}')) AS t(lang, off, tmpl) ON t.lang = p.lang
 """)
+
+_d("v_csv_lines", ("part",), """
+SELECT path, CAST(rn + 1 AS INT) AS line_no,
+  CASE WHEN rn % 13 = 0 THEN '   '
+       WHEN rn % 31 = 0 THEN concat(CAST(p_partkey AS STRING), d, 'short', d, CAST(p_size AS STRING))
+       ELSE concat(CAST(p_partkey AS STRING), d, '"', p_name, ' ', d, ' x"', d,
+                   CAST(p_size AS STRING), CASE WHEN rn % 5 = 0 THEN '.5' ELSE '' END, d,
+                   CASE WHEN p_partkey % 17 = 0 THEN '' WHEN p_partkey % 2 = 0 THEN 'true' ELSE 'no' END, d,
+                   '2024-01-', lpad(CAST(p_size % 28 + 1 AS STRING), 2, '0'), d,
+                   CASE WHEN rn < 3 THEN concat('text', CAST(p_partkey AS STRING)) ELSE CAST(p_partkey AS STRING) END)
+  END AS text
+FROM (SELECT p_partkey, p_name, p_size, concat('t', CAST(p_partkey % 20 AS STRING), '.csv') AS path,
+             CASE p_partkey % 4 WHEN 0 THEN ',' WHEN 1 THEN chr(9) WHEN 2 THEN ';' ELSE '|' END AS d,
+             row_number() OVER (PARTITION BY p_partkey % 20 ORDER BY p_partkey) AS rn
+      FROM {part}) p
+UNION ALL
+SELECT concat('t', CAST(k AS STRING), '.csv') AS path, 1 AS line_no,
+  CASE k % 4 WHEN 0 THEN 'id,name,size,flag,day,mixed' WHEN 1 THEN concat('id', chr(9), 'name', chr(9), 'size', chr(9), 'flag', chr(9), 'day', chr(9), 'mixed')
+       WHEN 2 THEN 'id;name;size;flag;day;mixed' ELSE 'id|name|size|flag|day|mixed' END AS text
+FROM (SELECT DISTINCT p_partkey % 20 AS k FROM {part}) h
+""")
+
+_d("v_sheet_cells", ("part",), """
+WITH b AS (SELECT p_partkey, p_name, p_size, concat('w', CAST(p_partkey % 5 AS STRING), '.xlsx') AS path,
+                  concat('S', CAST(p_partkey % 2 AS STRING)) AS sheet,
+                  CAST(row_number() OVER (PARTITION BY p_partkey % 5, p_partkey % 2 ORDER BY p_partkey) AS INT) AS row_no
+           FROM {part})
+SELECT path, sheet, row_no, 0 AS ord, CAST(p_partkey AS STRING) AS value FROM b
+UNION ALL SELECT path, sheet, row_no, 1, p_name FROM b
+UNION ALL SELECT path, sheet, row_no, 2, concat(CAST(p_size AS STRING), CASE WHEN row_no % 5 = 0 THEN '.5' ELSE '' END) FROM b
+UNION ALL SELECT path, sheet, row_no, 3, CASE WHEN row_no % 3 = 0 THEN '' WHEN p_partkey % 2 = 0 THEN 'yes' ELSE 'no' END FROM b
+UNION ALL SELECT path, sheet, row_no, 4, concat(' 2024-02-', lpad(CAST(p_size % 28 + 1 AS STRING), 2, '0'), ' ') FROM b WHERE row_no % 4 <> 0
+UNION ALL SELECT DISTINCT path, sheet, 0, 0, 'id' FROM b
+UNION ALL SELECT DISTINCT path, sheet, 0, 1, 'name' FROM b
+UNION ALL SELECT DISTINCT path, sheet, 0, 2, 'size' FROM b
+UNION ALL SELECT DISTINCT path, sheet, 0, 3, 'flag' FROM b
+UNION ALL SELECT DISTINCT path, sheet, 0, 4, '' FROM b
+""")
