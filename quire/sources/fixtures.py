@@ -272,3 +272,27 @@ UNION ALL SELECT DISTINCT path, sheet, 0, 2, 'size' FROM b
 UNION ALL SELECT DISTINCT path, sheet, 0, 3, 'flag' FROM b
 UNION ALL SELECT DISTINCT path, sheet, 0, 4, '' FROM b
 """)
+
+_d("v_json", ("customer",), """
+SELECT concat('cfg/c', CAST(c_custkey AS STRING), '.json') AS path,
+  concat('{"name": "', c_name, '", "api_token": "tok', CAST(c_custkey AS STRING), '", ',
+         '"nested": {"Password": "p', CAST(c_custkey AS STRING), '", "n": ', CAST(c_nationkey AS STRING),
+         ', "deep": {"x": 1}, "label": "', c_mktsegment, '"}, ',
+         '"tags": [1, 2, 3, 4, 5], "items": [{"secret": "s"}, {"k": 1}], "nothing": null, ',
+         '"active": ', CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'false' END, ', ',
+         '"long": "', repeat('ab', 75), '", "segment": "', c_mktsegment, '", "empty_list": [], "empty_obj": {}',
+         CASE WHEN c_custkey % 25 = 0 THEN '' ELSE '}' END) AS content
+FROM {customer}
+""")
+
+_YAML_LINES = [
+    "# customer {C}", 'name: "Customer {C}"', "api_key: k{C}", "nation: {N}", "active: true",
+    "segment: '{S}'", "url: http://x.example/{C}", "parent:", "  child_{C}: 1", "hex: 0x1F",
+    'name: "dup {C}"', "", "db_password = secret{C}", "{N}: numeric key",
+]
+_d("v_yaml", ("customer",), "\nUNION ALL\n".join(
+    f"""SELECT concat('cfg/y', CAST(CAST(floor(c_custkey / 30) AS BIGINT) AS STRING), '.yaml') AS path,
+       CAST(c_custkey % 30 * 14 + {off + 1} AS INT) AS line_no,
+       replace(replace(replace('{tmpl.replace("'", "''")}', '{{C}}', CAST(c_custkey AS STRING)), '{{S}}', c_mktsegment),
+               '{{N}}', CAST(c_nationkey AS STRING)) AS text
+FROM {{customer}}""" for off, tmpl in enumerate(_YAML_LINES)))
