@@ -296,3 +296,10 @@ _d("v_yaml", ("customer",), "\nUNION ALL\n".join(
        replace(replace(replace('{tmpl.replace("'", "''")}', '{{C}}', CAST(c_custkey AS STRING)), '{{S}}', c_mktsegment),
                '{{N}}', CAST(c_nationkey AS STRING)) AS text
 FROM {{customer}}""" for off, tmpl in enumerate(_YAML_LINES)))
+
+_d("v_selections", ("v_files",), """
+SELECT project, rel_path AS sel FROM {v_files} WHERE doc_id % 50 = 7
+UNION ALL SELECT DISTINCT project, 'en' AS sel FROM {v_files} WHERE doc_id % 3 = 0
+UNION ALL SELECT DISTINCT project, 'de/' AS sel FROM {v_files} WHERE doc_id % 5 = 1
+UNION ALL SELECT project, rel_path AS sel FROM {v_files} WHERE doc_id % 97 = 3 AND rel_path LIKE 'en/%'
+""")
