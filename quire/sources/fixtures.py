@@ -303,3 +303,11 @@ UNION ALL SELECT DISTINCT project, 'en' AS sel FROM {v_files} WHERE doc_id % 3 =
 UNION ALL SELECT DISTINCT project, 'de/' AS sel FROM {v_files} WHERE doc_id % 5 = 1
 UNION ALL SELECT project, rel_path AS sel FROM {v_files} WHERE doc_id % 97 = 3 AND rel_path LIKE 'en/%'
 """)
+
+_d("v_templates", (), """
+SELECT * FROM (VALUES
+  ('brief', concat('# $PROJECT_NAME', chr(10), 'Files: $FILE_COUNT ($OUTLINE_COUNT as outline), ~$TOKEN_COUNT of $TOKEN_LIMIT',
+                   chr(10), '$FILE_LIST', chr(10), 'Unknown: $MISSING_VAR', chr(10), 'Scope: $SCOPE')),
+  ('treeonly', concat('$DIR_TREE', chr(10), '---', chr(10), '$PROJECT_NAME at $TIMESTAMP'))
+) AS t(name, body)
+""")
