@@ -9,7 +9,7 @@ from quire.operators import corpus as C
 from quire.operators import render as R
 from quire.operators import tree as T
 from quire.plans.common import finish
-from quire.plans.corpus_q import CFG, EXT, LANG_SQL, _binary_sql, case_map
+from quire.plans.corpus_q import CFG, EXT, LANG_SQL, SYM, _binary_sql, case_map
 from quire.plans.registry import query
 from quire.plans.sqlfrag import utf16_len
 from quire.sources.fixtures import derived, duck_with
@@ -135,3 +135,110 @@ SELECT 'default' AS name, {R.DEFAULT_TEMPLATE!r} AS body UNION ALL SELECT name,
 """.replace("\\n", "' || chr(10) || '"))
 def template_catalog(spark, sf):
     return finish(R.template_catalog(derived(spark, sf, "v_templates")))
+
+
+def fixed1_sql(t: str, d: int) -> str:
+    """JavaScript ``(t/d).toFixed(1)`` for integer t >= d in exact integer math:
+    a decimal tie is decided by whether the double nearest t/d lies above it."""
+    h = d // 10
+    e = f"CAST(floor(log2(CAST({t} AS DOUBLE) / {d})) AS INTEGER)"
+    r = f"((CAST({t} AS HUGEINT) * (CAST(1 AS HUGEINT) << (52 - {e}))) % {d})"
+    up = (f"(CASE WHEN ({t} % {h}) * 2 > {h} THEN 1 WHEN ({t} % {h}) * 2 < {h} THEN 0 "
+          f"WHEN {r} = 0 OR {r} * 2 > {d} THEN 1 ELSE 0 END)")
+    tenths = f"(CAST(floor({t} / {h}) AS BIGINT) + {up})"
+    return f"(CAST({tenths} // 10 AS VARCHAR) || '.' || CAST({tenths} % 10 AS VARCHAR))"
+
+
+def tokens_fmt_sql(t: str) -> str:
+    return (f"CASE WHEN {t} >= 1000000 THEN {fixed1_sql(t, 1000000)} || 'M' "
+            f"WHEN {t} >= 1000 THEN {fixed1_sql(t, 1000)} || 'K' ELSE CAST({t} AS VARCHAR) END")
+
+
+STAMP = "2024-01-01T00:00:00.000Z"
+
+
+def _render_inputs(spark, sf):
+    files = C.classify(ranked_files(spark, sf), CFG)
+    doc = _doc(spark, sf)
+    budget = R.token_budget(doc, derived(spark, sf, "v_files"))
+    outl = files.groupBy("project").agg(F.count_if(F.col("route") == "outline").alias("n_outline"))
+    choice = F.element_at(F.array(F.lit("default"), F.lit("brief"), F.lit("missing"), F.lit("treeonly")),
+                          (F.regexp_extract("project", "([0-9]+)$", 1).cast("int") % 4 + 1))
+    stats = budget.join(outl, "project").select(
+        "project", choice.alias("template"), F.col("project").alias("PROJECT_NAME"),
+        format_tokens(F.col("tokens")).alias("TOKEN_COUNT"), format_tokens(F.lit(128000)).alias("TOKEN_LIMIT"),
+        F.col("file_count").cast("string").alias("FILE_COUNT"), F.col("n_outline").cast("string").alias("OUTLINE_COUNT"),
+        F.lit(STAMP).alias("TIMESTAMP"), F.lit("").alias("SELECTED_FILES"), F.lit("workspace").alias("SCOPE"),
+        F.lit("/workspace").alias("WORKSPACE_PATH"))
+    catalog = R.template_catalog(derived(spark, sf, "v_templates"))
+    stats = R.choose_template(stats, catalog)
+    tree = _tree(spark, sf)
+    n_lines = tree.groupBy("project").agg(F.max("ord").alias("n"))
+    tree_rows = tree.join(n_lines, "project").select(
+        "project", F.struct(F.col("ord").cast("long").alias("a"), F.lit(0).cast("long").alias("b")).alias("seq"),
+        F.concat("line", F.when(F.col("ord") < F.col("n"), F.lit("\n")).otherwise(F.lit(""))).alias("text"))
+    nf = files.groupBy("project").agg(F.max("rank").alias("n"))
+    list_rows = files.join(nf, "project").select(
+        "project", F.struct(F.col("rank").cast("long").alias("a"), F.lit(0).cast("long").alias("b")).alias("seq"),
+        F.concat("rel_path", F.when(F.col("rank") < F.col("n"), F.lit("\n")).otherwise(F.lit(""))).alias("text"))
+    content_rows = doc.where(F.col("seq.a") == 2).select(
+        "project", F.struct(F.col("seq.b").alias("a"), F.lit(0).cast("long").alias("b")).alias("seq"), "text")
+    segs = R.template_segments(catalog)
+    return segs, stats, {"DIR_TREE": tree_rows, "FILE_LIST": list_rows, "FILE_CONTENTS": content_rows}
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+SMALL = [v for v in R.TEMPLATE_VARS if v not in R.BIG_VARS]
+
+
+def _apply_sql(x: str, after: str) -> str:
+    order = list(R.TEMPLATE_VARS)
+    for v in order[order.index(after) + 1:]:
+        if v in R.BIG_VARS:
+            continue
+        x = f"replace({x}, '${v}', coalesce(s.{v}, ''))"
+    return x
+
+
+@query("template_render", ASSEMBLE + duck_with("v_templates").replace("WITH ", ", ", 1) + f"""
+, cat AS (SELECT 'default' AS name, {_lit(R.DEFAULT_TEMPLATE)} AS body
+          UNION ALL SELECT name, body FROM v_templates WHERE name <> 'default'),
+seg0 AS (SELECT name, string_split(regexp_replace(body, '(\\$DIR_TREE|\\$FILE_LIST|\\$FILE_CONTENTS)', chr(0) || '\\1' || chr(0), 'g'), chr(0)) AS ps FROM cat),
+seg AS (SELECT name, generate_subscripts(ps, 1) - 1 AS seg_no, unnest(ps) AS text FROM seg0),
+segk AS (SELECT name, seg_no, CASE WHEN text IN ('$DIR_TREE', '$FILE_LIST', '$FILE_CONTENTS') THEN substring(text, 2) ELSE 'lit' END AS kind, text FROM seg),
+bud AS (SELECT t.project, CAST(ceil(chars / CAST(3.75 AS DOUBLE)) AS BIGINT) AS tokens, n.file_count
+        FROM (SELECT project, sum({utf16_len('text')}) AS chars FROM doc GROUP BY project) t
+        JOIN (SELECT project, count(*) AS file_count FROM v_files GROUP BY project) n ON t.project = n.project),
+ch0 AS (SELECT project, (['default', 'brief', 'missing', 'treeonly'])[CAST(regexp_extract(project, '([0-9]+)$', 1) AS INTEGER) % 4 + 1] AS t0 FROM bud),
+s AS (SELECT b.project, CASE WHEN c.name IS NULL THEN 'default' ELSE ch0.t0 END AS template, b.project AS PROJECT_NAME,
+             {tokens_fmt_sql('b.tokens')} AS TOKEN_COUNT, '128.0K' AS TOKEN_LIMIT, CAST(b.file_count AS VARCHAR) AS FILE_COUNT,
+             CAST(oc.n AS VARCHAR) AS OUTLINE_COUNT, '{STAMP}' AS TIMESTAMP, '' AS SELECTED_FILES, 'workspace' AS SCOPE, '/workspace' AS WORKSPACE_PATH
+      FROM bud b JOIN ch0 ON b.project = ch0.project
+      JOIN (SELECT project, count_if(is_truncated AND lower(coalesce(language, '')) IN ({SYM})) AS n FROM r GROUP BY project) oc
+        ON oc.project = b.project
+      LEFT JOIN (SELECT DISTINCT name FROM cat) c ON c.name = ch0.t0),
+nt AS (SELECT project, max(ord) AS n FROM tree GROUP BY project),
+fl AS (SELECT project, rel_path, row_number() OVER (PARTITION BY project ORDER BY rel_path) AS rk,
+              count(*) OVER (PARTITION BY project) AS n FROM v_files),
+streams AS (
+  SELECT t.project, 'DIR_TREE' AS kind, t.ord AS a, 0 AS b, line || CASE WHEN t.ord < nt.n THEN chr(10) ELSE '' END AS text
+  FROM tree t JOIN nt ON t.project = nt.project
+  UNION ALL SELECT project, 'FILE_LIST', rk, 0, rel_path || CASE WHEN rk < n THEN chr(10) ELSE '' END FROM fl
+  UNION ALL SELECT project, 'FILE_CONTENTS', b, 0, text FROM doc WHERE a = 2)
+SELECT s.project, k.seg_no AS a, 0 AS b, 0 AS c,
+       {_apply_sql("replace(k.text, '$PROJECT_NAME', coalesce(s.PROJECT_NAME, ''))", 'PROJECT_NAME')} AS text
+FROM s JOIN segk k ON k.name = s.template AND k.kind = 'lit'
+UNION ALL
+SELECT s.project, k.seg_no, x.a, x.b,
+       CASE x.kind WHEN 'DIR_TREE' THEN {_apply_sql('x.text', 'DIR_TREE')} WHEN 'FILE_LIST' THEN {_apply_sql('x.text', 'FILE_LIST')}
+            ELSE {_apply_sql('x.text', 'FILE_CONTENTS')} END AS text
+FROM streams x JOIN s ON x.project = s.project JOIN segk k ON k.name = s.template AND k.kind = x.kind
+""")
+def template_render(spark, sf):
+    segs, stats, streams = _render_inputs(spark, sf)
+    r = R.render_template_rows(segs, stats, streams)
+    return finish(r.select("project", F.col("seq.a").alias("a"), F.col("seq.b").alias("b"), F.col("seq.c").alias("c"),
+                           "text"))
