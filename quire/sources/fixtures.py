@@ -311,3 +311,30 @@ SELECT * FROM (VALUES
   ('treeonly', concat('$DIR_TREE', chr(10), '---', chr(10), '$PROJECT_NAME at $TIMESTAMP'))
 ) AS t(name, body)
 """)
+
+_d("v_media", ("part",), """
+SELECT concat('media/m', CAST(p_partkey AS STRING),
+              CASE p_partkey % 6 WHEN 0 THEN '.png' WHEN 1 THEN '.gif' WHEN 2 THEN '.bmp' WHEN 3 THEN '.wav'
+                   WHEN 4 THEN '.webp' ELSE '.gz' END) AS path,
+  unhex(concat(
+    CASE WHEN p_partkey % 10 = 9 THEN '00000000' ELSE '' END,
+    CASE p_partkey % 6
+      WHEN 0 THEN concat('89504E470D0A1A0A0000000D49484452', lpad(hex(p_size * 10), 8, '0'), lpad(hex(p_size * 7), 8, '0'),
+                         '08', CASE WHEN p_partkey % 4 = 0 THEN '06' ELSE '02' END, '000000')
+      WHEN 1 THEN concat('474946383961', substring(lpad(hex(p_size * 4), 4, '0'), 3, 2), substring(lpad(hex(p_size * 4), 4, '0'), 1, 2),
+                         substring(lpad(hex(p_size * 3), 4, '0'), 3, 2), substring(lpad(hex(p_size * 3), 4, '0'), 1, 2),
+                         CASE WHEN p_partkey % 4 = 1 THEN 'F7' ELSE '00' END, '0000')
+      WHEN 2 THEN concat('424D', '000000000000000036000000', '28000000',
+                         substring(lpad(hex(p_size * 2), 4, '0'), 3, 2), substring(lpad(hex(p_size * 2), 4, '0'), 1, 2), '0000',
+                         CASE WHEN p_partkey % 4 = 2 THEN 'F6FFFFFF' ELSE '20000000' END, '0100',
+                         CASE WHEN p_partkey % 3 = 0 THEN '2000' ELSE '1800' END)
+      WHEN 3 THEN concat('52494646', '24000000', '57415645', '666D7420', '10000000', '0100',
+                         CASE WHEN p_partkey % 4 = 3 THEN '0200' ELSE '0100' END,
+                         '44AC0000', '10B10200', '0400', '1000')
+      WHEN 4 THEN concat('52494646', '24000000', '57454250',
+                         CASE WHEN p_partkey % 4 = 0 THEN concat('5650384C', '0A000000', '2F', lpad(hex(p_size), 2, '0'), '400000')
+                              ELSE concat('56503820', '0A000000', '000000000000', '9D012A', lpad(hex(p_size), 2, '0'), '00',
+                                          lpad(hex(p_size), 2, '0'), '00') END)
+      ELSE concat('1F8B', CASE WHEN p_partkey % 4 = 1 THEN '08' ELSE '03' END, '0000000000000003') END)) AS head
+FROM {part}
+""")
