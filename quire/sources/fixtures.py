@@ -338,3 +338,25 @@ SELECT concat('media/m', CAST(p_partkey AS STRING),
       ELSE concat('1F8B', CASE WHEN p_partkey % 4 = 1 THEN '08' ELSE '03' END, '0000000000000003') END)) AS head
 FROM {part}
 """)
+
+_d("v_calls", ("events",), """
+SELECT concat('flow/u', CAST(user_id % 10 AS STRING), '.ts') AS path, concat('fn', CAST(user_id AS STRING)) AS fn,
+       CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS seq,
+       CASE event_type WHEN 'click' THEN (CASE WHEN event_id % 3 = 0 THEN 'svc.view' ELSE 'svc.click' END)
+            WHEN 'view' THEN 'svc.view' WHEN 'error' THEN (CASE WHEN event_id % 2 = 0 THEN 'Logger.error' ELSE 'Logger.info' END)
+            WHEN 'purchase' THEN (CASE WHEN event_id % 5 = 0 THEN 'JSON.stringify' ELSE 'db.buy' END)
+            ELSE (CASE WHEN event_id % 4 = 0 THEN 'fs.writeFile' ELSE 'db.signup' END) END AS callee
+FROM {events}
+""")
+
+_d("v_steps", ("events",), """
+SELECT concat('flow/u', CAST(user_id % 10 AS STRING), '.ts') AS path, concat('fn', CAST(user_id AS STRING)) AS fn,
+       CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS seq,
+       CASE event_id % 6 WHEN 2 THEN 'if' WHEN 3 THEN 'return' WHEN 4 THEN 'for' WHEN 1 THEN 'while' ELSE 'call' END AS kind,
+       CASE event_id % 6 WHEN 2 THEN concat('if (', event_type, ' > ', CAST(event_id % 97 AS STRING), ')')
+            WHEN 3 THEN 'return'
+            WHEN 4 THEN concat('for (const item of items', CAST(event_id % 13 AS STRING), ' and a long trailing description that keeps going past the label width limit)')
+            WHEN 1 THEN concat('while (queue', CAST(event_id % 7 AS STRING), '.length)')
+            ELSE concat('-> ', event_type) END AS label
+FROM {events}
+""")
