@@ -183,3 +183,11 @@ SELECT DISTINCT trim(pattern) AS pattern FROM v_rules WHERE trim(pattern) <> ''
 def ignore_rule_merge(spark, sf):
     r = derived(spark, sf, "v_rules")
     return finish(C.merge_rules(r.where("layer = 1"), r.where("layer = 2"), r.where("layer = 3")))
+
+
+@query("path_sort", duck_with("v_files") + """
+SELECT project, rel_path, row_number() OVER (PARTITION BY project ORDER BY icu_sort_key(rel_path, 'und'), rel_path) AS rank
+FROM v_files
+""")
+def path_sort(spark, sf):
+    return finish(C.path_sort(_files(spark, sf)).select("project", "rel_path", "rank"))

@@ -123,3 +123,23 @@ FROM h
 """)
 def paragraph_headings(spark, sf):
     return finish(docs.paragraph_headings(derived(spark, sf, "v_paragraphs")))
+
+
+@query("slide_assemble", duck_with("v_slides") + f"""
+, g AS (SELECT doc_id, slide_no,
+          arg_min(text, seq) FILTER (WHERE field = 'title' AND coalesce(text, '') <> '') AS t,
+          arg_min(text, seq) FILTER (WHERE field = 'content' AND coalesce(text, '') <> '') AS c,
+          arg_min(text, seq) FILTER (WHERE field = 'text' AND coalesce(text, '') <> '') AS x,
+          list(text ORDER BY seq) FILTER (WHERE field = 'element' AND text IS NOT NULL) AS els
+        FROM v_slides GROUP BY doc_id, slide_no),
+h AS (SELECT doc_id, slide_no,
+        coalesce(CASE WHEN t IS NULL AND len(els) > 0 THEN els[1] ELSE t END, '') AS t1,
+        coalesce(CASE WHEN coalesce(c, x) IS NULL AND len(els) > 0 THEN array_to_string(els, ' ') ELSE coalesce(c, x) END, '') AS c1
+      FROM g),
+k AS (SELECT doc_id, slide_no, {clean_sql('t1')} AS title, {clean_sql('c1')} AS content FROM h)
+SELECT doc_id, slide_no, CASE WHEN title = '' THEN 'Slide ' || CAST(slide_no AS VARCHAR) ELSE title END AS title,
+       CASE WHEN content <> '' THEN content WHEN title <> '' THEN '' ELSE '(no text content)' END AS content
+FROM k
+""")
+def slide_assemble(spark, sf):
+    return finish(docs.slide_assemble(derived(spark, sf, "v_slides")))

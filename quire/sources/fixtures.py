@@ -360,3 +360,18 @@ SELECT concat('flow/u', CAST(user_id % 10 AS STRING), '.ts') AS path, concat('fn
             ELSE concat('-> ', event_type) END AS label
 FROM {events}
 """)
+
+_d("v_slides", ("conversations",), """
+SELECT conv_id AS doc_id, CAST(turn + 1 AS INT) AS slide_no, 0 AS seq, 'title' AS field, substring(text, 1, 30) AS text
+FROM {conversations} WHERE role = 'user' AND turn % 3 = 0
+UNION ALL SELECT conv_id, CAST(turn + 1 AS INT), 1, 'text', text FROM {conversations} WHERE role = 'assistant' AND turn % 2 = 1
+UNION ALL SELECT conv_id, CAST(turn + 1 AS INT), 2, 'content', upper(substring(text, 1, 20)) FROM {conversations}
+  WHERE role = 'assistant' AND conv_id % 4 = 0
+UNION ALL SELECT conv_id, CAST(turn + 1 AS INT), 11, 'element', split_part(text, chr(10), 1) FROM {conversations}
+  WHERE role = 'user' AND split_part(text, chr(10), 1) <> ''
+UNION ALL SELECT conv_id, CAST(turn + 1 AS INT), 12, 'element', split_part(text, chr(10), 2) FROM {conversations}
+  WHERE role = 'user' AND split_part(text, chr(10), 2) <> ''
+UNION ALL SELECT conv_id, CAST(turn + 1 AS INT), 13, 'element', concat('  ', split_part(text, chr(10), 3), '  ') FROM {conversations}
+  WHERE role = 'user' AND split_part(text, chr(10), 3) <> ''
+UNION ALL SELECT conv_id, CAST(turn + 1 AS INT), 14, 'element', '' FROM {conversations} WHERE role = 'system'
+""")
