@@ -172,3 +172,81 @@ def signature(line: Column) -> Column:
     ok = s.rlike(r"^[^{]*?(?:\s*\{)?$")
     return F.when(ok, js_trim(F.regexp_extract(s, r"^([^{]*?)(?:\s*\{)?$", 1))).otherwise(
         F.substring(s, 1, SIGNATURE_FALLBACK))
+
+
+DOC_WIDTH = 160
+
+
+def comment_text(t: Column) -> Column:
+    """Cleaned text of a comment line (trimmed input), or null for a non-comment."""
+    return (F.when(t.startswith("///"), js_trim(F.regexp_replace(t, r"^///\s?", "")))
+            .when(t.startswith("//"), js_trim(F.regexp_replace(t, r"^//\s?", "")))
+            .when(t.startswith("#"), js_trim(F.regexp_replace(t, r"^#\s?", "")))
+            .when(t.endswith("*/"), js_trim(F.regexp_replace(t, r"\*/$", "")))
+            .when(t.startswith("*"), js_trim(F.regexp_replace(t, r"^\*\s?", "")))
+            .when(t.startswith("/*"), js_trim(F.regexp_replace(t, r"^/\*+\s?", ""))))
+
+
+def leading_docs(lines: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(path, line_no, doc): the comment block directly above each type/function
+    line (blank lines allowed only between the block and the symbol), nearest
+    comments first until the joined text passes 160 characters, cut to 160.
+
+    Blocks are islands of consecutive comment lines (id = the line after the
+    last non-comment line), attached to a symbol by equality on the block id —
+    no range join."""
+    w_prev = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    t = lines.select("path", "line_no", js_trim("text").alias("t"))
+    t = t.withColumn("c", comment_text(F.col("t"))).withColumn("blank", F.col("t") == "")
+    t = (t.withColumn("last_nonblank", F.max(F.when(~F.col("blank"), F.col("line_no"))).over(w_prev))
+         .withColumn("last_break", F.max(F.when(F.col("c").isNull(), F.col("line_no"))).over(w_prev)))
+    t = t.withColumn("block", F.coalesce(F.col("last_break"), F.lit(0)) + 1)
+    comments = t.where(F.col("c").isNotNull()).select("path", "line_no", "c", "block")
+    sym = symbols.where(F.col("kind") != "import").select("path", F.col("line_no").alias("s")).distinct()
+    above = (sym.join(t.select("path", F.col("line_no").alias("s"), "last_nonblank"), ["path", "s"])
+             .join(comments.select("path", F.col("line_no").alias("last_nonblank"), F.col("block")),
+                   ["path", "last_nonblank"]))
+    items = (comments.where(F.col("c") != "")
+             .join(above.select("path", "s", "block", "last_nonblank"), ["path", "block"])
+             .where(F.col("line_no") <= F.col("last_nonblank")))
+    w = Window.partitionBy("path", "s").orderBy(F.col("line_no").desc())
+    items = items.withColumn("k", F.row_number().over(w)).withColumn(
+        "len_before", F.sum(F.length("c") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)) - 1)
+    kept = items.where((F.col("k") == 1) | (F.col("len_before") <= DOC_WIDTH))
+    return kept.groupBy("path", "s").agg(
+        F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "c"))), lambda x: x["c"]), " "),
+                    1, DOC_WIDTH).alias("doc")).withColumnRenamed("s", "line_no")
+
+
+def following_docstrings(lines: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(path, line_no, doc): a triple-quoted string starting on the first
+    non-blank line after a type/function line, up to its closing quote, trimmed
+    parts joined by spaces, cut to 160.  Lines are owned by the nearest symbol
+    above them, so the search is an equi-join on that owner."""
+    sym = symbols.where(F.col("kind") != "import").select("path", F.col("line_no").alias("s")).distinct()
+    w_prev = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    t = lines.select("path", "line_no", js_trim("text").alias("t")) \
+        .join(sym.select("path", F.col("s").alias("line_no"), F.lit(True).alias("is_sym")), ["path", "line_no"], "left")
+    t = t.withColumn("owner", F.max(F.when(F.col("is_sym"), F.col("line_no"))).over(w_prev)).where(F.col("owner").isNotNull())
+    body = t.where(F.col("line_no") > F.col("owner"))
+    opener = (body.where(F.col("t") != "").groupBy("path", "owner").agg(F.min_by(F.struct("line_no", "t"), "line_no").alias("o"))
+              .select("path", "owner", F.col("o.line_no").alias("q"), F.col("o.t").alias("qt")))
+    quote = F.when(F.col("qt").startswith('"""'), F.lit('"""')).when(F.col("qt").startswith("'''"), F.lit("'''"))
+    opener = opener.withColumn("quote", quote).where(F.col("quote").isNotNull())
+    opener = opener.withColumn("rest", F.expr("substring(qt, 4)"))
+    opener = opener.withColumn("same", F.col("rest").endswith(F.col("quote")))
+    later = body.join(opener.where(~F.col("same")).select("path", "owner", "q", "quote"), ["path", "owner"]) \
+        .where(F.col("line_no") > F.col("q"))
+    close = later.where(F.col("t").endswith(F.col("quote"))).groupBy("path", "owner").agg(F.min("line_no").alias("close"))
+    parts_mid = (later.join(close, ["path", "owner"], "left")
+                 .where(F.col("close").isNull() | (F.col("line_no") <= F.col("close")))
+                 .select("path", "owner", "line_no",
+                         F.when(F.col("line_no") == F.col("close"),
+                                js_trim(F.expr("substring(t, 1, length(t) - 3)"))).otherwise(F.col("t")).alias("p")))
+    first = opener.select("path", "owner", F.col("q").alias("line_no"),
+                          js_trim(F.when(F.col("same"), F.expr("substring(rest, 1, length(rest) - 3)"))
+                                  .otherwise(F.col("rest"))).alias("p"))
+    parts = first.unionByName(parts_mid).where(F.col("p") != "")
+    return parts.groupBy("path", "owner").agg(
+        F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "p"))), lambda x: x["p"]), " "),
+                    1, DOC_WIDTH).alias("doc")).withColumnRenamed("owner", "line_no")

@@ -102,3 +102,71 @@ FROM s
 def signature_extract(spark, sf):
     s = C.outline_symbols(_lines(spark, sf)).where(F.col("kind") != "import")
     return finish(s.select("path", "line_no", "kind", C.signature(F.col("text")).alias("signature")))
+
+
+def _comment_sql(t: str) -> str:
+    tr = lambda x: trim(x)
+    return (f"CASE WHEN starts_with({t}, '///') THEN {tr(f'regexp_replace({t}, ' + chr(39) + '^///\\s?' + chr(39) + ', ' + chr(39) + chr(39) + ')')} "
+            f"WHEN starts_with({t}, '//') THEN {tr(f'regexp_replace({t}, ' + chr(39) + '^//\\s?' + chr(39) + ', ' + chr(39) + chr(39) + ')')} "
+            f"WHEN starts_with({t}, '#') THEN {tr(f'regexp_replace({t}, ' + chr(39) + '^#\\s?' + chr(39) + ', ' + chr(39) + chr(39) + ')')} "
+            f"WHEN ends_with({t}, '*/') THEN {tr(f'regexp_replace({t}, ' + chr(39) + '\\*/$' + chr(39) + ', ' + chr(39) + chr(39) + ')')} "
+            f"WHEN starts_with({t}, '*') THEN {tr(f'regexp_replace({t}, ' + chr(39) + '^\\*\\s?' + chr(39) + ', ' + chr(39) + chr(39) + ')')} "
+            f"WHEN starts_with({t}, '/*') THEN {tr(f'regexp_replace({t}, ' + chr(39) + '^/\\*+\\s?' + chr(39) + ', ' + chr(39) + chr(39) + ')')} END")
+
+
+LEAD = SYMS + f"""
+, lt AS (SELECT path, line_no, t, {_comment_sql('t')} AS c, t = '' AS blank FROM t),
+lt2 AS (SELECT *, max(CASE WHEN NOT blank THEN line_no END) OVER (PARTITION BY path ORDER BY line_no
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_nonblank,
+              coalesce(max(CASE WHEN c IS NULL THEN line_no END) OVER (PARTITION BY path ORDER BY line_no
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS block FROM lt),
+ss AS (SELECT DISTINCT path, line_no AS s FROM sym WHERE kind <> 'import'),
+above AS (SELECT ss.path, ss.s, a.last_nonblank, cm.block FROM ss
+          JOIN lt2 a ON a.path = ss.path AND a.line_no = ss.s
+          JOIN lt2 cm ON cm.path = ss.path AND cm.line_no = a.last_nonblank AND cm.c IS NOT NULL),
+items AS (SELECT ab.path, ab.s, c2.line_no, c2.c FROM above ab
+          JOIN lt2 c2 ON c2.path = ab.path AND c2.block = ab.block AND c2.c IS NOT NULL AND c2.c <> ''
+                         AND c2.line_no <= ab.last_nonblank),
+it2 AS (SELECT *, row_number() OVER (PARTITION BY path, s ORDER BY line_no DESC) AS k,
+               sum(length(c) + 1) OVER (PARTITION BY path, s ORDER BY line_no DESC
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1 AS len_before FROM items),
+lead_doc AS (SELECT path, s AS line_no, substring(string_agg(c, ' ' ORDER BY line_no), 1, 160) AS doc FROM it2
+             WHERE k = 1 OR len_before <= 160 GROUP BY path, s)
+"""
+
+
+@query("leading_doc", LEAD + "SELECT path, line_no, doc FROM lead_doc")
+def leading_doc(spark, sf):
+    lines = _lines(spark, sf)
+    return finish(C.leading_docs(lines, C.outline_symbols(lines)))
+
+
+@query("following_docstring", LEAD + f"""
+, fs AS (SELECT t.path, t.line_no, t.t, ss.s IS NOT NULL AS is_sym FROM t LEFT JOIN ss ON ss.path = t.path AND ss.s = t.line_no),
+fo AS (SELECT *, max(CASE WHEN is_sym THEN line_no END) OVER (PARTITION BY path ORDER BY line_no
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS owner FROM fs),
+body AS (SELECT * FROM fo WHERE owner IS NOT NULL AND line_no > owner),
+op0 AS (SELECT path, owner, min(line_no) AS q FROM body WHERE t <> '' GROUP BY path, owner),
+op AS (SELECT op0.path, op0.owner, op0.q, b.t AS qt,
+              CASE WHEN starts_with(b.t, '\"\"\"') THEN '\"\"\"' WHEN starts_with(b.t, '''''''') THEN '''''''' END AS quote
+       FROM op0 JOIN body b ON b.path = op0.path AND b.owner = op0.owner AND b.line_no = op0.q),
+op2 AS (SELECT *, substring(qt, 4) AS rest, ends_with(substring(qt, 4), quote) AS same FROM op WHERE quote IS NOT NULL),
+later AS (SELECT b.path, b.owner, b.line_no, b.t, o.q, o.quote FROM body b
+          JOIN op2 o ON o.path = b.path AND o.owner = b.owner AND NOT o.same WHERE b.line_no > o.q),
+cl AS (SELECT path, owner, min(line_no) AS close FROM later WHERE ends_with(t, quote) GROUP BY path, owner),
+mid AS (SELECT l.path, l.owner, l.line_no,
+               CASE WHEN l.line_no = cl.close THEN {trim('substring(l.t, 1, length(l.t) - 3)')} ELSE l.t END AS p
+        FROM later l LEFT JOIN cl ON cl.path = l.path AND cl.owner = l.owner
+        WHERE cl.close IS NULL OR l.line_no <= cl.close),
+fst AS (SELECT path, owner, q AS line_no,
+               {trim("CASE WHEN same THEN substring(rest, 1, length(rest) - 3) ELSE rest END")} AS p FROM op2),
+parts AS (SELECT * FROM fst UNION ALL SELECT * FROM mid)
+SELECT path, owner AS line_no, substring(string_agg(p, ' ' ORDER BY line_no), 1, 160) AS doc FROM parts p
+WHERE p <> '' AND NOT EXISTS (SELECT 1 FROM lead_doc d WHERE d.path = p.path AND d.line_no = p.owner)
+GROUP BY path, owner
+""")
+def following_docstring(spark, sf):
+    lines = _lines(spark, sf)
+    syms = C.outline_symbols(lines)
+    fd = C.following_docstrings(lines, syms)
+    return finish(fd.join(C.leading_docs(lines, syms).select("path", "line_no"), ["path", "line_no"], "left_anti"))
