@@ -250,3 +250,84 @@ def following_docstrings(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     return parts.groupBy("path", "owner").agg(
         F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "p"))), lambda x: x["p"]), " "),
                     1, DOC_WIDTH).alias("doc")).withColumnRenamed("owner", "line_no")
+
+
+TYPE_KINDS = ("class", "interface", "struct", "enum")
+FUNCTION_KINDS = ("function", "method", "constructor")
+NAMESPACE_KINDS = ("namespace", "module")
+MAX_SYMBOL_DEPTH = 8
+VALID_HEADER_RE = r"(?m)^//\s+(TYPES|FUNCTIONS|IMPORTS|DEPENDENCIES)"
+VALID_COMPACT_RE = r"(?m)──\s*semantic|·\s*v1\.[0-9]|^\s*fn\s"
+
+
+def symbol_class(kind: Column) -> Column:
+    k = F.lower(kind)
+    return (F.when(k.isin(*TYPE_KINDS), "type").when(k.isin(*FUNCTION_KINDS), "function")
+            .when(k.isin(*NAMESPACE_KINDS), "namespace"))
+
+
+def outline_from_symbols(symbols: DataFrame, config: Config = DEFAULT,
+                         max_depth: int = MAX_SYMBOL_DEPTH) -> DataFrame:
+    """(path, class, ord, name, line_no, members, nested) for top-level symbols
+    of ``symbols(path, id, parent_id, kind, name, line_no)``: grouped by kind
+    class, private types/functions dropped together with everything below a
+    private node, first ``outline_max_items`` per class, visible direct
+    children and visible descendants counted.  Nesting is walked level by level
+    (one equi-join per level, up to ``max_depth``)."""
+    cap = config.clamped().outline_max_items
+    priv = F.col("name").startswith("_") | F.col("name").startswith("#")
+    s = symbols.select("path", "id", "parent_id", "kind", "name", "line_no")
+    roots = s.where(F.col("parent_id").isNull()).withColumn("class", symbol_class(F.col("kind"))) \
+        .where(F.col("class").isNotNull())
+    level = roots.select("path", "id", F.col("id").alias("root"), "class",
+                         (priv & (F.col("class") != "namespace") & F.lit(not config.outline_include_private)).alias("hidden"),
+                         F.lit(0).alias("depth"))
+    levels = [level]
+    for d in range(1, max_depth + 1):
+        level = (s.join(level.select("path", F.col("id").alias("parent_id"), "root", "class",
+                                     F.col("hidden").alias("ph")), ["path", "parent_id"])
+                 .select("path", "id", "root", "class",
+                         (F.col("ph") | (priv & (F.col("class") != "namespace")
+                                         & F.lit(not config.outline_include_private))).alias("hidden"),
+                         F.lit(d).alias("depth")))
+        levels.append(level)
+    from functools import reduce as _r
+    tree = _r(DataFrame.unionByName, levels)
+    counts = tree.where(~F.col("hidden") & (F.col("depth") > 0)).groupBy("path", "root").agg(
+        F.count_if(F.col("depth") == 1).alias("members"), F.count(F.lit(1)).alias("nested"))
+    vis = tree.where(~F.col("hidden") & (F.col("depth") == 0)).select("path", F.col("id").alias("root"), "class") \
+        .join(s.select("path", F.col("id").alias("root"), "name", "line_no"), ["path", "root"])
+    w = Window.partitionBy("path", "class").orderBy("line_no", "root")
+    out = vis.withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= cap)
+    return (out.join(counts, ["path", "root"], "left")
+            .select("path", "class", "ord", "name", "line_no",
+                    F.coalesce("members", F.lit(0)).alias("members"), F.coalesce("nested", F.lit(0)).alias("nested")))
+
+
+def is_valid_outline(text: Column) -> Column:
+    """A recognised section header or compact marker, and 50+ trimmed characters."""
+    t = js_trim(F.coalesce(text, F.lit("")))
+    return (text.rlike(VALID_HEADER_RE) | text.rlike(VALID_COMPACT_RE)) & (F.length(t) >= 50)
+
+
+def outline_choose(candidates: DataFrame) -> DataFrame:
+    """(path, source, text): the first valid candidate by ``priority``, else the
+    last-resort candidate (highest priority number) of ``candidates(path,
+    priority, source, text)``."""
+    c = candidates.withColumn("valid", is_valid_outline(F.col("text")))
+    best = c.where("valid").groupBy("path").agg(F.min_by(F.struct("source", "text"), "priority").alias("b"))
+    last = c.groupBy("path").agg(F.max_by(F.struct("source", "text"), "priority").alias("l"))
+    return (last.join(best, "path", "left")
+            .select("path", F.coalesce(F.col("b.source"), F.col("l.source")).alias("source"),
+                    F.coalesce(F.col("b.text"), F.col("l.text")).alias("text")))
+
+
+def content_key(path: Column, content: Column, options: Column) -> Column:
+    return F.sha2(F.concat_ws("\u0001", path, content, options), 256)
+
+
+def outline_incremental(files: DataFrame, store: DataFrame, options: str) -> DataFrame:
+    """Files whose (path, content, options) key is not yet in ``store(key)``:
+    only these need outline work; the caller appends their results."""
+    k = files.withColumn("key", content_key(F.col("path"), F.col("content"), F.lit(options)))
+    return k.join(store.select("key").distinct(), "key", "left_anti")

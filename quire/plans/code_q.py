@@ -170,3 +170,76 @@ def following_docstring(spark, sf):
     syms = C.outline_symbols(lines)
     fd = C.following_docstrings(lines, syms)
     return finish(fd.join(C.leading_docs(lines, syms).select("path", "line_no"), ["path", "line_no"], "left_anti"))
+
+
+@query("outline_from_symbols", "WITH RECURSIVE " + duck_with("v_symbols")[5:] + f"""
+, s AS (SELECT * FROM v_symbols),
+r0 AS (SELECT *, CASE WHEN lower(kind) IN ('class', 'interface', 'struct', 'enum') THEN 'type'
+                      WHEN lower(kind) IN ('function', 'method', 'constructor') THEN 'function'
+                      WHEN lower(kind) IN ('namespace', 'module') THEN 'namespace' END AS class
+       FROM s WHERE parent_id IS NULL),
+tree AS (
+  SELECT path, id, id AS root, class, (starts_with(name, '_') OR starts_with(name, '#')) AND class <> 'namespace' AS hidden,
+         0 AS depth FROM r0 WHERE class IS NOT NULL
+  UNION ALL
+  SELECT s.path, s.id, t.root, t.class,
+         t.hidden OR ((starts_with(s.name, '_') OR starts_with(s.name, '#')) AND t.class <> 'namespace'), t.depth + 1
+  FROM s JOIN tree t ON s.path = t.path AND s.parent_id = t.id WHERE t.depth < {C.MAX_SYMBOL_DEPTH}),
+cnt AS (SELECT path, root, count_if(depth = 1) AS members, count(*) AS nested FROM tree WHERE NOT hidden AND depth > 0
+        GROUP BY path, root),
+vis AS (SELECT t.path, t.root, t.class, s.name, s.line_no,
+               row_number() OVER (PARTITION BY t.path, t.class ORDER BY s.line_no, t.root) AS ord
+        FROM tree t JOIN s ON s.path = t.path AND s.id = t.root WHERE NOT t.hidden AND t.depth = 0)
+SELECT v.path, v.class, v.ord, v.name, v.line_no, coalesce(c.members, 0) AS members, coalesce(c.nested, 0) AS nested
+FROM vis v LEFT JOIN cnt c ON c.path = v.path AND c.root = v.root WHERE v.ord <= 50
+""")
+def outline_from_symbols(spark, sf):
+    return finish(C.outline_from_symbols(derived(spark, sf, "v_symbols")))
+
+
+CANDS = SYMS + """
+, c1 AS (SELECT path, 1 AS priority, 'semantic' AS source,
+                '// FUNCTIONS' || chr(10) || string_agg(text, chr(10) ORDER BY line_no) AS text
+         FROM sym WHERE kind = 'function' AND contains(text, 'async') GROUP BY path),
+c2 AS (SELECT path, 2 AS priority, 'regex' AS source,
+              '// TYPES' || chr(10) || string_agg(text, chr(10) ORDER BY line_no) AS text
+       FROM sym WHERE kind = 'type' GROUP BY path),
+c3 AS (SELECT DISTINCT path, 3 AS priority, 'summary' AS source, 'summary of ' || path AS text FROM t),
+cands AS (SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3),
+cv AS (SELECT *, (regexp_matches(text, '(?m)^//\\s+(TYPES|FUNCTIONS|IMPORTS|DEPENDENCIES)')
+                  OR regexp_matches(text, '(?m)──\\s*semantic|·\\s*v1\\.[0-9]|^\\s*fn\\s'))
+                 AND length(""" + trim("text") + """) >= 50 AS valid FROM cands)
+"""
+
+
+def _candidates(spark, sf):
+    sym = C.outline_symbols(_lines(spark, sf))
+    def agg(df, header):
+        return df.groupBy("path").agg(F.concat(F.lit(header + "\n"), F.array_join(F.transform(
+            F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n")).alias("text"))
+    c1 = agg(sym.where((F.col("kind") == "function") & F.col("text").contains("async")), "// FUNCTIONS") \
+        .select("path", F.lit(1).alias("priority"), F.lit("semantic").alias("source"), "text")
+    c2 = agg(sym.where(F.col("kind") == "type"), "// TYPES") \
+        .select("path", F.lit(2).alias("priority"), F.lit("regex").alias("source"), "text")
+    c3 = _lines(spark, sf).select("path").distinct().select(
+        "path", F.lit(3).alias("priority"), F.lit("summary").alias("source"),
+        F.concat(F.lit("summary of "), F.col("path")).alias("text"))
+    return c1.unionByName(c2).unionByName(c3)
+
+
+@query("outline_choose", CANDS + """
+, best AS (SELECT path, arg_min(source, priority) AS bs, arg_min(text, priority) AS bt FROM cv WHERE valid GROUP BY path),
+lst AS (SELECT path, arg_max(source, priority) AS ls, arg_max(text, priority) AS lt FROM cv GROUP BY path)
+SELECT lst.path, coalesce(bs, ls) AS source, coalesce(bt, lt) AS text FROM lst LEFT JOIN best ON lst.path = best.path
+""")
+def outline_choose(spark, sf):
+    return finish(C.outline_choose(_candidates(spark, sf)))
+
+
+@query("outline_incremental", duck_with("v_files", "v_outline_store") + """
+SELECT path, sha256(concat_ws(chr(1), path, content, 'standard')) AS key FROM v_files
+WHERE sha256(concat_ws(chr(1), path, content, 'standard')) NOT IN (SELECT key FROM v_outline_store)
+""")
+def outline_incremental(spark, sf):
+    todo = C.outline_incremental(derived(spark, sf, "v_files"), derived(spark, sf, "v_outline_store"), "standard")
+    return finish(todo.select("path", "key"))

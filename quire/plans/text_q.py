@@ -61,3 +61,21 @@ FROM v_files
 def format_size_q(spark, sf):
     f = derived(spark, sf, "v_files")
     return finish(f.select("path", "size", format_size("size").alias("size_text")))
+
+
+def _tok_sql():
+    from quire.plans.render_q import tokens_fmt_sql
+    return tokens_fmt_sql("tokens")
+
+
+@query("format_tokens", duck_with("v_files") + """
+, t AS (SELECT path, CASE WHEN coalesce(length(content), 0) = 0 THEN CAST(0 AS BIGINT)
+                  ELSE CAST(ceil((length(content) + length(regexp_replace(content, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')))
+                                 / CAST(3.75 AS DOUBLE)) AS BIGINT) END * 37 AS tokens FROM v_files)
+SELECT path, tokens, TOKFMT AS tokens_text FROM t
+""".replace("TOKFMT", _tok_sql()))
+def format_tokens_q(spark, sf):
+    from quire.functions.text import format_tokens
+    f = derived(spark, sf, "v_files")
+    t = f.select("path", (TP.token_estimate(F.col("content")) * 37).alias("tokens"))
+    return finish(t.select("path", "tokens", format_tokens(F.col("tokens")).alias("tokens_text")))

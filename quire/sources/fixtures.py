@@ -101,15 +101,27 @@ FROM {documents}
 
 
 _DIALECT = {
-    "spark": {"OCTETS": "octet_length({0})"},
-    "duckdb": {"OCTETS": "strlen({0})"},
+    "spark": {"OCTETS": "octet_length({0})", "SHA256": "sha2({0}, 256)"},
+    "duckdb": {"OCTETS": "strlen({0})", "SHA256": "sha256({0})"},
 }
 
 
 def _macros(sql: str, dialect: str) -> str:
-    def rep(m):
-        return _DIALECT[dialect][m.group(1)].format(m.group(2))
-    return re.sub(r"\b(OCTETS)\(([^()]*)\)", rep, sql)
+    """Expands ``NAME(args)`` macros (balanced parentheses) for the dialect."""
+    out, i = [], 0
+    pat = re.compile(r"\b(OCTETS|SHA256)\(")
+    while True:
+        m = pat.search(sql, i)
+        if not m:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, j = 1, m.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[j], 0)
+            j += 1
+        out.append(sql[i:m.start()])
+        out.append(_DIALECT[dialect][m.group(1)].format(_macros(sql[m.end():j - 1], dialect)))
+        i = j
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -375,3 +387,26 @@ UNION ALL SELECT conv_id, CAST(turn + 1 AS INT), 13, 'element', concat('  ', spl
   WHERE role = 'user' AND split_part(text, chr(10), 3) <> ''
 UNION ALL SELECT conv_id, CAST(turn + 1 AS INT), 14, 'element', '' FROM {conversations} WHERE role = 'system'
 """)
+
+_d("v_symbols", ("part",), """
+SELECT concat('sym/f', CAST(p_partkey % 50 AS STRING), '.ts') AS path, p_partkey * 10 + 1 AS id, CAST(NULL AS BIGINT) AS parent_id,
+       'class' AS kind, concat('Item', CAST(p_partkey AS STRING)) AS name, CAST(p_partkey * 20 + 1 AS INT) AS line_no FROM {part}
+UNION ALL SELECT concat('sym/f', CAST(p_partkey % 50 AS STRING), '.ts'), p_partkey * 10 + 2, p_partkey * 10 + 1, 'method',
+       concat('run', CAST(p_partkey AS STRING)), CAST(p_partkey * 20 + 2 AS INT) FROM {part}
+UNION ALL SELECT concat('sym/f', CAST(p_partkey % 50 AS STRING), '.ts'), p_partkey * 10 + 3, p_partkey * 10 + 1, 'method',
+       concat('_hidden', CAST(p_partkey AS STRING)), CAST(p_partkey * 20 + 3 AS INT) FROM {part}
+UNION ALL SELECT concat('sym/f', CAST(p_partkey % 50 AS STRING), '.ts'), p_partkey * 10 + 4, p_partkey * 10 + 3, 'function',
+       concat('inner', CAST(p_partkey AS STRING)), CAST(p_partkey * 20 + 4 AS INT) FROM {part}
+UNION ALL SELECT concat('sym/f', CAST(p_partkey % 50 AS STRING), '.ts'), p_partkey * 10 + 5, CAST(NULL AS BIGINT), 'function',
+       CASE WHEN p_partkey % 5 = 0 THEN concat('#priv', CAST(p_partkey AS STRING)) ELSE concat('helper', CAST(p_partkey AS STRING)) END,
+       CAST(p_partkey * 20 + 5 AS INT) FROM {part}
+UNION ALL SELECT concat('sym/f', CAST(p_partkey % 50 AS STRING), '.ts'), p_partkey * 10 + 6, p_partkey * 10 + 2, 'method',
+       concat('deep', CAST(p_partkey AS STRING)), CAST(p_partkey * 20 + 6 AS INT) FROM {part} WHERE p_partkey % 3 = 0
+UNION ALL SELECT concat('sym/f', CAST(p_partkey % 50 AS STRING), '.ts'), p_partkey * 10 + 7, CAST(NULL AS BIGINT), 'namespace',
+       concat('_ns', CAST(p_partkey AS STRING)), CAST(p_partkey * 20 + 7 AS INT) FROM {part} WHERE p_partkey % 7 = 0
+""")
+
+_d("v_outline_store", ("v_files",), """
+SELECT SHA256(concat_ws(chr(1), path, content, 'standard')) AS key FROM {v_files} WHERE doc_id % 2 = 0
+UNION ALL SELECT SHA256(concat_ws(chr(1), path, content, 'detailed')) FROM {v_files} WHERE doc_id % 3 = 0
+""")
