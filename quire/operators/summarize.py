@@ -35,7 +35,7 @@ CJK_RE = r"[\x{4e00}-\x{9fa5}]"
 
 SENTENCE_RE = f"[^{DELIMS}\n]+[{DELIMS}]?\n?"
 TAIL_RUN_RE = f"[{DELIMS}\n]*\\z"
-MAX_GROUP_EDGES = 2_000_000
+MAX_GROUP_EDGES = 16_000_000   # n(n-1) bound: the n*n count array stays under 128 MB
 
 
 def clean_text(c: Column) -> Column:
@@ -147,6 +147,81 @@ def _power_iteration(n: int, i: np.ndarray, j: np.ndarray, sim: np.ndarray,
     return s, it
 
 
+PAIR_CHUNK = 4_000_000
+
+
+def _pairs_from_postings(n: int, idx: np.ndarray, tok: np.ndarray, sizes: np.ndarray):
+    """(i, j, sim) for node pairs that share a token, vectorised in numpy.
+
+    ``idx``/``tok`` are (node, token-code) rows, distinct per node.  Rows are
+    sorted by token; each row pairs with the rows after it in its token group.
+    Pairs are generated in row chunks of bounded size and counted into one
+    n*n ``bincount`` (n*n is bounded by the caller's group limit)."""
+    order = np.lexsort((idx, tok))
+    idx, tok = idx[order], tok[order]
+    r = len(tok)
+    counts = np.zeros(n * n, dtype=np.int64)
+    if r:
+        starts = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
+        gsize = np.diff(np.r_[starts, r])
+        follow = np.repeat(gsize, gsize) - (np.arange(r) - np.repeat(starts, gsize)) - 1
+        cum = np.cumsum(follow)
+        lo_row = 0
+        while lo_row < r:
+            base = cum[lo_row - 1] if lo_row else 0
+            hi_row = int(np.searchsorted(cum, base + PAIR_CHUNK, side="right"))
+            hi_row = max(hi_row, lo_row + 1)
+            f = follow[lo_row:hi_row]
+            total = int(f.sum())
+            if total:
+                rows = np.repeat(np.arange(lo_row, hi_row), f)
+                k = np.arange(total) - np.repeat(np.cumsum(f) - f, f)
+                a, b = idx[rows], idx[rows + k + 1]
+                counts += np.bincount(np.minimum(a, b) * n + np.maximum(a, b), minlength=n * n)
+            lo_row = hi_row
+    codes = np.flatnonzero(counts)
+    i, j = codes // n, codes % n
+    inter = counts[codes].astype(np.float64)
+    return i, j, inter / (sizes[i] + sizes[j] - inter)
+
+
+def textrank_tokens(nodes: DataFrame, tokens: DataFrame, idx: str = "pos",
+                    damping: float = DAMPING, iterations: int = ITERATIONS, tol: float = TOLERANCE,
+                    max_group_edges: int = MAX_GROUP_EDGES) -> DataFrame:
+    """TextRank straight from ``tokens(doc_id, idx, token)`` (distinct per node).
+
+    For documents with n(n-1) <= ``max_group_edges`` the token rows of one
+    document form one pandas group (bounded by the document itself); pairs,
+    Jaccard weights and the power iteration all run in numpy, so the shuffle
+    carries token rows, not pairs.  Larger documents fall back to the
+    distributed pair join and DataFrame iteration."""
+    n_nodes = nodes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    bounded = F.col("n") * (F.col("n") - 1) <= max_group_edges
+    small_docs = n_nodes.where(bounded)
+    rows = (tokens.join(small_docs.select("doc_id"), "doc_id", "left_semi")
+            .select("doc_id", F.col("idx").cast("int").alias("i"), "token", F.lit(None).cast("long").alias("n"))
+            .unionByName(small_docs.select("doc_id", F.lit(-1).alias("i"), F.lit(None).cast("string").alias("token"), "n")))
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        head = pdf["i"].to_numpy() < 0
+        n = int(pdf.loc[head, "n"].iloc[0])
+        t = pdf.loc[~head]
+        node = t["i"].to_numpy(np.int64)
+        codes, _ = pd.factorize(t["token"], sort=False)
+        sizes = np.bincount(node, minlength=n).astype(np.float64)
+        i, j, sim = _pairs_from_postings(n, node, codes.astype(np.int64), sizes)
+        sc, it = _power_iteration(n, i, j, sim, damping, iterations, tol)
+        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "idx": np.arange(n, dtype=np.int64),
+                             "score": sc, "iterations": it})
+
+    small = rows.groupBy("doc_id").applyInPandas(kernel, "doc_id long, idx long, score double, iterations int")
+    big_docs = n_nodes.where(~bounded)
+    big_nodes = nodes.join(big_docs.select("doc_id"), "doc_id", "left_semi")
+    big = _textrank_loop(nodes.select("doc_id", F.col(idx).alias("idx")),
+                         similarity_pairs(big_nodes, idx), big_docs, damping, iterations, tol)
+    return small.unionByName(big).withColumnRenamed("idx", idx)
+
+
 def textrank(nodes: DataFrame, pairs: DataFrame, idx: str = "pos",
              damping: float = DAMPING, iterations: int = ITERATIONS, tol: float = TOLERANCE,
              max_group_edges: int = MAX_GROUP_EDGES) -> DataFrame:
@@ -219,7 +294,8 @@ def _textrank_loop(nodes: DataFrame, pairs: DataFrame, docs: DataFrame,
                        ((1 - damping) + damping * F.coalesce(F.col("acc"), F.lit(0.0))).alias("new")))
         change = new.groupBy("doc_id").agg(F.max(F.abs(F.col("new") - F.col("s"))).alias("change"))
         stop = (F.col("change") < tol) | F.lit(it == iterations)
-        new = cut_lineage(new.join(change, "doc_id").withColumn("stop", stop))
+        new = new.join(change, "doc_id").withColumn("stop", stop)
+        new = cut_lineage(new) if it % checkpoint_every == 0 else new.persist()
         done = done.unionByName(new.where("stop").select(
             "doc_id", "idx", F.col("new").alias("score"), F.lit(it).alias("iterations")))
         active = new.where(~F.col("stop")).select("doc_id", "idx", F.col("new").alias("s"))
@@ -243,7 +319,8 @@ def summary_select(docs: DataFrame, max_length: int = 600, min_sentences: int =
         .select("doc_id", F.col("clean").alias("summary"))
     long_docs = sent.where(~((F.length("clean") <= max_length) | (F.size("ss") <= min_sentences)))
     nodes = explode_rows(long_docs, F.col("ss"), ["doc_id"], "pos", "text")
-    scores = textrank(nodes, similarity_pairs(nodes), max_group_edges=max_group_edges)
+    scores = textrank_tokens(nodes, sentence_tokens(nodes).select("doc_id", "idx", "token"),
+                             max_group_edges=max_group_edges)
     ranked = nodes.join(scores, ["doc_id", "pos"]).select(
         "doc_id", "pos", F.length("text").alias("len"), F.round("score", 9).alias("score"))
     # ordered fold over a compact (score, pos, len) array per document
@@ -282,7 +359,8 @@ def key_sentences(docs: DataFrame, k: int = 5, min_length: int = 20,
     ss = ss.select("doc_id", valid.alias("valid")).select("doc_id", "valid", F.size("valid").alias("n_valid"))
     nodes = explode_rows(ss, F.col("valid"), ["doc_id", "n_valid"], "vidx", "v") \
         .select("doc_id", "n_valid", "vidx", F.col("v.pos").alias("pos"), F.col("v.text").alias("text"))
-    scores = textrank(nodes, similarity_pairs(nodes, "vidx"), idx="vidx", max_group_edges=max_group_edges)
+    scores = textrank_tokens(nodes, sentence_tokens(nodes, "vidx").select("doc_id", "idx", "token"), idx="vidx",
+                             max_group_edges=max_group_edges)
     few = F.col("n_valid") <= k
     top = (nodes.join(scores, ["doc_id", "vidx"])
            .withColumn("r", F.row_number().over(

@@ -104,7 +104,7 @@ def sentence_similarity(spark, sf):
        + "SELECT doc_id, idx AS pos, round(s, 6) AS score, iter AS iterations FROM g_rank")
 def textrank(spark, sf):
     nodes = S.sentences(_docs(spark, sf))
-    r = S.textrank(nodes, S.similarity_pairs(nodes))
+    r = S.textrank_tokens(nodes, S.sentence_tokens(nodes).select("doc_id", "idx", "token"))
     return finish(r.select("doc_id", "pos", F.round("score", 6).alias("score"), "iterations"))
 
 
