@@ -8,6 +8,10 @@ a wrong signature yields nulls, never an error.
 
 from __future__ import annotations
 
+import os
+
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,3 +87,41 @@ def media_inventory(headers: DataFrame) -> DataFrame:
     return headers.rollup("format").agg(
         F.count(F.lit(1)).alias("files"), F.min("width").alias("min_w"), F.max("width").alias("max_w"),
         F.min("height").alias("min_h"), F.max("height").alias("max_h"))
+
+
+def _scan_one(ext: str, head: bytes, tail: bytes) -> tuple:
+    """(width, height, bit_depth, entries, tables, family) by scanning bytes."""
+    w = h = d = entries = tables = None
+    family = None
+    if ext in (".jpg", ".jpeg"):
+        for i in range(0, max(0, len(head) - 10)):
+            if head[i] == 0xFF and head[i + 1] in (0xC0, 0xC2):
+                h = int.from_bytes(head[i + 5:i + 7], "big")
+                w = int.from_bytes(head[i + 7:i + 9], "big")
+                d = head[i + 4]
+                break
+    elif ext == ".zip":
+        # end-of-central-directory signature 50 4B 05 06 (the original list reversed it)
+        k = tail.rfind(b"PK\x05\x06")
+        if k >= 0 and k + 10 <= len(tail):
+            entries = int.from_bytes(tail[k + 8:k + 10], "little")
+    elif ext in (".ttf", ".otf") and len(head) >= 12:
+        tables = int.from_bytes(head[4:6], "big")
+    return w, h, d, entries, tables, family
+
+
+def media_scan_headers(head_tail: DataFrame) -> DataFrame:
+    """(path, width, height, bit_depth, entries, tables) for formats whose fields
+    need a scan (JPEG start-of-frame in the first 64 KiB, ZIP directory count in
+    the last 64 KiB, font table count).  Runs as Arrow-batched ``mapInPandas``
+    over the projected head/tail bytes only."""
+    def run(it):
+        for pdf in it:
+            out = [_scan_one(os.path.splitext(p)[1].lower(), bytes(hd or b""), bytes(tl or b""))
+                   for p, hd, tl in zip(pdf["path"], pdf["head"], pdf["tail"])]
+            cols = list(zip(*out)) if out else [[]] * 6
+            yield pd.DataFrame({"path": pdf["path"], "width": pd.array(cols[0], dtype="Int64"),
+                                "height": pd.array(cols[1], dtype="Int64"), "bit_depth": pd.array(cols[2], dtype="Int64"),
+                                "entries": pd.array(cols[3], dtype="Int64"), "tables": pd.array(cols[4], dtype="Int64")})
+    return head_tail.select("path", "head", "tail").mapInPandas(
+        run, "path string, width long, height long, bit_depth long, entries long, tables long")

@@ -383,3 +383,32 @@ def key_point_pages(keys: DataFrame, pages: DataFrame) -> DataFrame:
             .select("doc_id", "rank",
                     F.least(F.floor(F.col("position") / F.col("n_keys") * F.col("n_pages")) + 1,
                             F.col("n_pages")).cast("int").alias("page")))
+
+
+def section_summaries(docs: DataFrame, delimiter: str = r"\n(?=#{1,6} )", max_length: int = 300,
+                      max_group_edges: int = MAX_GROUP_EDGES) -> DataFrame:
+    """(doc_id, section_no, title, summary, key_points): cleaned text split by
+    ``delimiter``; first line is the title (``Untitled Section`` when blank);
+    sections whose body is under 50 characters are skipped; body summarised
+    with at least two sentences, plus three key points of 10+ characters.
+    Sections get a unique row id (no shuffle) and reuse the document operators."""
+    secs = docs.select("doc_id", F.split(clean_text(F.col("text")), delimiter, -1).alias("ss"))
+    secs = explode_rows(secs, F.col("ss"), ["doc_id"], "section_no", "sec")
+    secs = secs.where(js_trim("sec") != "")
+    lines = F.split("sec", "\n", -1)
+    secs = secs.select("doc_id", "section_no",
+                       F.when(js_trim(F.element_at(lines, 1)) == "", F.lit("Untitled Section"))
+                       .otherwise(js_trim(F.element_at(lines, 1))).alias("title"),
+                       F.array_join(F.slice(lines, 2, 1 << 30), "\n").alias("body"))
+    secs = secs.where(F.length("body") >= 50).withColumn("sid", F.monotonically_increasing_id())
+    from quire.session import cut_lineage
+    secs = cut_lineage(secs)   # the id must be stable across the reuses below
+    body = secs.select(F.col("sid").alias("doc_id"), F.col("body").alias("text"))
+    summ = summary_select(body, max_length=max_length, min_sentences=2, max_group_edges=max_group_edges)
+    keys = key_sentences(body, k=3, min_length=10, max_group_edges=max_group_edges)
+    kp = keys.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("k")) \
+        .select("doc_id", F.transform("k", lambda x: x["text"]).alias("key_points"))
+    return (secs.join(summ.withColumnRenamed("doc_id", "sid"), "sid")
+            .join(kp.withColumnRenamed("doc_id", "sid"), "sid", "left")
+            .select("doc_id", "section_no", "title", "summary",
+                    F.coalesce("key_points", F.array().cast("array<string>")).alias("key_points")))

@@ -9,7 +9,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 MODULES = ("text_q", "logs_q", "docs_q", "summary_q", "tabular_q", "config_q", "corpus_q",
-           "code_q", "flow_q", "media_q", "render_q")
+           "code_q", "flow_q", "media_q", "render_q", "files_q")
 
 
 def query(key: str, oracle: str | None = None):

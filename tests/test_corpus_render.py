@@ -101,3 +101,21 @@ def test_selected_scope_dedup(spark):
     sel = spark.createDataFrame([("p", "en"), ("p", "en/a.md")], "project string, sel string")
     got = sorted(r.rel_path for r in K.selected_scope(f, sel).collect())
     assert got == ["en/a.md", "en/b.md"]
+
+
+def test_media_scan_headers(spark):
+    ttf = bytearray.fromhex("00010000" + "0005" + "0080" + "0002" + "0010") + bytearray(20)
+    jpg = bytearray.fromhex("FFD8FFE0" + "0010" + "4A464946" + "00" * 10 + "FFC0" + "0011" + "08" + "00F0" + "0140" + "03") + bytearray(16)
+    z = bytearray(b"junk") + bytearray.fromhex("504B0506" + "0000" + "0000" + "0700" + "0700") + bytearray(12)
+    df = spark.createDataFrame([("a.ttf", ttf, ttf), ("b.jpg", jpg, jpg), ("c.zip", z, z)], "path string, head binary, tail binary")
+    got = {r.path: r for r in M.media_scan_headers(df).collect()}
+    assert got["a.ttf"].tables == 5
+    assert (got["b.jpg"].width, got["b.jpg"].height, got["b.jpg"].bit_depth) == (320, 240, 8)
+    assert got["c.zip"].entries == 7
+
+
+def test_bpe_fallback_matches_estimate(spark):
+    from quire.functions.tokens import token_count_bpe
+    df = spark.createDataFrame([("Hello, world!",), ("",)], "x string")
+    got = [r[0] for r in df.select(token_count_bpe(F.col("x"))).collect()]
+    assert got[1] == 0 and got[0] in (4, 4)
