@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -314,11 +315,13 @@ def summary_select(docs: DataFrame, max_length: int = 600, min_sentences: int =
     a misfit is skipped, the walk stops once full), restored to text order and
     joined by newlines."""
     cleaned = docs.select("doc_id", clean_text(F.col("text")).alias("clean"))
-    sent = cleaned.select("doc_id", "clean", split_sentences(F.col("clean")).alias("ss"))
+    sent = cleaned.select("doc_id", "clean", split_sentences(F.col("clean")).alias("ss")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)   # read by the short and the long branch
     short = sent.where((F.length("clean") <= max_length) | (F.size("ss") <= min_sentences)) \
         .select("doc_id", F.col("clean").alias("summary"))
     long_docs = sent.where(~((F.length("clean") <= max_length) | (F.size("ss") <= min_sentences)))
-    nodes = explode_rows(long_docs, F.col("ss"), ["doc_id"], "pos", "text")
+    # the sentence table feeds several branches below: compute it once
+    nodes = explode_rows(long_docs, F.col("ss"), ["doc_id"], "pos", "text").persist(StorageLevel.MEMORY_AND_DISK)
     scores = textrank_tokens(nodes, sentence_tokens(nodes).select("doc_id", "idx", "token"),
                              max_group_edges=max_group_edges)
     ranked = nodes.join(scores, ["doc_id", "pos"]).select(
@@ -358,7 +361,8 @@ def key_sentences(docs: DataFrame, k: int = 5, min_length: int = 20,
                      lambda x: F.length(x["text"]) >= min_length)
     ss = ss.select("doc_id", valid.alias("valid")).select("doc_id", "valid", F.size("valid").alias("n_valid"))
     nodes = explode_rows(ss, F.col("valid"), ["doc_id", "n_valid"], "vidx", "v") \
-        .select("doc_id", "n_valid", "vidx", F.col("v.pos").alias("pos"), F.col("v.text").alias("text"))
+        .select("doc_id", "n_valid", "vidx", F.col("v.pos").alias("pos"), F.col("v.text").alias("text")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)   # reused by several branches
     scores = textrank_tokens(nodes, sentence_tokens(nodes, "vidx").select("doc_id", "idx", "token"), idx="vidx",
                              max_group_edges=max_group_edges)
     few = F.col("n_valid") <= k

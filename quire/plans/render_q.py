@@ -1,5 +1,6 @@
 """§ tree, file blocks, assembly, token budget and templates over ``v_files``."""
 
+from pyspark import StorageLevel
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -108,8 +109,8 @@ doc AS (SELECT t.project, 1 AS a, t.ord AS b, CASE WHEN t.ord = 1 THEN '# Projec
 """
 
 
-def _doc(spark, sf):
-    tree = _tree(spark, sf).select("project", "ord", "line")
+def _doc(spark, sf, tree=None):
+    tree = (tree if tree is not None else _tree(spark, sf)).select("project", "ord", "line")
     return R.assemble(tree, _blocks(spark, sf).select("project", "rank", "block"))
 
 
@@ -158,8 +159,9 @@ STAMP = "2024-01-01T00:00:00.000Z"
 
 
 def _render_inputs(spark, sf):
-    files = C.classify(ranked_files(spark, sf), CFG)
-    doc = _doc(spark, sf)
+    files = C.classify(ranked_files(spark, sf), CFG).persist(StorageLevel.MEMORY_AND_DISK)
+    tree = _tree(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)      # reused by several streams
+    doc = _doc(spark, sf, tree).persist(StorageLevel.MEMORY_AND_DISK)
     budget = R.token_budget(doc, derived(spark, sf, "v_files"))
     outl = files.groupBy("project").agg(F.count_if(F.col("route") == "outline").alias("n_outline"))
     choice = F.element_at(F.array(F.lit("default"), F.lit("brief"), F.lit("missing"), F.lit("treeonly")),
@@ -172,7 +174,6 @@ def _render_inputs(spark, sf):
         F.lit("/workspace").alias("WORKSPACE_PATH"))
     catalog = R.template_catalog(derived(spark, sf, "v_templates"))
     stats = R.choose_template(stats, catalog)
-    tree = _tree(spark, sf)
     n_lines = tree.groupBy("project").agg(F.max("ord").alias("n"))
     tree_rows = tree.join(n_lines, "project").select(
         "project", F.struct(F.col("ord").cast("long").alias("a"), F.lit(0).cast("long").alias("b")).alias("seq"),
