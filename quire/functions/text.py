@@ -22,7 +22,7 @@ WORD = "[A-Za-z0-9_]"
 
 __all__ = [
     "WS", "WORD", "js_trim", "collapse_ws", "is_blank", "utf16_len", "explode_lines",
-    "format_size", "format_tokens", "format_fixed1", "truncate", "lit_array", "explode_rows",
+    "format_size", "format_tokens", "format_fixed1", "truncate", "lit_array", "explode_rows", "format_percent",
 ]
 
 
@@ -105,3 +105,11 @@ def explode_rows(df: DataFrame, arr: Column, keep, pos: str = "pos", val: str =
     return (df.select(*keep, F.posexplode_outer(arr).alias(pos, val))
             .where(F.col(pos).isNotNull())
             .withColumn(pos, F.col(pos).cast("int")))
+
+
+def format_percent(n, total) -> Column:
+    """``((n / total) * 100).toFixed(1)``: the same two double operations as the
+    reference, then the exact ``toFixed`` of the result."""
+    a = F.col(n) if isinstance(n, str) else n
+    b = F.col(total) if isinstance(total, str) else total
+    return format_fixed1((a.cast("double") / b.cast("double")) * F.lit(100.0))

@@ -398,6 +398,7 @@ def key_sentences(docs: DataFrame, k: int = 5, min_length: int = 20,
 
 def key_point_pages(keys: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, rank, page): ``min(floor(position / n_keys * n_pages) + 1, n_pages)``."""
+    keys = keys.persist(StorageLevel.MEMORY_AND_DISK)   # counted and joined
     n_keys = keys.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_keys"))
     return (keys.join(n_keys, "doc_id").join(pages.select("doc_id", "n_pages"), "doc_id")
             .select("doc_id", "rank",

@@ -59,3 +59,10 @@ SELECT path, level, rank, line_no, {TT} AS text FROM r WHERE rank <= 5
 """)
 def log_level_samples(spark, sf):
     return logs.level_samples(_lines(spark, sf)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("format_percent")
+def format_percent_q(spark, sf):
+    from quire.functions.text import format_percent
+    d = logs.level_distribution(_lines(spark, sf))
+    return d.select("path", "level", "n", "total_lines", format_percent("n", "total_lines").alias("pct_text"))

@@ -119,3 +119,10 @@ def test_bpe_fallback_matches_estimate(spark):
     df = spark.createDataFrame([("Hello, world!",), ("",)], "x string")
     got = [r[0] for r in df.select(token_count_bpe(F.col("x"))).collect()]
     assert got[1] == 0 and got[0] in (4, 4)
+
+
+def test_format_percent(spark):
+    from quire.functions.text import format_percent
+    df = spark.createDataFrame([(1, 400), (29, 2000), (1, 3)], "n long, t long")
+    # 0.25 is exact (tie goes up); 29/2000*100 is 1.4500000000000002 in doubles, so up
+    assert [r[0] for r in df.select(format_percent("n", "t")).collect()] == ["0.3", "1.5", "33.3"]
