@@ -158,3 +158,76 @@ def render_template_rows(segments: DataFrame, stats: DataFrame, streams: dict) -
             apply_small_vars(F.col("text"), vals, after=v).alias("text"))
         outs.append(ins)
     return reduce(DataFrame.unionByName, outs)
+
+
+from quire.config import SECTION_SEPARATOR as SEP  # noqa: E402
+
+
+def _sep_block(title: str) -> str:
+    return f"{SEP}\n// {title}\n{SEP}\n"
+
+
+def render_log_summary(lines: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(path, text): the log summary block per file from the structured log
+    outputs (distribution, first error lines, samples per level).  Each list is
+    capped upstream, so the per-file aggregation is bounded."""
+    from quire.functions.text import format_fixed1
+    from quire.operators import logs as L
+    cfg = config.clamped()
+    n = cfg.log_sample_lines
+    tot = lines.groupBy("path").agg(F.count(F.lit(1)).alias("total"))
+    dist = L.level_distribution(lines).withColumn("pct_text", format_fixed1((F.col("n") / F.col("total_lines")) * 100.0))
+    dist_line = F.concat(F.lit("// "), F.rpad("level", 8, " "), F.lit(": "), F.lpad(F.col("n").cast("string"), 6, " "),
+                         F.lit(" ("), F.col("pct_text"), F.lit("%)"))
+    d = dist.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", dist_line.alias("l")))),
+                                                          lambda s: s["l"]), "\n").alias("dist"))
+    errs = L.error_lines(lines).groupBy("path").agg(
+        F.count(F.lit(1)).alias("n_err"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))),
+                                 lambda s: F.concat(F.lit("// "), s["text"])), "\n").alias("errs"))
+    order = F.array_position(F.array(*[F.lit(x) for x in L.LOG_LEVELS]), F.col("level"))
+    samp = L.level_samples(lines, cfg).withColumn("lo", order).groupBy("path", "level", "lo").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))),
+                                 lambda s: F.concat(F.lit("// "), s["text"])), "\n").alias("s"))
+    samp = samp.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lo", "level", "s"))),
+                                                             lambda x: F.concat(F.lit("\n// ["), x["level"], F.lit("]\n"), x["s"], F.lit("\n"))), "")
+                                    .alias("samples"))
+    j = tot.join(d, "path", "left").join(errs, "path", "left").join(samp, "path", "left")
+    text = F.concat(
+        F.lit("// File: "), F.col("path"), F.lit(f" ({WARNING_EMOJI} Log summary)\n// Total lines: "),
+        F.col("total").cast("string"), F.lit("\n\n"), F.lit(_sep_block("LOG LEVEL DISTRIBUTION")),
+        F.coalesce(F.concat(F.col("dist"), F.lit("\n")), F.lit("// (no standard log levels detected)\n")), F.lit("\n"),
+        F.coalesce(F.concat(F.lit(f"{SEP}\n// RECENT ERROR PATTERNS (first "), F.col("n_err").cast("string"),
+                            F.lit(f")\n{SEP}\n"), F.col("errs"), F.lit("\n\n")), F.lit("")),
+        F.lit(_sep_block(f"SAMPLE LOG ENTRIES (up to {n} per level)")), F.coalesce(F.col("samples"), F.lit("")))
+    return j.select("path", text.alias("text"))
+
+
+def render_doc_summary(docs: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(doc_id, text): the document outline block from headings, code blocks,
+    keywords and the opening line."""
+    from quire.operators import docs as D
+    h = D.headings(docs).select("doc_id", "ord", F.concat(
+        F.expr("repeat('  ', level - 1)"), F.lit("// "), F.expr("repeat('#', level)"), F.lit(" "), F.col("text")).alias("l"))
+    h = h.groupBy("doc_id").agg(F.count(F.lit(1)).alias("nh"), F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("ord", "l"))), lambda s: s["l"]), "\n").alias("heads"))
+    cb = D.code_blocks(docs).select("doc_id", "block_no", F.concat(F.lit("// ```"), F.col("lang"), F.lit(" ("),
+                                                                  F.col("n_lines").cast("string"), F.lit(" lines)")).alias("l"))
+    cb = cb.groupBy("doc_id").agg(F.count(F.lit(1)).alias("nb"), F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("block_no", "l"))), lambda s: s["l"]), "\n").alias("blocks"))
+    kw = D.keywords(docs).groupBy("doc_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda s: s["word"]), ", ").alias("kw"))
+    op = D.opening(docs, config)
+    st = D.doc_stats(docs)
+    j = st.join(h, "doc_id", "left").join(cb, "doc_id", "left").join(kw, "doc_id", "left").join(op, "doc_id", "left")
+    text = F.concat(
+        F.lit(f"// File: "), F.col("doc_id").cast("string"), F.lit(f" ({WARNING_EMOJI} Document outline)\n\n"),
+        F.lit(_sep_block("DOCUMENT STRUCTURE")), F.lit("// Lines: "), F.col("n_lines").cast("string"),
+        F.lit(" | Headings: "), F.col("n_headings").cast("string"), F.lit("\n\n"),
+        F.coalesce(F.concat(F.col("heads"), F.lit("\n")), F.lit("// (no headings detected)\n")), F.lit("\n"),
+        F.coalesce(F.concat(F.lit(f"{SEP}\n// CODE BLOCKS ("), F.col("nb").cast("string"),
+                            F.lit(f")\n{SEP}\n"), F.col("blocks"), F.lit("\n\n")), F.lit("")),
+        F.coalesce(F.concat(F.lit(_sep_block("KEY TERMS")), F.lit("// "), F.col("kw"), F.lit("\n")), F.lit("")),
+        F.coalesce(F.concat(F.lit("\n" + _sep_block("OPENING PARAGRAPH")), F.lit("// "), F.col("opening"), F.lit("\n")),
+                   F.lit("")))
+    return j.select("doc_id", text.alias("text"))
