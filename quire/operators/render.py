@@ -231,3 +231,35 @@ def render_doc_summary(docs: DataFrame, config: Config = DEFAULT) -> DataFrame:
         F.coalesce(F.concat(F.lit("\n" + _sep_block("OPENING PARAGRAPH")), F.lit("// "), F.col("opening"), F.lit("\n")),
                    F.lit("")))
     return j.select("doc_id", text.alias("text"))
+
+
+def render_csv_summary(lines: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(path, text): the delimited-file summary block (shape, schema with types
+    and up to two non-blank examples, first rows and the remaining count)."""
+    from quire.operators import tabular as TB
+    cfg = config.clamped()
+    shape = TB.table_shape(lines)
+    prof = TB.column_profile(TB.cells(lines))
+    ex = F.slice(F.filter("samples", lambda v: v != ""), 1, TB.SAMPLES_SHOWN)
+    col_line = F.concat(F.lit("// "), F.col("name"), F.lit(": "), F.col("inferred_type"),
+                        F.when(F.size(ex) > 0, F.concat(F.lit(' (examples: "'), F.array_join(ex, '", "'), F.lit('")')))
+                        .otherwise(F.lit("")))
+    schema = prof.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", col_line.alias("l")))),
+                                                               lambda s: s["l"]), "\n").alias("schema"))
+    head = TB.table_head(lines, cfg)
+    rows = head.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "text"))),
+                                                             lambda s: F.concat(F.lit("// "), s["text"])), "\n").alias("rows"))
+    j = shape.join(schema, "path", "left").join(rows, "path", "left")
+    shown = F.least(F.lit(cfg.csv_sample_rows), F.col("data_rows"))
+    delim = F.when(F.col("delimiter") == "\t", F.lit("\\t")).otherwise(F.col("delimiter"))
+    body = F.concat(
+        F.lit("// File: "), F.col("path"), F.lit(f" ({WARNING_EMOJI} CSV/TSV summary)\n// Total rows: "),
+        F.col("data_rows").cast("string"), F.lit('\n// Delimiter: "'), delim, F.lit('"\n\n'),
+        F.lit(f"{SEP}\n// SCHEMA ("), F.col("columns").cast("string"), F.lit(f" columns)\n{SEP}\n"),
+        F.coalesce(F.concat(F.col("schema"), F.lit("\n")), F.lit("")), F.lit("\n"),
+        F.lit(f"{SEP}\n// SAMPLE DATA (first "), shown.cast("string"), F.lit(f" rows)\n{SEP}\n"),
+        F.coalesce(F.concat(F.col("rows"), F.lit("\n")), F.lit("")),
+        F.when(F.col("data_rows") > shown, F.concat(F.lit("// ... ("), (F.col("data_rows") - shown).cast("string"),
+                                                    F.lit(" more rows)\n"))).otherwise(F.lit("")))
+    empty = F.concat(F.lit("// File: "), F.col("path"), F.lit(f" ({WARNING_EMOJI} Empty CSV)\n"))
+    return j.select("path", F.when(F.col("is_empty"), empty).otherwise(body).alias("text"))

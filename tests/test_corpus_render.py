@@ -126,3 +126,22 @@ def test_format_percent(spark):
     df = spark.createDataFrame([(1, 400), (29, 2000), (1, 3)], "n long, t long")
     # 0.25 is exact (tie goes up); 29/2000*100 is 1.4500000000000002 in doubles, so up
     assert [r[0] for r in df.select(format_percent("n", "t")).collect()] == ["0.3", "1.5", "33.3"]
+
+
+def test_render_csv_and_log_summary(spark):
+    rows = [("t.csv", 1, "id,name,score"), ("t.csv", 2, '1,"a, b",2.5'), ("t.csv", 3, ""), ("t.csv", 4, "2,c,3.5"),
+            ("t.csv", 5, "3,d,x"), ("t.csv", 6, "4,e,1.0"), ("e.csv", 1, "  ")]
+    lines = spark.createDataFrame(rows, "path string, line_no int, text string")
+    got = {r.path: r.text for r in R.render_csv_summary(lines).collect()}
+    assert got["e.csv"].endswith("(⚠️ Empty CSV)\n")
+    t = got["t.csv"]
+    assert "// Total rows: 4\n" in t and '// Delimiter: ","' in t
+    assert '// name: string (examples: "a, b", "c")' in t
+    # 2.5, 3.5 float; x drops to string; string is also the start state, so 1.0 makes it float again
+    assert "// score: float" in t
+    assert "// ... (1 more rows)" in t
+    logs = spark.createDataFrame([("a.log", 1, "INFO start"), ("a.log", 2, "ERROR boom"), ("a.log", 3, "")],
+                                 "path string, line_no int, text string")
+    lt = R.render_log_summary(logs).first().text
+    assert "// Total lines: 3" in lt and "// INFO    :      1 (33.3%)" in lt
+    assert "// RECENT ERROR PATTERNS (first 1)" in lt and "// [ERROR]\n// ERROR boom" in lt
