@@ -22,7 +22,7 @@ WORD = "[A-Za-z0-9_]"
 
 __all__ = [
     "WS", "WORD", "js_trim", "collapse_ws", "is_blank", "utf16_len", "explode_lines",
-    "format_size", "format_tokens", "format_fixed1", "truncate", "lit_array", "explode_rows", "format_percent",
+    "format_size", "format_tokens", "format_fixed1", "truncate", "lit_array", "explode_rows", "format_percent", "rank_within",
 ]
 
 
@@ -113,3 +113,26 @@ def format_percent(n, total) -> Column:
     a = F.col(n) if isinstance(n, str) else n
     b = F.col(total) if isinstance(total, str) else total
     return format_fixed1((a.cast("double") / b.cast("double")) * F.lit(100.0))
+
+
+def rank_within(df: DataFrame, group, order: list, name: str = "rank", partitions: int | None = None) -> DataFrame:
+    """``row_number() over (partition by group order by order)`` without putting a
+    whole group in one task: the rows are range-partitioned on (group, order),
+    numbered inside each range partition, and shifted by the row counts of the
+    earlier partitions of the same group (a small per-partition count table).
+    A group holding a third of all rows is thus numbered by many tasks."""
+    from pyspark.sql import Window
+    g = [group] if isinstance(group, str) else list(group)
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the partition id is read by two branches; persisting fixes it once (a later
+    # shuffle read may coalesce partitions differently per branch)
+    from pyspark import StorageLevel
+    r = df.repartitionByRange(n, *[F.col(c) for c in g], *order).withColumn("_pid", F.spark_partition_id()) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    local = r.withColumn("_local", F.row_number().over(Window.partitionBy("_pid", *g).orderBy(*order)))
+    counts = r.groupBy("_pid", *g).agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select("_pid", *g, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    return (local.join(offs, ["_pid", *g])
+            .withColumn(name, (F.col("_local") + F.col("_off")).cast("int"))
+            .drop("_pid", "_local", "_off"))

@@ -322,6 +322,7 @@ def merge_rules(*layers: DataFrame) -> DataFrame:
 
 
 def path_sort(files: DataFrame) -> DataFrame:
-    """Adds ``rank``: locale-aware path order (ICU root collation)."""
-    w = Window.partitionBy("project").orderBy(F.collate("rel_path", "UNICODE"), "rel_path")
-    return files.withColumn("rank", F.row_number().over(w))
+    """Adds ``rank``: locale-aware path order (ICU root collation) within the
+    project, numbered by range partitions so a huge project is not one task."""
+    from quire.functions.text import rank_within
+    return rank_within(files, "project", [F.collate("rel_path", "UNICODE"), F.col("rel_path")])

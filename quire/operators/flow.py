@@ -99,9 +99,11 @@ def control_counts(steps: DataFrame) -> DataFrame:
 def run_length(calls: DataFrame) -> DataFrame:
     """(path, fn, first_seq, step): consecutive equal callees merged to
     ``name×n`` (gaps and islands: seq rank minus per-callee rank)."""
-    w_all = Window.partitionBy("path", "fn").orderBy("seq")
-    w_one = Window.partitionBy("path", "fn", "callee").orderBy("seq")
-    isl = calls.withColumn("isl", F.row_number().over(w_all) - F.row_number().over(w_one))
+    from quire.functions.text import rank_within
+    # both numberings are range-partitioned, so one very long function is not one task
+    r = rank_within(calls, ["path", "fn"], [F.col("seq")], name="r_all")
+    isl = rank_within(r, ["path", "fn", "callee"], [F.col("seq")], name="r_one") \
+        .withColumn("isl", F.col("r_all") - F.col("r_one"))
     g = isl.groupBy("path", "fn", "callee", "isl").agg(F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("n"))
     return g.select("path", "fn", "first_seq", F.when(F.col("n") > 1, F.concat("callee", F.lit("×"), F.col("n").cast("string")))
                     .otherwise(F.col("callee")).alias("step"))

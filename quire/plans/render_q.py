@@ -17,8 +17,8 @@ from quire.sources.fixtures import derived, duck_with
 
 
 def ranked_files(spark, sf):
-    f = derived(spark, sf, "v_files")
-    return f.withColumn("rank", F.row_number().over(Window.partitionBy("project").orderBy("rel_path")))
+    from quire.functions.text import rank_within
+    return rank_within(derived(spark, sf, "v_files"), "project", [F.col("rel_path")])
 
 
 TREE = duck_with("v_files") + """
@@ -47,8 +47,8 @@ tree AS (SELECT n2.project, n2.node, n2.depth,
 
 
 def _tree(spark, sf):
-    t = T.dir_tree(ranked_files(spark, sf))
-    return t.withColumn("ord", F.row_number().over(Window.partitionBy("project").orderBy("ord_key")))
+    from quire.functions.text import rank_within
+    return rank_within(T.dir_tree(ranked_files(spark, sf)), "project", [F.col("ord_key")], name="ord")
 
 
 @query("dir_tree", TREE + "SELECT project, node, depth, line, ord FROM tree")

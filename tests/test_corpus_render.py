@@ -145,3 +145,13 @@ def test_render_csv_and_log_summary(spark):
     lt = R.render_log_summary(logs).first().text
     assert "// Total lines: 3" in lt and "// INFO    :      1 (33.3%)" in lt
     assert "// RECENT ERROR PATTERNS (first 1)" in lt and "// [ERROR]\n// ERROR boom" in lt
+
+
+def test_rank_within_matches_window(spark):
+    from pyspark.sql import Window
+    from quire.functions.text import rank_within
+    df = spark.range(0, 5000).select(F.when(F.col("id") % 10 == 0, "small").otherwise("hot").alias("g"),
+                                     ((F.col("id") * 7919) % 5003).alias("k"))
+    a = rank_within(df, "g", [F.col("k")], partitions=12)
+    b = df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy("k")))
+    assert a.exceptAll(b).count() == 0 and a.count() == 5000
