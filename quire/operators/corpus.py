@@ -129,19 +129,23 @@ def is_binary(path: Column, rel_path: Column, head: Column | None = None, config
     ext = F.lower(extname(path))
     name = F.lower(basename(path))
     rel = F.lower(F.regexp_replace(rel_path, r"\\", "/"))
-    conds = []
+    exact, globs = set(), []
     for raw in config.binary_file_patterns:
         p = raw.replace("\\", "/").lower()
         if not p:
             continue
-        c = (ext == p) | (F.concat(F.lit("*"), ext) == p)
         if "*" not in p:
-            c = c | (name == p) | (rel == p)
+            exact.add(p)
         else:
-            rx = _glob_regex(p)
-            c = c | name.rlike(rx) | rel.rlike(rx)
-        conds.append(c)
-    by_pattern = reduce(lambda a, b: a | b, conds) if conds else F.lit(False)
+            globs.append(_glob_regex(p))
+    pats = sorted({raw.replace("\\", "/").lower() for raw in config.binary_file_patterns if raw})
+    # one membership test and one combined regex per field keep the generated code small
+    by_pattern = ext.isin(*pats) | F.concat(F.lit("*"), ext).isin(*pats)
+    if exact:
+        by_pattern = by_pattern | name.isin(*sorted(exact)) | rel.isin(*sorted(exact))
+    if globs:
+        rx = "|".join(f"(?:{g})" for g in globs)
+        by_pattern = by_pattern | name.rlike(rx) | rel.rlike(rx)
     nul = F.lit(False) if head is None else (
         F.instr(F.decode(F.substring(head, 1, 1024), "ISO-8859-1"), F.lit("\u0000")) > 0)
     return (F.when(ext.isin(*DOCUMENT_EXTENSIONS), False).when(by_pattern, True)

@@ -263,3 +263,28 @@ def render_csv_summary(lines: DataFrame, config: Config = DEFAULT) -> DataFrame:
                                                     F.lit(" more rows)\n"))).otherwise(F.lit("")))
     empty = F.concat(F.lit("// File: "), F.col("path"), F.lit(f" ({WARNING_EMOJI} Empty CSV)\n"))
     return j.select("path", F.when(F.col("is_empty"), empty).otherwise(body).alias("text"))
+
+
+def render_text_summary(files: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(path, text): the generic overview block for non-code text files from
+    ``files(path, rel_path, size, language, content)``: line statistics and the
+    budgeted preview."""
+    from quire.operators import textprofile as TP
+    cfg = config.clamped()
+    docs = files.select(F.col("path").alias("doc_id"), F.col("content").alias("text"))
+    st = TP.text_stats(docs)
+    pv = TP.text_preview(docs, cfg).groupBy("doc_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("ord", "preview", "cut"))),
+        lambda s: F.concat(F.lit("// "), s["preview"], F.when(s["cut"], F.lit("...")).otherwise(F.lit("")))), "\n").alias("pv"))
+    j = files.select("path", "rel_path", "size", "language").join(st.withColumnRenamed("doc_id", "path"), "path") \
+        .join(pv.withColumnRenamed("doc_id", "path"), "path", "left")
+    text = F.concat(
+        F.lit("// File: "), F.col("rel_path"), F.lit(f" ({WARNING_EMOJI} Overview — "), format_size(F.col("size")),
+        F.lit(", structure outline)\n// Language: "), F.coalesce(F.col("language"), F.lit("text")),
+        F.lit("\n// Total lines: "), F.col("total_lines").cast("string"), F.lit("\n\n"),
+        F.lit(f"{SEP}\n// TEXT ANALYSIS\n{SEP}\n// Total lines: "), F.col("total_lines").cast("string"),
+        F.lit("\n// Non-empty lines: "), F.col("nonblank_lines").cast("string"),
+        F.lit("\n// Average line length: "), F.col("avg_len").cast("string"), F.lit(" chars\n\n"),
+        F.lit(f"{SEP}\n// PREVIEW (up to {cfg.text_preview_length} chars)\n{SEP}\n"),
+        F.coalesce(F.concat(F.col("pv"), F.lit("\n")), F.lit("")))
+    return j.select("path", text.alias("text"))

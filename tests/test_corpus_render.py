@@ -155,3 +155,12 @@ def test_rank_within_matches_window(spark):
     a = rank_within(df, "g", [F.col("k")], partitions=12)
     b = df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy("k")))
     assert a.exceptAll(b).count() == 0 and a.count() == 5000
+
+
+def test_render_text_summary(spark):
+    f = spark.createDataFrame([("p/a.txt", "a.txt", 2048, None, "first line\n\n  second  \n")],
+                              "path string, rel_path string, size long, language string, content string")
+    t = R.render_text_summary(f).first().text
+    assert t.startswith("// File: a.txt (⚠️ Overview — 2.0KB, structure outline)\n// Language: text\n// Total lines: 4")
+    assert "// Non-empty lines: 2\n// Average line length: 10 chars" in t
+    assert t.endswith("// first line\n//   second  \n")
