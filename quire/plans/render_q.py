@@ -16,9 +16,18 @@ from quire.plans.sqlfrag import utf16_len
 from quire.sources.fixtures import derived, duck_with
 
 
+_RANKED: dict = {}
+
+
 def ranked_files(spark, sf):
+    """Files with their path rank; built once per session and folder (the tree,
+    the blocks and the template streams all start from it)."""
     from quire.functions.text import rank_within
-    return rank_within(derived(spark, sf, "v_files"), "project", [F.col("rel_path")])
+    key = (id(spark), spark.sparkContext.applicationId, sf)
+    if key not in _RANKED:
+        _RANKED[key] = rank_within(derived(spark, sf, "v_files"), "project", [F.col("rel_path")]) \
+            .persist(StorageLevel.MEMORY_AND_DISK)
+    return _RANKED[key]
 
 
 TREE = duck_with("v_files") + """
