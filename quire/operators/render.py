@@ -125,7 +125,7 @@ def template_catalog(templates: DataFrame) -> DataFrame:
 def choose_template(stats: DataFrame, catalog: DataFrame) -> DataFrame:
     """Resolves ``stats.template``: an unknown name falls back to ``default``."""
     names = catalog.select(F.col("name").alias("template"), F.lit(True).alias("_known"))
-    return (stats.join(F.broadcast(names), "template", "left")
+    return (stats.join(names, "template", "left")   # AQE broadcasts it when the catalog is small
             .withColumn("template", F.when(F.col("_known"), F.col("template")).otherwise(F.lit("default")))
             .drop("_known"))
 
