@@ -288,3 +288,37 @@ def render_text_summary(files: DataFrame, config: Config = DEFAULT) -> DataFrame
         F.lit(f"{SEP}\n// PREVIEW (up to {cfg.text_preview_length} chars)\n{SEP}\n"),
         F.coalesce(F.concat(F.col("pv"), F.lit("\n")), F.lit("")))
     return j.select("path", text.alias("text"))
+
+
+def js_number_text(v: Column) -> Column:
+    """``String(Number(v))`` for the numeric YAML values: hex/octal/binary
+    literals converted, integral values without a fraction, others as doubles."""
+    t = F.lower(v)
+    as_int = (F.when(t.startswith("0x"), F.conv(F.substring(t, 3, 64), 16, 10))
+              .when(t.startswith("0o"), F.conv(F.substring(t, 3, 64), 8, 10))
+              .when(t.startswith("0b"), F.conv(F.substring(t, 3, 64), 2, 10)))
+    d = v.try_cast("double")
+    integral = (d == F.floor(d)) & (F.abs(d) < 1e15)
+    return (F.when(as_int.isNotNull(), as_int)
+            .when(v.rlike(r"^[+-]?Infinity$"), F.regexp_replace(v, r"^\+", ""))
+            .when(integral, d.cast("long").cast("string"))
+            .otherwise(d.cast("string")))
+
+
+def render_yaml_summary(keys: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(path, text): the configuration structure block for line-wise configs from
+    ``yaml_flat_keys`` + ``order_keys`` rows (redacted keys, quoted strings cut
+    at 100, numbers in JavaScript form)."""
+    from quire.operators.configs import REDACTED, STRING_WIDTH, is_sensitive
+    v = F.col("value")
+    shown = (F.when(is_sensitive(F.col("key"), config), F.lit(REDACTED))
+             .when(F.col("kind") == "number", js_number_text(v))
+             .when(F.col("kind") == "boolean", v)
+             .when(F.length(v) > STRING_WIDTH, F.concat(F.lit('"'), F.substring(v, 1, STRING_WIDTH), F.lit('..."')))
+             .otherwise(F.concat(F.lit('"'), v, F.lit('"'))))
+    lines = keys.select("path", "ord", F.concat(F.col("key"), F.lit(": "), shown).alias("l"))
+    g = lines.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "l"))),
+                                                           lambda s: s["l"]), "\n").alias("body"))
+    return g.select("path", F.concat(F.lit("// File: "), F.col("path"), F.lit(f" ({WARNING_EMOJI} Config structure)\n\n"),
+                                     F.lit(f"{SEP}\n// CONFIGURATION STRUCTURE\n{SEP}\n\n"), F.col("body"),
+                                     F.lit("\n")).alias("text"))

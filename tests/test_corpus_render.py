@@ -164,3 +164,13 @@ def test_render_text_summary(spark):
     assert t.startswith("// File: a.txt (⚠️ Overview — 2.0KB, structure outline)\n// Language: text\n// Total lines: 4")
     assert "// Non-empty lines: 2\n// Average line length: 10 chars" in t
     assert t.endswith("// first line\n//   second  \n")
+
+
+def test_render_yaml_summary(spark):
+    from quire.operators import configs as K
+    lines = spark.createDataFrame([("c.yaml", 1, "name: 'x'"), ("c.yaml", 2, "port: 007"), ("c.yaml", 3, "hex: 0x1F"),
+                                   ("c.yaml", 4, "api_key: k1"), ("c.yaml", 5, "parent:"), ("c.yaml", 6, "ratio: 1.50"),
+                                   ("c.yaml", 7, "on: true")], "path string, line_no int, text string")
+    t = R.render_yaml_summary(K.order_keys(K.yaml_flat_keys(lines))).first().text
+    body = t.split("\n\n", 2)[2]
+    assert body == ('name: "x"\nport: 7\nhex: 31\napi_key: [REDACTED]\nparent: "(nested value)"\nratio: 1.5\non: true\n')
