@@ -86,14 +86,25 @@ def side_effects(calls: DataFrame, deps: DataFrame, limit: int = SIDE_EFFECT_LIM
 
 def control_counts(steps: DataFrame) -> DataFrame:
     """(path, fn, branches, loops, branch_samples, loop_samples): counts and the
-    first four labels of each (cut to 82, joined by ' | ')."""
-    def samples(kinds):
-        arr = F.array_sort(F.collect_list(F.when(F.col("kind").isin(*kinds), F.struct("seq", "label"))))
-        return F.array_join(F.transform(F.slice(arr, 1, CONTROL_SAMPLES), lambda s: F.substring(s["label"], 1, LABEL_WIDTH)), " | ")
-    return steps.groupBy("path", "fn").agg(
+    first four labels of each (cut to 82, joined by ' | ').  Samples are picked
+    with ``row_number() <= 4`` (partial top-k), so only four rows per class are
+    ever collected."""
+    cls = F.when(F.col("kind").isin(*BRANCH_KINDS), "b").when(F.col("kind").isin(*LOOP_KINDS), "l")
+    counts = steps.groupBy("path", "fn").agg(
         F.count_if(F.col("kind").isin(*BRANCH_KINDS)).alias("branches"),
-        F.count_if(F.col("kind").isin(*LOOP_KINDS)).alias("loops"),
-        samples(BRANCH_KINDS).alias("branch_samples"), samples(LOOP_KINDS).alias("loop_samples"))
+        F.count_if(F.col("kind").isin(*LOOP_KINDS)).alias("loops"))
+    c = steps.withColumn("cls", cls).where(F.col("cls").isNotNull())
+    w = Window.partitionBy("path", "fn", "cls").orderBy("seq")
+    first = c.withColumn("k", F.row_number().over(w)).where(F.col("k") <= CONTROL_SAMPLES)
+    s = first.groupBy("path", "fn", "cls").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("k", F.substring("label", 1, LABEL_WIDTH).alias("l")))),
+        lambda x: x["l"]), " | ").alias("samples"))
+    b = s.where(F.col("cls") == "b").select("path", "fn", F.col("samples").alias("branch_samples"))
+    lp = s.where(F.col("cls") == "l").select("path", "fn", F.col("samples").alias("loop_samples"))
+    return (counts.join(b, ["path", "fn"], "left").join(lp, ["path", "fn"], "left")
+            .select("path", "fn", "branches", "loops",
+                    F.coalesce("branch_samples", F.lit("")).alias("branch_samples"),
+                    F.coalesce("loop_samples", F.lit("")).alias("loop_samples")))
 
 
 def run_length(calls: DataFrame) -> DataFrame:
@@ -112,9 +123,17 @@ def run_length(calls: DataFrame) -> DataFrame:
 def early_returns(steps: DataFrame) -> DataFrame:
     """(path, fn, seq, step): a condition directly followed by a return becomes
     one guard step; other bare conditions are dropped; functions with at least
-    four branches and five steps get a leading summary step (seq 0)."""
-    w = Window.partitionBy("path", "fn").orderBy("seq")
-    s = steps.withColumn("next_kind", F.lead("kind").over(w)).withColumn("prev_kind", F.lag("kind").over(w))
+    four branches and five steps get a leading summary step (seq 0).
+
+    Neighbours come from a dense per-function rank (range-partitioned) and an
+    equi-join on rank ± 1, so one very long function is not one task."""
+    from quire.functions.text import rank_within
+    r = rank_within(steps, ["path", "fn"], [F.col("seq")], name="r")
+    nb = r.select("path", "fn", "r", "kind")
+    s = (r.join(nb.select("path", "fn", (F.col("r") - 1).alias("r"), F.col("kind").alias("next_kind")),
+                ["path", "fn", "r"], "left")
+         .join(nb.select("path", "fn", (F.col("r") + 1).alias("r"), F.col("kind").alias("prev_kind")),
+               ["path", "fn", "r"], "left"))
     guard = (F.col("kind") == "if") & F.coalesce(F.col("next_kind") == "return", F.lit(False))
     consumed = (F.col("kind") == "return") & F.coalesce(F.col("prev_kind") == "if", F.lit(False))
     body = s.where(~consumed & ((F.col("kind") != "if") | guard)).select(
@@ -129,16 +148,22 @@ def early_returns(steps: DataFrame) -> DataFrame:
 
 def log_merge(calls: DataFrame) -> DataFrame:
     """(path, fn, first_seq, step): consecutive ``Logger.*`` calls become one
-    ``log: m1, m2`` step listing the methods in order (first appearance)."""
-    w = Window.partitionBy("path", "fn").orderBy("seq")
-    is_log = F.col("callee").startswith("Logger.")
-    c = calls.withColumn("is_log", is_log).withColumn(
-        "isl", F.sum(F.when(F.col("is_log") & F.coalesce(F.lag("is_log").over(w), F.lit(False)), 0).otherwise(1)).over(w))
-    logs = c.where("is_log").groupBy("path", "fn", "isl").agg(
-        F.min("seq").alias("first_seq"),
-        F.array_sort(F.collect_list(F.struct("seq", F.substring_index("callee", ".", -1).alias("m")))).alias("ms"))
+    ``log: m1, m2`` step listing the methods in order (first appearance).
+    Runs are islands: rank among all calls minus rank among logger calls
+    (both range-partitioned)."""
+    from quire.functions.text import rank_within
+    c = calls.withColumn("is_log", F.col("callee").startswith("Logger."))
+    c = rank_within(c, ["path", "fn"], [F.col("seq")], name="r_all")
+    c = rank_within(c, ["path", "fn", "is_log"], [F.col("seq")], name="r_kind")
+    c = c.withColumn("isl", F.col("r_all") - F.col("r_kind"))
+    # distinct methods per run first (partial aggregation): the list that is
+    # collected is bounded by the number of distinct logger methods, not the run
+    meth = c.where("is_log").groupBy("path", "fn", "isl", F.substring_index("callee", ".", -1).alias("m")) \
+        .agg(F.min("seq").alias("s"))
+    logs = meth.groupBy("path", "fn", "isl").agg(
+        F.min("s").alias("first_seq"), F.array_sort(F.collect_list(F.struct("s", "m"))).alias("ms"))
     logs = logs.select("path", "fn", "first_seq", F.concat(F.lit("log: "), F.array_join(
-        F.array_distinct(F.transform("ms", lambda s: s["m"])), ", ")).alias("step"))
+        F.transform("ms", lambda x: x["m"]), ", ")).alias("step"))
     other = c.where(~F.col("is_log")).select("path", "fn", F.col("seq").alias("first_seq"), F.col("callee").alias("step"))
     return logs.unionByName(other)
 
