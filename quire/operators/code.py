@@ -192,23 +192,24 @@ def leading_docs(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     line (blank lines allowed only between the block and the symbol), nearest
     comments first until the joined text passes 160 characters, cut to 160.
 
-    Blocks are islands of consecutive comment lines (id = the line after the
-    last non-comment line), attached to a symbol by equality on the block id —
-    no range join."""
-    w_prev = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    Comment blocks are islands (rank among all lines minus rank among comment
+    lines); the line above a symbol is found by an equi-join on the rank among
+    non-blank lines.  All ranks are range-partitioned, so a huge file is not one
+    task, and nothing is a range join."""
+    from quire.functions.text import rank_within
     t = lines.select("path", "line_no", js_trim("text").alias("t"))
-    t = t.withColumn("c", comment_text(F.col("t"))).withColumn("blank", F.col("t") == "")
-    t = (t.withColumn("last_nonblank", F.max(F.when(~F.col("blank"), F.col("line_no"))).over(w_prev))
-         .withColumn("last_break", F.max(F.when(F.col("c").isNull(), F.col("line_no"))).over(w_prev)))
-    t = t.withColumn("block", F.coalesce(F.col("last_break"), F.lit(0)) + 1)
-    comments = t.where(F.col("c").isNotNull()).select("path", "line_no", "c", "block")
+    t = t.withColumn("c", comment_text(F.col("t")))
+    allr = rank_within(t, "path", [F.col("line_no")], name="r_all")
+    com = rank_within(allr.where(F.col("c").isNotNull()), "path", [F.col("line_no")], name="r_c") \
+        .select("path", "line_no", "c", (F.col("r_all") - F.col("r_c")).alias("isl"))
+    nb = rank_within(t.where(F.col("t") != ""), "path", [F.col("line_no")], name="r_nb") \
+        .select("path", "line_no", "r_nb")
     sym = symbols.where(F.col("kind") != "import").select("path", F.col("line_no").alias("s")).distinct()
-    above = (sym.join(t.select("path", F.col("line_no").alias("s"), "last_nonblank"), ["path", "s"])
-             .join(comments.select("path", F.col("line_no").alias("last_nonblank"), F.col("block")),
-                   ["path", "last_nonblank"]))
-    items = (comments.where(F.col("c") != "")
-             .join(above.select("path", "s", "block", "last_nonblank"), ["path", "block"])
-             .where(F.col("line_no") <= F.col("last_nonblank")))
+    prev = (sym.join(nb.select("path", F.col("line_no").alias("s"), "r_nb"), ["path", "s"])
+            .join(nb.select("path", (F.col("r_nb") + 1).alias("r_nb"), F.col("line_no").alias("p")), ["path", "r_nb"]))
+    above = prev.join(com.select("path", F.col("line_no").alias("p"), "isl"), ["path", "p"])
+    items = (com.where(F.col("c") != "").join(above.select("path", "s", "p", "isl"), ["path", "isl"])
+             .where(F.col("line_no") <= F.col("p")))
     w = Window.partitionBy("path", "s").orderBy(F.col("line_no").desc())
     items = items.withColumn("k", F.row_number().over(w)).withColumn(
         "len_before", F.sum(F.length("c") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)) - 1)
@@ -223,11 +224,18 @@ def following_docstrings(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     non-blank line after a type/function line, up to its closing quote, trimmed
     parts joined by spaces, cut to 160.  Lines are owned by the nearest symbol
     above them, so the search is an equi-join on that owner."""
+    from quire.functions.text import rank_within
     sym = symbols.where(F.col("kind") != "import").select("path", F.col("line_no").alias("s")).distinct()
-    w_prev = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     t = lines.select("path", "line_no", js_trim("text").alias("t")) \
-        .join(sym.select("path", F.col("s").alias("line_no"), F.lit(True).alias("is_sym")), ["path", "line_no"], "left")
-    t = t.withColumn("owner", F.max(F.when(F.col("is_sym"), F.col("line_no"))).over(w_prev)).where(F.col("owner").isNotNull())
+        .join(sym.select("path", F.col("s").alias("line_no"), F.lit(True).alias("is_sym")), ["path", "line_no"], "left") \
+        .withColumn("is_sym", F.coalesce("is_sym", F.lit(False)))
+    # symbols at or above a line = rank among all lines - rank among its own class
+    # (for non-symbol lines); the owner is the symbol with that rank (equi-join)
+    r = rank_within(t, "path", [F.col("line_no")], name="r_all")
+    r = rank_within(r, ["path", "is_sym"], [F.col("line_no")], name="r_cls")
+    r = r.withColumn("n_sym", F.when(F.col("is_sym"), F.col("r_cls")).otherwise(F.col("r_all") - F.col("r_cls")))
+    owners = r.where("is_sym").select("path", F.col("r_cls").alias("n_sym"), F.col("line_no").alias("owner"))
+    t = r.join(owners, ["path", "n_sym"]).select("path", "line_no", "t", "owner")
     body = t.where(F.col("line_no") > F.col("owner"))
     opener = (body.where(F.col("t") != "").groupBy("path", "owner").agg(F.min_by(F.struct("line_no", "t"), "line_no").alias("o"))
               .select("path", "owner", F.col("o.line_no").alias("q"), F.col("o.t").alias("qt")))
