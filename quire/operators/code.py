@@ -109,17 +109,21 @@ def code_structure(lines: DataFrame) -> DataFrame:
         elif kind == "function":
             cond = cond & ~F.col("t").startswith("//") & ~F.col("t").startswith("*")
         rows.append(t.where(cond).select("path", F.lit(kind).alias("kind"), "line_no", "t"))
-    allk = reduce(DataFrame.unionByName, rows)
-    w = Window.partitionBy("path", "kind").orderBy("line_no")
-    r = allk.withColumn("ord", F.row_number().over(w))
-    cap = F.when(F.col("kind") == "type", STRUCTURE_CAPS["type"]).when(
-        F.col("kind") == "function", STRUCTURE_CAPS["function"])
-    width = F.when(F.col("kind") == "function", 120).otherwise(100)
-    return (r.where(cap.isNull() | (F.col("ord") <= cap))
-            .select("path", "kind", "ord", "line_no",
-                    F.when(F.col("kind") == "import", F.col("t"))
-                    .otherwise(F.expr("substring(t, 1, CASE WHEN kind = 'function' THEN 120 ELSE 100 END)"))
-                    .alias("text")))
+    from quire.functions.text import rank_within
+    out = []
+    for kind, df in zip(KINDS, rows):
+        cap = STRUCTURE_CAPS[kind]
+        if cap is None:
+            # every import is listed: range-partitioned numbering
+            r = rank_within(df, "path", [F.col("line_no")], name="ord")
+        else:
+            # first-N: partial WindowGroupLimit before the shuffle
+            w = Window.partitionBy("path").orderBy("line_no")
+            r = df.withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= cap)
+        width = OUTLINE_WIDTH["function"] if kind == "function" else OUTLINE_WIDTH["type"]
+        text = F.col("t") if kind == "import" else F.substring("t", 1, width)
+        out.append(r.select("path", "kind", "ord", "line_no", text.alias("text")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def outline_symbols(lines: DataFrame) -> DataFrame:
