@@ -322,3 +322,29 @@ def render_yaml_summary(keys: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return g.select("path", F.concat(F.lit("// File: "), F.col("path"), F.lit(f" ({WARNING_EMOJI} Config structure)\n\n"),
                                      F.lit(f"{SEP}\n// CONFIGURATION STRUCTURE\n{SEP}\n\n"), F.col("body"),
                                      F.lit("\n")).alias("text"))
+
+
+def render_code_summary(files: DataFrame) -> DataFrame:
+    """(path, text): the code overview block (types, functions, imports by
+    language pattern) for ``files(path, rel_path, size, language, content)``."""
+    from quire.functions.text import explode_lines
+    from quire.operators import code as CO
+    lines = explode_lines(files.select("path", "language", "content"), "content")
+    n = lines.groupBy("path").agg(F.count(F.lit(1)).alias("n_lines"))
+    st = CO.code_structure(lines.withColumn("language", F.coalesce("language", F.lit("text"))))
+    sec = st.groupBy("path", "kind").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda s: F.concat(F.lit("// "), s["text"])), "\n").alias("l"))
+    piv = sec.groupBy("path").pivot("kind", ["type", "function", "import"]).agg(F.first("l"))
+    j = files.select("path", "rel_path", "size", "language").join(n, "path").join(piv, "path", "left")
+
+    def block(title, col, empty):
+        return F.concat(F.lit(f"{SEP}\n// {title}\n{SEP}\n"),
+                        F.coalesce(F.concat(F.col(col), F.lit("\n")), F.lit(f"// {empty}\n")))
+    text = F.concat(
+        F.lit("// File: "), F.col("rel_path"), F.lit(f" ({WARNING_EMOJI} Overview — "), format_size(F.col("size")),
+        F.lit(", structure outline)\n// Language: "), F.coalesce(F.col("language"), F.lit("text")),
+        F.lit("\n// Total lines: "), F.col("n_lines").cast("string"), F.lit("\n\n"),
+        block("TYPES/INTERFACES", "type", "(no type definitions detected)"), F.lit("\n"),
+        block("FUNCTIONS/METHODS", "function", "(no functions detected)"), F.lit("\n"),
+        block("IMPORTS/DEPENDENCIES", "import", "(no imports detected)"))
+    return j.select("path", text.alias("text"))

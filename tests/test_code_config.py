@@ -55,3 +55,14 @@ def test_json_skeleton_redacts_subtree(spark):
     assert rows["secretStuff"] == ("redacted", "[REDACTED]") and "secretStuff.x" not in rows
     assert rows["n.Password"] == ("redacted", "[REDACTED]") and rows["n.k"] == ("string", '"v"')
     assert rows["l"] == ("array", "array[4]") and rows["l[1]"][0] == "object" and "l[3]" not in rows
+
+
+def test_render_code_summary(spark):
+    from quire.operators import render as R
+    src = "import os\nclass A:\n    pass\ndef f(x):\n    return x\n"
+    f = spark.createDataFrame([("p/a.py", "a.py", 60, "python", src)],
+                              "path string, rel_path string, size long, language string, content string")
+    t = R.render_code_summary(f).first().text
+    assert "// Language: python\n// Total lines: 6\n" in t
+    assert "// TYPES/INTERFACES\n" in t and "// class A:\n" in t
+    assert "// def f(x):\n" in t and "// import os\n" in t
