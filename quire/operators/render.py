@@ -348,3 +348,50 @@ def render_code_summary(files: DataFrame) -> DataFrame:
         block("FUNCTIONS/METHODS", "function", "(no functions detected)"), F.lit("\n"),
         block("IMPORTS/DEPENDENCIES", "import", "(no imports detected)"))
     return j.select("path", text.alias("text"))
+
+
+def render_word_summary(docs: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(doc_id, text): the word-document block from ``docs(doc_id, name, size,
+    text)``: every paragraph (heading prefix, 500-char preview) for files within
+    the size threshold; above it the heading outline, a summary of
+    ``min(2 * preview, length)`` characters and five key points."""
+    from quire.operators import docs as D
+    from quire.operators import summarize as S
+    cfg = config.clamped()
+    big = (F.col("size") > cfg.max_file_size) & F.lit(cfg.enable_large_file_degradation)
+    d = docs.select("doc_id", "name", "size", "text", S.clean_text(F.col("text")).alias("clean"), big.alias("big"))
+    paras = D.paragraph_headings(d.select("doc_id", "text"))
+    prev = F.when(F.length("text") > 500, F.concat(F.substring("text", 1, 500), F.lit("..."))).otherwise(F.col("text"))
+    pl = paras.select("doc_id", "para_no", "is_heading", F.concat(
+        F.lit("// "), F.when(F.col("is_heading"), F.concat(F.expr("repeat('#', level)"), F.lit(" "))).otherwise(F.lit("")),
+        prev).alias("l"))
+    full = pl.groupBy("doc_id").agg(F.count(F.lit(1)).alias("np"), F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("para_no", "l"))), lambda s: s["l"]), "\n").alias("body"))
+    outline = paras.where("is_heading").select("doc_id", "para_no", F.concat(
+        F.lit("// "), F.expr("repeat('  ', level - 1)"), F.col("text")).alias("l")) \
+        .groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para_no", "l"))),
+                                                        lambda s: s["l"]), "\n").alias("outline"))
+    bigdocs = d.where("big").select("doc_id", F.col("clean").alias("text"))
+    summ = S.summary_select(bigdocs, max_length=2 * cfg.text_preview_length, min_sentences=3)
+    keys = S.key_sentences(bigdocs, k=5, min_length=20).select(
+        "doc_id", "rank", F.when(F.length("text") > 100, F.concat(F.substring("text", 1, 100), F.lit("...")))
+        .otherwise(F.col("text")).alias("t"))
+    kp = keys.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "t"))),
+                                                             lambda s: F.concat(F.lit("// "), s["t"])), "\n").alias("kp"))
+    j = (d.join(full, "doc_id", "left").join(outline, "doc_id", "left")
+         .join(summ, "doc_id", "left").join(kp, "doc_id", "left"))
+    head = F.concat(F.lit("// File: "), F.col("name"), F.lit(f" ({WARNING_EMOJI} Word document structure)\n// Total text: ~"),
+                    F.length("clean").cast("string"), F.lit(" chars\n"),
+                    F.when(F.col("big"), F.lit(f"// Compressed: Yes (exceeds {cfg.max_file_size} bytes threshold)\n"))
+                    .otherwise(F.lit("// Compressed: No\n")),
+                    F.lit(f"\n{SEP}\n// DOCUMENT STRUCTURE\n{SEP}\n\n"))
+    small_body = F.concat(F.lit(f"{SEP}\n// PARAGRAPH CONTENT\n{SEP}\n// Total paragraphs: "),
+                          F.coalesce(F.col("np"), F.lit(0)).cast("string"), F.lit("\n\n"),
+                          F.coalesce(F.concat(F.col("body"), F.lit("\n")), F.lit("")))
+    big_body = F.concat(F.lit(f"{SEP}\n// DOCUMENT OUTLINE\n{SEP}\n"),
+                        F.coalesce(F.concat(F.col("outline"), F.lit("\n")), F.lit("// (no clear headings detected)\n")),
+                        F.lit(f"\n{SEP}\n// KEY CONTENT SUMMARY\n{SEP}\n// [Document Summary]\n// "),
+                        F.replace(F.coalesce(F.col("summary"), F.lit("")), F.lit("\n"), F.lit("\n// ")),
+                        F.lit(f"\n\n{SEP}\n// KEY POINTS\n{SEP}\n"),
+                        F.coalesce(F.concat(F.col("kp"), F.lit("\n")), F.lit("")))
+    return j.select("doc_id", F.concat(head, F.when(F.col("big"), big_body).otherwise(small_body)).alias("text"))

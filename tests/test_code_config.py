@@ -66,3 +66,18 @@ def test_render_code_summary(spark):
     assert "// Language: python\n// Total lines: 6\n" in t
     assert "// TYPES/INTERFACES\n" in t and "// class A:\n" in t
     assert "// def f(x):\n" in t and "// import os\n" in t
+
+
+def test_render_word_summary(spark):
+    from quire.config import Config
+    from quire.operators import render as R
+    text = "CHAPTER 1\n\nSummary:\n\nPlain body text that is long enough to be a paragraph of its own here."
+    small = spark.createDataFrame([(1, "a.docx", 100, text)], "doc_id long, name string, size long, text string")
+    t = R.render_word_summary(small, Config(max_file_size=1000)).first().text
+    assert "// Compressed: No\n" in t and "// Total paragraphs: 3\n" in t
+    assert "// # CHAPTER 1\n// ## Summary:\n// Plain body" in t
+    big = spark.createDataFrame([(2, "b.docx", 5000, text + " More words follow. " * 40)],
+                                "doc_id long, name string, size long, text string")
+    b = R.render_word_summary(big, Config(max_file_size=1000)).first().text
+    assert "// Compressed: Yes (exceeds 1000 bytes threshold)" in b
+    assert "// CHAPTER 1\n//   Summary:" in b and "// [Document Summary]\n// " in b and "// KEY POINTS" in b
