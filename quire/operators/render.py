@@ -395,3 +395,45 @@ def render_word_summary(docs: DataFrame, config: Config = DEFAULT) -> DataFrame:
                         F.lit(f"\n\n{SEP}\n// KEY POINTS\n{SEP}\n"),
                         F.coalesce(F.concat(F.col("kp"), F.lit("\n")), F.lit("")))
     return j.select("doc_id", F.concat(head, F.when(F.col("big"), big_body).otherwise(small_body)).alias("text"))
+
+
+def render_pdf_summary(docs: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(doc_id, text): the PDF block from ``docs(doc_id, name, size, text,
+    n_pages)``: page previews (500 chars) within the size threshold; above it a
+    50-char page outline, a summary and five key points with estimated pages."""
+    from quire.operators import docs as D
+    from quire.operators import summarize as S
+    cfg = config.clamped()
+    big = (F.col("size") > cfg.max_file_size) & F.lit(cfg.enable_large_file_degradation)
+    d = docs.select("doc_id", "name", "size", "n_pages", S.clean_text(F.col("text")).alias("clean"), big.alias("big"))
+
+    def pages(width, fmt):
+        p = D.page_chunks(docs.select("doc_id", "text", "n_pages"), width=width)
+        return p.groupBy("doc_id").agg(F.array_join(F.transform(
+            F.array_sort(F.collect_list(F.struct("page_no", "preview"))), fmt), "").alias("pages"))
+    full = pages(500, lambda s: F.concat(F.lit("\n// [Page "), s["page_no"].cast("string"), F.lit("]\n// "),
+                                         s["preview"], F.lit("\n"))).withColumnRenamed("pages", "full")
+    outl = pages(50, lambda s: F.concat(F.lit("// [Page "), s["page_no"].cast("string"), F.lit("] "),
+                                        s["preview"], F.lit("\n"))).withColumnRenamed("pages", "outl")
+    bigdocs = d.where("big").select("doc_id", F.col("clean").alias("text"))
+    summ = S.summary_select(bigdocs, max_length=2 * cfg.text_preview_length, min_sentences=3)
+    keys = S.key_sentences(bigdocs, k=5, min_length=20)
+    kp = S.key_point_pages(keys, docs.select("doc_id", "n_pages")).join(keys.select("doc_id", "rank", "text"),
+                                                                        ["doc_id", "rank"])
+    kp = kp.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "page", "text"))),
+                                                           lambda s: F.concat(F.lit("// [~Page "), s["page"].cast("string"),
+                                                                              F.lit("] "), D.preview(s["text"], 100),
+                                                                              F.lit("\n"))), "").alias("kp"))
+    j = d.join(full, "doc_id", "left").join(outl, "doc_id", "left").join(summ, "doc_id", "left").join(kp, "doc_id", "left")
+    head = F.concat(F.lit("// File: "), F.col("name"), F.lit(f" ({WARNING_EMOJI} PDF structure)\n// Pages: "),
+                    F.col("n_pages").cast("string"), F.lit(" | Total text: ~"), F.length("clean").cast("string"),
+                    F.lit(" chars\n"),
+                    F.when(F.col("big"), F.lit(f"// Compressed: Yes (exceeds {cfg.max_file_size} bytes threshold)\n"))
+                    .otherwise(F.lit("// Compressed: No\n")),
+                    F.lit(f"\n{SEP}\n// PDF STRUCTURE\n{SEP}\n\n"))
+    small_body = F.concat(F.lit(f"{SEP}\n// PAGE CONTENT\n{SEP}\n"), F.coalesce(F.col("full"), F.lit("")))
+    big_body = F.concat(F.lit(f"{SEP}\n// PAGE OUTLINE\n{SEP}\n"), F.coalesce(F.col("outl"), F.lit("")),
+                        F.lit(f"\n{SEP}\n// KEY CONTENT SUMMARY\n{SEP}\n// [Document Summary]\n// "),
+                        F.replace(F.coalesce(F.col("summary"), F.lit("")), F.lit("\n"), F.lit("\n// ")),
+                        F.lit(f"\n\n{SEP}\n// KEY POINTS\n{SEP}\n"), F.coalesce(F.col("kp"), F.lit("")))
+    return j.select("doc_id", F.concat(head, F.when(F.col("big"), big_body).otherwise(small_body)).alias("text"))

@@ -81,3 +81,16 @@ def test_render_word_summary(spark):
     b = R.render_word_summary(big, Config(max_file_size=1000)).first().text
     assert "// Compressed: Yes (exceeds 1000 bytes threshold)" in b
     assert "// CHAPTER 1\n//   Summary:" in b and "// [Document Summary]\n// " in b and "// KEY POINTS" in b
+
+
+def test_render_pdf_summary(spark):
+    from quire.config import Config
+    from quire.operators import render as R
+    body = "First sentence of the report is here. " * 30
+    df = spark.createDataFrame([(1, "a.pdf", 100, body, 3), (2, "b.pdf", 5000, body + "Other words and notes. " * 30, 4)],
+                               "doc_id long, name string, size long, text string, n_pages int")
+    got = {r.doc_id: r.text for r in R.render_pdf_summary(df, Config(max_file_size=1000)).collect()}
+    assert "// Pages: 3 | Total text: ~" in got[1] and "// Compressed: No" in got[1]
+    assert "\n// [Page 1]\n// First sentence" in got[1] and "[Page 3]" in got[1]
+    assert "// [Page 1] First sentence of the report is here. First senten..." in got[2]
+    assert "// KEY POINTS" in got[2] and "// [~Page " in got[2]
