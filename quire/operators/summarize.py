@@ -239,45 +239,6 @@ def textrank_tokens(nodes: DataFrame, tokens: DataFrame, idx: str = "pos",
     return small.unionByName(big).withColumnRenamed("idx", idx)
 
 
-def textrank(nodes: DataFrame, pairs: DataFrame, idx: str = "pos",
-             damping: float = DAMPING, iterations: int = ITERATIONS, tol: float = TOLERANCE,
-             max_group_edges: int = MAX_GROUP_EDGES) -> DataFrame:
-    """(doc_id, idx, score, iterations) for every node.
-
-    ``nodes(doc_id, idx)`` must number each document's nodes densely from 0;
-    ``pairs(doc_id, i, j, sim)`` hold i < j (the graph is symmetric).  The walk
-    moves from j to i with weight sim(j,i)/rowsum(j).  Start 1,
-    ``s_i = (1-d) + d * Σ_j w(j->i) s_j``, synchronous, at most ``iterations``
-    rounds, each document stops when its largest change is below ``tol``.
-
-    A document with n nodes has at most n(n-1) directed edges, so documents with
-    n(n-1) <= ``max_group_edges`` have a proven bound and iterate in one pandas
-    group; the rest iterate as a distributed DataFrame loop."""
-    n_nodes = nodes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    bounded = F.col("n") * (F.col("n") - 1) <= max_group_edges
-    small_docs = n_nodes.where(bounded)
-    rows = (pairs.join(small_docs.select("doc_id"), "doc_id", "left_semi")
-            .select("doc_id", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "sim",
-                    F.lit(None).cast("long").alias("n"))
-            .unionByName(small_docs.select("doc_id", F.lit(-1).alias("i"), F.lit(-1).alias("j"),
-                                           F.lit(0.0).alias("sim"), "n")))
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf["i"].to_numpy() < 0
-        n = int(pdf.loc[head, "n"].iloc[0])
-        e = pdf.loc[~head]
-        s, it = _power_iteration(n, e["i"].to_numpy(np.int64), e["j"].to_numpy(np.int64),
-                                 e["sim"].to_numpy(np.float64), damping, iterations, tol)
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "idx": np.arange(n, dtype=np.int64),
-                             "score": s, "iterations": it})
-
-    small = rows.groupBy("doc_id").applyInPandas(
-        kernel, "doc_id long, idx long, score double, iterations int")
-    big = _textrank_loop(nodes.select("doc_id", F.col(idx).alias("idx")), pairs,
-                         n_nodes.where(~bounded), damping, iterations, tol)
-    return small.unionByName(big).withColumnRenamed("idx", idx)
-
-
 def _textrank_loop(nodes: DataFrame, pairs: DataFrame, docs: DataFrame,
                    damping: float, iterations: int, tol: float,
                    checkpoint_every: int = 5) -> DataFrame:
