@@ -1,7 +1,8 @@
 """Operators for large-scale training-data pipelines; nothing else in the library imports them."""
 
+from quire.llm.ngramjoin import op7_jaccard_join
 from quire.llm.sharding import op3_uniform_shards
 from quire.llm.tokencount import op1_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_uniform_shards)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_uniform_shards, op7_jaccard_join)}
 ORACLES: dict[str, str] = {}
