@@ -3,7 +3,8 @@
 The score of a text is sigmoid(b + sum of w_i + sum over pairs of <v_i, v_j>) over the distinct
 hashed terms that it holds: the pairs let two terms together (an insult and the mention of a
 group) count for more than the sum of both.  It is learnt with AdaGrad on a bounded sample of
-labelled texts; scoring reads every whole text in Arrow batches.
+labelled texts, over the terms whose share differs between the classes by three standard
+errors of the log odds; scoring reads every whole text in Arrow batches.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import Memo, read_table, remainder_of
 
-#: Places of the hashed terms, and numbers that describe a term in pairs.
-TERM_BITS, FACTORS = 18, 8
+#: Numbers that describe a term in pairs.
+FACTORS = 8
+#: A term enters from so many sampled texts, and from so many standard errors between the classes.
+LEAST_TEXTS, LEAST_ERRORS = 5, 3.0
 #: The bound of the training sample: labelled texts of each class, those of the smallest hash.
-SAMPLE_OF_CLASS = 3000
+SAMPLE_OF_CLASS = 4000
 #: Score from which a text counts as toxic.
 THRESHOLD = 0.3
 #: Documents that are scored at once, so that a batch of long texts stays small.
@@ -33,28 +36,35 @@ _STRIPPED = b".,;:!?\"'()[]{}|*_-"
 
 
 def _terms_of_word(word: bytes) -> tuple[int, ...]:
-    """The word and its beginnings of four and five bytes, which stand for its other forms."""
+    """32-bit hashes of the word and of its beginnings of four and five bytes, which stand for its
+    other forms."""
     word = word.strip(_STRIPPED)
     if not word:
         return ()
-    out = [xxhash.xxh32_intdigest(word)]
-    out += [xxhash.xxh32_intdigest(word[:n], seed=n) for n in (4, 5) if len(word) >= n]
-    return tuple(h >> (32 - TERM_BITS) for h in out)
+    return (xxhash.xxh32_intdigest(word), *(xxhash.xxh32_intdigest(word[:n], seed=n) for n in (4, 5) if len(word) >= n))
 
 
 def terms(text: bytes | None, memo: Memo) -> np.ndarray:
-    """The distinct hashed terms of a whole text; none for a null or empty one."""
+    """The distinct terms of a whole text, as ``memo`` has them for each word; none for a null or
+    empty text."""
     words = set((text or b"").lower().split())
-    return np.unique(np.fromiter(chain.from_iterable(map(memo.__getitem__, words)), np.int32))
+    return np.unique(np.fromiter(chain.from_iterable(map(memo.__getitem__, words)), np.uint32))
 
 
 @dataclass
 class FactorizationMachine:
-    """``table``: for each place w - |v|^2 / 2 and then v, so one sum over a text's terms scores it."""
+    """``known``: the hashes of the terms, ascending; ``table``: for each of them w - |v|^2 / 2 and
+    then v, so one sum over a text's terms scores it."""
 
     bias: float
+    known: np.ndarray
     table: np.ndarray
 
+    def memo(self) -> Memo:
+        """Word to the places of its known terms."""
+        place = {int(h): i for i, h in enumerate(self.known)}
+        return Memo(lambda word: tuple(place[h] for h in _terms_of_word(word) if h in place))
+
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
         out = np.full(len(texts), self.bias)
         for i, ids in enumerate(texts):
@@ -64,22 +74,32 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def train(texts: list[np.ndarray], labels: np.ndarray, prior: float, epochs: int = 8, batch: int = 64, rate: float = 0.1,
-          penalty: float = 1e-4, least: int = 3, seed: int = 5) -> FactorizationMachine:
-    """AdaGrad on the log loss.  Terms of fewer than ``least`` texts stay 0; ``prior`` is the share
-    of class 1 among all labels, to which the bias of the sample is shifted."""
-    size = 1 << TERM_BITS
+def telling_terms(texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """The hashes, ascending, of the terms whose odds differ between the classes by
+    ``LEAST_ERRORS`` standard errors of their logarithm."""
+    every, count = np.unique(np.concatenate(texts), return_counts=True)
+    inside, n = np.unique(np.concatenate([t for t, y in zip(texts, labels) if y]), return_counts=True)
+    hit = np.zeros(len(every))
+    hit[np.searchsorted(every, inside)] = n
+    miss, ones, zeros = count - hit, labels.sum(), len(labels) - labels.sum()
+    p, q = (hit + 0.5) / (ones + 1), (miss + 0.5) / (zeros + 1)
+    errors = np.abs(np.log(p / (1 - p)) - np.log(q / (1 - q))) / np.sqrt(1 / (hit + 0.5) + 1 / (miss + 0.5))
+    return every[(count >= LEAST_TEXTS) & (errors >= LEAST_ERRORS)]
+
+
+def train(texts: list[np.ndarray], labels: np.ndarray, prior: float, epochs: int = 20, batch: int = 64, rate: float = 0.3,
+          penalty: float = 1e-4, seed: int = 5) -> FactorizationMachine:
+    """AdaGrad on the log loss over the telling terms of ``texts`` (hashes); ``prior`` is the share of
+    class 1 among all labels, to which the bias of the sample is shifted."""
     labels = np.asarray(labels, np.float64)
-    table = np.zeros((size, 1 + FACTORS), np.float32)
     positive = float(labels.mean()) if len(labels) else 0.0
-    if not 0 < positive < 1:
-        return FactorizationMachine(8.0 if positive else -8.0, table)
-    seen = np.zeros(size, np.int32)
-    for ids in texts:
-        seen[ids] += 1
-    texts = [ids[seen[ids] >= least] for ids in texts]
-    rng = np.random.default_rng(seed)
-    w, v = np.zeros(size), rng.normal(0, 1e-3, (size, FACTORS)) * (seen >= least)[:, None]
+    known = telling_terms(texts, labels) if 0 < positive < 1 else np.empty(0, np.uint32)
+    if not len(known):
+        bias = np.log(prior / (1 - prior)) if 0 < prior < 1 else 8.0 * (1 if prior else -1)
+        return FactorizationMachine(float(bias), np.zeros(1, np.uint32), np.zeros((1, 1 + FACTORS)))
+    texts = [np.searchsorted(known, t[np.isin(t, known)]) for t in texts]
+    rng, size = np.random.default_rng(seed), len(known)
+    w, v = np.zeros(size), rng.normal(0, 1e-2, (size, FACTORS))
     gw, gv, gb, b = np.full(size, 1e-6), np.full((size, FACTORS), 1e-6), 1e-6, np.log(positive / (1 - positive))
     for _ in range(epochs):
         order = rng.permutation(len(texts))
@@ -88,11 +108,8 @@ def train(texts: list[np.ndarray], labels: np.ndarray, prior: float, epochs: int
             ids = np.concatenate([texts[i] for i in part])
             row = np.repeat(np.arange(len(part)), [len(texts[i]) for i in part])
             x = v[ids]
-            total = np.zeros((len(part), FACTORS))
-            linear = np.bincount(row, w[ids] - 0.5 * (x * x).sum(axis=1), len(part))
-            for f in range(FACTORS):
-                total[:, f] = np.bincount(row, x[:, f], len(part))
-            z = b + linear + 0.5 * (total * total).sum(axis=1)
+            total = np.stack([np.bincount(row, x[:, f], len(part)) for f in range(FACTORS)], axis=1)
+            z = b + np.bincount(row, w[ids] - 0.5 * (x * x).sum(axis=1), len(part)) + 0.5 * (total * total).sum(axis=1)
             error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[part]
             e = error[row] / len(part)
             used, place = np.unique(ids, return_inverse=True)
@@ -107,10 +124,8 @@ def train(texts: list[np.ndarray], labels: np.ndarray, prior: float, epochs: int
             db = error.mean()
             gb += db * db
             b -= rate * db / np.sqrt(gb)
-    table[:, 0] = w - 0.5 * (v * v).sum(axis=1)
-    table[:, 1:] = v
     shift = np.log(prior / (1 - prior)) - np.log(positive / (1 - positive)) if 0 < prior < 1 else 0.0
-    return FactorizationMachine(float(b + shift), table)
+    return FactorizationMachine(float(b + shift), known, np.column_stack([w - 0.5 * (v * v).sum(axis=1), v]))
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> FactorizationMachine:
@@ -140,16 +155,17 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = (texts.select("id", "label", "text").mapInArrow(hashed, f"id {kind}, label int, terms binary")
             .groupBy("id").agg(F.first("label"), F.min("terms")).collect())
     rows.sort(key=lambda r: str(r[0]))
-    return train([np.frombuffer(bytes(r[2]), np.int32) for r in rows], np.array([r[1] for r in rows]), prior)
+    return train([np.frombuffer(bytes(r[2]), np.uint32) for r in rows], np.array([r[1] for r in rows]), prior)
 
 
 def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` and ``score`` (0 to 1) of every row; null and empty texts get the
     score of no terms.  Only the text enters the score."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.table))
+    shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.known, model.table))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, machine = Memo(_terms_of_word), FactorizationMachine(*shared.value)
+        machine = FactorizationMachine(*shared.value)
+        memo = machine.memo()
         last = None
         for batch in batches:
             last = last or batch.num_columns - 1
