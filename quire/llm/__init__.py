@@ -1,9 +1,10 @@
 """Operators for large-scale training-data pipelines; nothing else in the library imports them."""
 
 from quire.llm.ngramjoin import op7_jaccard_join
+from quire.llm.packing import op8_best_fit_packing
 from quire.llm.sharding import op3_uniform_shards
 from quire.llm.tokencount import op1_token_counts
 from quire.llm.toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_uniform_shards, op4_toxicity, op7_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_uniform_shards, op4_toxicity, op7_jaccard_join, op8_best_fit_packing)}
 ORACLES: dict[str, str] = {}
