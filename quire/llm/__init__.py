@@ -1,6 +1,7 @@
 """Operators for large-scale training-data pipelines; nothing else in the library imports them."""
 
 from quire.llm.decontamination import op9_benchmark_decontamination
+from quire.llm.lm import op6_kneser_ney
 from quire.llm.neighbours import op10_hilbert_neighbours
 from quire.llm.ngramjoin import op7_jaccard_join
 from quire.llm.packing import op8_best_fit_packing
@@ -8,6 +9,6 @@ from quire.llm.sharding import op3_uniform_shards
 from quire.llm.tokencount import op1_token_counts
 from quire.llm.toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_uniform_shards, op4_toxicity, op7_jaccard_join, op8_best_fit_packing,
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_uniform_shards, op4_toxicity, op6_kneser_ney, op7_jaccard_join, op8_best_fit_packing,
                                   op9_benchmark_decontamination, op10_hilbert_neighbours)}
 ORACLES: dict[str, str] = {}
