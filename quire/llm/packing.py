@@ -249,8 +249,13 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                     F.col("_q_place._q_offset").alias("offset")))
 
 
+def packed_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of all pieces of ``docs``."""
+    import public_tokenizers
+    packed = pack(pieces(docs, public_tokenizers.path(tokenizer)))
+    return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` in sequences of at most 1024 tokens of the byte-level BPE."""
-    import public_tokenizers
-    cut = pieces(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return pack(cut).select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packed_documents(read_table(spark, sf_dir, "documents"))

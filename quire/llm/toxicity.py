@@ -178,6 +178,23 @@ def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text",
     return docs.select(*keep, F.col(text_col).cast("binary").alias("_q_text")).mapInArrow(rate, f"{schema}, score double")
 
 
+def without_toxic(docs: DataFrame, model: FactorizationMachine, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score lies below the threshold, unchanged."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.known, model.table))
+    at = docs.columns.index(text_col)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = FactorizationMachine(*shared.value)
+        memo = machine.memo()
+        for batch in batches:
+            for begin in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(begin, CHUNK)
+                texts = part.column(at).cast(pa.binary())
+                yield part.filter(pa.array(machine.scores([terms(t.as_py(), memo) for t in texts]) < threshold))
+
+    return docs.mapInArrow(judge, docs.schema)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole document, learnt from the labels that are not held out."""
     docs = read_table(spark, sf_dir, "documents")
