@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import os
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -58,6 +59,15 @@ def _range_of(h: np.ndarray, ranges: int) -> np.ndarray:
     return (((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int32)
 
 
+def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different pairs, ascending, their numbers, and each pair's place among them."""
+    words, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    key = at[:len(a)] * np.int64(len(words)) + at[len(a):]
+    key, place, n = np.unique(key, return_inverse=True, return_counts=True)
+    first, following = np.divmod(key, len(words))
+    return words[first], words[following], n, place
+
+
 def _count_pairs(texts: DataFrame, ranges: int) -> DataFrame:
     """(part, first, next, n): pairs with their number in what a task has read since it last passed on."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,11 +78,7 @@ def _count_pairs(texts: DataFrame, ranges: int) -> DataFrame:
             nonlocal firsts, nexts, held
             a, b = np.concatenate(firsts), np.concatenate(nexts)
             firsts, nexts, held = [], [], 0
-            order = np.lexsort((b, a))
-            a, b = a[order], b[order]
-            new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-            n = np.diff(np.append(new, len(a)))
-            a, b = a[new], b[new]
+            a, b, n, _ = _distinct_pairs(a, b)
             part = _range_of(a, ranges)
             for at in range(0, len(a), 100_000):
                 cut = slice(at, at + 100_000)
@@ -94,21 +100,16 @@ def _count_pairs(texts: DataFrame, ranges: int) -> DataFrame:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """Rows sorted by the first column, as that column's value and the other columns of its rows."""
-    part, held = None, []
+    """The values of the first column, with the other columns of their rows."""
+    held: dict[int, list[list[np.ndarray]]] = defaultdict(list)
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [np.asarray(c) for c in batch.columns]
-        cuts = np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1
-        for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
-            if columns[0][a] != part:
-                if held:
-                    yield part, [np.concatenate(x) for x in zip(*held)]
-                part, held = int(columns[0][a]), []
-            held.append([c[a:b].copy() for c in columns[1:]])
-    if held:
-        yield part, [np.concatenate(x) for x in zip(*held)]
+        part, *columns = (np.asarray(c) for c in batch.columns)
+        for value in np.unique(part):
+            rows = part == value
+            held[int(value)].append([c[rows] for c in columns])
+    while held:
+        part, found = held.popitem()
+        yield part, [np.concatenate(x) for x in zip(*found)]
 
 
 def _save(folder: str, name: str, arrays: dict[str, np.ndarray], facts: dict) -> None:
@@ -209,10 +210,10 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     path = _local(folder)
     os.makedirs(path, exist_ok=True)
     texts = docs.select(F.col(text_col).cast("binary").alias("text"))
-    # two ranges for each partition of the input, so a range's size doesn't grow with the input
-    ranges = 2 * max(spark.sparkContext.defaultParallelism, texts.rdd.getNumPartitions())
-    pairs = _count_pairs(texts, ranges).repartition(ranges, "part").sortWithinPartitions("part").select("part", "first", "next", "n")
-    words = _write_pairs(pairs, path, ranges).repartition(ranges, "part").sortWithinPartitions("part").select("part", "word", "n", "firsts")
+    # four ranges for each partition of the input, so a range's size doesn't grow with the input
+    ranges = 4 * max(spark.sparkContext.defaultParallelism, texts.rdd.getNumPartitions())
+    pairs = _count_pairs(texts, ranges).repartition(ranges, "part")
+    words = _write_pairs(pairs, path, ranges).repartition(ranges, "part")
     sums = _write_words(words, path).collect()  # one row for each range
     seen = np.zeros(4, np.int64)
     for part in range(ranges):
@@ -228,7 +229,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
 @lru_cache(maxsize=512)
 def _mapped(folder: str, name: str, kind: str) -> np.ndarray | None:
     there = f"{folder}/{name}.{kind}.npy"
-    return np.load(there, mmap_mode="r") if os.path.exists(there) else None
+    return np.load(there, mmap_mode="r").view(np.ndarray) if os.path.exists(there) else None
 
 
 def _take_off(n: np.ndarray, d: tuple) -> np.ndarray:
@@ -302,16 +303,14 @@ class Scorer:
         n, firsts = self.words(words)
         base = np.log10((n + 1) / (m.tokens + m.words + 1))
         lower = (_take_off(firsts, m.lower) / m.pairs if m.pairs else 0.0) + m.rest / (m.words + 1)
-        order = np.lexsort((following, first))
-        a, b = first[order], following[order]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        count, facts = self.pairs(a[new], b[new])
+        a, b, _, place = _distinct_pairs(first, following)
+        lower_of = np.empty(len(a))
+        lower_of[place] = lower[word_at]
+        count, facts = self.pairs(a, b)
         total = np.maximum(facts[:, 0], 1)
         left = m.discounts[0] * facts[:, 1] + m.discounts[1] * facts[:, 2] + m.discounts[2] * (facts[:, 3] - facts[:, 1] - facts[:, 2])
         weight = np.where(facts[:, 0] > 0, left / total, 1.0)
-        p = _take_off(count, m.discounts) / total + weight * lower[word_at[order[new]]]
-        each = np.empty(len(order))
-        each[order] = np.log10(p)[np.cumsum(new) - 1]
+        each = np.log10(_take_off(count, m.discounts) / total + weight * lower_of)[place]
         begin = np.cumsum([0, *(len(t) - 1 for t in texts[:-1])])
         return list(zip([len(t) - 1 for t in texts], np.add.reduceat((n > 0)[word_at].astype(np.int64), begin).tolist(),
                         np.add.reduceat(base[word_at], begin).tolist(), np.add.reduceat(each, begin).tolist()))
