@@ -302,7 +302,7 @@ class Scorer:
         words, word_at = np.unique(following, return_inverse=True)
         n, firsts = self.words(words)
         base = np.log10((n + 1) / (m.tokens + m.words + 1))
-        lower = (_take_off(firsts, m.lower) / m.pairs if m.pairs else 0.0) + m.rest / (m.words + 1)
+        lower = _take_off(firsts, m.lower) / max(m.pairs, 1) + m.rest / (m.words + 1)
         a, b, _, place = _distinct_pairs(first, following)
         lower_of = np.empty(len(a))
         lower_of[place] = lower[word_at]

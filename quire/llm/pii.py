@@ -133,7 +133,7 @@ def votes(text: str, start: int, end: int, kind: str, strict: bool) -> tuple[int
         gazetteer = -1 if digits.startswith("000") else 1 if span.startswith("+") else 0
     context = -1 if _AGAINST & set(before) else 1 if _FOR[kind] & set(before) else 0
     left, right = text[start - 1:start], text[end:end + 1]
-    border = -1 if (left.isalnum() or right.isalnum() or left in ("=", "_", "#") and left) else 1
+    border = -1 if left.isalnum() or right.isalnum() or set(left + right) & set("=_#") else 1
     return (1 if strict else -1, structure, gazetteer, context, border)
 
 

@@ -48,7 +48,7 @@ def hypergeometric(good: Column, bad: Column, drawn: Column, u: Column) -> Colum
     low = F.greatest(F.lit(0).cast("long"), drawn - bad)
     high = F.least(good, drawn)
     mode = F.greatest(low, F.least(high, F.floor((drawn + 1).cast("double") * (good + 1) / (good + bad + 2)).cast("long")))
-    total = (good + bad).cast("double")
+    total = F.greatest((good + bad).cast("double"), F.lit(1.0))
     sd = F.sqrt(drawn * (good / total) * (bad / total) * ((total - drawn) / F.greatest(total - 1, F.lit(1.0))))
     width = F.least(F.greatest(high - mode, mode - low), (12 * F.coalesce(sd, F.lit(0.0))).cast("long") + 20)
     at_mode = F.exp(_log_choose(good, mode) + _log_choose(bad, drawn - mode) - _log_choose(good + bad, drawn))
