@@ -25,6 +25,8 @@ from quire.llm.common import read_table, store
 
 #: Curves, projected directions and bits of each, blocks of a curve.
 CURVES, DIRECTIONS, BITS, BLOCKS = 12, 8, 4, 20
+#: A block holds at least so many rows for each neighbour asked for (with few rows, there are fewer blocks).
+ROWS_OF_BLOCK = 4
 #: Queries that one group of a block holds at most, on average; beyond, groups are salted.
 GROUP_QUERIES = 8192
 #: Rows that are scored at once.
@@ -224,21 +226,26 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     reps = store(rows.join(copies.select("rep"), F.col("id") == F.col("rep"), "left_semi").select(F.col("id").alias("rep"), "vector").dropDuplicates(["rep"]), "near-vectors")
     query_reps = asking.select("rep").distinct()
 
-    _, mean, covariance, longest = _moments(reps, width)
+    number_of_reps, mean, covariance, longest = _moments(reps, width)
+    blocks = min(BLOCKS, number_of_reps // (ROWS_OF_BLOCK * (k + 1)))
+    blocks = blocks if blocks >= 3 else 1
     # one length for all (but for rounding): no further component is needed
     shortest = reps.agg(F.min(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))).first()[0]
     curves = Curves(width, mean, covariance, longest, (longest - shortest) <= 1e-5 * longest, seed)
     asked = reps.join(query_reps, "rep", "left_semi")
     keyed = store(_keyed(reps, curves, False), "near-keys")
-    cuts = {r[0]: list(r[1]) for r in keyed.groupBy("curve").agg(
-        F.percentile_approx("place", [i / BLOCKS for i in range(1, BLOCKS)], 10_000)).collect()}  # a few numbers for each curve
-    ends = F.element_at(F.array(*[F.array(*[F.lit(int(c)).cast("long") for c in cuts[i]]) for i in range(CURVES)]), F.col("curve") + 1)
-    block = F.aggregate(ends, F.lit(0), lambda s, e: s + F.when(F.col("place") > e, 1).otherwise(0))
-    salts = max(1, math.ceil(3 * query_reps.count() / BLOCKS / GROUP_QUERIES))
+    block = F.lit(0)
+    if blocks > 1:
+        cuts = {r[0]: list(r[1]) for r in keyed.groupBy("curve").agg(
+            F.percentile_approx("place", [i / blocks for i in range(1, blocks)], 10_000)).collect()}  # a few numbers for each curve
+        ends = F.element_at(F.array(*[F.array(*[F.lit(int(c)).cast("long") for c in cuts[i]]) for i in range(CURVES)]), F.col("curve") + 1)
+        block = F.aggregate(ends, F.lit(0), lambda s, e: s + F.when(F.col("place") > e, 1).otherwise(0))
+    salts = max(1, math.ceil(min(3, blocks) * query_reps.count() / blocks / GROUP_QUERIES))
     candidates = keyed.withColumn("block", block).select("curve", "block", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(1).alias("side"), "rep")
-    middle = F.greatest(F.lit(1), F.least(F.lit(BLOCKS - 2), F.col("block")))
+    middle = F.greatest(F.lit(1), F.least(F.lit(blocks - 2), F.col("block")))
+    looked_at = F.array(middle - 1, middle, middle + 1) if blocks > 1 else F.array(F.lit(0))
     queries = (_keyed(asked, curves, True).withColumn("block", block)
-               .select("curve", F.explode(F.array(middle - 1, middle, middle + 1)).alias("block"), F.pmod(F.xxhash64("rep"), F.lit(salts)).cast("int").alias("salt"),
+               .select("curve", F.explode(looked_at).alias("block"), F.pmod(F.xxhash64("rep"), F.lit(salts)).cast("int").alias("salt"),
                        F.lit(0).alias("side"), "rep"))
     best = _best_of_blocks(candidates.union(queries).join(reps, "rep"), k + 1)
     own = query_reps.select(F.col("rep").alias("query"), "rep", F.lit(float("inf")).alias("score"))
