@@ -7,12 +7,15 @@ and RE2 accept (``\\x{..}``) so the same class text appears in the oracle SQL.
 
 from __future__ import annotations
 
+import uuid
 from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.session import ensure_checkpoint_dir
+
 # --- fixed values -------------------------------------------------------------
 # JavaScript's \s and String.prototype.trim() set.
 WS = r"[\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -22,7 +25,7 @@ WORD = "[A-Za-z0-9_]"
 
 __all__ = [
     "WS", "WORD", "js_trim", "collapse_ws", "is_blank", "utf16_len", "explode_lines",
-    "format_size", "format_tokens", "format_fixed1", "truncate", "lit_array", "explode_rows", "format_percent", "rank_within",
+    "format_size", "format_tokens", "format_fixed1", "truncate", "lit_array", "explode_rows", "format_percent", "rank_within", "number_within",
 ]
 
 
@@ -117,22 +120,43 @@ def format_percent(n, total) -> Column:
 
 def rank_within(df: DataFrame, group, order: list, name: str = "rank", partitions: int | None = None) -> DataFrame:
     """``row_number() over (partition by group order by order)`` without putting a
-    whole group in one task: the rows are range-partitioned on (group, order),
-    numbered inside each range partition, and shifted by the row counts of the
-    earlier partitions of the same group (a small per-partition count table).
-    A group holding a third of all rows is thus numbered by many tasks."""
-    from pyspark.sql import Window
+    whole group in one task, for keys of any type: the rows are range-partitioned
+    on (group, order), sorted and numbered in place, and written to the shared
+    checkpoint folder, so every later read sees the same layout whatever executor
+    is lost.  A row's rank is its place in its range less the place where its
+    group begins there, plus the group's rows in earlier ranges (one small row
+    for each range and group).  Pass the keys only and join the rank back when
+    rows are wide.  Runs the job that writes the layout."""
+    g = [group] if isinstance(group, str) else list(group)
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    laid = (df.repartitionByRange(n, *[F.col(c) for c in g], *order).sortWithinPartitions(*[F.col(c) for c in g], *order)
+            .withColumn("_row", F.monotonically_increasing_id()))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/rank-{uuid.uuid4().hex}"
+    laid.write.parquet(path)
+    laid = spark.read.schema(laid.schema).parquet(path).withColumn("_part", F.shiftright("_row", 33))
+    begin = laid.groupBy("_part", *g).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    earlier = F.sum("_n").over(Window.partitionBy(*g).orderBy("_part")) - F.col("_n")
+    begin = begin.select("_part", *g, "_first", earlier.alias("_earlier"))
+    return (laid.join(begin, ["_part", *g])
+            .withColumn(name, (F.col("_row") - F.col("_first") + F.col("_earlier") + 1).cast("int"))
+            .drop("_part", "_row", "_n", "_first", "_earlier"))
+
+
+#: Numbers of a bucket in which ``number_within`` ranks at once.
+NUMBER_SPAN = 1 << 16
+
+
+def number_within(df: DataFrame, group, number: str, name: str = "rank") -> DataFrame:
+    """``row_number() over (partition by group order by number)`` for an integer
+    ``number`` (a line or a step): ranked inside spans of ``NUMBER_SPAN`` numbers
+    and shifted by the rows of the group's earlier spans, so one huge file or
+    function is many small windows.  Lazy, and the same whatever is recomputed."""
     g = [group] if isinstance(group, str) else list(group)
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # the partition id is read by two branches; persisting fixes it once (a later
-    # shuffle read may coalesce partitions differently per branch)
-    from pyspark import StorageLevel
-    r = df.repartitionByRange(n, *[F.col(c) for c in g], *order).withColumn("_pid", F.spark_partition_id()) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    local = r.withColumn("_local", F.row_number().over(Window.partitionBy("_pid", *g).orderBy(*order)))
-    counts = r.groupBy("_pid", *g).agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select("_pid", *g, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
-    return (local.join(offs, ["_pid", *g])
-            .withColumn(name, (F.col("_local") + F.col("_off")).cast("int"))
-            .drop("_pid", "_local", "_off"))
+    spans = df.withColumn("_span", F.floor(F.col(number) / F.lit(NUMBER_SPAN)).cast("long"))
+    sizes = spans.groupBy(*g, "_span").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy(*g).orderBy("_span")) - F.col("_n")
+    sizes = sizes.select(*g, "_span", earlier.alias("_earlier"))
+    local = spans.withColumn("_local", F.row_number().over(Window.partitionBy(*g, "_span").orderBy(number)))
+    return (local.join(sizes, [*g, "_span"]).withColumn(name, (F.col("_local") + F.col("_earlier")).cast("int"))
+            .drop("_span", "_local", "_earlier"))

@@ -109,13 +109,13 @@ def code_structure(lines: DataFrame) -> DataFrame:
         elif kind == "function":
             cond = cond & ~F.col("t").startswith("//") & ~F.col("t").startswith("*")
         rows.append(t.where(cond).select("path", F.lit(kind).alias("kind"), "line_no", "t"))
-    from quire.functions.text import rank_within
+    from quire.functions.text import number_within
     out = []
     for kind, df in zip(KINDS, rows):
         cap = STRUCTURE_CAPS[kind]
         if cap is None:
             # every import is listed: range-partitioned numbering
-            r = rank_within(df, "path", [F.col("line_no")], name="ord")
+            r = number_within(df, "path", "line_no", name="ord")
         else:
             # first-N: partial WindowGroupLimit before the shuffle
             w = Window.partitionBy("path").orderBy("line_no")
@@ -200,13 +200,13 @@ def leading_docs(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     lines); the line above a symbol is found by an equi-join on the rank among
     non-blank lines.  All ranks are range-partitioned, so a huge file is not one
     task, and nothing is a range join."""
-    from quire.functions.text import rank_within
+    from quire.functions.text import number_within
     t = lines.select("path", "line_no", js_trim("text").alias("t"))
     t = t.withColumn("c", comment_text(F.col("t")))
-    allr = rank_within(t, "path", [F.col("line_no")], name="r_all")
-    com = rank_within(allr.where(F.col("c").isNotNull()), "path", [F.col("line_no")], name="r_c") \
+    allr = number_within(t, "path", "line_no", name="r_all")
+    com = number_within(allr.where(F.col("c").isNotNull()), "path", "line_no", name="r_c") \
         .select("path", "line_no", "c", (F.col("r_all") - F.col("r_c")).alias("isl"))
-    nb = rank_within(t.where(F.col("t") != ""), "path", [F.col("line_no")], name="r_nb") \
+    nb = number_within(t.where(F.col("t") != ""), "path", "line_no", name="r_nb") \
         .select("path", "line_no", "r_nb")
     sym = symbols.where(F.col("kind") != "import").select("path", F.col("line_no").alias("s")).distinct()
     prev = (sym.join(nb.select("path", F.col("line_no").alias("s"), "r_nb"), ["path", "s"])
@@ -228,15 +228,15 @@ def following_docstrings(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     non-blank line after a type/function line, up to its closing quote, trimmed
     parts joined by spaces, cut to 160.  Lines are owned by the nearest symbol
     above them, so the search is an equi-join on that owner."""
-    from quire.functions.text import rank_within
+    from quire.functions.text import number_within
     sym = symbols.where(F.col("kind") != "import").select("path", F.col("line_no").alias("s")).distinct()
     t = lines.select("path", "line_no", js_trim("text").alias("t")) \
         .join(sym.select("path", F.col("s").alias("line_no"), F.lit(True).alias("is_sym")), ["path", "line_no"], "left") \
         .withColumn("is_sym", F.coalesce("is_sym", F.lit(False)))
     # symbols at or above a line = rank among all lines - rank among its own class
     # (for non-symbol lines); the owner is the symbol with that rank (equi-join)
-    r = rank_within(t, "path", [F.col("line_no")], name="r_all")
-    r = rank_within(r, ["path", "is_sym"], [F.col("line_no")], name="r_cls")
+    r = number_within(t, "path", "line_no", name="r_all")
+    r = number_within(r, ["path", "is_sym"], "line_no", name="r_cls")
     r = r.withColumn("n_sym", F.when(F.col("is_sym"), F.col("r_cls")).otherwise(F.col("r_all") - F.col("r_cls")))
     owners = r.where("is_sym").select("path", F.col("r_cls").alias("n_sym"), F.col("line_no").alias("owner"))
     t = r.join(owners, ["path", "n_sym"]).select("path", "line_no", "t", "owner")

@@ -110,10 +110,10 @@ def control_counts(steps: DataFrame) -> DataFrame:
 def run_length(calls: DataFrame) -> DataFrame:
     """(path, fn, first_seq, step): consecutive equal callees merged to
     ``name×n`` (gaps and islands: seq rank minus per-callee rank)."""
-    from quire.functions.text import rank_within
+    from quire.functions.text import number_within
     # both numberings are range-partitioned, so one very long function is not one task
-    r = rank_within(calls, ["path", "fn"], [F.col("seq")], name="r_all")
-    isl = rank_within(r, ["path", "fn", "callee"], [F.col("seq")], name="r_one") \
+    r = number_within(calls, ["path", "fn"], "seq", name="r_all")
+    isl = number_within(r, ["path", "fn", "callee"], "seq", name="r_one") \
         .withColumn("isl", F.col("r_all") - F.col("r_one"))
     g = isl.groupBy("path", "fn", "callee", "isl").agg(F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("n"))
     return g.select("path", "fn", "first_seq", F.when(F.col("n") > 1, F.concat("callee", F.lit("×"), F.col("n").cast("string")))
@@ -127,8 +127,8 @@ def early_returns(steps: DataFrame) -> DataFrame:
 
     Neighbours come from a dense per-function rank (range-partitioned) and an
     equi-join on rank ± 1, so one very long function is not one task."""
-    from quire.functions.text import rank_within
-    r = rank_within(steps, ["path", "fn"], [F.col("seq")], name="r")
+    from quire.functions.text import number_within
+    r = number_within(steps, ["path", "fn"], "seq", name="r")
     nb = r.select("path", "fn", "r", "kind")
     s = (r.join(nb.select("path", "fn", (F.col("r") - 1).alias("r"), F.col("kind").alias("next_kind")),
                 ["path", "fn", "r"], "left")
@@ -151,10 +151,10 @@ def log_merge(calls: DataFrame) -> DataFrame:
     ``log: m1, m2`` step listing the methods in order (first appearance).
     Runs are islands: rank among all calls minus rank among logger calls
     (both range-partitioned)."""
-    from quire.functions.text import rank_within
+    from quire.functions.text import number_within
     c = calls.withColumn("is_log", F.col("callee").startswith("Logger."))
-    c = rank_within(c, ["path", "fn"], [F.col("seq")], name="r_all")
-    c = rank_within(c, ["path", "fn", "is_log"], [F.col("seq")], name="r_kind")
+    c = number_within(c, ["path", "fn"], "seq", name="r_all")
+    c = number_within(c, ["path", "fn", "is_log"], "seq", name="r_kind")
     c = c.withColumn("isl", F.col("r_all") - F.col("r_kind"))
     # distinct methods per run first (partial aggregation): the list that is
     # collected is bounded by the number of distinct logger methods, not the run

@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.config import Config
-from quire.functions.text import format_tokens
+from quire.functions.text import format_tokens, rank_within
 from quire.operators import corpus as C
 from quire.operators import render as R
 from quire.operators import tree as T
@@ -16,18 +16,11 @@ from quire.plans.sqlfrag import utf16_len
 from quire.sources.fixtures import derived, duck_with
 
 
-_RANKED: dict = {}
-
-
 def ranked_files(spark, sf):
-    """Files with their path rank; built once per session and folder (the tree,
-    the blocks and the template streams all start from it)."""
-    from quire.functions.text import rank_within
-    key = (id(spark), spark.sparkContext.applicationId, sf)
-    if key not in _RANKED:
-        _RANKED[key] = rank_within(derived(spark, sf, "v_files"), "project", [F.col("rel_path")]) \
-            .persist(StorageLevel.MEMORY_AND_DISK)
-    return _RANKED[key]
+    """Files with their path rank: only the paths are ranked, and joined back."""
+    files = derived(spark, sf, "v_files")
+    rank = rank_within(files.select("project", "rel_path", "path"), "project", [F.col("rel_path")])
+    return files.join(rank.select("path", "rank"), "path")
 
 
 TREE = duck_with("v_files") + """
@@ -56,8 +49,7 @@ tree AS (SELECT n2.project, n2.node, n2.depth,
 
 
 def _tree(spark, sf):
-    from quire.functions.text import rank_within
-    return rank_within(T.dir_tree(ranked_files(spark, sf)), "project", [F.col("ord_key")], name="ord")
+    return rank_within(T.dir_tree(rank_within(derived(spark, sf, "v_files").select("project", "rel_path", "path"), "project", [F.col("rel_path")])), "project", [F.col("ord_key")], name="ord")
 
 
 @query("dir_tree", TREE + "SELECT project, node, depth, line, ord FROM tree")
