@@ -35,7 +35,7 @@ from quire.llm.common import Memo, read_table, remainder_of, shared_folder
 #: Hashes of the start and the end of a text.  Words cannot hold white space, so these are no words.
 START, END = xxhash.xxh64_intdigest(b" <s>"), xxhash.xxh64_intdigest(b" </s>")
 #: Pairs that a task counts before it passes them on, and tokens that are scored at once.
-TASK_PAIRS, SCORE_TOKENS = 3_000_000, 400_000
+TASK_PAIRS, SCORE_TOKENS = 2_500_000, 300_000
 
 
 def _local(folder: str) -> str:
