@@ -1,7 +1,8 @@
 """Interpolated modified Kneser-Ney bigram model: counted in Spark, kept as sorted hash arrays.
 
 * Tasks turn texts into word hashes and count the pairs (word, next word) of what they read before
-  anything is shuffled; the counts meet by the first word's hash range.
+  anything is shuffled; the counts, a block of sorted arrays for each hash range of the first word,
+  meet by that range.
 * Each range is written to the shared folder as sorted arrays: first words, where their next words
   begin, their totals and how many of them were seen once or twice; next words and counts.
 * What each range holds of a next word (its count, its different first words) meets by that word's
@@ -35,7 +36,7 @@ from quire.llm.common import Memo, read_table, remainder_of, shared_folder
 #: Hashes of the start and the end of a text.  Words cannot hold white space, so these are no words.
 START, END = xxhash.xxh64_intdigest(b" <s>"), xxhash.xxh64_intdigest(b" </s>")
 #: Pairs that a task counts before it passes them on, and tokens that are scored at once.
-TASK_PAIRS, SCORE_TOKENS = 2_500_000, 300_000
+TASK_PAIRS, SCORE_TOKENS = 2_500_000, 500_000
 
 
 def _local(folder: str) -> str:
@@ -69,9 +70,10 @@ def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _count_pairs(texts: DataFrame, ranges: int) -> DataFrame:
-    """(part, first, next, n): pairs with their number in what a task has read since it last passed on."""
+    """(part, a, b, c): first words, next words and numbers of the pairs in what a task has read since it
+    last passed on, as arrays."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(xxhash.xxh64_intdigest)
+        memo = Memo(xxhash.xxh64_intdigest, 300_000)
         firsts, nexts, held = [], [], 0
 
         def flush():
@@ -79,11 +81,7 @@ def _count_pairs(texts: DataFrame, ranges: int) -> DataFrame:
             a, b = np.concatenate(firsts), np.concatenate(nexts)
             firsts, nexts, held = [], [], 0
             a, b, n, _ = _distinct_pairs(a, b)
-            part = _range_of(a, ranges)
-            for at in range(0, len(a), 100_000):
-                cut = slice(at, at + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(part[cut]), pa.array(a[cut].view(np.int64)), pa.array(b[cut].view(np.int64)),
-                                                  pa.array(n[cut].astype(np.int32))], names=["part", "first", "next", "n"])
+            yield from _blocks(_range_of(a, ranges), a, b, n.astype(np.int32))
 
         for batch in batches:
             for text in batch.column(0):
@@ -96,20 +94,27 @@ def _count_pairs(texts: DataFrame, ranges: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return texts.mapInArrow(count, "part int, first long, next long, n int")
+    return texts.mapInArrow(count, "part int, a binary, b binary, c binary")
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """The values of the first column, with the other columns of their rows."""
-    held: dict[int, list[list[np.ndarray]]] = defaultdict(list)
+def _blocks(part: np.ndarray, *arrays: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each value of the ascending ``part``: the arrays' slices, as bytes."""
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1), len(part)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield pa.RecordBatch.from_arrays([pa.array([int(part[a])], pa.int32()), *(pa.array([x[a:b].tobytes()], pa.binary()) for x in arrays)],
+                                             names=["part", "a", "b", "c"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch], *kinds: type) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The parts of a task, each with its blocks' arrays put together."""
+    held: dict[int, list[tuple]] = defaultdict(list)
     for batch in batches:
-        part, *columns = (np.asarray(c) for c in batch.columns)
-        for value in np.unique(part):
-            rows = part == value
-            held[int(value)].append([c[rows] for c in columns])
+        for part, *arrays in zip(*(c.to_pylist() for c in batch.columns)):
+            held[part].append(arrays)
     while held:
         part, found = held.popitem()
-        yield part, [np.concatenate(x) for x in zip(*found)]
+        yield part, [np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*found), kinds)]
 
 
 def _save(folder: str, name: str, arrays: dict[str, np.ndarray], facts: dict) -> None:
@@ -132,10 +137,11 @@ def _seen_times(n: np.ndarray) -> list[int]:
 
 
 def _write_pairs(pairs: DataFrame, folder: str, ranges: int) -> DataFrame:
-    """Writes each range of first words; passes on (part, word, n, firsts) of its next words."""
+    """Writes each range of first words; passes on (part, a, b, c): its next words, their
+    counts and numbers of first words."""
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, (a, b, n) in _groups(batches):
-            a, b, n = a.view(np.uint64), b.view(np.uint64), n.astype(np.int64)
+        for part, (a, b, n) in _groups(batches, np.uint64, np.uint64, np.int32):
+            n = n.astype(np.int64)
             order = np.lexsort((b, a))
             a, b, n = a[order], b[order], n[order]
             new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
@@ -152,20 +158,15 @@ def _write_pairs(pairs: DataFrame, folder: str, ranges: int) -> DataFrame:
             b, n = b[order], n[order]
             new = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
             words, firsts, n = b[new], np.diff(np.append(new, len(b))), np.add.reduceat(n, new)
-            for at in range(0, len(words), 100_000):
-                cut = slice(at, at + 100_000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_range_of(words[cut], ranges)), pa.array(words[cut].view(np.int64)), pa.array(n[cut]), pa.array(firsts[cut].astype(np.int64))],
-                    names=["part", "word", "n", "firsts"])
+            yield from _blocks(_range_of(words, ranges), words, n, firsts.astype(np.int64))
 
-    return pairs.mapInArrow(write, "part int, word long, n long, firsts long")
+    return pairs.mapInArrow(write, "part int, a binary, b binary, c binary")
 
 
 def _write_words(words: DataFrame, folder: str) -> DataFrame:
     """Writes each range of the vocabulary; one row of sums for each."""
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, (w, n, firsts) in _groups(batches):
-            w = w.view(np.uint64)
+        for part, (w, n, firsts) in _groups(batches, np.uint64, np.int64, np.int64):
             order = np.argsort(w, kind="stable")
             w, n, firsts = w[order], n[order], firsts[order]
             new = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
@@ -210,8 +211,8 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     path = _local(folder)
     os.makedirs(path, exist_ok=True)
     texts = docs.select(F.col(text_col).cast("binary").alias("text"))
-    # four ranges for each partition of the input, so a range's size doesn't grow with the input
-    ranges = 4 * max(spark.sparkContext.defaultParallelism, texts.rdd.getNumPartitions())
+    # two ranges for each partition of the input, so a range's size doesn't grow with the input
+    ranges = 2 * max(spark.sparkContext.defaultParallelism, texts.rdd.getNumPartitions())
     pairs = _count_pairs(texts, ranges).repartition(ranges, "part")
     words = _write_pairs(pairs, path, ranges).repartition(ranges, "part")
     sums = _write_words(words, path).collect()  # one row for each range
@@ -324,7 +325,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str
     empty result; without training text all words are unknown and equally likely.
     """
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, scorer = Memo(xxhash.xxh64_intdigest), Scorer(model)
+        memo, scorer = Memo(xxhash.xxh64_intdigest, 300_000), Scorer(model)
         for batch in batches:
             last = batch.num_columns - 1
             out, held, size = [], [], 0
