@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.config import DEFAULT, Config
+from quire.session import cut_lineage
 from quire.functions.text import js_trim
 
 # --- fixed values: per-language line patterns ----------------------------------
@@ -267,7 +268,6 @@ def following_docstrings(lines: DataFrame, symbols: DataFrame) -> DataFrame:
 TYPE_KINDS = ("class", "interface", "struct", "enum")
 FUNCTION_KINDS = ("function", "method", "constructor")
 NAMESPACE_KINDS = ("namespace", "module")
-MAX_SYMBOL_DEPTH = 8
 VALID_HEADER_RE = r"(?m)^//\s+(TYPES|FUNCTIONS|IMPORTS|DEPENDENCIES)"
 VALID_COMPACT_RE = r"(?m)──\s*semantic|·\s*v1\.[0-9]|^\s*fn\s"
 
@@ -278,33 +278,28 @@ def symbol_class(kind: Column) -> Column:
             .when(k.isin(*NAMESPACE_KINDS), "namespace"))
 
 
-def outline_from_symbols(symbols: DataFrame, config: Config = DEFAULT,
-                         max_depth: int = MAX_SYMBOL_DEPTH) -> DataFrame:
+def outline_from_symbols(symbols: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """(path, class, ord, name, line_no, members, nested) for top-level symbols
     of ``symbols(path, id, parent_id, kind, name, line_no)``: grouped by kind
     class, private types/functions dropped together with everything below a
     private node, first ``outline_max_items`` per class, visible direct
     children and visible descendants counted.  Nesting is walked level by level
-    (one equi-join per level, up to ``max_depth``)."""
+    at any depth: each level is one equi-join with the symbols, checkpointed, until
+    a level is empty."""
     cap = config.clamped().outline_max_items
-    priv = F.col("name").startswith("_") | F.col("name").startswith("#")
+    priv = (F.col("name").startswith("_") | F.col("name").startswith("#")) & F.lit(not config.outline_include_private)
     s = symbols.select("path", "id", "parent_id", "kind", "name", "line_no")
     roots = s.where(F.col("parent_id").isNull()).withColumn("class", symbol_class(F.col("kind"))) \
         .where(F.col("class").isNotNull())
-    level = roots.select("path", "id", F.col("id").alias("root"), "class",
-                         (priv & (F.col("class") != "namespace") & F.lit(not config.outline_include_private)).alias("hidden"),
-                         F.lit(0).alias("depth"))
-    levels = [level]
-    for d in range(1, max_depth + 1):
-        level = (s.join(level.select("path", F.col("id").alias("parent_id"), "root", "class",
-                                     F.col("hidden").alias("ph")), ["path", "parent_id"])
-                 .select("path", "id", "root", "class",
-                         (F.col("ph") | (priv & (F.col("class") != "namespace")
-                                         & F.lit(not config.outline_include_private))).alias("hidden"),
-                         F.lit(d).alias("depth")))
-        levels.append(level)
-    from functools import reduce as _r
-    tree = _r(DataFrame.unionByName, levels)
+    level = cut_lineage(roots.select("path", "id", F.col("id").alias("root"), "class",
+                                     (priv & (F.col("class") != "namespace")).alias("hidden"), F.lit(0).alias("depth")))
+    tree = level
+    while not level.isEmpty():
+        above = level.select("path", F.col("id").alias("parent_id"), "root", "class", F.col("hidden").alias("above_hidden"), "depth")
+        level = cut_lineage(s.join(above, ["path", "parent_id"]).select(
+            "path", "id", "root", "class", (F.col("above_hidden") | (priv & (F.col("class") != "namespace"))).alias("hidden"),
+            (F.col("depth") + 1).alias("depth")))
+        tree = tree.unionByName(level)
     counts = tree.where(~F.col("hidden") & (F.col("depth") > 0)).groupBy("path", "root").agg(
         F.count_if(F.col("depth") == 1).alias("members"), F.count(F.lit(1)).alias("nested"))
     vis = tree.where(~F.col("hidden") & (F.col("depth") == 0)).select("path", F.col("id").alias("root"), "class") \

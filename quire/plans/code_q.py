@@ -184,7 +184,7 @@ tree AS (
   UNION ALL
   SELECT s.path, s.id, t.root, t.class,
          t.hidden OR ((starts_with(s.name, '_') OR starts_with(s.name, '#')) AND t.class <> 'namespace'), t.depth + 1
-  FROM s JOIN tree t ON s.path = t.path AND s.parent_id = t.id WHERE t.depth < {C.MAX_SYMBOL_DEPTH}),
+  FROM s JOIN tree t ON s.path = t.path AND s.parent_id = t.id),
 cnt AS (SELECT path, root, count_if(depth = 1) AS members, count(*) AS nested FROM tree WHERE NOT hidden AND depth > 0
         GROUP BY path, root),
 vis AS (SELECT t.path, t.root, t.class, s.name, s.line_no,

@@ -29,28 +29,27 @@ def text(c: str, p: str, k: str) -> str:
             f"WHEN 'object' THEN (CASE WHEN len(json_keys({c}, {p})) = 0 THEN '{{}}' ELSE '' END) ELSE {s} END")
 
 
-JP = "'$.\"' || key || '\"'"
-CP = "'$.\"' || key || '\".\"' || child || '\"'"
-IP = "'$.\"' || key || '\"[' || CAST(i AS VARCHAR) || ']'"
-
-
-@query("json_skeleton", duck_with("v_json") + f"""
-, ok AS (SELECT path, content FROM v_json WHERE json_valid(content) AND json_type(content) = 'OBJECT'),
-k AS (SELECT path, content, unnest(json_keys(content)) AS key, generate_subscripts(json_keys(content), 1) AS ord FROM ok),
-k2 AS (SELECT *, CASE WHEN {sens('key')} THEN 'redacted' ELSE {kind('content', JP)} END AS kind FROM k),
-l1 AS (SELECT path, 1 AS depth, ord, key AS key_path, kind,
-              CASE WHEN kind = 'redacted' THEN '[REDACTED]' ELSE {text('content', JP, 'kind')} END AS text FROM k2),
-c AS (SELECT path, content, key, unnest(json_keys(content, {JP})) AS child,
-             generate_subscripts(json_keys(content, {JP}), 1) AS ord FROM k2 WHERE kind = 'object'),
-c2 AS (SELECT *, CASE WHEN {sens('child')} THEN 'redacted' ELSE {kind('content', CP)} END AS kind FROM c),
-l2o AS (SELECT path, 2 AS depth, ord, key || '.' || child AS key_path, kind,
-               CASE WHEN kind = 'redacted' THEN '[REDACTED]' ELSE {text('content', CP, 'kind')} END AS text FROM c2),
-a AS (SELECT path, content, key, unnest(range(0, CAST(least(3, json_array_length(content, {JP})) AS BIGINT))) AS i
-      FROM k2 WHERE kind = 'array'),
-a2 AS (SELECT *, {kind('content', IP)} AS kind FROM a),
-l2a AS (SELECT path, 2 AS depth, i + 1 AS ord, key || '[' || CAST(i AS VARCHAR) || ']' AS key_path, kind,
-               CASE WHEN kind IN ('object', 'array') THEN '' ELSE {text('content', IP, 'kind')} END AS text FROM a2)
-SELECT * FROM l1 UNION ALL SELECT * FROM l2o UNION ALL SELECT * FROM l2a
+@query("json_skeleton", "WITH RECURSIVE " + duck_with("v_json")[5:] + f"""
+, ok AS (SELECT path, json(content) AS v FROM v_json WHERE json_valid(content)),
+node AS (
+  SELECT path, 0 AS depth, '' AS key_path, CAST(NULL AS VARCHAR) AS key, v, CAST(0 AS UBIGINT) AS first_id, CAST(1 AS BIGINT) AS last, false AS red FROM ok
+  UNION ALL
+  SELECT n.path, n.depth + 1, CASE WHEN n.key_path = '' THEN e.key ELSE n.key_path || '.' || e.key END, e.key, e.value,
+         min(e.id) OVER (PARTITION BY n.path, n.key_path, e.key), row_number() OVER (PARTITION BY n.path, n.key_path, e.key ORDER BY e.id DESC),
+         {sens('e.key')}
+  FROM node n, json_each(n.v) e WHERE json_type(n.v) = 'OBJECT' AND NOT n.red AND n.last = 1),
+live AS (SELECT *, CASE WHEN red THEN 'redacted' ELSE {kind('v', "'$'")} END AS kind,
+                substring(key_path, 1, greatest(0, length(key_path) - length(key) - 1)) AS up FROM node WHERE last = 1),
+placed AS (SELECT *, row_number() OVER (PARTITION BY path, depth, up ORDER BY first_id) AS ord FROM live),
+rows_ AS (SELECT path, depth, ord, key_path, kind, CASE WHEN kind = 'redacted' THEN '[REDACTED]' ELSE {text('v', "'$'", 'kind')} END AS text FROM placed
+          WHERE depth > 0 OR kind <> 'object' OR len(json_keys(v)) = 0),
+item AS (SELECT path, depth + 1 AS depth, key_path, json_extract(v, '$[' || CAST(i AS VARCHAR) || ']') AS v, i
+         FROM (SELECT *, unnest(range(0, CAST(least(3, json_array_length(v)) AS BIGINT))) AS i FROM placed WHERE kind = 'array') a),
+itemk AS (SELECT *, {kind('v', "'$'")} AS kind FROM item)
+SELECT path, depth, ord, key_path, kind, text FROM rows_
+UNION ALL
+SELECT path, depth, i + 1, key_path || '[' || CAST(i AS VARCHAR) || ']', kind,
+       CASE WHEN kind IN ('object', 'array') THEN '' ELSE {text('v', "'$'", 'kind')} END FROM itemk
 """)
 def json_skeleton(spark, sf):
     return finish(K.json_skeleton(derived(spark, sf, "v_json")))

@@ -4,7 +4,7 @@ Each input is one SQL text in the subset Spark SQL and DuckDB share, so the Spar
 job and its DuckDB oracle start from identical rows.  These builders only shape
 rows into the schema an operator expects; they do none of the operator's work.
 Placeholders ``{name}`` are the given tables (or other derived inputs);
-``OCTETS(x)`` is the UTF-8 byte length.
+``OCTETS(x)`` is the UTF-8 byte length, ``EACH(n)`` a row for each of 1 to n.
 """
 
 from __future__ import annotations
@@ -54,8 +54,8 @@ SELECT * FROM (VALUES (1, 1, '*.log'), (1, 2, '!f14.log'), (2, 1, 'node_modules/
 """)
 
 _d("v_log_lines", ("events",), """
-SELECT concat('u', CAST(user_id % 10 AS STRING), '.log') AS path,
-       CAST(row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) AS INT) AS line_no,
+SELECT concat('u', CAST(CAST(floor(event_id / 1000) AS BIGINT) AS STRING), '.log') AS path,
+       CAST(event_id % 1000 + 1 AS INT) AS line_no,
        CASE WHEN event_id % 20 = 0 THEN ''
             ELSE concat(CAST(event_id AS STRING), ' ',
                  CASE WHEN event_id % 9 = 0 THEN 'note '
@@ -67,7 +67,7 @@ SELECT concat('u', CAST(user_id % 10 AS STRING), '.log') AS path,
                       WHEN event_id % 7 = 0 THEN 'payment failed'
                       WHEN event_id % 29 = 0 THEN 'Worker CRASHED hard'
                       ELSE 'ok' END) END AS text
-FROM (SELECT event_id, user_id,
+FROM (SELECT event_id,
              CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'info'
                   WHEN 'click' THEN 'Debug' WHEN 'view' THEN 'WARN' ELSE 'WARNING' END AS lv
       FROM {events}) e
@@ -101,15 +101,15 @@ FROM {documents}
 
 
 _DIALECT = {
-    "spark": {"OCTETS": "octet_length({0})", "SHA256": "sha2({0}, 256)"},
-    "duckdb": {"OCTETS": "strlen({0})", "SHA256": "sha256({0})"},
+    "spark": {"OCTETS": "octet_length({0})", "SHA256": "sha2({0}, 256)", "EACH": "explode(sequence(1, {0}))"},
+    "duckdb": {"OCTETS": "strlen({0})", "SHA256": "sha256({0})", "EACH": "unnest(range(1, CAST({0} AS BIGINT) + 1))"},
 }
 
 
 def _macros(sql: str, dialect: str) -> str:
     """Expands ``NAME(args)`` macros (balanced parentheses) for the dialect."""
     out, i = [], 0
-    pat = re.compile(r"\b(OCTETS|SHA256)\(")
+    pat = re.compile(r"\b(OCTETS|SHA256|EACH)\(")
     while True:
         m = pat.search(sql, i)
         if not m:
@@ -257,43 +257,41 @@ SELECT path, CAST(rn + 1 AS INT) AS line_no,
                    '2024-01-', lpad(CAST(p_size % 28 + 1 AS STRING), 2, '0'), d,
                    CASE WHEN rn < 3 THEN concat('text', CAST(p_partkey AS STRING)) ELSE CAST(p_partkey AS STRING) END)
   END AS text
-FROM (SELECT p_partkey, p_name, p_size, concat('t', CAST(p_partkey % 20 AS STRING), '.csv') AS path,
-             CASE p_partkey % 4 WHEN 0 THEN ',' WHEN 1 THEN chr(9) WHEN 2 THEN ';' ELSE '|' END AS d,
-             row_number() OVER (PARTITION BY p_partkey % 20 ORDER BY p_partkey) AS rn
-      FROM {part}) p
+FROM (SELECT p_partkey, p_name, p_size, concat('t', CAST(f AS STRING), '.csv') AS path,
+             CASE f % 4 WHEN 0 THEN ',' WHEN 1 THEN chr(9) WHEN 2 THEN ';' ELSE '|' END AS d, p_partkey % 200 + 1 AS rn
+      FROM (SELECT *, CAST(floor(p_partkey / 200) AS BIGINT) AS f FROM {part}) q) p
 UNION ALL
 SELECT concat('t', CAST(k AS STRING), '.csv') AS path, 1 AS line_no,
   CASE k % 4 WHEN 0 THEN 'id,name,size,flag,day,mixed' WHEN 1 THEN concat('id', chr(9), 'name', chr(9), 'size', chr(9), 'flag', chr(9), 'day', chr(9), 'mixed')
        WHEN 2 THEN 'id;name;size;flag;day;mixed' ELSE 'id|name|size|flag|day|mixed' END AS text
-FROM (SELECT DISTINCT p_partkey % 20 AS k FROM {part}) h
+FROM (SELECT DISTINCT CAST(floor(p_partkey / 200) AS BIGINT) AS k FROM {part}) h
 """)
 
 _d("v_sheet_cells", ("part",), """
-WITH b AS (SELECT p_partkey, p_name, p_size, concat('w', CAST(p_partkey % 5 AS STRING), '.xlsx') AS path,
-                  concat('S', CAST(p_partkey % 2 AS STRING)) AS sheet,
-                  CAST(row_number() OVER (PARTITION BY p_partkey % 5, p_partkey % 2 ORDER BY p_partkey) AS INT) AS row_no
-           FROM {part})
-SELECT path, sheet, row_no, 0 AS ord, CAST(p_partkey AS STRING) AS value FROM b
-UNION ALL SELECT path, sheet, row_no, 1, p_name FROM b
-UNION ALL SELECT path, sheet, row_no, 2, concat(CAST(p_size AS STRING), CASE WHEN row_no % 5 = 0 THEN '.5' ELSE '' END) FROM b
-UNION ALL SELECT path, sheet, row_no, 3, CASE WHEN row_no % 3 = 0 THEN '' WHEN p_partkey % 2 = 0 THEN 'yes' ELSE 'no' END FROM b
-UNION ALL SELECT path, sheet, row_no, 4, concat(' 2024-02-', lpad(CAST(p_size % 28 + 1 AS STRING), 2, '0'), ' ') FROM b WHERE row_no % 4 <> 0
-UNION ALL SELECT DISTINCT path, sheet, 0, 0, 'id' FROM b
-UNION ALL SELECT DISTINCT path, sheet, 0, 1, 'name' FROM b
-UNION ALL SELECT DISTINCT path, sheet, 0, 2, 'size' FROM b
-UNION ALL SELECT DISTINCT path, sheet, 0, 3, 'flag' FROM b
-UNION ALL SELECT DISTINCT path, sheet, 0, 4, '' FROM b
+SELECT path, sheet, CASE WHEN o.ord < 5 THEN row_no ELSE 0 END AS row_no, CAST(o.ord % 5 AS INT) AS ord,
+       CASE o.ord WHEN 0 THEN CAST(p_partkey AS STRING) WHEN 1 THEN p_name
+         WHEN 2 THEN concat(CAST(p_size AS STRING), CASE WHEN row_no % 5 = 0 THEN '.5' ELSE '' END)
+         WHEN 3 THEN CASE WHEN row_no % 3 = 0 THEN '' WHEN p_partkey % 2 = 0 THEN 'yes' ELSE 'no' END
+         WHEN 4 THEN concat(' 2024-02-', lpad(CAST(p_size % 28 + 1 AS STRING), 2, '0'), ' ') ELSE o.head END AS value
+FROM (SELECT p_partkey, p_name, p_size, concat('w', CAST(CAST(floor(p_partkey / 400) AS BIGINT) AS STRING), '.xlsx') AS path,
+             concat('S', CAST(CAST(floor(p_partkey / 200) AS BIGINT) % 2 AS STRING)) AS sheet, CAST(p_partkey % 200 + 1 AS INT) AS row_no
+      FROM {part}) b
+JOIN (VALUES (0, ''), (1, ''), (2, ''), (3, ''), (4, ''), (5, 'id'), (6, 'name'), (7, 'size'), (8, 'flag'), (9, '')) AS o(ord, head)
+  ON (o.ord < 4 OR o.ord = 4 AND b.row_no % 4 <> 0 OR o.ord > 4 AND b.row_no = 1)
 """)
 
 _d("v_json", ("customer",), """
 SELECT concat('cfg/c', CAST(c_custkey AS STRING), '.json') AS path,
+  CASE WHEN c_custkey % 37 = 1 THEN concat('[', CAST(c_custkey AS STRING), ', {"a": 2}, "', c_name, '", null, [5]]')
+       WHEN c_custkey % 37 = 2 THEN concat('"', c_name, '"') WHEN c_custkey % 37 = 3 THEN '{}' ELSE
   concat('{"name": "', c_name, '", "api_token": "tok', CAST(c_custkey AS STRING), '", ',
          '"nested": {"Password": "p', CAST(c_custkey AS STRING), '", "n": ', CAST(c_nationkey AS STRING),
          ', "deep": {"x": 1}, "label": "', c_mktsegment, '"}, ',
          '"tags": [1, 2, 3, 4, 5], "items": [{"secret": "s"}, {"k": 1}], "nothing": null, ',
          '"active": ', CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'false' END, ', ',
-         '"long": "', repeat('ab', 75), '", "segment": "', c_mktsegment, '", "empty_list": [], "empty_obj": {}',
-         CASE WHEN c_custkey % 25 = 0 THEN '' ELSE '}' END) AS content
+         '"long": "', repeat('ab', 75), '", "segment": "', c_mktsegment, '", "empty_list": [], "empty_obj": {}, ',
+         '"it''s": {"a.b": {"c d": [[1, {"token": 2, "z": {"y": {"x": {"w": ', CAST(c_custkey AS STRING), '}}}}], "s", [], {}]}}, "name": "again"',
+         CASE WHEN c_custkey % 25 = 0 THEN '' ELSE '}' END) END AS content
 FROM {customer}
 """)
 
@@ -302,12 +300,14 @@ _YAML_LINES = [
     "segment: '{S}'", "url: http://x.example/{C}", "parent:", "  child_{C}: 1", "hex: 0x1F",
     'name: "dup {C}"', "", "db_password = secret{C}", "{N}: numeric key",
 ]
-_d("v_yaml", ("customer",), "\nUNION ALL\n".join(
-    f"""SELECT concat('cfg/y', CAST(CAST(floor(c_custkey / 30) AS BIGINT) AS STRING), '.yaml') AS path,
-       CAST(c_custkey % 30 * 14 + {off + 1} AS INT) AS line_no,
-       replace(replace(replace('{tmpl.replace("'", "''")}', '{{C}}', CAST(c_custkey AS STRING)), '{{S}}', c_mktsegment),
+_YAML_VALUES = ", ".join("({}, '{}')".format(off, tmpl.replace("'", "''")) for off, tmpl in enumerate(_YAML_LINES))
+_d("v_yaml", ("customer",), f"""
+SELECT concat('cfg/y', CAST(CAST(floor(c_custkey / 30) AS BIGINT) AS STRING), '.yaml') AS path,
+       CAST(c_custkey % 30 * 14 + t.off + 1 AS INT) AS line_no,
+       replace(replace(replace(t.tmpl, '{{C}}', CAST(c_custkey AS STRING)), '{{S}}', c_mktsegment),
                '{{N}}', CAST(c_nationkey AS STRING)) AS text
-FROM {{customer}}""" for off, tmpl in enumerate(_YAML_LINES)))
+FROM {{customer}} CROSS JOIN (VALUES {_YAML_VALUES}) AS t(off, tmpl)
+""")
 
 _d("v_selections", ("v_files",), """
 SELECT project, rel_path AS sel FROM {v_files} WHERE doc_id % 50 = 7
@@ -374,36 +374,27 @@ FROM {events}
 """)
 
 _d("v_slides", ("conversations",), """
-SELECT conv_id AS doc_id, CAST(turn + 1 AS INT) AS slide_no, 0 AS seq, 'title' AS field, substring(text, 1, 30) AS text
+SELECT conv_id AS doc_id, CAST(turn + 1 AS INT) AS slide_no, 0 AS seq, 'title' AS field, text
 FROM {conversations} WHERE role = 'user' AND turn % 3 = 0
-UNION ALL SELECT conv_id, CAST(turn + 1 AS INT), 1, 'text', text FROM {conversations} WHERE role = 'assistant' AND turn % 2 = 1
-UNION ALL SELECT conv_id, CAST(turn + 1 AS INT), 2, 'content', upper(substring(text, 1, 20)) FROM {conversations}
+UNION ALL SELECT conv_id, CAST(turn + 1 AS INT), 1, 'text', text FROM {conversations} WHERE role = 'assistant'
+UNION ALL SELECT conv_id, CAST(turn + 1 AS INT), 2, 'content', upper(text) FROM {conversations}
   WHERE role = 'assistant' AND conv_id % 4 = 0
-UNION ALL SELECT conv_id, CAST(turn + 1 AS INT), 11, 'element', split_part(text, chr(10), 1) FROM {conversations}
-  WHERE role = 'user' AND split_part(text, chr(10), 1) <> ''
-UNION ALL SELECT conv_id, CAST(turn + 1 AS INT), 12, 'element', split_part(text, chr(10), 2) FROM {conversations}
-  WHERE role = 'user' AND split_part(text, chr(10), 2) <> ''
-UNION ALL SELECT conv_id, CAST(turn + 1 AS INT), 13, 'element', concat('  ', split_part(text, chr(10), 3), '  ') FROM {conversations}
-  WHERE role = 'user' AND split_part(text, chr(10), 3) <> ''
-UNION ALL SELECT conv_id, CAST(turn + 1 AS INT), 14, 'element', '' FROM {conversations} WHERE role = 'system'
+UNION ALL SELECT conv_id, CAST(turn + 1 AS INT), CAST(10 + i AS INT), 'element', concat(CASE WHEN i % 3 = 0 THEN '  ' ELSE '' END, split_part(text, chr(10), CAST(i AS INT)))
+  FROM (SELECT conv_id, turn, text, EACH(length(text) - length(replace(text, chr(10), '')) + 1) AS i FROM {conversations} WHERE role = 'user') u
+UNION ALL SELECT conv_id, CAST(turn + 1 AS INT), 11, 'element', '' FROM {conversations} WHERE role = 'system'
 """)
 
+# (number, number of the parent, kind, beginning of the name, which parts have it); 8 to 19 nest
+# ever deeper
+_SYMBOLS = [(1, 0, "class", "Item", "TRUE"), (2, 1, "method", "run", "TRUE"), (3, 1, "method", "_hidden", "TRUE"), (4, 3, "function", "inner", "TRUE"),
+            (5, 0, "function", "helper", "p_partkey % 5 <> 0"), (20, 0, "function", "#priv", "p_partkey % 5 = 0"), (6, 2, "method", "deep", "p_partkey % 3 = 0"),
+            (7, 0, "namespace", "_ns", "p_partkey % 7 = 0"), *((n, n - 1 if n > 8 else 2, "function", f"level{n - 7}of", "p_partkey % 11 = 0") for n in range(8, 20))]
 _d("v_symbols", ("part",), """
-SELECT concat('sym/f', CAST(p_partkey % 50 AS STRING), '.ts') AS path, p_partkey * 10 + 1 AS id, CAST(NULL AS BIGINT) AS parent_id,
-       'class' AS kind, concat('Item', CAST(p_partkey AS STRING)) AS name, CAST(p_partkey * 20 + 1 AS INT) AS line_no FROM {part}
-UNION ALL SELECT concat('sym/f', CAST(p_partkey % 50 AS STRING), '.ts'), p_partkey * 10 + 2, p_partkey * 10 + 1, 'method',
-       concat('run', CAST(p_partkey AS STRING)), CAST(p_partkey * 20 + 2 AS INT) FROM {part}
-UNION ALL SELECT concat('sym/f', CAST(p_partkey % 50 AS STRING), '.ts'), p_partkey * 10 + 3, p_partkey * 10 + 1, 'method',
-       concat('_hidden', CAST(p_partkey AS STRING)), CAST(p_partkey * 20 + 3 AS INT) FROM {part}
-UNION ALL SELECT concat('sym/f', CAST(p_partkey % 50 AS STRING), '.ts'), p_partkey * 10 + 4, p_partkey * 10 + 3, 'function',
-       concat('inner', CAST(p_partkey AS STRING)), CAST(p_partkey * 20 + 4 AS INT) FROM {part}
-UNION ALL SELECT concat('sym/f', CAST(p_partkey % 50 AS STRING), '.ts'), p_partkey * 10 + 5, CAST(NULL AS BIGINT), 'function',
-       CASE WHEN p_partkey % 5 = 0 THEN concat('#priv', CAST(p_partkey AS STRING)) ELSE concat('helper', CAST(p_partkey AS STRING)) END,
-       CAST(p_partkey * 20 + 5 AS INT) FROM {part}
-UNION ALL SELECT concat('sym/f', CAST(p_partkey % 50 AS STRING), '.ts'), p_partkey * 10 + 6, p_partkey * 10 + 2, 'method',
-       concat('deep', CAST(p_partkey AS STRING)), CAST(p_partkey * 20 + 6 AS INT) FROM {part} WHERE p_partkey % 3 = 0
-UNION ALL SELECT concat('sym/f', CAST(p_partkey % 50 AS STRING), '.ts'), p_partkey * 10 + 7, CAST(NULL AS BIGINT), 'namespace',
-       concat('_ns', CAST(p_partkey AS STRING)), CAST(p_partkey * 20 + 7 AS INT) FROM {part} WHERE p_partkey % 7 = 0
+SELECT concat('sym/f', CAST(CAST(floor(p_partkey / 40) AS BIGINT) AS STRING), '.ts') AS path, p_partkey * 32 + t.off AS id,
+       CASE WHEN t.up > 0 THEN p_partkey * 32 + t.up END AS parent_id, t.kind AS kind, concat(t.start, CAST(p_partkey AS STRING)) AS name,
+       CAST(p_partkey * 32 + t.off AS INT) AS line_no
+FROM {part} JOIN (VALUES """ + ", ".join(f"({n}, {up}, '{kind}', '{start}')" for n, up, kind, start, _ in _SYMBOLS) + """) AS t(off, up, kind, start)
+  ON CASE t.off """ + " ".join(f"WHEN {n} THEN {when}" for n, _, _, _, when in _SYMBOLS) + """ END
 """)
 
 _d("v_outline_store", ("v_files",), """
