@@ -17,8 +17,6 @@ DEFAULT_BINARY_PATTERNS = (
     "*.mp4", "*.wav", "*.avi", "*.mov", "*.zip", "*.tar", "*.gz", "*.exe", "*.dll",
     "*.so", "*.dylib", "*.woff", "*.woff2", "*.ttf", "*.eot", "*.bin", "*.dat",
 )
-IGNORE_FILE_NAME = ".aicontextignore"
-TEMPLATES_DIR = ".ai_context_templates"
 SECTION_SEPARATOR = "// ═══════════════════════════════════════"
 TREE_VERTICAL, TREE_HORIZONTAL, TREE_BRANCH, TREE_CORNER = "│", "─", "├", "└"
 FILE_EMOJI, FOLDER_EMOJI, WARNING_EMOJI, BINARY_EMOJI = "📄", "📁", "⚠️", "🖼️"
@@ -38,7 +36,7 @@ class Config:
     auto_detect_language: bool = True
     ignore_patterns: tuple = DEFAULT_IGNORE_PATTERNS
     binary_file_patterns: tuple = DEFAULT_BINARY_PATTERNS
-    output_file_name: str = "ai-context.md"
+    ignore_file_name: str = ".contextignore"
     show_tree_emoji: bool = True
     token_estimation: str = "tiktoken"
     outline_detail: str = "standard"
@@ -49,15 +47,16 @@ class Config:
     extra: dict = field(default_factory=dict, compare=False)
 
     def clamped(self) -> "Config":
-        """Clamp numeric settings to their valid ranges."""
+        """Clamp numeric settings to their valid ranges; 0 stands for the default
+        where a size cannot be 0."""
         return replace(
             self,
-            max_file_size=max(1, int(self.max_file_size)),
-            max_tokens=max(1, int(self.max_tokens)),
-            text_preview_length=max(1, int(self.text_preview_length)),
-            log_sample_lines=max(0, int(self.log_sample_lines)),
-            csv_sample_rows=max(0, int(self.csv_sample_rows)),
-            outline_max_items=min(200, max(10, int(self.outline_max_items))),
+            max_file_size=max(1, int(self.max_file_size or Config.max_file_size)),
+            max_tokens=max(1, int(self.max_tokens or Config.max_tokens)),
+            text_preview_length=max(1, int(self.text_preview_length or Config.text_preview_length)),
+            log_sample_lines=max(0, int(self.log_sample_lines or 0)),
+            csv_sample_rows=max(0, int(self.csv_sample_rows or 0)),
+            outline_max_items=min(200, max(10, int(self.outline_max_items or Config.outline_max_items))),
             outline_detail=self.outline_detail
             if self.outline_detail in ("basic", "standard", "detailed") else "standard",
         )

@@ -8,9 +8,7 @@ and RE2 accept (``\\x{..}``) so the same class text appears in the oracle SQL.
 from __future__ import annotations
 
 import uuid
-from decimal import ROUND_HALF_UP, Decimal
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,12 +17,13 @@ from quire.session import ensure_checkpoint_dir
 # --- fixed values -------------------------------------------------------------
 # JavaScript's \s and String.prototype.trim() set.
 WS = r"[\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+JS_WS = "".join(map(chr, [*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 # ASCII word character (JavaScript \w, RE2 \w).
 WORD = "[A-Za-z0-9_]"
 # -----------------------------------------------------------------------------
 
 __all__ = [
-    "WS", "WORD", "js_trim", "collapse_ws", "is_blank", "utf16_len", "explode_lines",
+    "WS", "JS_WS", "WORD", "js_trim", "collapse_ws", "is_blank", "utf16_len", "explode_lines",
     "format_size", "format_tokens", "format_fixed1", "truncate", "lit_array", "explode_rows", "format_percent", "rank_within", "number_within",
 ]
 
@@ -77,18 +76,15 @@ def format_size(bytes_col) -> Column:
             .otherwise(F.concat(b.cast("string"), F.lit("B"))))
 
 
-def _to_fixed1(x: float) -> str:
-    # JavaScript toFixed(1): the exact binary value decides, ties go up.
-    return str(Decimal(x).quantize(Decimal("0.1"), rounding=ROUND_HALF_UP))
-
-
-def _fixed1_series(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: None if pd.isna(v) else _to_fixed1(float(v)))
-
-
 def format_fixed1(c) -> Column:
-    """Render-time only: exact ``toFixed(1)`` of a double (Arrow-batched)."""
-    return F.pandas_udf(_fixed1_series, "string")(c)
+    """JavaScript ``toFixed(1)`` of a double from 0 below 2^53: the exact binary
+    value decides, ties go up.  The fraction times 2^58 is a whole number for
+    every value that does not round to 0.0 anyway, so integers decide."""
+    x = c.cast("double")
+    whole = F.floor(x).cast("long")
+    part = ((x - whole) * F.lit(float(1 << 58))).cast("long")
+    tenths = whole * 10 + F.shiftright(part * 10 + F.lit(1 << 57), 58)
+    return F.concat((tenths / 10).cast("long").cast("string"), F.lit("."), (tenths % 10).cast("string"))
 
 
 def format_tokens(count_col) -> Column:

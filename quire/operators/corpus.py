@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.config import DEFAULT, Config
+from quire.functions.text import JS_WS, js_trim, rank_within
 
 # --- fixed values -------------------------------------------------------------
 LANGUAGES = {  # language id -> (aliases, extensions)
@@ -228,7 +229,7 @@ def clean_rules(lines: list[str]) -> list[str]:
     """Blank and comment lines dropped, trimmed (gitignore file syntax)."""
     out = []
     for raw in lines:
-        t = raw.strip()
+        t = raw.strip(JS_WS)
         if t and not t.startswith("#"):
             out.append(t)
     return out
@@ -236,12 +237,14 @@ def clean_rules(lines: list[str]) -> list[str]:
 
 def compile_rule(pattern: str) -> tuple[bool, bool, str] | None:
     """gitignore pattern -> (negated, dir_only, regex over the relative path)."""
-    p = pattern.strip()
+    p = pattern.strip(JS_WS)
     if not p or p.startswith("#"):
         return None
     neg = p.startswith("!")
     if neg:
         p = p[1:]
+    if p.startswith(("\\!", "\\#")):  # an escaped first character is itself
+        p = p[1:]
     dir_only = p.endswith("/")
     p = p.rstrip("/")
     if not p:
@@ -321,12 +324,11 @@ def rules_of(df: DataFrame, limit: int = MAX_RULES) -> list[str]:
 def merge_rules(*layers: DataFrame) -> DataFrame:
     """(pattern): blank and comment lines dropped, trimmed, union of the layers,
     de-duplicated, sorted."""
-    u = reduce(DataFrame.unionByName, [l.select(F.trim("pattern").alias("pattern")) for l in layers])
+    u = reduce(DataFrame.unionByName, [l.select(js_trim("pattern").alias("pattern")) for l in layers])
     return u.where((F.col("pattern") != "") & ~F.col("pattern").startswith("#")).distinct()
 
 
 def path_sort(files: DataFrame) -> DataFrame:
     """Adds ``rank``: locale-aware path order (ICU root collation) within the
     project, numbered by range partitions so a huge project is not one task."""
-    from quire.functions.text import rank_within
     return rank_within(files, "project", [F.collate("rel_path", "UNICODE"), F.col("rel_path")])

@@ -36,7 +36,6 @@ $DIR_TREE
 $FILE_CONTENTS"""
 BODY_HEAD = "# Project Structure\n"
 BODY_MID = "\n\n# File Contents\n"
-EMPTY_DOCUMENT = "# AI Context\n\nNo files found."
 # -----------------------------------------------------------------------------
 
 

@@ -61,7 +61,14 @@ def log_level_samples(spark, sf):
     return logs.level_samples(_lines(spark, sf)).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("format_percent")
+@query("format_percent", W + f"""
+, lv AS (SELECT path, upper(regexp_extract(text, '{LEVEL}', 1)) AS level FROM v_log_lines),
+per AS (SELECT path, level, count(*) AS n FROM lv WHERE level <> '' GROUP BY path, level),
+tot AS (SELECT path, count(*) AS total_lines FROM v_log_lines GROUP BY path),
+p AS (SELECT per.path, level, n, total_lines, CAST(n AS DOUBLE) / CAST(total_lines AS DOUBLE) * 100 AS x FROM per JOIN tot ON per.path = tot.path)
+SELECT path, level, n, total_lines,
+       CASE WHEN x * 4 = floor(x * 4) AND CAST(x * 4 AS BIGINT) % 2 = 1 THEN printf('%.1f', x + 0.01) ELSE printf('%.1f', x) END AS pct_text FROM p
+""")
 def format_percent_q(spark, sf):
     from quire.functions.text import format_percent
     d = logs.level_distribution(_lines(spark, sf))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.config import IGNORE_FILE_NAME
+from quire.config import DEFAULT
 
 MAX_DEPTH = 100
 HEAD = 65536
@@ -28,7 +28,7 @@ def corpus_scan(spark: SparkSession, root: str, with_content: bool = False) -> D
     if with_content:
         cols.append("content")
     out = df.select(*cols)
-    return out.where((F.col("name") != IGNORE_FILE_NAME) & (F.col("depth") <= MAX_DEPTH))
+    return out.where((F.col("name") != DEFAULT.ignore_file_name) & (F.col("depth") <= MAX_DEPTH))
 
 
 def text_decode(scanned: DataFrame) -> DataFrame:

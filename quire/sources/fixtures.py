@@ -47,10 +47,14 @@ FROM (
   FROM {documents}) t
 """)
 
-_d("v_rules", (), """
-SELECT * FROM (VALUES (1, 1, '*.log'), (1, 2, '!f14.log'), (2, 1, 'node_modules/**'),
-  (2, 2, 'build/'), (3, 1, '/src1/en/f1*.md'), (3, 2, '**/f2?.txt'), (3, 3, '# comment'),
-  (3, 4, ''), (3, 5, 'de/'), (3, 6, '!de/f4*.txt')) AS r(layer, ord, pattern)
+# rules of three layers; those with {L} stand there for each language of the documents
+_d("v_rules", ("documents",), """
+SELECT t.layer AS layer, t.ord * 10 + d.k AS ord, replace(t.pattern, '{L}', d.lang) AS pattern
+FROM (VALUES (1, 1, '*.log'), (1, 2, '!f14.log'), (2, 1, 'node_modules/**'), (2, 2, 'build/'), (3, 1, '/src1/en/f1*.md'), (3, 2, '**/f2?.txt'),
+  (3, 3, '# comment'), (3, 4, ''), (3, 5, '{L}/f3*.csv'), (3, 6, '!{L}/f33*.csv'), (3, 7, concat('*.log', chr(13))), (3, 8, concat(chr(9), '# c')),
+  (3, 9, concat(chr(92), '!note.txt')), (3, 10, '!f14.log'), (3, 11, 'de/'), (3, 12, '!de/f4*.txt')) AS t(layer, ord, pattern)
+JOIN (SELECT lang, CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 WHEN 'fr' THEN 3 ELSE 4 END AS k FROM {documents} GROUP BY lang) d
+  ON t.pattern LIKE '%{L}%' OR d.lang = 'en'
 """)
 
 _d("v_log_lines", ("events",), """
@@ -316,12 +320,14 @@ UNION ALL SELECT DISTINCT project, 'de/' AS sel FROM {v_files} WHERE doc_id % 5
 UNION ALL SELECT project, rel_path AS sel FROM {v_files} WHERE doc_id % 97 = 3 AND rel_path LIKE 'en/%'
 """)
 
-_d("v_templates", (), """
-SELECT * FROM (VALUES
+_d("v_templates", ("documents",), """
+SELECT t.name AS name, t.body AS body FROM (VALUES
   ('brief', concat('# $PROJECT_NAME', chr(10), 'Files: $FILE_COUNT ($OUTLINE_COUNT as outline), ~$TOKEN_COUNT of $TOKEN_LIMIT',
                    chr(10), '$FILE_LIST', chr(10), 'Unknown: $MISSING_VAR', chr(10), 'Scope: $SCOPE')),
   ('treeonly', concat('$DIR_TREE', chr(10), '---', chr(10), '$PROJECT_NAME at $TIMESTAMP'))
 ) AS t(name, body)
+UNION ALL
+SELECT concat('docs_', lang), concat('# $PROJECT_NAME (', lang, ', ', CAST(count(*) AS STRING), ' documents)', chr(10), '$FILE_LIST') FROM {documents} GROUP BY lang
 """)
 
 _d("v_media", ("part",), """

@@ -11,6 +11,7 @@ stopped.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from quire.functions.text import explode_lines
@@ -24,7 +25,10 @@ def _outline_batch(spark: SparkSession, batch: DataFrame, store: str, options: s
     files = batch.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
     try:
         done = spark.read.parquet(store).select("key")
-    except Exception:  # noqa: BLE001 - first batch: no store yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        # the first batch: no store yet
         done = spark.createDataFrame([], "key string")
     todo = C.outline_incremental(files, done, options)
     lines = explode_lines(todo.select("path", "key", "content"), "content") \
