@@ -94,12 +94,11 @@ def _scan_one(ext: str, head: bytes, tail: bytes) -> tuple:
     w = h = d = entries = tables = None
     family = None
     if ext in (".jpg", ".jpeg"):
-        for i in range(0, max(0, len(head) - 10)):
-            if head[i] == 0xFF and head[i + 1] in (0xC0, 0xC2):
-                h = int.from_bytes(head[i + 5:i + 7], "big")
-                w = int.from_bytes(head[i + 7:i + 9], "big")
-                d = head[i + 4]
-                break
+        i = min((k for k in (head.find(b"\xff\xc0"), head.find(b"\xff\xc2")) if k >= 0), default=len(head))
+        if i < len(head) - 10:
+            h = int.from_bytes(head[i + 5:i + 7], "big")
+            w = int.from_bytes(head[i + 7:i + 9], "big")
+            d = head[i + 4]
     elif ext == ".zip":
         # end-of-central-directory signature 50 4B 05 06 (the original list reversed it)
         k = tail.rfind(b"PK\x05\x06")

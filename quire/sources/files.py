@@ -1,62 +1,141 @@
-"""File-system sources and sinks: recursive scan, text decode, header bytes, ordered write."""
+"""File-system sources and sinks: recursive scan, text decode, header bytes, ordered write.
+
+Folders are listed and files are read in tasks, through the file system that the root's address
+names (a plain path, file:, hdfs:, s3:, gs: ...), so names that start with ``.`` or ``_`` are kept
+and nothing but the root is known to the driver.
+"""
 
 from __future__ import annotations
 
 import os
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.config import DEFAULT
+from quire.config import DEFAULT, Config
+from quire.operators.corpus import compile_rule, rule_decision
+from quire.session import cut_lineage
 
 MAX_DEPTH = 100
 HEAD = 65536
 
+SCAN_SCHEMA = "path string, rel_path string, name string, kind string, size long, mtime timestamp, depth int"
+
+
+def open_folder(root: str) -> tuple[fs.FileSystem, str]:
+    """The file system of an address and the path inside it."""
+    found, path = fs.FileSystem.from_uri(root.rstrip("/") if "://" in root or root.startswith("/") else root.replace("file:", "file://", 1))
+    return found, path.rstrip("/")
+
+
+def _list_folders(root: str):
+    def run(it):
+        store, base = open_folder(root)
+        for pdf in it:
+            rows = []
+            for rel, depth in zip(pdf["rel_path"], pdf["depth"]):
+                try:
+                    found = store.get_file_info(fs.FileSelector(f"{base}/{rel}" if rel else base))
+                except OSError:  # a folder that cannot be listed
+                    rows.append((f"{base}/{rel}", rel, os.path.basename(rel), "skipped", None, None, depth))
+                    continue
+                for i in found:
+                    kind = {fs.FileType.File: "file", fs.FileType.Directory: "dir"}.get(i.type)
+                    if kind:
+                        rows.append((i.path, f"{rel}/{i.base_name}" if rel else i.base_name, i.base_name, kind,
+                                     i.size if kind == "file" else None, i.mtime, depth + 1))
+            yield pd.DataFrame(rows, columns=["path", "rel_path", "name", "kind", "size", "mtime", "depth"])
+    return run
+
+
+def corpus_scan(spark: SparkSession, root: str, rules: list[str] | None = None, config: Config = DEFAULT) -> DataFrame:
+    """(path, rel_path, name, kind, size, mtime, depth): a row of kind ``file`` or
+    ``dir`` for everything under ``root`` down to 100 levels, and of kind
+    ``skipped`` for what the ignore ``rules`` hide (a hidden folder is not
+    entered) and for folders that cannot be listed.  The ignore file itself has no
+    row.  Folders are listed level by level, each level in parallel."""
+    compiled = [c for c in (compile_rule(r) for r in rules or []) if c]
+    level = spark.createDataFrame([("", 0)], "rel_path string, depth int")
+    out = None
+    while True:
+        spread = level.repartition(max(1, min(level.count(), spark.sparkContext.defaultParallelism * 4)), "rel_path")
+        found = spread.mapInPandas(_list_folders(root), SCAN_SCHEMA).where(F.col("name") != config.ignore_file_name)
+        if compiled:
+            hidden = F.coalesce(rule_decision(compiled, F.col("rel_path"), F.col("kind") == "dir"), F.lit(False))
+            found = found.withColumn("kind", F.when(hidden, "skipped").otherwise(F.col("kind")))
+        found = cut_lineage(found)
+        out = found if out is None else out.unionByName(found)
+        level = found.where((F.col("kind") == "dir") & (F.col("depth") < MAX_DEPTH)).select("rel_path", "depth")
+        if level.isEmpty():
+            return out
+
+
+def _read(root: str, part):
+    """Adds what ``part(file, size)`` reads of each file; one that cannot be read gives its error."""
+    def run(it):
+        store, _ = open_folder(root)
+        for pdf in it:
+            for i in range(len(pdf)):
+                row = pdf.iloc[[i]].copy()
+                try:
+                    with store.open_input_file(row["path"].iloc[0]) as f:
+                        columns, error = part(f, f.size()), None
+                except OSError as e:
+                    columns, error = part(None, 0), str(e)
+                for name, value in columns.items():
+                    row[name] = [value]
+                row["error"] = [error]
+                yield row
+    return run
+
+
+def _whole(f, size):
+    return {"content": f.read() if f else b""}
+
+
+def _ends(n):
+    def part(f, size):
+        if not f:
+            return {"head": b"", "tail": b""}
+        head = f.read_at(min(n, size), 0)
+        return {"head": head, "tail": f.read_at(min(n, size), max(0, size - n))}
+    return part
+
 
-def corpus_scan(spark: SparkSession, root: str, with_content: bool = False) -> DataFrame:
-    """(path, rel_path, name, size, mtime, depth[, content]) for every file under
-    ``root``: the ignore file itself is dropped and depth is capped at 100.
-    Without ``with_content`` the plan never reads file bodies (column pruning)."""
-    root = root.rstrip("/")
-    df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-          .option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(root))
-    rel = F.regexp_replace(F.regexp_replace("path", r"^file:", ""), "^" + root.replace(".", r"\.") + "/", "")
-    cols = ["path", rel.alias("rel_path"), F.element_at(F.split(rel, "/"), -1).alias("name"),
-            F.col("length").alias("size"), F.col("modificationTime").alias("mtime"),
-            F.size(F.split(rel, "/")).alias("depth")]
-    if with_content:
-        cols.append("content")
-    out = df.select(*cols)
-    return out.where((F.col("name") != DEFAULT.ignore_file_name) & (F.col("depth") <= MAX_DEPTH))
+def _files(scanned: DataFrame) -> DataFrame:
+    return scanned.where("kind = 'file'").select("path", "rel_path", "size").repartition("path")
 
 
-def text_decode(scanned: DataFrame) -> DataFrame:
-    """Adds ``text``: UTF-8 with invalid sequences replaced (never fails), and
-    ``head`` (first 1 KiB, for the NUL sniff)."""
-    return scanned.withColumn("text", F.make_valid_utf8(F.col("content").cast("string"))) \
-        .withColumn("head", F.substring("content", 1, 1024))
+def text_decode(scanned: DataFrame, root: str) -> DataFrame:
+    """(path, rel_path, size, text, head, error) of the files of a scan: UTF-8 with
+    invalid sequences replaced, and the first 1 KiB (for the NUL sniff).  A file
+    that cannot be read has size 0 and an error line as its text."""
+    read = _files(scanned).mapInPandas(_read(root, _whole), "path string, rel_path string, size long, content binary, error string")
+    text = F.when(F.col("error").isNotNull(), F.concat(F.lit("// Error reading file: "), F.col("error"))) \
+        .otherwise(F.make_valid_utf8(F.col("content").cast("string")))
+    return read.select("path", "rel_path", F.when(F.col("error").isNull(), F.col("size")).otherwise(0).alias("size"), text.alias("text"),
+                       F.substring("content", 1, 1024).alias("head"), "error")
 
 
-def head_tail(scanned: DataFrame, n: int = HEAD) -> DataFrame:
-    """(path, size, head, tail): the first and last ``n`` bytes only."""
-    c = F.col("content")
-    return scanned.select("path", "size", F.substring(c, 1, n).alias("head"),
-                          F.when(F.length(c) > n, F.substring(c, -n, n)).otherwise(c).alias("tail"))
+def head_tail(scanned: DataFrame, root: str, n: int = HEAD) -> DataFrame:
+    """(path, size, head, tail): only the first and last ``n`` bytes are read."""
+    return _files(scanned).mapInPandas(_read(root, _ends(n)), "path string, rel_path string, size long, head binary, tail binary, error string")
 
 
 def materialise(files: DataFrame, root: str) -> None:
     """Writes ``files(path, content)`` under ``root`` (a shared folder), one file
     per row, from the executors (stand-in corpus for scan tests)."""
     def write(it):
+        store, base = open_folder(root)
         for pdf in it:
             for p, c in zip(pdf["path"], pdf["content"]):
-                full = os.path.join(root, p)
-                os.makedirs(os.path.dirname(full), exist_ok=True)
-                with open(full, "wb") as fh:
-                    fh.write(c if isinstance(c, (bytes, bytearray)) else str(c or "").encode("utf-8"))
+                store.create_dir(os.path.dirname(f"{base}/{p}"), recursive=True)
+                with store.open_output_stream(f"{base}/{p}") as f:
+                    f.write(c if isinstance(c, (bytes, bytearray)) else str(c or "").encode("utf-8"))
             yield pd.DataFrame({"n": [len(pdf)]})
-    files.select("path", "content").mapInPandas(write, "n long").agg(F.sum("n")).collect()
+    files.select("path", "content").mapInPandas(write, "n long").write.format("noop").mode("overwrite").save()
 
 
 def write_context(doc_rows: DataFrame, out_dir: str, partitions: int | None = None) -> None:
