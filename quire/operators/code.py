@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quire.config import DEFAULT, Config
 from quire.session import cut_lineage
-from quire.functions.text import js_trim
+from quire.functions.text import js_trim, number_within
 
 # --- fixed values: per-language line patterns ----------------------------------
 # Each entry is (pattern, excluded_prefix): a line matches when it matches the
@@ -110,7 +110,6 @@ def code_structure(lines: DataFrame) -> DataFrame:
         elif kind == "function":
             cond = cond & ~F.col("t").startswith("//") & ~F.col("t").startswith("*")
         rows.append(t.where(cond).select("path", F.lit(kind).alias("kind"), "line_no", "t"))
-    from quire.functions.text import number_within
     out = []
     for kind, df in zip(KINDS, rows):
         cap = STRUCTURE_CAPS[kind]
@@ -201,7 +200,6 @@ def leading_docs(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     lines); the line above a symbol is found by an equi-join on the rank among
     non-blank lines.  All ranks are range-partitioned, so a huge file is not one
     task, and nothing is a range join."""
-    from quire.functions.text import number_within
     t = lines.select("path", "line_no", js_trim("text").alias("t"))
     t = t.withColumn("c", comment_text(F.col("t")))
     allr = number_within(t, "path", "line_no", name="r_all")
@@ -226,33 +224,33 @@ def leading_docs(lines: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def following_docstrings(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     """(path, line_no, doc): a triple-quoted string starting on the first
-    non-blank line after a type/function line, up to its closing quote, trimmed
-    parts joined by spaces, cut to 160.  Lines are owned by the nearest symbol
-    above them, so the search is an equi-join on that owner."""
-    from quire.functions.text import number_within
-    sym = symbols.where(F.col("kind") != "import").select("path", F.col("line_no").alias("s")).distinct()
-    t = lines.select("path", "line_no", js_trim("text").alias("t")) \
-        .join(sym.select("path", F.col("s").alias("line_no"), F.lit(True).alias("is_sym")), ["path", "line_no"], "left") \
-        .withColumn("is_sym", F.coalesce("is_sym", F.lit(False)))
-    # symbols at or above a line = rank among all lines - rank among its own class
-    # (for non-symbol lines); the owner is the symbol with that rank (equi-join)
-    r = number_within(t, "path", "line_no", name="r_all")
-    r = number_within(r, ["path", "is_sym"], "line_no", name="r_cls")
-    r = r.withColumn("n_sym", F.when(F.col("is_sym"), F.col("r_cls")).otherwise(F.col("r_all") - F.col("r_cls")))
-    owners = r.where("is_sym").select("path", F.col("r_cls").alias("n_sym"), F.col("line_no").alias("owner"))
-    t = r.join(owners, ["path", "n_sym"]).select("path", "line_no", "t", "owner")
-    body = t.where(F.col("line_no") > F.col("owner"))
-    opener = (body.where(F.col("t") != "").groupBy("path", "owner").agg(F.min_by(F.struct("line_no", "t"), "line_no").alias("o"))
-              .select("path", "owner", F.col("o.line_no").alias("q"), F.col("o.t").alias("qt")))
+    non-blank line after a type/function line, up to its closing quote (also past
+    lines that look like symbols), trimmed parts joined by spaces, cut to 160.
+    The line after a symbol and the lines of a string are found by equi-joins on
+    the rank among the file's non-blank lines, the closing line by its rank among
+    the lines that end with the quote."""
+    t = lines.select("path", "line_no", js_trim("text").alias("t"))
+    full = number_within(t.where(F.col("t") != ""), "path", "line_no", name="r_nb").select("path", "line_no", "t", "r_nb")
+    sym = symbols.where(F.col("kind") != "import").select("path", F.col("line_no").alias("owner")).distinct()
+    own = sym.join(full.select("path", F.col("line_no").alias("owner"), (F.col("r_nb") + 1).alias("r_nb")), ["path", "owner"])
+    opener = own.join(full.select("path", "r_nb", F.col("line_no").alias("q"), F.col("t").alias("qt")), ["path", "r_nb"]).withColumnRenamed("r_nb", "r_q")
     quote = F.when(F.col("qt").startswith('"""'), F.lit('"""')).when(F.col("qt").startswith("'''"), F.lit("'''"))
     opener = opener.withColumn("quote", quote).where(F.col("quote").isNotNull())
     opener = opener.withColumn("rest", F.expr("substring(qt, 4)"))
     opener = opener.withColumn("same", F.col("rest").endswith(F.col("quote")))
-    later = body.join(opener.where(~F.col("same")).select("path", "owner", "q", "quote"), ["path", "owner"]) \
-        .where(F.col("line_no") > F.col("q"))
-    close = later.where(F.col("t").endswith(F.col("quote"))).groupBy("path", "owner").agg(F.min("line_no").alias("close"))
-    parts_mid = (later.join(close, ["path", "owner"], "left")
-                 .where(F.col("close").isNull() | (F.col("line_no") <= F.col("close")))
+    # the closing line is the first later line that ends with the quote, whatever lies between: its
+    # rank among such lines is one more than the number of them up to the opening line
+    open_ = opener.where(~F.col("same")).select("path", "owner", "q", "r_q", "quote")
+    ends = reduce(DataFrame.unionByName, [t.where(F.col("t").endswith(q)).select("path", F.lit(q).alias("quote"), "line_no") for q in ('"""', "'''")])
+    ends = number_within(ends, ["path", "quote"], "line_no", name="k")
+    marks = (ends.select("path", "quote", (F.col("line_no") * 2).alias("at"), F.lit(0).alias("is_open"), *(F.lit(None).cast("int").alias(c) for c in ("owner", "q", "r_q")))
+             .unionByName(open_.select("path", "quote", (F.col("q") * 2 + 1).alias("at"), F.lit(1).alias("is_open"), *(F.col(c).cast("int") for c in ("owner", "q", "r_q")))))
+    marks = number_within(marks, ["path", "quote"], "at", name="r_all")
+    opens = number_within(marks.where("is_open = 1"), ["path", "quote"], "at", name="r_open").withColumn("k", F.col("r_all") - F.col("r_open") + 1)
+    close = opens.join(ends.select("path", "quote", "k", F.col("line_no").alias("close")), ["path", "quote", "k"], "left")
+    # a part adds two characters at least, so 160 non-blank lines are enough
+    inside = close.select("path", "owner", "close", F.explode(F.sequence(F.col("r_q") + 1, F.col("r_q") + DOC_WIDTH)).alias("r_nb")).join(full, ["path", "r_nb"])
+    parts_mid = (inside.where(F.col("close").isNull() | (F.col("line_no") <= F.col("close")))
                  .select("path", "owner", "line_no",
                          F.when(F.col("line_no") == F.col("close"),
                                 js_trim(F.expr("substring(t, 1, length(t) - 3)"))).otherwise(F.col("t")).alias("p")))

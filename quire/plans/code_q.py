@@ -151,8 +151,8 @@ op AS (SELECT op0.path, op0.owner, op0.q, b.t AS qt,
               CASE WHEN starts_with(b.t, '\"\"\"') THEN '\"\"\"' WHEN starts_with(b.t, '''''''') THEN '''''''' END AS quote
        FROM op0 JOIN body b ON b.path = op0.path AND b.owner = op0.owner AND b.line_no = op0.q),
 op2 AS (SELECT *, substring(qt, 4) AS rest, ends_with(substring(qt, 4), quote) AS same FROM op WHERE quote IS NOT NULL),
-later AS (SELECT b.path, b.owner, b.line_no, b.t, o.q, o.quote FROM body b
-          JOIN op2 o ON o.path = b.path AND o.owner = b.owner AND NOT o.same WHERE b.line_no > o.q),
+later AS (SELECT b.path, o.owner, b.line_no, b.t, o.q, o.quote FROM t b
+          JOIN op2 o ON o.path = b.path AND NOT o.same WHERE b.line_no > o.q),
 cl AS (SELECT path, owner, min(line_no) AS close FROM later WHERE ends_with(t, quote) GROUP BY path, owner),
 mid AS (SELECT l.path, l.owner, l.line_no,
                CASE WHEN l.line_no = cl.close THEN {trim('substring(l.t, 1, length(l.t) - 3)')} ELSE l.t END AS p

@@ -204,7 +204,7 @@ JOIN (VALUES
   ('python', 8, '    def _hidden(self):'),
   ('python', 9, 'async def load_{K}(y):'),
   ('python', 10, '    '''''''),
-  ('python', 11, '    spans lines {K}'),
+  ('python', 11, 'class Sample{K} spans lines'),
   ('python', 12, '    '''''''),
   ('typescript', 0, 'import { a } from ''./mod{K}'';'),
   ('typescript', 1, '/** Service {N} */'),
