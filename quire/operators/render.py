@@ -436,3 +436,71 @@ def render_pdf_summary(docs: DataFrame, config: Config = DEFAULT) -> DataFrame:
                         F.replace(F.coalesce(F.col("summary"), F.lit("")), F.lit("\n"), F.lit("\n// ")),
                         F.lit(f"\n\n{SEP}\n// KEY POINTS\n{SEP}\n"), F.coalesce(F.col("kp"), F.lit("")))
     return j.select("doc_id", F.concat(head, F.when(F.col("big"), big_body).otherwise(small_body)).alias("text"))
+
+
+def render_json_summary(files: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(path, text): the configuration structure block of ``files(path, content)`` that
+    parse as JSON: nested values indented below their key, the first three items of
+    an array and how many more there are.  A key that follows a nested value starts
+    behind the spaces that the value's last, empty line leaves, as in the reference.
+    Text that does not parse gives the redacted preview."""
+    from quire.operators import configs as K
+    rows = K.json_rows(files, config)
+    more = 1 << 30
+    nested = F.col("kind").isin("object", "array")
+    label = F.when(F.col("key").isNotNull(), F.concat("key", F.lit(":"))).otherwise(
+        F.concat(F.lit("["), (F.col("ord") - 1).cast("string"), F.lit("]:")))
+    item = F.col("key").isNull() & (F.col("depth") > 0)
+    value = F.when(item & (F.col("kind") == "object"), "[object Object]").when(item & (F.col("kind") == "array"), F.col("joined")).when(F.col("depth") == 0, F.when(F.col("kind") == "null", "(null)").otherwise(F.col("text"))) \
+        .otherwise(F.col("text"))
+    own = F.when(F.col("depth") == 0, F.when(F.col("kind") == "object", F.lit("{}")).otherwise(value)).when(nested & ~item, label) \
+        .otherwise(F.concat(label, F.lit(" "), value))
+    line = rows.select("path", "seq", F.greatest("depth", F.lit(1)).alias("d"), own.alias("l"))
+    below = rows.where(nested & F.col("key").isNotNull() & ((F.col("kind") == "array") | (F.col("n") == 0)))
+    line = line.unionByName(below.select("path", F.concat("seq", F.array(F.lit(0))).alias("seq"), (F.col("depth") + 1).alias("d"),
+                                         F.when(F.col("n") == 0, F.when(F.col("kind") == "array", "[]").otherwise("{}")).otherwise(F.col("text")).alias("l")))
+    rest = rows.where((F.col("kind") == "array") & ~item & (F.col("n") > K.ARRAY_ITEMS))
+    line = line.unionByName(rest.select("path", F.concat("seq", F.array(F.lit(more))).alias("seq"), (F.col("depth") + 1).alias("d"),
+                                        F.concat(F.lit("... ("), (F.col("n") - K.ARRAY_ITEMS).cast("string"), F.lit(" more items)")).alias("l")))
+    before = F.lag("d").over(Window.partitionBy("path").orderBy("seq"))
+    line = line.withColumn("pad", 2 * (F.col("d") - 1) + 2 * F.greatest(F.lit(0), F.coalesce(before, F.lit(0)) - F.col("d")))
+    body = line.groupBy("path").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "pad", "l"))), lambda s: F.concat(F.repeat(F.lit(" "), s["pad"]), s["l"])), "\n").alias("body"),
+        F.max_by("d", "seq").alias("last"))
+    good = body.select("path", F.concat(F.lit(_sep_block("CONFIGURATION STRUCTURE") + "\n"), "body", F.lit("\n"), F.repeat(F.lit(" "), 2 * (F.col("last") - 1))).alias("text"))
+    bad = K.json_parse_fallback(files, config).groupBy("path").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda s: s["text"]), "\n").alias("t"))
+    bad = bad.select("path", F.concat(F.lit("// Parse error: invalid JSON\n// Showing preview:\n\n"), "t").alias("text"))
+    return good.unionByName(bad).select("path", F.concat(F.lit("// File: "), F.col("path"), F.lit(f" ({WARNING_EMOJI} Config structure)\n\n"), F.col("text")).alias("text"))
+
+
+# --- fixed values: titles of the outline's sections and their "more" words ---
+OUTLINE_TITLES = {"type": ("TYPES", "types"), "function": ("FUNCTIONS", "functions"), "import": ("IMPORTS/DEPENDENCIES", "imports")}
+# -----------------------------------------------------------------------------
+
+
+def render_outline(lines: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(path, text): the outline of ``lines(path, language, line_no, text)``: types,
+    functions and imports by language pattern without private ones, each with the
+    comment above it (types and functions), the first ``outline_max_items`` of each
+    and how many more there are."""
+    from quire.operators import code as CO
+    shown, totals = CO.outline_caps(CO.outline_private_filter(CO.outline_symbols(lines), config), config)
+    text = F.concat(F.lit("// "), F.col("text"))
+    if config.outline_extract_comments:
+        docs = CO.leading_docs(lines, shown).select("path", "line_no", F.col("doc").alias("_doc"))
+        shown = shown.join(docs, ["path", "line_no"], "left")
+        text = F.concat(text, F.when((F.col("kind") != "import") & (F.coalesce(F.length("_doc"), F.lit(0)) > 0),
+                                     F.concat(F.lit(" [doc: "), F.col("_doc"), F.lit("]"))).otherwise(F.lit("")))
+    listed = shown.groupBy("path", "kind").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("ord", text.alias("t")))), lambda s: s["t"]), "\n").alias("body"))
+    listed = listed.join(totals.select("path", "kind", "more"), ["path", "kind"])
+    section = None
+    for kind, (title, noun) in OUTLINE_TITLES.items():
+        whole = F.concat(F.lit(_sep_block(title)), F.col("body"), F.when(F.col("more") > 0, F.concat(
+            F.lit("\n// ... ("), F.col("more").cast("string"), F.lit(f" more {noun})"))).otherwise(F.lit("")))
+        section = F.when(F.col("kind") == kind, whole) if section is None else section.when(F.col("kind") == kind, whole)
+    piv = listed.select("path", "kind", section.alias("s")).groupBy("path").pivot("kind", list(OUTLINE_TITLES)).agg(F.first("s"))
+    parts = F.concat(*(F.when(F.col(k).isNotNull(), F.array(F.col(k), F.lit("")) if k != "import" else F.array(F.col(k))).otherwise(F.array().cast("array<string>"))
+                       for k in OUTLINE_TITLES))
+    return piv.select("path", F.array_join(parts, "\n").alias("text"))

@@ -243,3 +243,25 @@ WHERE sha256(concat_ws(chr(1), path, content, 'standard')) NOT IN (SELECT key FR
 def outline_incremental(spark, sf):
     todo = C.outline_incremental(derived(spark, sf, "v_files"), derived(spark, sf, "v_outline_store"), "standard")
     return finish(todo.select("path", "key"))
+
+
+BAR = "// ═══════════════════════════════════════"
+
+
+@query("render_outline", LEAD + f"""
+, f AS (SELECT * FROM sym WHERE kind = 'import' OR NOT {PRIV}),
+tot AS (SELECT path, kind, count(*) AS total FROM f GROUP BY path, kind),
+r AS (SELECT *, row_number() OVER (PARTITION BY path, kind ORDER BY line_no) AS ord FROM f),
+sec AS (SELECT r.path, r.kind, '{BAR}' || chr(10) || '// ' || CASE r.kind WHEN 'type' THEN 'TYPES' WHEN 'function' THEN 'FUNCTIONS' ELSE 'IMPORTS/DEPENDENCIES' END
+               || chr(10) || '{BAR}' || chr(10)
+               || string_agg('// ' || text || CASE WHEN r.kind <> 'import' AND length(coalesce(d.doc, '')) > 0 THEN ' [doc: ' || d.doc || ']' ELSE '' END, chr(10) ORDER BY ord)
+               || CASE WHEN max(total) > 50 THEN chr(10) || '// ... (' || CAST(max(total) - 50 AS VARCHAR) || ' more ' || r.kind || 's)' ELSE '' END AS s
+        FROM r JOIN tot ON tot.path = r.path AND tot.kind = r.kind LEFT JOIN lead_doc d ON d.path = r.path AND d.line_no = r.line_no WHERE ord <= 50 GROUP BY r.path, r.kind),
+p AS (SELECT path, max(s) FILTER (kind = 'type') AS a, max(s) FILTER (kind = 'function') AS b, max(s) FILTER (kind = 'import') AS c FROM sec GROUP BY path)
+SELECT path, array_to_string(list_concat(list_concat(CASE WHEN a IS NULL THEN CAST([] AS VARCHAR[]) ELSE [a, ''] END,
+                                                     CASE WHEN b IS NULL THEN CAST([] AS VARCHAR[]) ELSE [b, ''] END),
+                                         CASE WHEN c IS NULL THEN CAST([] AS VARCHAR[]) ELSE [c] END), chr(10)) AS text FROM p
+""")
+def render_outline(spark, sf):
+    from quire.operators.render import render_outline as outline
+    return outline(_lines(spark, sf))

@@ -55,6 +55,51 @@ def json_skeleton(spark, sf):
     return finish(K.json_skeleton(derived(spark, sf, "v_json")))
 
 
+def _value(v: str, k: str) -> str:
+    """The text of a scalar, array or object where a value stands on its key's line."""
+    return f"CASE WHEN {k} = 'object' THEN '[object Object]' ELSE {text(v, chr(39) + '$' + chr(39), k)} END"
+
+
+KV, BAR = kind("v", "'$'"), "// ═══════════════════════════════════════"
+BAD = "(SELECT path, string_split(substring(content, 1, 500), chr(10)) AS ls FROM v_json WHERE NOT json_valid(content))"
+
+
+def _render_json_sql() -> str:
+    return "WITH RECURSIVE " + duck_with("v_json")[5:] + f"""
+, node AS (
+  SELECT path, 0 AS depth, CAST(NULL AS VARCHAR) AS key, json(content) AS v, CAST([] AS UBIGINT[]) AS seq, CAST(1 AS BIGINT) AS last, false AS red
+  FROM v_json WHERE json_valid(content)
+  UNION ALL
+  SELECT n.path, n.depth + 1, e.key, e.value, list_append(n.seq, CAST(min(e.id) OVER (PARTITION BY n.path, n.seq, e.key) AS UBIGINT)),
+         row_number() OVER (PARTITION BY n.path, n.seq, e.key ORDER BY e.id DESC), {sens('e.key')}
+  FROM node n, json_each(n.v) e WHERE json_type(n.v) = 'OBJECT' AND NOT n.red AND n.last = 1),
+live AS (SELECT *, {KV} AS kind, CASE WHEN json_type(v) = 'ARRAY' THEN json_array_length(v) WHEN json_type(v) = 'OBJECT' THEN len(json_keys(v)) END AS n
+         FROM node WHERE last = 1),
+item AS (SELECT path, depth, seq, i, json_extract(v, '$[' || CAST(i AS VARCHAR) || ']') AS v FROM
+         (SELECT *, unnest(range(0, CAST(least(3, n) AS BIGINT))) AS i FROM live WHERE kind = 'array' AND NOT red) a),
+itemk AS (SELECT *, {KV} AS kind FROM item),
+line AS (
+  SELECT path, seq, greatest(depth, 1) AS d, CASE WHEN red THEN key || ': [REDACTED]' WHEN kind IN ('object', 'array') THEN key || ':'
+         ELSE key || ': ' || {text('v', "'$'", 'kind')} END AS l FROM live WHERE depth > 0
+  UNION ALL SELECT path, seq, 1, CASE WHEN kind = 'object' THEN '{{}}' WHEN kind = 'null' THEN '(null)' ELSE {text('v', "'$'", 'kind')} END
+  FROM live WHERE depth = 0 AND (kind <> 'object' OR n = 0)
+  UNION ALL SELECT path, list_append(seq, CAST(0 AS UBIGINT)), depth + 1, CASE WHEN kind = 'object' THEN '{{}}' WHEN n = 0 THEN '[]' ELSE 'array[' || CAST(n AS VARCHAR) || ']' END
+  FROM live WHERE depth > 0 AND NOT red AND (kind = 'array' OR (kind = 'object' AND n = 0))
+  UNION ALL SELECT path, list_append(seq, CAST(i + 1 AS UBIGINT)), depth + 1, '[' || CAST(i AS VARCHAR) || ']: ' || CASE WHEN kind = 'array' THEN array_to_string(
+      list_transform(json_extract(v, '$[*]'), lambda x: CASE json_type(x) WHEN 'OBJECT' THEN '[object Object]' WHEN 'NULL' THEN '' WHEN 'ARRAY' THEN CAST(x AS VARCHAR)
+                     ELSE json_extract_string(x, '$') END), ',') ELSE {_value('v', 'kind')} END FROM itemk
+  UNION ALL SELECT path, list_append(seq, CAST(1073741824 AS UBIGINT)), depth + 1, '... (' || CAST(n - 3 AS VARCHAR) || ' more items)' FROM live WHERE kind = 'array' AND NOT red AND n > 3),
+padded AS (SELECT *, 2 * (d - 1) + 2 * greatest(0, coalesce(lag(d) OVER (PARTITION BY path ORDER BY seq), 0) - d) AS pad FROM line),
+body AS (SELECT path, string_agg(repeat(' ', pad) || l, chr(10) ORDER BY seq) AS body, arg_max(d, seq) AS last FROM padded GROUP BY path),
+prev AS (SELECT path, generate_subscripts(ls, 1) AS line_no, unnest(ls) AS t FROM {BAD} b),
+bad AS (SELECT path, string_agg({redact_sql('t')}, chr(10) ORDER BY line_no) AS t FROM prev GROUP BY path)
+SELECT path, '// File: ' || path || ' (⚠️ Config structure)' || chr(10) || chr(10) || '{BAR}' || chr(10) || '// CONFIGURATION STRUCTURE' || chr(10) || '{BAR}' || chr(10) || chr(10)
+       || body || chr(10) || repeat(' ', 2 * (last - 1)) AS text FROM body
+UNION ALL
+SELECT path, '// File: ' || path || ' (⚠️ Config structure)' || chr(10) || chr(10) || '// Parse error: invalid JSON' || chr(10) || '// Showing preview:' || chr(10) || chr(10) || t FROM bad
+"""
+
+
 def redact_sql(t: str) -> str:
     sep = (f"(CASE WHEN instr({t}, ':') = 0 THEN instr({t}, '=') WHEN instr({t}, '=') = 0 THEN instr({t}, ':') "
            f"ELSE least(instr({t}, ':'), instr({t}, '=')) END)")
@@ -107,3 +152,9 @@ def sensitive_key_redact(spark, sf):
 @query("config_line_redact", duck_with("v_yaml") + f"SELECT path, line_no, {redact_sql('text')} AS text FROM v_yaml")
 def config_line_redact(spark, sf):
     return finish(K.redact_lines(derived(spark, sf, "v_yaml")))
+
+
+@query("render_json", _render_json_sql())
+def render_json(spark, sf):
+    from quire.operators.render import render_json_summary
+    return render_json_summary(derived(spark, sf, "v_json"))

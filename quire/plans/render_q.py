@@ -244,3 +244,11 @@ def template_render(spark, sf):
     r = R.render_template_rows(segs, stats, streams)
     return finish(r.select("project", F.col("seq.a").alias("a"), F.col("seq.b").alias("b"), F.col("seq.c").alias("c"),
                            "text"))
+
+
+@query("context_complete")
+def context_complete(spark, sf):
+    from quire.operators.context import whole_context
+    rules = C.clean_rules(C.rules_of(derived(spark, sf, "v_rules")))
+    d = whole_context(derived(spark, sf, "v_files"), rules, CFG)
+    return finish(d.select("project", F.col("seq.a").alias("a"), F.col("seq.b").alias("b"), "text"))
