@@ -292,7 +292,7 @@ def summary_select(docs: DataFrame, max_length: int = 600, min_sentences: int =
     a misfit is skipped, the walk stops once full), restored to text order and
     joined by newlines."""
     cleaned = docs.select("doc_id", clean_text(F.col("text")).alias("clean"))
-    sent = cleaned.select("doc_id", "clean", split_sentences(F.col("clean")).alias("ss")) \
+    sent = with_sentences(cleaned, "clean", "ss", clean=False) \
         .persist(StorageLevel.MEMORY_AND_DISK)   # read by the short and the long branch
     short = sent.where((F.length("clean") <= max_length) | (F.size("ss") <= min_sentences)) \
         .select("doc_id", F.col("clean").alias("summary"))
