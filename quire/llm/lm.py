@@ -2,7 +2,9 @@
 
 * Tasks turn texts into word hashes and count the pairs (word, next word) of what they read before
   anything is shuffled; the counts, a block of sorted arrays for each hash range of the first word,
-  meet by that range.
+  meet by that range.  A first word so frequent that its range would be much larger than the others
+  is dealt by its next words as well; which words these are, a bounded sample of texts tells (it
+  steers the layout alone, no count).
 * Each range is written to the shared folder as sorted arrays: first words, where their next words
   begin, their totals and how many of them were seen once or twice; next words and counts.
 * What each range holds of a next word (its count, its different first words) meets by that word's
@@ -35,6 +37,8 @@ from quire.llm.common import Memo, read_table, remainder_of, shared_folder
 
 #: Hashes of the start and the end of a text.  Words cannot hold white space, so these are no words.
 START, END = xxhash.xxh64_intdigest(b" <s>"), xxhash.xxh64_intdigest(b" </s>")
+#: Texts that tell which words are hot.
+HOT_SAMPLE = 2000
 #: Pairs that a task counts before it passes them on, and tokens that are scored at once.
 TASK_PAIRS, SCORE_TOKENS = 2_500_000, 500_000
 
@@ -60,6 +64,34 @@ def _range_of(h: np.ndarray, ranges: int) -> np.ndarray:
     return (((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int32)
 
 
+def _parts_of(a: np.ndarray, b: np.ndarray, ranges: int, hot: np.ndarray) -> np.ndarray:
+    """The part of each pair: its first word's range, or for a hot first word one of as many more."""
+    part = _range_of(a, ranges)
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, a), len(hot) - 1)
+        dealt = np.flatnonzero(hot[at] == a)
+        part[dealt] = ranges + _range_of((a[dealt] ^ b[dealt]) * np.uint64(0x9E3779B97F4A7C15), ranges)
+    return part
+
+
+def _hot_words(texts: DataFrame, ranges: int) -> np.ndarray:
+    """Hashes, ascending, of the words that are more than a part in 2 * ranges of the first words in
+    ``HOT_SAMPLE`` texts: fewer than 2 * ranges."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo(xxhash.xxh64_intdigest)
+        for batch in batches:
+            found = [_hashes(t.as_py(), memo)[:-1] for t in batch.column(0)]
+            words, n = np.unique(np.concatenate(found) if found else np.empty(0, np.uint64), return_counts=True)
+            often = n > n.sum() / (8 * ranges)
+            yield pa.RecordBatch.from_arrays([pa.array([None, *words[often].view(np.int64).tolist()], pa.int64()),  # null: all words
+                                              pa.array([int(n.sum()), *n[often].tolist()], pa.int64())], names=["word", "n"])
+
+    rows = texts.limit(HOT_SAMPLE).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n")).collect()
+    of = {r[0]: r[1] for r in rows}
+    size = of.pop(None, 0)
+    return np.sort(np.array([w for w, n in of.items() if n > size / (2 * ranges)], np.int64).view(np.uint64))
+
+
 def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The different pairs, ascending, their numbers, and each pair's place among them."""
     words, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -69,7 +101,7 @@ def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return words[first], words[following], n, place
 
 
-def _count_pairs(texts: DataFrame, ranges: int) -> DataFrame:
+def _count_pairs(texts: DataFrame, ranges: int, hot: np.ndarray) -> DataFrame:
     """(part, a, b, c): first words, next words and numbers of the pairs in what a task has read since it
     last passed on, as arrays."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +113,12 @@ def _count_pairs(texts: DataFrame, ranges: int) -> DataFrame:
             a, b = np.concatenate(firsts), np.concatenate(nexts)
             firsts, nexts, held = [], [], 0
             a, b, n, _ = _distinct_pairs(a, b)
-            yield from _blocks(_range_of(a, ranges), a, b, n.astype(np.int32))
+            part, n = _parts_of(a, b, ranges, hot), n.astype(np.int32)
+            own = part < ranges  # ascending, as a is
+            yield from _blocks(part[own], a[own], b[own], n[own])
+            dealt = np.flatnonzero(~own)
+            dealt = dealt[np.argsort(part[dealt], kind="stable")]
+            yield from _blocks(part[dealt], a[dealt], b[dealt], n[dealt])
 
         for batch in batches:
             for text in batch.column(0):
@@ -99,7 +136,7 @@ def _count_pairs(texts: DataFrame, ranges: int) -> DataFrame:
 
 def _blocks(part: np.ndarray, *arrays: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A row for each value of the ascending ``part``: the arrays' slices, as bytes."""
-    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1), len(part)]
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1), len(part)] if len(part) else []
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
             yield pa.RecordBatch.from_arrays([pa.array([int(part[a])], pa.int32()), *(pa.array([x[a:b].tobytes()], pa.binary()) for x in arrays)],
@@ -213,14 +250,21 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     texts = docs.select(F.col(text_col).cast("binary").alias("text"))
     # two ranges for each partition of the input, so a range's size doesn't grow with the input
     ranges = 2 * max(spark.sparkContext.defaultParallelism, texts.rdd.getNumPartitions())
-    pairs = _count_pairs(texts, ranges).repartition(ranges, "part")
+    hot = _hot_words(texts, ranges)
+    pairs = _count_pairs(texts, ranges, hot).repartition(2 * ranges, "part")
     words = _write_pairs(pairs, path, ranges).repartition(ranges, "part")
     sums = _write_words(words, path).collect()  # one row for each range
     seen = np.zeros(4, np.int64)
-    for part in range(ranges):
+    whole: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(4, np.int64))  # the facts of hot words, from all their parts
+    for part in range(2 * ranges):
         if os.path.exists(facts := f"{path}/pairs-{part:06d}.json"):
             with open(facts, encoding="utf-8") as f:
                 seen += np.array(json.load(f)["seen"])
+            if part >= ranges:
+                first, begin, numbers = (np.load(f"{path}/pairs-{part:06d}.{kind}.npy") for kind in ("first", "begin", "facts"))
+                for word, row in zip(first.tolist(), np.column_stack([numbers, np.diff(begin)])):
+                    whole[word] += row
+    _save(path, "hot", {"first": hot, "facts": np.array([whole[w] for w in hot.tolist()], np.int64).reshape(-1, 4)}, {})
     tokens, size, firsts, *times = (sum(r[i] for r in sums) for i in range(7))
     lower = discounts(times)
     left = lower[0] * times[0] + lower[1] * times[1] + lower[2] * (size - times[0] - times[1])
@@ -265,35 +309,44 @@ class Scorer:
             firsts[cut] = np.where(hit, _mapped(self.model.folder, f"words-{part:06d}", "firsts")[at], 0)
         return n, firsts
 
+    def _find(self, part: int, first: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the pairs in one part: the places of those whose first word is known there, their counts, and
+        (total, once, twice, different) of the first word in this part."""
+        name = f"pairs-{part:06d}"
+        known = _mapped(self.model.folder, name, "first")
+        if known is None:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 4), np.int64)
+        at = np.minimum(np.searchsorted(known, first), len(known) - 1)
+        place = np.flatnonzero(known[at] == first)
+        at, begin = at[place], _mapped(self.model.folder, name, "begin")
+        low, high = begin[at].copy(), begin[at + 1]
+        facts = np.column_stack([_mapped(self.model.folder, name, "facts")[at], high - low])
+        nexts, want, end, order = _mapped(self.model.folder, name, "next"), short[place], high.copy(), np.arange(len(low))
+        while len(order):  # binary search of all at once
+            middle = (low[order] + end[order]) >> 1
+            up = nexts[middle] < want[order]
+            low[order[up]] = middle[up] + 1
+            end[order[~up]] = middle[~up]
+            order = order[low[order] < end[order]]
+        n = np.zeros(len(place), np.int64)
+        inside = np.flatnonzero(low < high)
+        same = inside[nexts[low[inside]] == want[inside]]
+        n[same] = _mapped(self.model.folder, name, "n")[low[same]]
+        return place, n, facts
+
     def pairs(self, first: np.ndarray, following: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The count of each pair, and (total, once, twice, different) of its first word; ``first`` is ascending."""
         n, facts = np.zeros(len(first), np.int64), np.zeros((len(first), 4), np.int64)
         short = (following >> np.uint64(32)).astype(np.uint32)
-        for part, cut in self._by_range(first):
-            name = f"pairs-{part:06d}"
-            known = _mapped(self.model.folder, name, "first")
-            if known is None:
-                continue
-            at = np.minimum(np.searchsorted(known, first[cut]), len(known) - 1)
-            hit = np.flatnonzero(known[at] == first[cut])
-            if not len(hit):
-                continue
-            at, begin = at[hit], _mapped(self.model.folder, name, "begin")
-            low, high = begin[at].copy(), begin[at + 1]
-            place = hit + cut.start
-            facts[place, :3] = _mapped(self.model.folder, name, "facts")[at]
-            facts[place, 3] = high - low
-            nexts, want, end = _mapped(self.model.folder, name, "next"), short[place], high.copy()
-            order = np.arange(len(low))
-            while len(order):  # binary search of all at once
-                middle = (low[order] + end[order]) >> 1
-                up = nexts[middle] < want[order]
-                low[order[up]] = middle[up] + 1
-                end[order[~up]] = middle[~up]
-                order = order[low[order] < end[order]]
-            inside = np.flatnonzero(low < high)
-            same = inside[nexts[low[inside]] == want[inside]]
-            n[place[same]] = _mapped(self.model.folder, name, "n")[low[same]]
+        hot, hot_facts = (_mapped(self.model.folder, "hot", kind) for kind in ("first", "facts"))
+        part = _parts_of(first, following, self.model.ranges, hot)
+        order = np.argsort(part, kind="stable")
+        cuts = np.flatnonzero(part[order[1:]] != part[order[:-1]]) + 1
+        for rows in np.split(order, cuts):
+            place, counts, found = self._find(int(part[rows[0]]), first[rows], short[rows])
+            n[rows[place]], facts[rows[place]] = counts, found
+        dealt = np.flatnonzero(part >= self.model.ranges)
+        facts[dealt] = hot_facts[np.searchsorted(hot, first[dealt])] if len(dealt) else 0
         return n, facts
 
     def score(self, texts: list[np.ndarray]) -> list[tuple[int, int, float, float]]:

@@ -47,6 +47,18 @@ def test_against_dictionaries(spark):
         assert math.isclose(g.score, sum(math.log10(brute.p(a, b)) for a, b in zip(["<s>", *w[:-1]], w)), rel_tol=1e-9)
 
 
+def test_hot_first_words_are_dealt_and_score_the_same(spark):
+    texts = [(i, " ".join(f"the w{(i * j) % 97}" for j in range(30)) + f" end{i}") for i in range(200)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    model = lm.train(docs)
+    hot = lm._mapped(model.folder, "hot", "first")
+    assert lm.xxhash.xxh64_intdigest(b"the") in hot.tolist()
+    brute = Brute([t for _, t in texts])
+    for r in lm.score(docs, model).collect():
+        w = brute.tokens(texts[r.doc_id][1])
+        assert math.isclose(r.score, sum(math.log10(brute.p(a, b)) for a, b in zip(["<s>", *w[:-1]], w)), rel_tol=1e-9)
+
+
 def test_probabilities_sum_to_one(spark):
     brute = Brute([r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).collect()])
     for a in ["<s>", *list(brute.uni)[:20]]:
