@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators.corpus import extname
+from quire.operators.corpus import extname, media_type
 
 HEAD_BYTES = 64
 
@@ -82,45 +82,96 @@ def media_headers(media: DataFrame) -> DataFrame:
         comp.alias("compression"))
 
 
-def media_inventory(headers: DataFrame) -> DataFrame:
-    """(format, files, min_w, max_w, min_h, max_h) with a total row (format null)."""
-    return headers.rollup("format").agg(
-        F.count(F.lit(1)).alias("files"), F.min("width").alias("min_w"), F.max("width").alias("max_w"),
+def media_inventory(media: DataFrame) -> DataFrame:
+    """(type, mime, format, files, bytes, min_w, max_w, min_h, max_h) of ``media(path, size,
+    head)`` with subtotals: by type, type and MIME type, and format (nulls mark what a row
+    sums over)."""
+    kind, _, mime = media_type(F.col("path"))
+    typed = media.select("path", "size", F.coalesce(kind, F.lit("binary")).alias("type"), F.coalesce(mime, F.lit("application/octet-stream")).alias("mime"))
+    return media_headers(media).join(typed, "path").rollup("type", "mime", "format").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"), F.min("width").alias("min_w"), F.max("width").alias("max_w"),
         F.min("height").alias("min_h"), F.max("height").alias("max_h"))
 
 
-def _scan_one(ext: str, head: bytes, tail: bytes) -> tuple:
-    """(width, height, bit_depth, entries, tables, family) by scanning bytes."""
-    w = h = d = entries = tables = None
-    family = None
+# --- fixed values: MPEG audio header tables ---
+MPEG_VERSIONS = ("MPEG2.5", "reserved", "MPEG2", "MPEG1")
+MPEG_LAYERS = ("reserved", "III", "II", "I")
+MPEG1_LAYER3_KBPS = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 0)
+MPEG1_SAMPLE_RATES = (44100, 48000, 32000, 0)
+AUDIO_HEAD = 1024
+# -----------------------------------------------------------------------------
+
+
+def _u16(data: bytes, at: int) -> int:
+    return int.from_bytes(data[at:at + 2], "big")
+
+
+def _scan_jpeg(head: bytes) -> dict:
+    at = min((k for k in (head.find(b"\xff\xc0"), head.find(b"\xff\xc2")) if k >= 0), default=len(head))
+    return {"height": _u16(head, at + 5), "width": _u16(head, at + 7), "bit_depth": head[at + 4]} if at < len(head) - 10 else {}
+
+
+def _scan_zip(tail: bytes) -> dict:
+    # the end-of-central-directory record begins with 50 4B 05 06
+    at = tail.rfind(b"PK\x05\x06")
+    return {"entries": int.from_bytes(tail[at + 8:at + 10], "little")} if 0 <= at <= len(tail) - 10 else {}
+
+
+def _scan_font(head: bytes) -> dict:
+    """Number of tables, and the Windows family or full name if the name table lies in the head."""
+    if len(head) < 12 or head[:4] not in (b"\x00\x01\x00\x00", b"true", b"OTTO"):
+        return {}
+    tables = _u16(head, 4)
+    name = next((int.from_bytes(head[at + 8:at + 12], "big") for at in range(12, 12 + 16 * tables, 16) if head[at:at + 4] == b"name"), 0)
+    for at in range(name + 6, name + 6 + 12 * _u16(head, name + 2), 12) if name else ():
+        length, text = _u16(head, at + 8), name + _u16(head, name + 4) + _u16(head, at + 10)
+        if _u16(head, at) == 3 and _u16(head, at + 6) in (1, 4) and 0 < length < 200 and text + length <= len(head):
+            return {"tables": tables, "family": head[text:text + length].decode("utf-16-be", "replace").replace("\0", "")}
+    return {"tables": tables}
+
+
+def _scan_mpeg(head: bytes) -> dict:
+    head = head[:AUDIO_HEAD]
+    if head[:3] == b"ID3" and len(head) >= 10:
+        return {"compression": "ID3v2"}
+    at = head.find(b"\xff")
+    while 0 <= at < len(head) - 4:
+        one, two, three = head[at + 1:at + 4]
+        if one & 0xE0 == 0xE0:
+            version, layer, rate, sample = one >> 3 & 3, one >> 1 & 3, two >> 4, two >> 2 & 3
+            out = {"compression": f"{MPEG_VERSIONS[version]} Layer {MPEG_LAYERS[layer]}", "channels": 1 if three >> 6 == 3 else 2}
+            if version == 3 and layer == 1 and 0 < rate < 15:
+                out["bitrate_kbps"] = MPEG1_LAYER3_KBPS[rate]
+            if version == 3 and sample < 3:
+                out["sample_rate"] = MPEG1_SAMPLE_RATES[sample]
+            return out
+        at = head.find(b"\xff", at + 1)
+    return {}
+
+
+SCANNED = ("width", "height", "bit_depth", "entries", "tables", "channels", "sample_rate", "bitrate_kbps", "family", "compression")
+
+
+def _scan_one(ext: str, head: bytes, tail: bytes) -> dict:
     if ext in (".jpg", ".jpeg"):
-        i = min((k for k in (head.find(b"\xff\xc0"), head.find(b"\xff\xc2")) if k >= 0), default=len(head))
-        if i < len(head) - 10:
-            h = int.from_bytes(head[i + 5:i + 7], "big")
-            w = int.from_bytes(head[i + 7:i + 9], "big")
-            d = head[i + 4]
-    elif ext == ".zip":
-        # end-of-central-directory signature 50 4B 05 06 (the original list reversed it)
-        k = tail.rfind(b"PK\x05\x06")
-        if k >= 0 and k + 10 <= len(tail):
-            entries = int.from_bytes(tail[k + 8:k + 10], "little")
-    elif ext in (".ttf", ".otf") and len(head) >= 12:
-        tables = int.from_bytes(head[4:6], "big")
-    return w, h, d, entries, tables, family
+        return _scan_jpeg(head)
+    if ext == ".zip":
+        return _scan_zip(tail)
+    if ext in (".ttf", ".otf"):
+        return _scan_font(head)
+    return _scan_mpeg(head) if ext == ".mp3" else {}
 
 
 def media_scan_headers(head_tail: DataFrame) -> DataFrame:
-    """(path, width, height, bit_depth, entries, tables) for formats whose fields
-    need a scan (JPEG start-of-frame in the first 64 KiB, ZIP directory count in
-    the last 64 KiB, font table count).  Runs as Arrow-batched ``mapInPandas``
-    over the projected head/tail bytes only."""
+    """(path, width, height, bit_depth, entries, tables, channels, sample_rate, bitrate_kbps,
+    family, compression) for formats whose fields need a scan: JPEG start of frame in the first
+    64 KiB, ZIP directory count in the last 64 KiB, font tables and family name, MPEG audio
+    frame or ID3 tag in the first 1 KiB.  Arrow-batched over the head and tail bytes only."""
     def run(it):
         for pdf in it:
-            out = [_scan_one(os.path.splitext(p)[1].lower(), bytes(hd or b""), bytes(tl or b""))
-                   for p, hd, tl in zip(pdf["path"], pdf["head"], pdf["tail"])]
-            cols = list(zip(*out)) if out else [[]] * 6
-            yield pd.DataFrame({"path": pdf["path"], "width": pd.array(cols[0], dtype="Int64"),
-                                "height": pd.array(cols[1], dtype="Int64"), "bit_depth": pd.array(cols[2], dtype="Int64"),
-                                "entries": pd.array(cols[3], dtype="Int64"), "tables": pd.array(cols[4], dtype="Int64")})
+            found = [_scan_one(os.path.splitext(p)[1].lower(), bytes(hd or b""), bytes(tl or b""))
+                     for p, hd, tl in zip(pdf["path"], pdf["head"], pdf["tail"])]
+            columns = {name: [f.get(name) for f in found] for name in SCANNED}
+            yield pd.DataFrame({"path": pdf["path"], **{n: v if n in SCANNED[8:] else pd.array(v, dtype="Int64") for n, v in columns.items()}})
     return head_tail.select("path", "head", "tail").mapInPandas(
-        run, "path string, width long, height long, bit_depth long, entries long, tables long")
+        run, "path string, " + ", ".join(f"{n} {'string' if n in SCANNED[8:] else 'long'}" for n in SCANNED))

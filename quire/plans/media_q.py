@@ -1,5 +1,7 @@
 """§ media header fields over ``v_media`` (header bytes derived from ``part``)."""
 
+from pyspark.sql import functions as F
+
 from quire.operators import media as M
 from quire.plans.common import finish
 from quire.plans.registry import query
@@ -68,8 +70,11 @@ def media_headers(spark, sf):
 
 
 @query("media_inventory", HDR + """
-SELECT format, count(*) AS files, min(width) AS min_w, max(width) AS max_w, min(height) AS min_h, max(height) AS max_h
-FROM hdr GROUP BY ROLLUP (format)
+, t AS (SELECT hdr.*, octet_length(v.head) AS size, kinds.type, kinds.mime FROM hdr JOIN v_media v ON v.path = hdr.path
+        JOIN (VALUES ('PNG', 'image', 'image/png'), ('GIF', 'image', 'image/gif'), ('BMP', 'image', 'image/bmp'), ('WAV', 'audio', 'audio/wav'),
+                     ('WEBP', 'image', 'image/webp'), ('GZ', 'archive', 'application/gzip')) AS kinds(f, type, mime) ON kinds.f = hdr.format)
+SELECT type, mime, format, count(*) AS files, sum(size) AS bytes, min(width) AS min_w, max(width) AS max_w, min(height) AS min_h, max(height) AS max_h
+FROM t GROUP BY ROLLUP (type, mime, format)
 """)
 def media_inventory(spark, sf):
-    return finish(M.media_inventory(_headers(spark, sf)))
+    return finish(M.media_inventory(derived(spark, sf, "v_media").withColumn("size", F.octet_length("head").cast("long"))))

@@ -357,6 +357,24 @@ SELECT concat('media/m', CAST(p_partkey AS STRING),
 FROM {part}
 """)
 
+# whole files: a start of frame behind a JPEG segment, a ZIP end record, a font with and without a
+# name table, an MPEG audio frame or an ID3 tag
+_d("v_media_files", ("part",), """
+SELECT concat('files/m', CAST(p_partkey AS STRING), CASE p_partkey % 4 WHEN 0 THEN '.jpg' WHEN 1 THEN '.zip' WHEN 2 THEN '.ttf' ELSE '.mp3' END) AS path,
+  unhex(CASE p_partkey % 4
+    WHEN 0 THEN concat('FFD8FFE000104A46494600010100000100010000', CASE WHEN p_partkey % 8 = 0 THEN 'FFC0001108' ELSE 'FFC200110C' END,
+                       lpad(hex(p_size * 3), 4, '0'), lpad(hex(p_size * 4 + 1), 4, '0'), '03', repeat('00', 12))
+    WHEN 1 THEN concat('504B0304', repeat('00', 26), '504B050600000000', lpad(hex(p_size), 2, '0'), '00', lpad(hex(p_size), 2, '0'), '00', repeat('00', 10))
+    WHEN 2 THEN CASE WHEN p_partkey % 8 = 2 THEN concat('000100000002', repeat('00', 6), '636D6170', repeat('00', 12), '6E616D65', repeat('00', 4), '0000002C', '00000018',
+                            '000000010012', '00030001040900010006', '0000', '0046', '003', substring(lpad(CAST(p_size AS STRING), 2, '0'), 1, 1),
+                            '003', substring(lpad(CAST(p_size AS STRING), 2, '0'), 2, 1))
+                     ELSE concat('000100000001', repeat('00', 6), '636D6170', repeat('00', 12)) END
+    ELSE CASE WHEN p_partkey % 8 = 3 THEN concat('0000FFFB', substring('0123456789ABCDE', p_size % 14 + 2, 1), CASE WHEN p_partkey % 3 = 0 THEN '4' ELSE '0' END,
+                                                 CASE WHEN p_partkey % 5 = 0 THEN 'C4' ELSE '44' END, repeat('00', 12))
+              ELSE concat('494433', repeat('00', 20)) END END) AS content
+FROM {part}
+""")
+
 _d("v_calls", ("events",), """
 SELECT concat('flow/u', CAST(user_id % 10 AS STRING), '.ts') AS path, concat('fn', CAST(user_id AS STRING)) AS fn,
        CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS seq,
