@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.text import number_within
+
 # --- fixed values -------------------------------------------------------------
 TRIVIAL_GLOBALS = ("Object", "Array", "String", "Number", "Boolean", "Math", "JSON", "Date", "RegExp", "Error",
                    "Promise", "Map", "Set", "WeakMap", "WeakSet", "Symbol", "BigInt", "parseInt", "parseFloat",
@@ -25,6 +27,8 @@ CONTROL_SAMPLES = 4
 LABEL_WIDTH = 82
 BRANCH_KINDS = ("if", "switch", "try")
 LOOP_KINDS = ("for", "while", "do")
+FILLER, FILLER_RUN = "~ misc", 3
+WEAK_LINES = ("# decl", "~ misc", "= expr")
 CALL_RE = r"([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\s*\("
 KEYWORDS = ("if", "for", "while", "switch", "catch", "return", "function", "typeof", "new")
 # -----------------------------------------------------------------------------
@@ -110,7 +114,6 @@ def control_counts(steps: DataFrame) -> DataFrame:
 def run_length(calls: DataFrame) -> DataFrame:
     """(path, fn, first_seq, step): consecutive equal callees merged to
     ``name×n`` (gaps and islands: seq rank minus per-callee rank)."""
-    from quire.functions.text import number_within
     # both numberings are range-partitioned, so one very long function is not one task
     r = number_within(calls, ["path", "fn"], "seq", name="r_all")
     isl = number_within(r, ["path", "fn", "callee"], "seq", name="r_one") \
@@ -120,6 +123,26 @@ def run_length(calls: DataFrame) -> DataFrame:
                     .otherwise(F.col("callee")).alias("step"))
 
 
+def collapse_flow(flow: DataFrame) -> DataFrame:
+    """(path, fn, seq, line) of ``flow(path, fn, seq, line)`` with runs of filler steps cut short: three or
+    more in a row become one line with their number, fewer stay; any other line that
+    repeats the line before it goes.  Runs are islands (rank among all lines minus
+    rank among equal ones)."""
+    r = number_within(flow, ["path", "fn"], "seq", name="r_all")
+    r = number_within(r, ["path", "fn", "line"], "seq", name="r_one").withColumn("isl", F.col("r_all") - F.col("r_one"))
+    runs = r.groupBy("path", "fn", "line", "isl").agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("n"))
+    filler = F.col("line") == FILLER
+    one = runs.where(~filler | (F.col("n") >= FILLER_RUN)).select("path", "fn", F.col("first").alias("seq"), F.when(
+        filler, F.concat(F.lit("~misc×"), F.col("n").cast("string"), F.lit(" (path/dep)"))).otherwise(F.col("line")).alias("line"))
+    short = runs.where(filler & (F.col("n") < FILLER_RUN)).select("path", "fn", "line", "isl")
+    return one.unionByName(r.join(short, ["path", "fn", "line", "isl"], "left_semi").select("path", "fn", "seq", "line"))
+
+
+def is_weak_line(line: Column) -> Column:
+    """A flow line that says nothing about the function."""
+    return line.isin(*WEAK_LINES) | line.startswith("… seq(") | line.startswith("stmt:Break")
+
+
 def early_returns(steps: DataFrame) -> DataFrame:
     """(path, fn, seq, step): a condition directly followed by a return becomes
     one guard step; other bare conditions are dropped; functions with at least
@@ -127,7 +150,6 @@ def early_returns(steps: DataFrame) -> DataFrame:
 
     Neighbours come from a dense per-function rank (range-partitioned) and an
     equi-join on rank ± 1, so one very long function is not one task."""
-    from quire.functions.text import number_within
     r = number_within(steps, ["path", "fn"], "seq", name="r")
     nb = r.select("path", "fn", "r", "kind")
     s = (r.join(nb.select("path", "fn", (F.col("r") - 1).alias("r"), F.col("kind").alias("next_kind")),
@@ -151,7 +173,6 @@ def log_merge(calls: DataFrame) -> DataFrame:
     ``log: m1, m2`` step listing the methods in order (first appearance).
     Runs are islands: rank among all calls minus rank among logger calls
     (both range-partitioned)."""
-    from quire.functions.text import number_within
     c = calls.withColumn("is_log", F.col("callee").startswith("Logger."))
     c = number_within(c, ["path", "fn"], "seq", name="r_all")
     c = number_within(c, ["path", "fn", "is_log"], "seq", name="r_kind")
@@ -168,9 +189,14 @@ def log_merge(calls: DataFrame) -> DataFrame:
     return logs.unionByName(other)
 
 
-def flow_path(calls: DataFrame) -> DataFrame:
+def flow_path(calls: DataFrame, flow: DataFrame | None = None) -> DataFrame:
     """(path, fn, flow): distinct callees in first-call order joined by ' → ',
-    loggers dropped unless nothing else remains; only when two or more."""
+    loggers dropped unless nothing else remains; only when two or more.  With the
+    functions' ``flow(path, fn, seq, line)`` a path is given only where that is weak (fewer
+    than two lines that say something) or was cut."""
+    if flow is not None:
+        told = flow.groupBy("path", "fn").agg(F.count_if(~is_weak_line(F.col("line"))).alias("strong"), F.max(F.col("line").startswith("…(")).alias("cut"))
+        calls = calls.join(told.where((F.col("strong") >= 2) & ~F.col("cut")), ["path", "fn"], "left_anti")
     first = calls.where(~is_trivial(F.col("callee"))).groupBy("path", "fn", "callee").agg(F.min("seq").alias("s"))
     g = first.groupBy("path", "fn").agg(F.array_sort(F.collect_list(F.struct("s", "callee"))).alias("tags"))
     names = F.transform("tags", lambda t: t["callee"])
@@ -179,10 +205,13 @@ def flow_path(calls: DataFrame) -> DataFrame:
     return g.where(F.size("tags") >= 2).select("path", "fn", F.array_join(chosen, " → ").alias("flow"))
 
 
-def dependency_prune(deps: DataFrame, paths: DataFrame) -> DataFrame:
-    """Dependencies not already visible in the function's flow path."""
-    shown = paths.select("path", "fn", F.explode(F.split("flow", " → ")).alias("dep"))
-    return deps.join(shown, ["path", "fn", "dep"], "left_anti")
+def dependency_prune(deps: DataFrame, paths: DataFrame, flow: DataFrame) -> DataFrame:
+    """Dependencies that neither the function's path nor a line of its flow mentions;
+    loggers go where the flow has a log line."""
+    text = paths.select("path", "fn", F.col("flow").alias("_text")).unionByName(flow.select("path", "fn", F.col("line").alias("_text")))
+    logged = F.col("_text").startswith("log:") & F.col("dep").startswith("Logger.")
+    same = (F.col("d.path") == F.col("t.path")) & (F.col("d.fn") == F.col("t.fn"))
+    return deps.alias("d").join(text.alias("t"), same & (F.col("_text").contains(F.col("dep")) | logged), "left_anti")
 
 
 def outline_quality(symbols: DataFrame, sources: DataFrame) -> DataFrame:

@@ -119,18 +119,40 @@ def flow_log_merge(spark, sf):
     return finish(FL.log_merge(_calls(spark, sf)))
 
 
-@query("flow_path", DEPS + "SELECT path, fn, flow FROM paths")
+FLOW = DEPS.replace("WITH ", duck_with("v_flow") + ", ", 1) + """
+, told AS (SELECT path, fn, count_if(NOT (line IN ('# decl', '~ misc', '= expr') OR starts_with(line, '… seq(') OR starts_with(line, 'stmt:Break'))) AS strong,
+                  bool_or(starts_with(line, '…(')) AS cut FROM v_flow GROUP BY path, fn),
+shown_paths AS (SELECT p.* FROM paths p LEFT JOIN told t ON t.path = p.path AND t.fn = p.fn WHERE t.path IS NULL OR t.strong < 2 OR t.cut)
+"""
+
+
+def _flow(spark, sf):
+    return derived(spark, sf, "v_flow")
+
+
+@query("flow_path", FLOW + "SELECT path, fn, flow FROM shown_paths")
 def flow_path(spark, sf):
-    return finish(FL.flow_path(_calls(spark, sf)))
+    return finish(FL.flow_path(_calls(spark, sf), _flow(spark, sf)))
+
+
+@query("flow_collapse", duck_with("v_flow") + """
+, l AS (SELECT *, row_number() OVER (PARTITION BY path, fn ORDER BY seq) - row_number() OVER (PARTITION BY path, fn, line ORDER BY seq) AS isl FROM v_flow),
+n AS (SELECT *, count(*) OVER (PARTITION BY path, fn, line, isl) AS n, min(seq) OVER (PARTITION BY path, fn, line, isl) AS first FROM l)
+SELECT path, fn, seq, CASE WHEN line = '~ misc' AND n >= 3 THEN '~misc×' || CAST(n AS VARCHAR) || ' (path/dep)' ELSE line END AS line
+FROM n WHERE seq = first OR (line = '~ misc' AND n < 3)
+""")
+def flow_collapse(spark, sf):
+    return finish(FL.collapse_flow(_flow(spark, sf)))
 
 
-@query("dependency_prune", DEPS + """
-, shown AS (SELECT path, fn, unnest(string_split(flow, ' → ')) AS dep FROM paths)
-SELECT d.* FROM deps d WHERE NOT EXISTS (SELECT 1 FROM shown s WHERE s.path = d.path AND s.fn = d.fn AND s.dep = d.dep)
+@query("dependency_prune", FLOW + """
+, text AS (SELECT path, fn, flow AS t FROM shown_paths UNION ALL SELECT path, fn, line FROM v_flow)
+SELECT d.* FROM deps d WHERE NOT EXISTS (SELECT 1 FROM text s WHERE s.path = d.path AND s.fn = d.fn
+  AND (contains(s.t, d.dep) OR (starts_with(s.t, 'log:') AND starts_with(d.dep, 'Logger.'))))
 """)
 def dependency_prune(spark, sf):
     c = _calls(spark, sf)
-    return finish(FL.dependency_prune(FL.dependencies(c), FL.flow_path(c)))
+    return finish(FL.dependency_prune(FL.dependencies(c), FL.flow_path(c, _flow(spark, sf)), _flow(spark, sf)))
 
 
 @query("outline_quality", SYMS + """

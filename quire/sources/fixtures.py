@@ -397,6 +397,15 @@ SELECT concat('flow/u', CAST(user_id % 10 AS STRING), '.ts') AS path, concat('fn
 FROM {events}
 """)
 
+_d("v_flow", ("events",), """
+SELECT concat('flow/u', CAST(user_id % 10 AS STRING), '.ts') AS path, concat('fn', CAST(user_id AS STRING)) AS fn,
+       CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS seq,
+       CASE WHEN user_id % 3 = 0 THEN CASE WHEN event_id % 9 = 0 THEN '-> db.buy' WHEN event_id % 5 = 0 THEN '# decl' ELSE '~ misc' END
+            WHEN event_id % 41 = 0 THEN '…(3 more)' WHEN event_id % 6 = 3 THEN '<- return' WHEN event_id % 6 = 2 THEN 'switch kind'
+            WHEN event_id % 6 = 4 THEN '-> svc.view' WHEN event_id % 6 = 1 AND user_id % 3 = 1 THEN 'log: info' ELSE '~ misc' END AS line
+FROM {events}
+""")
+
 _d("v_slides", ("conversations",), """
 SELECT conv_id AS doc_id, CAST(turn + 1 AS INT) AS slide_no, 0 AS seq, 'title' AS field, text
 FROM {conversations} WHERE role = 'user' AND turn % 3 = 0
