@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import number_within
+from quire.functions.text import explode_rows, js_trim, number_within
 
 # --- fixed values -------------------------------------------------------------
 TRIVIAL_GLOBALS = ("Object", "Array", "String", "Number", "Boolean", "Math", "JSON", "Date", "RegExp", "Error",
@@ -49,7 +49,6 @@ def is_side_effect(name: Column) -> Column:
 def call_sites(code_lines: DataFrame) -> DataFrame:
     """(path, line_no, ord, callee): call names in line order, keywords and
     trivial globals removed."""
-    from quire.functions.text import explode_rows
     names = F.regexp_extract_all(F.col("text"), F.lit(CALL_RE), 1)
     e = explode_rows(code_lines.select("path", "line_no", "text"), names, ["path", "line_no"], "ord", "callee")
     return e.where(~F.col("callee").isin(*KEYWORDS) & ~is_trivial(F.col("callee")))
@@ -226,3 +225,25 @@ def outline_quality(symbols: DataFrame, sources: DataFrame) -> DataFrame:
     r = j.rollup("path").agg(*[F.sum(c).alias(c) for c in ("lines", "functions", "types", "imports", "chars", "source_chars")])
     return r.select("*", F.ceil(F.col("chars") / F.lit(3.5)).cast("long").alias("est_tokens"),
                     F.round(F.col("chars") / F.col("source_chars"), 6).alias("ratio"))
+
+
+def outline_metrics(lines: DataFrame) -> DataFrame:
+    """(path, line_count, fn_count, max_dep_len, has_path, path_count, flow_header_count,
+    logger_flow_count, dep_overlap, bare_ctl_count, est_tokens) of outlines ``lines(path, line_no,
+    text)``.  A dependency overlaps when a flow or path line mentions it."""
+    t = F.col("text")
+    told = t.startswith("path:") | js_trim(t).startswith("->") | js_trim(t).startswith("flow:") | js_trim(t).startswith("path:")
+    base = lines.groupBy("path").agg(
+        F.count(F.lit(1)).alias("line_count"), F.count_if(t.startswith("fn ")).alias("fn_count"),
+        F.coalesce(F.max(F.when(t.startswith("dep:"), F.length(t))), F.lit(0)).alias("max_dep_len"),
+        F.count_if(t.startswith("path:")).alias("path_count"), F.count_if(t.startswith("flow:")).alias("flow_header_count"),
+        F.sum(F.size(F.regexp_extract_all(t, F.lit(r"(-> Logger\.|log:)"), 1))).alias("logger_flow_count"),
+        F.count_if(t.rlike(r"^ctl:\s+\d+br\s+\d+lp\s*$")).alias("bare_ctl_count"), (F.sum(F.length(t) + 1) - 1).alias("chars"))
+    deps = explode_rows(lines.where(t.startswith("dep:")), F.split(F.regexp_replace("text", r"^dep:\s*", ""), r",\s*", -1), ["path", "line_no"], "k", "dep")
+    deps = deps.where(F.col("dep") != "")
+    shown = lines.where(told).select("path", F.col("text").alias("_told"))
+    hit = (deps.alias("d").join(shown.alias("s"), (F.col("d.path") == F.col("s.path")) & F.col("_told").contains(F.col("dep")), "left_semi")
+           .groupBy("path").agg(F.count(F.lit(1)).alias("dep_overlap")))
+    return base.join(hit, "path", "left").select(
+        "path", "line_count", "fn_count", "max_dep_len", (F.col("path_count") > 0).alias("has_path"), "path_count", "flow_header_count", "logger_flow_count",
+        F.coalesce("dep_overlap", F.lit(0)).alias("dep_overlap"), "bare_ctl_count", F.ceil(F.col("chars") / F.lit(3.5)).cast("long").alias("est_tokens"))

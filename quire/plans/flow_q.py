@@ -167,3 +167,20 @@ SELECT *, CAST(ceil(chars / CAST(3.5 AS DOUBLE)) AS BIGINT) AS est_tokens, round
 def outline_quality(spark, sf):
     lines = derived(spark, sf, "v_code_lines")
     return finish(FL.outline_quality(CO.outline_symbols(lines), lines))
+
+
+@query("outline_metrics", duck_with("v_outline_lines") + r"""
+, l AS (SELECT *, ltrim(text) AS lt FROM v_outline_lines),
+b AS (SELECT path, count(*) AS line_count, count_if(starts_with(text, 'fn ')) AS fn_count,
+             coalesce(max(CASE WHEN starts_with(text, 'dep:') THEN length(text) END), 0) AS max_dep_len, count_if(starts_with(text, 'path:')) AS path_count,
+             count_if(starts_with(text, 'flow:')) AS flow_header_count, sum(len(regexp_extract_all(text, '-> Logger\.|log:'))) AS logger_flow_count,
+             count_if(regexp_matches(text, '^ctl:\s+\d+br\s+\d+lp\s*$')) AS bare_ctl_count, sum(length(text) + 1) - 1 AS chars FROM l GROUP BY path),
+d AS (SELECT path, line_no, unnest(string_split_regex(regexp_replace(text, '^dep:\s*', ''), ',\s*')) AS dep FROM l WHERE starts_with(text, 'dep:')),
+s AS (SELECT path, text FROM l WHERE starts_with(lt, '->') OR starts_with(lt, 'flow:') OR starts_with(lt, 'path:')),
+o AS (SELECT path, count(*) AS n FROM d WHERE dep <> '' AND EXISTS (SELECT 1 FROM s WHERE s.path = d.path AND contains(s.text, d.dep)) GROUP BY path)
+SELECT b.path, line_count, fn_count, max_dep_len, path_count > 0 AS has_path, path_count, flow_header_count, CAST(logger_flow_count AS BIGINT) AS logger_flow_count,
+       coalesce(o.n, 0) AS dep_overlap, bare_ctl_count, CAST(ceil(chars / CAST(3.5 AS DOUBLE)) AS BIGINT) AS est_tokens
+FROM b LEFT JOIN o ON o.path = b.path
+""".replace("\\\\", "\\"))
+def outline_metrics(spark, sf):
+    return finish(FL.outline_metrics(derived(spark, sf, "v_outline_lines")))

@@ -406,6 +406,14 @@ SELECT concat('flow/u', CAST(user_id % 10 AS STRING), '.ts') AS path, concat('fn
 FROM {events}
 """)
 
+_d("v_outline_lines", ("events",), """
+SELECT concat('out/o', CAST(CAST(floor(event_id / 200) AS BIGINT) AS STRING), '.txt') AS path, CAST(event_id % 200 + 1 AS INT) AS line_no,
+       CASE (event_id + user_id) % 11 WHEN 0 THEN concat('fn work', CAST(event_id AS STRING), '(x)') WHEN 1 THEN concat('dep: svc.', event_type, ', db.buy, fs.write', CAST(user_id % 7 AS STRING))
+            WHEN 2 THEN 'flow:' WHEN 3 THEN concat('  -> svc.', event_type) WHEN 4 THEN concat('path: svc.view → fs.write', CAST(user_id % 5 AS STRING))
+            WHEN 5 THEN 'ctl: 2br 1lp ' WHEN 6 THEN 'ctl: 2br 1lp if (x)' WHEN 7 THEN '  -> Logger.info' WHEN 8 THEN '  log: info, log: warn' WHEN 9 THEN '' ELSE 'dep: ' END AS text
+FROM {events}
+""")
+
 _d("v_slides", ("conversations",), """
 SELECT conv_id AS doc_id, CAST(turn + 1 AS INT) AS slide_no, 0 AS seq, 'title' AS field, text
 FROM {conversations} WHERE role = 'user' AND turn % 3 = 0
