@@ -127,6 +127,46 @@ def test_whole_context_has_a_block_for_every_kept_file(spark):
     assert doc.where("seq.a = 2").count() == len(blocks)
 
 
+def test_level_counts_stay_below_the_lines(spark):
+    from quire.operators import logs as L
+    from quire.sources.fixtures import derived
+    for r in L.level_distribution(derived(spark, SF, "v_log_lines")).groupBy("path", "total_lines").agg(F.sum("n").alias("n")).collect():
+        assert 0 < r.n <= r.total_lines
+
+
+def test_no_sensitive_value_is_shown(spark):
+    from quire.sources.fixtures import derived
+    config = derived(spark, SF, "v_json")
+    for r in R.render_json_summary(config).collect():
+        assert "tok" not in r.text.replace("api_token", "").replace("token:", "") or "Parse error" in r.text
+    for r in K.redact_lines(derived(spark, SF, "v_yaml")).collect():
+        assert "secret" not in r.text
+
+
+def test_filler_runs_and_weak_flows(spark):
+    from quire.operators import flow as FL
+    lines = ["~ misc", "~ misc", "-> a", "-> a", "~ misc", "~ misc", "~ misc", "<- return", "~ misc"]
+    flow = spark.createDataFrame([("p", "f", i, t) for i, t in enumerate(lines)], "path string, fn string, seq int, line string")
+    got = [r.line for r in FL.collapse_flow(flow).orderBy("seq").collect()]
+    assert got == ["~ misc", "~ misc", "-> a", "~misc×3 (path/dep)", "<- return", "~ misc"]
+    calls = spark.createDataFrame([("p", "f", 1, "a"), ("p", "f", 2, "b.c"), ("p", "g", 1, "a"), ("p", "g", 2, "Logger.x"), ("p", "g", 3, "d")], "path string, fn string, seq int, callee string")
+    strong = flow.unionByName(spark.createDataFrame([("p", "g", 1, "~ misc"), ("p", "g", 2, "-> d")], flow.schema))
+    assert [(r.fn, r.flow) for r in FL.flow_path(calls, strong).collect()] == [("g", "a → d")]
+    deps = FL.dependencies(calls)
+    kept = {(r.fn, r.dep) for r in FL.dependency_prune(deps, FL.flow_path(calls, strong), strong).collect()}
+    assert kept == {("f", "b.c"), ("g", "Logger.x")}
+
+
+def test_outline_text(spark):
+    lines = ["import os", "# Holds things", "class A:", "    def _hidden(self):", "def run(x):"]
+    df = spark.createDataFrame([("p", "python", i + 1, t) for i, t in enumerate(lines)], "path string, language string, line_no int, text string")
+    bar = "// ═══════════════════════════════════════"
+    assert R.render_outline(df).first().text == (f"{bar}\n// TYPES\n{bar}\n// class A: [doc: Holds things]\n\n{bar}\n// FUNCTIONS\n{bar}\n// def run(x):\n\n"
+                                                f"{bar}\n// IMPORTS/DEPENDENCIES\n{bar}\n// import os")
+    many = spark.createDataFrame([("p", "python", i + 1, f"class C{i}:") for i in range(53)], df.schema)
+    assert R.render_outline(many).first().text.rstrip().endswith("// class C49:\n// ... (3 more types)")
+
+
 def test_each_file_takes_one_route(spark):
     from quire.plans.corpus_q import CFG
     from quire.sources.fixtures import derived
