@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.config import CHARS_PER_TOKEN, DEFAULT, WARNING_EMOJI, Config
-from quire.functions.text import format_size, utf16_len
+from quire.functions.text import collapse_ws, format_size, js_trim, utf16_len
 
 # --- fixed values -------------------------------------------------------------
 TEMPLATE_VARS = ("PROJECT_NAME", "DIR_TREE", "FILE_LIST", "FILE_CONTENTS", "TOKEN_COUNT", "TOKEN_LIMIT",
@@ -504,3 +504,40 @@ def render_outline(lines: DataFrame, config: Config = DEFAULT) -> DataFrame:
     parts = F.concat(*(F.when(F.col(k).isNotNull(), F.array(F.col(k), F.lit("")) if k != "import" else F.array(F.col(k))).otherwise(F.array().cast("array<string>"))
                        for k in OUTLINE_TITLES))
     return piv.select("path", F.array_join(parts, "\n").alias("text"))
+
+
+def render_workbook_summary(sheet_cells: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(path, text): the workbook block of ``sheet_cells(path, sheet, row_no, ord, value)``: for each
+    sheet (by name) its size, and each column's type with up to two non-blank examples."""
+    from quire.operators import tabular as TB
+    n = config.clamped().csv_sample_rows
+    prof = TB.workbook_profile(sheet_cells)
+    ex = F.slice(F.filter("samples", lambda v: v != ""), 1, TB.SAMPLES_SHOWN)
+    line = F.concat(F.lit("// "), "name", F.lit(": "), "inferred_type", F.when(
+        F.size(ex) > 0, F.concat(F.lit(' (examples: "'), F.array_join(ex, '", "'), F.lit('")'))).otherwise(F.lit("")), F.lit("\n"))
+    sheets = prof.groupBy("path", "sheet").agg(F.max("rows").alias("rows"), F.max("columns").alias("columns"), F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("ord", line.alias("l")))), lambda s: s["l"]), "").alias("schema"))
+    shown = F.least(F.lit(n), F.col("rows")).cast("string")
+    rows, columns = F.col("rows").cast("string"), F.col("columns").cast("string")
+    data = F.when(F.col("rows") > 0, F.concat(F.lit(f"{SEP}\n// SAMPLE DATA (showing "), shown, F.lit(" of "), rows, F.lit(
+        f" rows)\n{SEP}\n// [Row data omitted for brevity - see schema above]\n"))).otherwise(F.lit(""))
+    body = F.concat(F.lit(f'{SEP}\n// SHEET: "'), "sheet", F.lit(f'"\n{SEP}\n// Rows: '), rows, F.lit(" | Columns: "), columns, F.lit("\n\n"),
+                    F.when(F.col("columns") == 0, F.lit("// (empty sheet)\n\n")).otherwise(F.concat(
+                        F.lit(f"{SEP}\n// SCHEMA ("), columns, F.lit(f" columns)\n{SEP}\n"), "schema", F.lit("\n"), data, F.lit("\n"))))
+    book = sheets.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("sheet", body.alias("b")))), lambda s: s["b"]), "").alias("all"))
+    form = F.upper(F.substring_index("path", ".", -1))
+    return book.select("path", F.concat(
+        F.lit("// File: "), "path", F.lit(f" ({WARNING_EMOJI} Excel summary)\n// Format: "), form, F.lit(f"\n\n{SEP}\n// WORKBOOK: "), F.col("n").cast("string"),
+        F.when(F.col("n") > 1, F.lit(" sheets")).otherwise(F.lit(" sheet")), F.lit(f"\n{SEP}\n\n"), "all").alias("text"))
+
+
+def render_slide_content(elements: DataFrame) -> DataFrame:
+    """(doc_id, text): title and content preview (500 characters) of each slide of a deck, in order."""
+    from quire.operators import docs as D
+    s = D.slide_assemble(elements)
+    clean = s.select("doc_id", "slide_no", "title", F.regexp_replace(js_trim(collapse_ws("content")), D.CONTROL_RE, "").alias("c"))
+    shown = clean.select("doc_id", "slide_no", "title", D.shortened(F.col("c"), 500).alias("c"))
+    block = F.concat(F.lit("\n// [Slide "), F.col("slide_no").cast("string"), F.lit("] "), "title", F.lit("\n// "), "c", F.lit("\n"))
+    g = shown.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slide_no", block.alias("b")))), lambda x: x["b"]), "").alias("all"))
+    return g.select("doc_id", F.concat(F.lit(_sep_block("SLIDE CONTENT")), "all").alias("text"))

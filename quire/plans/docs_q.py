@@ -125,7 +125,7 @@ def paragraph_headings(spark, sf):
     return finish(docs.paragraph_headings(derived(spark, sf, "v_paragraphs")))
 
 
-@query("slide_assemble", duck_with("v_slides") + f"""
+SLIDES = duck_with("v_slides") + f"""
 , g AS (SELECT doc_id, slide_no,
           arg_min(text, seq) FILTER (WHERE field = 'title' AND coalesce(text, '') <> '') AS t,
           arg_min(text, seq) FILTER (WHERE field = 'content' AND coalesce(text, '') <> '') AS c,
@@ -136,10 +136,27 @@ h AS (SELECT doc_id, slide_no,
         coalesce(CASE WHEN t IS NULL AND len(els) > 0 THEN els[1] ELSE t END, '') AS t1,
         coalesce(CASE WHEN coalesce(c, x) IS NULL AND len(els) > 0 THEN array_to_string(els, ' ') ELSE coalesce(c, x) END, '') AS c1
       FROM g),
-k AS (SELECT doc_id, slide_no, {clean_sql('t1')} AS title, {clean_sql('c1')} AS content FROM h)
-SELECT doc_id, slide_no, CASE WHEN title = '' THEN 'Slide ' || CAST(slide_no AS VARCHAR) ELSE title END AS title,
+k AS (SELECT doc_id, slide_no, {clean_sql('t1')} AS title, {clean_sql('c1')} AS content FROM h),
+slides AS (SELECT doc_id, slide_no, CASE WHEN title = '' THEN 'Slide ' || CAST(slide_no AS VARCHAR) ELSE title END AS title,
        CASE WHEN content <> '' THEN content WHEN title <> '' THEN '' ELSE '(no text content)' END AS content
-FROM k
-""")
+FROM k)
+"""
+
+
+@query("slide_assemble", SLIDES + "SELECT doc_id, slide_no, title, content FROM slides")
 def slide_assemble(spark, sf):
     return finish(docs.slide_assemble(derived(spark, sf, "v_slides")))
+
+
+BAR = "// ═══════════════════════════════════════"
+
+
+@query("render_slides", SLIDES + f"""
+, pv AS (SELECT doc_id, slide_no, title, {preview_sql('content', 500)} AS c FROM slides)
+SELECT doc_id, '{BAR}' || chr(10) || '// SLIDE CONTENT' || chr(10) || '{BAR}' || chr(10)
+       || string_agg(chr(10) || '// [Slide ' || CAST(slide_no AS VARCHAR) || '] ' || title || chr(10) || '// ' || c || chr(10), '' ORDER BY slide_no) AS text
+FROM pv GROUP BY doc_id
+""")
+def render_slides(spark, sf):
+    from quire.operators.render import render_slide_content
+    return finish(render_slide_content(derived(spark, sf, "v_slides")))

@@ -103,21 +103,44 @@ def table_head(spark, sf):
     return finish(T.table_head(_lines(spark, sf)))
 
 
-@query("workbook_profile", duck_with("v_sheet_cells") + f"""
+WORKBOOK = duck_with("v_sheet_cells") + f"""
 , v AS (SELECT path, sheet, row_no, ord, {trim("coalesce(CAST(value AS VARCHAR), '')")} AS value FROM v_sheet_cells),
 ncols AS (SELECT path, sheet, max(ord) + 1 AS columns FROM v WHERE row_no = 0 GROUP BY path, sheet),
 nrows AS (SELECT path, sheet, max(row_no) AS rows FROM v GROUP BY path, sheet),
 head AS (SELECT path, sheet, ord, value AS name FROM v WHERE row_no = 0),
 g AS (SELECT path, sheet, ord, list(value ORDER BY row_no) AS vals FROM v WHERE row_no BETWEEN 1 AND 100
-      GROUP BY path, sheet, ord)
-SELECT h.path, h.sheet, h.ord,
+      GROUP BY path, sheet, ord),
+prof AS (SELECT h.path, h.sheet, h.ord,
        CASE WHEN name = '' THEN 'Column' || CAST(h.ord + 1 AS VARCHAR) ELSE name END AS name,
        coalesce({_infer_sql('vals')}, 'string') AS inferred_type,
        array_to_string(coalesce(list_filter(vals, lambda x: x <> '')[1:3], CAST([] AS VARCHAR[])), '", "') AS samples,
        rows, columns
 FROM head h LEFT JOIN g ON h.path = g.path AND h.sheet = g.sheet AND h.ord = g.ord
-JOIN ncols c ON h.path = c.path AND h.sheet = c.sheet JOIN nrows r ON h.path = r.path AND h.sheet = r.sheet
-""")
+JOIN ncols c ON h.path = c.path AND h.sheet = c.sheet JOIN nrows r ON h.path = r.path AND h.sheet = r.sheet)
+"""
+
+
+@query("workbook_profile", WORKBOOK + "SELECT path, sheet, ord, name, inferred_type, samples, rows, columns FROM prof")
 def workbook_profile(spark, sf):
     p = T.workbook_profile(derived(spark, sf, "v_sheet_cells"))
     return finish(p.withColumn("samples", F.array_join("samples", '", "')))
+
+
+BAR = "// ═══════════════════════════════════════"
+
+
+@query("render_workbook", WORKBOOK + f"""
+, l AS (SELECT *, list_filter(string_split(samples, '", "'), lambda x: x <> '')[1:2] AS ex FROM prof),
+sh AS (SELECT path, sheet, max(rows) AS rows, max(columns) AS columns, string_agg('// ' || name || ': ' || inferred_type
+         || CASE WHEN len(ex) > 0 THEN ' (examples: "' || array_to_string(ex, '", "') || '")' ELSE '' END || chr(10), '' ORDER BY ord) AS schema
+       FROM l GROUP BY path, sheet),
+b AS (SELECT path, sheet, '{BAR}' || chr(10) || '// SHEET: "' || sheet || '"' || chr(10) || '{BAR}' || chr(10) || '// Rows: ' || CAST(rows AS VARCHAR) || ' | Columns: '
+             || CAST(columns AS VARCHAR) || chr(10) || chr(10) || '{BAR}' || chr(10) || '// SCHEMA (' || CAST(columns AS VARCHAR) || ' columns)' || chr(10) || '{BAR}' || chr(10)
+             || schema || chr(10) || CASE WHEN rows > 0 THEN '{BAR}' || chr(10) || '// SAMPLE DATA (showing ' || CAST(least(3, rows) AS VARCHAR) || ' of ' || CAST(rows AS VARCHAR)
+             || ' rows)' || chr(10) || '{BAR}' || chr(10) || '// [Row data omitted for brevity - see schema above]' || chr(10) ELSE '' END || chr(10) AS b FROM sh)
+SELECT path, '// File: ' || path || ' (⚠️ Excel summary)' || chr(10) || '// Format: XLSX' || chr(10) || chr(10) || '{BAR}' || chr(10) || '// WORKBOOK: ' || CAST(count(*) AS VARCHAR)
+       || CASE WHEN count(*) > 1 THEN ' sheets' ELSE ' sheet' END || chr(10) || '{BAR}' || chr(10) || chr(10) || string_agg(b, '' ORDER BY sheet) AS text FROM b GROUP BY path
+""")
+def render_workbook(spark, sf):
+    from quire.operators.render import render_workbook_summary
+    return render_workbook_summary(derived(spark, sf, "v_sheet_cells"))
