@@ -210,21 +210,20 @@ def textrank_tokens(nodes: DataFrame, tokens: DataFrame, idx: str = "pos",
     For documents with n(n-1) <= ``max_group_edges`` the token rows of one
     document form one pandas group (bounded by the document itself); pairs,
     Jaccard weights and the power iteration all run in numpy, so the shuffle
-    carries token rows, not pairs.  Larger documents fall back to the
+    carries token hashes, not pairs or strings.  Larger documents fall back to the
     distributed pair join and DataFrame iteration."""
     n_nodes = nodes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     bounded = F.col("n") * (F.col("n") - 1) <= max_group_edges
     small_docs = n_nodes.where(bounded)
     rows = (tokens.join(small_docs.select("doc_id"), "doc_id", "left_semi")
-            .select("doc_id", F.col("idx").cast("int").alias("i"), "token", F.lit(None).cast("long").alias("n"))
-            .unionByName(small_docs.select("doc_id", F.lit(-1).alias("i"), F.lit(None).cast("string").alias("token"), "n")))
+            .select("doc_id", F.col("idx").cast("int").alias("i"), F.xxhash64("token").alias("token"))
+            .unionByName(small_docs.select("doc_id", F.lit(-1).alias("i"), F.col("n").alias("token"))))
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         head = pdf["i"].to_numpy() < 0
-        n = int(pdf.loc[head, "n"].iloc[0])
-        t = pdf.loc[~head]
-        node = t["i"].to_numpy(np.int64)
-        codes, _ = pd.factorize(t["token"], sort=False)
+        n = int(pdf["token"].to_numpy()[head][0])
+        node = pdf["i"].to_numpy(np.int64)[~head]
+        codes = np.unique(pdf["token"].to_numpy(np.int64)[~head], return_inverse=True)[1]
         sizes = np.bincount(node, minlength=n).astype(np.float64)
         i, j, sim = _pairs_from_postings(n, node, codes.astype(np.int64), sizes)
         sc, it = _power_iteration(n, i, j, sim, damping, iterations, tol)
