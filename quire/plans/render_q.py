@@ -7,20 +7,25 @@ from pyspark.sql import functions as F
 from quire.config import Config
 from quire.functions.text import format_tokens, rank_within
 from quire.operators import corpus as C
+from quire.operators import context as X
 from quire.operators import render as R
 from quire.operators import tree as T
 from quire.plans.common import finish
 from quire.plans.corpus_q import CFG, EXT, LANG_SQL, SYM, _binary_sql, case_map
-from quire.plans.registry import query
+from quire.plans.context_sql import summary_blocks
+from quire.plans.registry import ORACLES, query
 from quire.plans.sqlfrag import utf16_len
 from quire.sources.fixtures import derived, duck_with
 
 
-def ranked_files(spark, sf):
-    """Files with their path rank: only the paths are ranked, and joined back."""
-    files = derived(spark, sf, "v_files")
-    rank = rank_within(files.select("project", "rel_path", "path"), "project", [F.col("rel_path")])
-    return files.join(rank.select("path", "rank"), "path")
+def kept_files(spark, sf):
+    """The files that the ignore rules leave."""
+    return X.kept_files(derived(spark, sf, "v_files"), C.clean_rules(C.rules_of(derived(spark, sf, "v_rules"))))
+
+
+def ranks(spark, sf):
+    """(project, rel_path, path, rank) of the kept files: only the paths are ranked."""
+    return rank_within(kept_files(spark, sf).select("project", "rel_path", "path"), "project", [F.col("rel_path")])
 
 
 TREE = duck_with("v_files") + """
@@ -48,13 +53,14 @@ tree AS (SELECT n2.project, n2.node, n2.depth,
 """
 
 
-def _tree(spark, sf):
-    return rank_within(T.dir_tree(rank_within(derived(spark, sf, "v_files").select("project", "rel_path", "path"), "project", [F.col("rel_path")])), "project", [F.col("ord_key")], name="ord")
+def _tree(rank):
+    return rank_within(T.dir_tree(rank), "project", [F.col("ord_key")], name="ord")
 
 
 @query("dir_tree", TREE + "SELECT project, node, depth, line, ord FROM tree")
 def dir_tree(spark, sf):
-    return finish(_tree(spark, sf).select("project", "node", "depth", "line", "ord"))
+    files = derived(spark, sf, "v_files").select("project", "rel_path", "path")
+    return finish(_tree(rank_within(files, "project", [F.col("rel_path")])).select("project", "node", "depth", "line", "ord"))
 
 
 SIZE_SQL = """CASE
@@ -65,16 +71,12 @@ SIZE_SQL = """CASE
   ELSE CAST({s} AS VARCHAR) || 'B' END"""
 
 
-def _blocks(spark, sf):
-    f = C.classify(ranked_files(spark, sf), CFG)
-    t, fmt, mime = C.media_type(F.col("path"))
-    details = F.filter(F.array(F.when(mime.isNotNull(), F.concat(F.lit("MIME: "), mime))), lambda x: x.isNotNull())
-    block = F.when(F.col("is_binary"), R.binary_block(C.basename(F.col("rel_path")), t, fmt, details)).otherwise(
-        R.file_block(F.col("rel_path"), F.col("size"), F.col("language"), F.col("content"), F.col("is_truncated"), CFG))
-    return f.where(F.col("route").isin("full", "binary")).select("project", "path", "rank", block.alias("block"))
+def _blocks(spark, sf, rank):
+    """A block of every kept file, with its rank."""
+    return X.file_blocks(kept_files(spark, sf), CFG).join(rank.select("path", "rank"), "path")
 
 
-BLOCKS = TREE + f"""
+PLAIN = f"""
 , cl AS (SELECT project, path, rel_path, size, content, row_number() OVER (PARTITION BY project ORDER BY rel_path) AS rank,
                 lower({EXT}) AS ext, {LANG_SQL} AS language,
                 regexp_extract(rel_path, '[^/]*$', 0) AS name FROM v_files),
@@ -82,7 +84,7 @@ r0 AS (SELECT cl.*, {_binary_sql()} AS is_binary FROM cl),
 r AS (SELECT r0.*, size > 10000 AND NOT is_binary AS is_truncated,
              coalesce({case_map('ext', {k: v[0] for k, v in C.MEDIA_TYPES.items()})}, 'binary') AS mtype,
              {case_map('ext', {k: v[1] for k, v in C.MEDIA_TYPES.items()})} AS mime FROM r0),
-blocks AS (SELECT project, path, rank, CASE WHEN is_binary THEN
+plain AS (SELECT project, path, rank, CASE WHEN is_binary THEN
       '// ' || mtype || ' file: ' || name || chr(10) || '// Type: ' || mtype
       || CASE WHEN ext <> '' THEN ' (' || upper(substring(ext, 2)) || ')' ELSE '' END
       || CASE WHEN mime IS NOT NULL THEN chr(10) || '// Details: MIME: ' || mime ELSE '' END || chr(10)
@@ -93,9 +95,28 @@ blocks AS (SELECT project, path, rank, CASE WHEN is_binary THEN
 """
 
 
-@query("render_file_block", BLOCKS + "SELECT project, path, block FROM blocks")
+@query("render_file_block", TREE + PLAIN + "SELECT project, path, block FROM plain")
 def render_file_block(spark, sf):
-    return finish(_blocks(spark, sf).select("project", "path", "block"))
+    f = C.classify(derived(spark, sf, "v_files"), CFG)
+    t, fmt, mime = C.media_type(F.col("path"))
+    details = F.filter(F.array(F.when(mime.isNotNull(), F.concat(F.lit("MIME: "), mime))), lambda x: x.isNotNull())
+    block = F.when(F.col("is_binary"), R.binary_block(C.basename(F.col("rel_path")), t, fmt, details)).otherwise(
+        R.file_block(F.col("rel_path"), F.col("size"), F.col("language"), F.col("content"), F.col("is_truncated"), CFG))
+    return finish(f.where(F.col("route").isin("full", "binary")).select("project", "path", block.alias("block")))
+
+
+# the kept files: neither they nor one of their folders is ignored
+KEPT = duck_with("v_files").replace("v_files AS", "v_all AS", 1) + f"""
+, ig AS (SELECT * FROM ({ORACLES['ignore_filter']}) x),
+v_files AS (SELECT v_all.* FROM v_all JOIN ig ON ig.path = v_all.path WHERE NOT ig.ignored)
+"""
+IS_CODE = f"lower({EXT}) IN ({', '.join(repr(e) for e in C.CODE_EXTENSIONS)})"
+BLOCKS = KEPT + TREE[len(duck_with("v_files")):] + PLAIN + f"""
+, rt AS (SELECT * FROM ({ORACLES['route_files']}) x),
+fr AS (SELECT f.*, rt.route, {LANG_SQL.replace('path', 'f.path')} AS lang FROM v_files f JOIN rt ON rt.path = f.path),
+others AS ({summary_blocks(SIZE_SQL.format(s='f.size'), IS_CODE)}),
+blocks AS (SELECT project, path, rank, block FROM plain UNION ALL SELECT cl.project, cl.path, cl.rank, o.text FROM others o JOIN cl ON cl.path = o.path)
+"""
 
 
 ASSEMBLE = BLOCKS + """
@@ -110,9 +131,10 @@ doc AS (SELECT t.project, 1 AS a, t.ord AS b, CASE WHEN t.ord = 1 THEN '# Projec
 """
 
 
-def _doc(spark, sf, tree=None):
-    tree = (tree if tree is not None else _tree(spark, sf)).select("project", "ord", "line")
-    return R.assemble(tree, _blocks(spark, sf).select("project", "rank", "block"))
+def _doc(spark, sf, rank=None, tree=None):
+    rank = ranks(spark, sf) if rank is None else rank
+    tree = (tree if tree is not None else _tree(rank)).select("project", "ord", "line")
+    return R.assemble(tree, _blocks(spark, sf, rank).select("project", "rank", "block"))
 
 
 @query("context_assemble", ASSEMBLE + "SELECT project, a, b, text FROM doc")
@@ -129,7 +151,7 @@ SELECT t.project, chars, CAST(ceil(chars / CAST(3.75 AS DOUBLE)) AS BIGINT) AS t
 FROM t JOIN n ON t.project = n.project
 """)
 def token_budget(spark, sf):
-    return finish(R.token_budget(_doc(spark, sf), derived(spark, sf, "v_files")))
+    return finish(R.token_budget(_doc(spark, sf), kept_files(spark, sf)))
 
 
 @query("template_catalog", duck_with("v_templates") + f"""
@@ -160,10 +182,12 @@ STAMP = "2024-01-01T00:00:00.000Z"
 
 
 def _render_inputs(spark, sf):
-    files = C.classify(ranked_files(spark, sf), CFG).persist(StorageLevel.MEMORY_AND_DISK)
-    tree = _tree(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)      # reused by several streams
-    doc = _doc(spark, sf, tree).persist(StorageLevel.MEMORY_AND_DISK)
-    budget = R.token_budget(doc, derived(spark, sf, "v_files"))
+    rank = ranks(spark, sf)
+    kept = kept_files(spark, sf)
+    files = C.classify(kept, CFG).select("project", "path", "rel_path", "route").join(rank.select("path", "rank"), "path")
+    tree = _tree(rank)
+    doc = _doc(spark, sf, rank, tree).persist(StorageLevel.MEMORY_AND_DISK)  # its lengths and its rows
+    budget = R.token_budget(doc, kept)
     outl = files.groupBy("project").agg(F.count_if(F.col("route") == "outline").alias("n_outline"))
     choice = F.element_at(F.array(F.lit("default"), F.lit("brief"), F.lit("missing"), F.lit("treeonly")),
                           (F.regexp_extract("project", "([0-9]+)$", 1).cast("int") % 4 + 1))
@@ -244,11 +268,3 @@ def template_render(spark, sf):
     r = R.render_template_rows(segs, stats, streams)
     return finish(r.select("project", F.col("seq.a").alias("a"), F.col("seq.b").alias("b"), F.col("seq.c").alias("c"),
                            "text"))
-
-
-@query("context_complete")
-def context_complete(spark, sf):
-    from quire.operators.context import whole_context
-    rules = C.clean_rules(C.rules_of(derived(spark, sf, "v_rules")))
-    d = whole_context(derived(spark, sf, "v_files"), rules, CFG)
-    return finish(d.select("project", F.col("seq.a").alias("a"), F.col("seq.b").alias("b"), "text"))

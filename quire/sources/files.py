@@ -144,6 +144,6 @@ def write_context(doc_rows: DataFrame, out_dir: str, partitions: int | None = No
     so reading the parts in name order gives the document.  Rows end with a
     newline, which the text writer supplies."""
     n = partitions or doc_rows.sparkSession.sparkContext.defaultParallelism
-    (doc_rows.select("project", "seq", F.regexp_replace("text", "\n$", "").alias("value"))
+    (doc_rows.select("project", "seq", F.regexp_replace("text", "\n\\z", "").alias("value"))
      .repartitionByRange(n, "project", "seq").sortWithinPartitions("project", "seq")
      .drop("seq").write.mode("overwrite").partitionBy("project").text(out_dir))
