@@ -8,8 +8,6 @@ operators over ``(path, fn)`` ordered by ``seq``; sets and caps are distinct +
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 

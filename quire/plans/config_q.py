@@ -1,7 +1,5 @@
 """§ configuration structure and redaction over ``v_json`` / ``v_yaml`` (from ``customer``)."""
 
-from pyspark.sql import functions as F
-
 from quire.config import SENSITIVE_KEY_PATTERNS
 from quire.operators import configs as K
 from quire.plans.common import finish

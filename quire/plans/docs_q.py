@@ -8,7 +8,6 @@ from quire.plans.common import finish
 from quire.plans.registry import query
 from quire.plans.sqlfrag import collapse, trim
 from quire.sources.fixtures import derived, duck_with
-from quire.sources.tables import table
 
 HEAD = f"^(#{{1,6}}){WS}+(.+)$"
 MD_LINES = duck_with("v_md") + f"""

@@ -1,7 +1,5 @@
 """§ call and flow analytics over ``v_calls`` / ``v_steps`` (from ``events``) and code lines."""
 
-from pyspark.sql import functions as F
-
 from quire.operators import code as CO
 from quire.operators import flow as FL
 from quire.plans.code_q import SYMS

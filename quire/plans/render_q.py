@@ -1,10 +1,8 @@
 """§ tree, file blocks, assembly, token budget and templates over ``v_files``."""
 
 from pyspark import StorageLevel
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quire.config import Config
 from quire.functions.text import format_tokens, rank_within
 from quire.operators import corpus as C
 from quire.operators import context as X
