@@ -72,22 +72,29 @@ def corpus_scan(spark: SparkSession, root: str, rules: list[str] | None = None,
             return out
 
 
+#: Bytes that a task holds of the files it reads before it passes them on.
+READ_BYTES = 8 << 20
+
+
 def _read(root: str, part):
     """Adds what ``part(file, size)`` reads of each file; one that cannot be read gives its error."""
     def run(it):
         store, _ = open_folder(root)
         for pdf in it:
-            for i in range(len(pdf)):
-                row = pdf.iloc[[i]].copy()
+            rows, held = [], 0
+            for row in pdf.itertuples(index=False):
                 try:
-                    with store.open_input_file(row["path"].iloc[0]) as f:
+                    with store.open_input_file(row.path) as f:
                         columns, error = part(f, f.size()), None
                 except OSError as e:
                     columns, error = part(None, 0), str(e)
-                for name, value in columns.items():
-                    row[name] = [value]
-                row["error"] = [error]
-                yield row
+                rows.append({**row._asdict(), **columns, "error": error})
+                held += sum(map(len, columns.values()))
+                if held >= READ_BYTES:
+                    yield pd.DataFrame(rows)
+                    rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows)
     return run
 
 
