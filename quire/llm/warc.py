@@ -25,7 +25,9 @@ from quire.llm.common import read_table
 
 VERSION = "WARC/1.1"
 
-_DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
+# Of a head, only these hold text; whatever else stands before </head> or without it belongs to the body.
+_DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<svg\b[^<>]*/>|<(noscript|template|svg)\b.*?</\2\s*>"
+                      r"|<title\b[^<>]*>(?:(?:(?!</head\b|<body\b).)*?</title\s*>|[^<]*)", re.S | re.I)
 _TITLE = re.compile(r"<title\b[^<>]*>([^<]*)", re.I)
 _LANGUAGE = re.compile(r"<html\b[^<>]*\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
 _META_CHARSET = re.compile(rb"<meta\b[^<>]*\bcharset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.I)

@@ -57,6 +57,15 @@ def test_odd_responses():
     assert all("\r\nWARC-Type: response" not in r[5] for r in evil)
 
 
+def test_unclosed_elements_keep_the_body():
+    for page in ("<html><head><title>T</title><meta charset=utf-8><body><p>whole body", "<head><title>T</title><script>x</script><p>whole body",
+                 "<head><title>T<body>whole body", "<head></head><svg width='1'/><p>whole body", "<SVG/>whole <svg><text>no</text></svg>body",
+                 "<noscript>whole body", "<template><p>whole body</p>", "<head><title>a < b</title></head>whole body"):
+        assert warc.plain_text(page) == "whole body"
+    for page in ("text <!-- no", "text <script>no", "text <style>no</p>", "text <noscript>no</noscript>", "text <template>no</template>"):
+        assert warc.plain_text(page) == "text"
+
+
 def test_pages_table(spark):
     pages = spark.createDataFrame([(1, "http://a.example/", PAGE, "x"), (2, None, None, None), (2, None, None, None), (None, "u", "", "x")],
                                   "page_id long, url string, html string, record_type string")
