@@ -1,8 +1,9 @@
-"""Exact byte-pair token counts with a fallback to the length estimate.
+"""Exact byte-pair token counts, or the length estimate.
 
-The encoder is loaded once per Python worker (iterator pandas UDF) from a
-supplied rank file (``QUIRE_BPE_RANKS``) or tiktoken's own cache; when neither
-is available every count falls back to ``ceil(utf16_length / 3.75)``.
+The driver decides once which of the two a column holds: exact counts where it can load a
+supplied rank file (``QUIRE_BPE_RANKS``) or tiktoken's own cache, else ``ceil(utf16_length / 3.75)``
+for every row.  The encoder is loaded once per Python worker (iterator pandas UDF); a worker
+that cannot load what the driver could raises an error.
 """
 
 from __future__ import annotations
@@ -23,12 +24,11 @@ _SPECIAL = {"<|endoftext|>": 100257, "<|fim_prefix|>": 100258, "<|fim_middle|>":
             "<|fim_suffix|>": 100260, "<|endofprompt|>": 100276}
 
 
-def _encoder():
+def _encoder(path: str | None):
     try:
         import tiktoken
     except ImportError:
         return None
-    path = os.environ.get("QUIRE_BPE_RANKS")
     try:
         if path and os.path.exists(path):
             from tiktoken.load import load_tiktoken_bpe
@@ -46,14 +46,23 @@ def _estimate(t) -> int:
     return math.ceil(units / CHARS_PER_TOKEN)
 
 
-def _count_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    enc = _encoder()
+def _estimate_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
+        yield s.map(_estimate).astype("int64")
+
+
+def _counter(path: str | None):
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        enc = _encoder(path)
         if enc is None:
-            yield s.map(_estimate).astype("int64")
-        else:
+            raise RuntimeError(f"the driver counts by {path or ENCODING}, which this worker cannot load")
+        for s in batches:
             yield s.map(lambda t: len(enc.encode(t, disallowed_special=())) if t else 0).astype("int64")
 
+    return count
+
 
 def token_count_bpe(c: Column) -> Column:
-    return F.pandas_udf(_count_batches, "long")(c)
+    path = os.environ.get("QUIRE_BPE_RANKS")
+    batches = _estimate_batches if _encoder(path) is None else _counter(path)
+    return F.pandas_udf(batches, "long")(c)

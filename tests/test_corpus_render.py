@@ -174,3 +174,23 @@ def test_render_yaml_summary(spark):
     t = R.render_yaml_summary(K.order_keys(K.yaml_flat_keys(lines))).first().text
     body = t.split("\n\n", 2)[2]
     assert body == ('name: "x"\nport: 7\nhex: 31\napi_key: [REDACTED]\nparent: "(nested value)"\nratio: 1.5\non: true\n')
+
+
+def test_driver_decides_between_exact_counts_and_the_estimate(spark, monkeypatch, tmp_path):
+    import base64
+
+    import pytest
+    from pyspark.sql import functions as F
+
+    from quire.functions import tokens
+    df = spark.createDataFrame([("abcd",), ("",), (None,)], "x string")
+    ranks = tmp_path / "bytes.tiktoken"  # single bytes alone: a token for each
+    ranks.write_bytes(b"".join(base64.b64encode(bytes([i])) + f" {i}\n".encode() for i in range(256)))
+    monkeypatch.setenv("QUIRE_BPE_RANKS", str(ranks))
+    exact = df.select(tokens.token_count_bpe(F.col("x")))
+    monkeypatch.delenv("QUIRE_BPE_RANKS")
+    assert [r[0] for r in exact.collect()] == [4, 0, 0]
+    with pytest.raises(RuntimeError, match="cannot load"):
+        monkeypatch.setattr(tokens, "_encoder", lambda path: None)
+        list(tokens._counter("gone")(iter([])))
+    assert [r[0] for r in df.select(tokens.token_count_bpe(F.col("x"))).collect()] == [2, 0, 0]
