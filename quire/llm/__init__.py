@@ -10,10 +10,11 @@ from quire.llm.pii import op5_personal_data
 from quire.llm.sharding import op3_uniform_shards
 from quire.llm.tokencount import op1_token_counts
 from quire.llm.toxicity import op4_toxicity
+from quire.llm.veccodes import op11_vector_codes
 from quire.llm.warc import op2_warc_derivatives
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_warc_derivatives, op3_uniform_shards, op4_toxicity,
                                   op5_personal_data, op6_kneser_ney, op7_jaccard_join, op8_best_fit_packing, op9_benchmark_decontamination,
-                                  op10_hilbert_neighbours, op13_curriculum_mix)}
+                                  op10_hilbert_neighbours, op11_vector_codes, op13_curriculum_mix)}
 #: The others cannot be said in SQL; tests hold them against brute force.
 ORACLES = {"op7_jaccard_join": OP7_SQL, "op13_curriculum_mix": OP13_SQL}
