@@ -1,5 +1,6 @@
 """Operators for large-scale training-data pipelines; nothing else in the library imports them."""
 
+from quire.llm.collocations import OP12_SQL, op12_collocations
 from quire.llm.curriculum import OP13_SQL, op13_curriculum_mix
 from quire.llm.decontamination import op9_benchmark_decontamination
 from quire.llm.lm import op6_kneser_ney
@@ -15,6 +16,6 @@ from quire.llm.warc import op2_warc_derivatives
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_warc_derivatives, op3_uniform_shards, op4_toxicity,
                                   op5_personal_data, op6_kneser_ney, op7_jaccard_join, op8_best_fit_packing, op9_benchmark_decontamination,
-                                  op10_hilbert_neighbours, op11_vector_codes, op13_curriculum_mix)}
+                                  op10_hilbert_neighbours, op11_vector_codes, op12_collocations, op13_curriculum_mix)}
 #: The others cannot be said in SQL; tests hold them against brute force.
-ORACLES = {"op7_jaccard_join": OP7_SQL, "op13_curriculum_mix": OP13_SQL}
+ORACLES = {"op7_jaccard_join": OP7_SQL, "op12_collocations": OP12_SQL, "op13_curriculum_mix": OP13_SQL}
