@@ -4,31 +4,22 @@ Pipeline: ``clean_text -> sentences -> tokens -> edges -> textrank -> select``.
 
 * Sentences and tokens are produced inside the document row (array functions),
   so they need no shuffle.
-* Similarity is an inverted-index self equi-join on ``(doc_id, token)``: only
-  pairs that share a token are ever formed; Jaccard needs the intersection size,
-  which is the count of shared tokens, and both set sizes.  Skewed tokens are
-  split by AQE's skew-join handling.
-* Iteration is per document.  Documents whose edge list is bounded by
-  ``max_group_edges`` iterate inside one ``applyInPandas`` group (numpy sparse
-  mat-vec); larger documents iterate as a DataFrame loop (join + grouped sum per
-  round), so no unbounded group is ever materialised in one task.  Each document
-  stops on its own when the largest change is below the tolerance.
+* A document of at most ``in_row`` sentences is ranked inside its row (see ``sentence_graph``), and
+  summary and key sentences are chosen there as well: no shuffle, no join.
+* Larger documents are ranked by rounds over tiles; of their sentences only those go on that a summary can
+  choose, whatever their number.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import WS, collapse_ws, explode_rows, js_trim
+from quire.operators import sentence_graph as G
+from quire.operators.sentence_graph import DAMPING, ITERATIONS, TOLERANCE  # noqa: F401
 
 # --- fixed values -------------------------------------------------------------
-DAMPING = 0.85
-ITERATIONS = 50
-TOLERANCE = 1e-4
 DELIMS = "。！？.!?;；"
 TOKEN_CLASS = r"a-zA-Z0-9\x{4e00}-\x{9fa5}"
 CJK_RE = r"[\x{4e00}-\x{9fa5}]"
@@ -45,7 +36,6 @@ FAST_DELIMS = ".!?;\x01\x02\x03\x04"
 FAST_SENTENCE_RE = f"[^{FAST_DELIMS}\n]+[{FAST_DELIMS}]?\n?"
 FAST_TAIL_RUN_RE = f"[{FAST_DELIMS}\n]*\\z"
 TAIL_RUN_RE = f"[{DELIMS}\n]*\\z"
-MAX_GROUP_EDGES = 16_000_000   # n(n-1) bound: the n*n count array stays under 128 MB
 
 
 def clean_text(c: Column) -> Column:
@@ -122,189 +112,45 @@ def sentence_tokens(nodes: DataFrame, idx: str = "pos") -> DataFrame:
     return explode_rows(t, F.col("toks"), ["doc_id", "idx", "n_tokens"], "_k", "token").drop("_k")
 
 
-def similarity_pairs(nodes: DataFrame, idx: str = "pos") -> DataFrame:
-    """(doc_id, i, j, sim) for i < j with sim > 0.
-
-    Inverted-index join: two sentences meet only through a shared token, and the
-    number of shared tokens is the intersection size.  Jaccard =
-    |A∩B| / (|A| + |B| - |A∩B|); an empty set has no tokens, hence no pairs."""
-    tok = sentence_tokens(nodes, idx)
-    # one token table on both sides: the shuffle on (doc_id, token) is reused
-    a, b = tok.alias("a"), tok.alias("b")
-    inter = (a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.token") == F.col("b.token"))
-                    & (F.col("a.idx") < F.col("b.idx")))
-             .groupBy(F.col("a.doc_id").alias("doc_id"), F.col("a.idx").alias("i"), F.col("b.idx").alias("j"),
-                      F.col("a.n_tokens").alias("ni"), F.col("b.n_tokens").alias("nj"))
-             .agg(F.count(F.lit(1)).alias("inter")))
-    return inter.select("doc_id", "i", "j",
-                        (F.col("inter") / (F.col("ni") + F.col("nj") - F.col("inter"))).alias("sim"))
-
-
-def similarity_edges(nodes: DataFrame, idx: str = "pos") -> DataFrame:
-    """Both directions of :func:`similarity_pairs`."""
-    half = similarity_pairs(nodes, idx)
-    return half.unionByName(half.select("doc_id", F.col("j").alias("i"), F.col("i").alias("j"), "sim"))
-
-
-def _power_iteration(n: int, i: np.ndarray, j: np.ndarray, sim: np.ndarray,
-                     damping: float, iterations: int, tol: float) -> tuple[np.ndarray, int]:
-    src = np.concatenate([j, i])
-    dst = np.concatenate([i, j])
-    w = np.concatenate([sim, sim])
-    rowsum = np.bincount(src, weights=w, minlength=n)
-    w = w / rowsum[src] if len(w) else w
-    s = np.ones(n)
-    it = 0
-    for it in range(1, iterations + 1):
-        new = (1 - damping) + damping * np.bincount(dst, weights=w * s[src], minlength=n)
-        change = np.max(np.abs(new - s)) if n else 0.0
-        s = new
-        if change < tol:
-            break
-    return s, it
-
-
-PAIR_CHUNK = 4_000_000
-
-
-def _pairs_from_postings(n: int, idx: np.ndarray, tok: np.ndarray, sizes: np.ndarray):
-    """(i, j, sim) for node pairs that share a token, vectorised in numpy.
-
-    ``idx``/``tok`` are (node, token-code) rows, distinct per node.  Rows are
-    sorted by token; each row pairs with the rows after it in its token group.
-    Pairs are generated in row chunks of bounded size and counted into one
-    n*n ``bincount`` (n*n is bounded by the caller's group limit)."""
-    order = np.lexsort((idx, tok))
-    idx, tok = idx[order], tok[order]
-    r = len(tok)
-    counts = np.zeros(n * n, dtype=np.int64)
-    if r:
-        starts = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
-        gsize = np.diff(np.r_[starts, r])
-        follow = np.repeat(gsize, gsize) - (np.arange(r) - np.repeat(starts, gsize)) - 1
-        cum = np.cumsum(follow)
-        lo_row = 0
-        while lo_row < r:
-            base = cum[lo_row - 1] if lo_row else 0
-            hi_row = int(np.searchsorted(cum, base + PAIR_CHUNK, side="right"))
-            hi_row = max(hi_row, lo_row + 1)
-            f = follow[lo_row:hi_row]
-            total = int(f.sum())
-            if total:
-                rows = np.repeat(np.arange(lo_row, hi_row), f)
-                k = np.arange(total) - np.repeat(np.cumsum(f) - f, f)
-                a, b = idx[rows], idx[rows + k + 1]
-                counts += np.bincount(np.minimum(a, b) * n + np.maximum(a, b), minlength=n * n)
-            lo_row = hi_row
-    codes = np.flatnonzero(counts)
-    i, j = codes // n, codes % n
-    inter = counts[codes].astype(np.float64)
-    return i, j, inter / (sizes[i] + sizes[j] - inter)
-
-
-def textrank_tokens(nodes: DataFrame, tokens: DataFrame, idx: str = "pos",
-                    damping: float = DAMPING, iterations: int = ITERATIONS, tol: float = TOLERANCE,
-                    max_group_edges: int = MAX_GROUP_EDGES) -> DataFrame:
-    """TextRank straight from ``tokens(doc_id, idx, token)`` (distinct per node).
-
-    For documents with n(n-1) <= ``max_group_edges`` the token rows of one
-    document form one pandas group (bounded by the document itself); pairs,
-    Jaccard weights and the power iteration all run in numpy, so the shuffle
-    carries token hashes, not pairs or strings.  Larger documents fall back to the
-    distributed pair join and DataFrame iteration."""
-    n_nodes = nodes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    bounded = F.col("n") * (F.col("n") - 1) <= max_group_edges
-    small_docs = n_nodes.where(bounded)
-    rows = (tokens.join(small_docs.select("doc_id"), "doc_id", "left_semi")
-            .select("doc_id", F.col("idx").cast("int").alias("i"), F.xxhash64("token").alias("token"))
-            .unionByName(small_docs.select("doc_id", F.lit(-1).alias("i"), F.col("n").alias("token"))))
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf["i"].to_numpy() < 0
-        n = int(pdf["token"].to_numpy()[head][0])
-        node = pdf["i"].to_numpy(np.int64)[~head]
-        codes = np.unique(pdf["token"].to_numpy(np.int64)[~head], return_inverse=True)[1]
-        sizes = np.bincount(node, minlength=n).astype(np.float64)
-        i, j, sim = _pairs_from_postings(n, node, codes.astype(np.int64), sizes)
-        sc, it = _power_iteration(n, i, j, sim, damping, iterations, tol)
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "idx": np.arange(n, dtype=np.int64),
-                             "score": sc, "iterations": it})
-
-    small = rows.groupBy("doc_id").applyInPandas(kernel, "doc_id long, idx long, score double, iterations int")
-    big_docs = n_nodes.where(~bounded)
-    big_nodes = nodes.join(big_docs.select("doc_id"), "doc_id", "left_semi")
-    big = _textrank_loop(nodes.select("doc_id", F.col(idx).alias("idx")),
-                         similarity_pairs(big_nodes, idx), big_docs, damping, iterations, tol)
-    return small.unionByName(big).withColumnRenamed("idx", idx)
-
-
-def _textrank_loop(nodes: DataFrame, pairs: DataFrame, docs: DataFrame,
-                   damping: float, iterations: int, tol: float,
-                   checkpoint_every: int = 5) -> DataFrame:
-    """Distributed power iteration for documents too large for one task.
-
-    Each round joins scores to the weighted edges on ``(doc_id, src)`` and sums
-    per ``(doc_id, dst)``; documents whose largest change falls under ``tol``
-    leave the loop.  Lineage is cut with reliable checkpoints."""
-    from quire.session import cut_lineage
-    spark = nodes.sparkSession
-    schema = "doc_id long, idx long, score double, iterations int"
-    big = docs.select("doc_id")
-    if big.isEmpty():  # node counts only: no pairs are formed for this check
-        return spark.createDataFrame([], schema)
-    e = pairs.join(big, "doc_id", "left_semi")
-    e = e.select("doc_id", F.col("j").alias("src"), F.col("i").alias("dst"), "sim").unionByName(
-        e.select("doc_id", F.col("i").alias("src"), F.col("j").alias("dst"), "sim"))
-    rowsum = e.groupBy("doc_id", "src").agg(F.sum("sim").alias("rowsum"))
-    e = cut_lineage(e.join(rowsum, ["doc_id", "src"])
-                    .select("doc_id", "src", "dst", (F.col("sim") / F.col("rowsum")).alias("w"))
-                    .repartition("doc_id", "src"))
-    active = cut_lineage(nodes.join(big, "doc_id", "left_semi")
-                         .select("doc_id", F.col("idx").cast("long").alias("idx"), F.lit(1.0).alias("s")))
-    done = spark.createDataFrame([], schema)
-    for it in range(1, iterations + 1):
-        contrib = (e.join(active.select("doc_id", F.col("idx").alias("src"), "s"), ["doc_id", "src"])
-                   .groupBy("doc_id", F.col("dst").alias("idx"))
-                   .agg(F.sum(F.col("w") * F.col("s")).alias("acc")))
-        new = (active.join(contrib, ["doc_id", "idx"], "left")
-               .select("doc_id", "idx", "s",
-                       ((1 - damping) + damping * F.coalesce(F.col("acc"), F.lit(0.0))).alias("new")))
-        change = new.groupBy("doc_id").agg(F.max(F.abs(F.col("new") - F.col("s"))).alias("change"))
-        stop = (F.col("change") < tol) | F.lit(it == iterations)
-        new = new.join(change, "doc_id").withColumn("stop", stop)
-        new = cut_lineage(new) if it % checkpoint_every == 0 else new.persist()
-        done = done.unionByName(new.where("stop").select(
-            "doc_id", "idx", F.col("new").alias("score"), F.lit(it).alias("iterations")))
-        active = new.where(~F.col("stop")).select("doc_id", "idx", F.col("new").alias("s"))
-        if it % checkpoint_every == 0:
-            done = cut_lineage(done)
-        if active.isEmpty():
-            break
-    return done
-
-
-def summary_select(docs: DataFrame, max_length: int = 600, min_sentences: int = 3,
-                   max_group_edges: int = MAX_GROUP_EDGES) -> DataFrame:
-    """(doc_id, summary): the cleaned text when it is short or has at most
-    ``min_sentences`` sentences; otherwise sentences taken greedily by score
-    (a sentence is taken if it fits or fewer than ``min_sentences`` are taken;
-    a misfit is skipped, the walk stops once full), restored to text order and
-    joined by newlines."""
-    cleaned = docs.select("doc_id", clean_text(F.col("text")).alias("clean"))
-    sent = with_sentences(cleaned, "clean", "ss", clean=False) \
-        .persist(StorageLevel.MEMORY_AND_DISK)   # read by the short and the long branch
-    short = sent.where((F.length("clean") <= max_length) | (F.size("ss") <= min_sentences)) \
-        .select("doc_id", F.col("clean").alias("summary"))
-    long_docs = sent.where(~((F.length("clean") <= max_length) | (F.size("ss") <= min_sentences)))
-    # the sentence table feeds several branches below: compute it once
-    nodes = explode_rows(long_docs, F.col("ss"), ["doc_id"], "pos", "text").persist(StorageLevel.MEMORY_AND_DISK)
-    scores = textrank_tokens(nodes, sentence_tokens(nodes).select("doc_id", "idx", "token"),
-                             max_group_edges=max_group_edges)
-    ranked = nodes.join(scores, ["doc_id", "pos"]).select(
-        "doc_id", "pos", F.length("text").alias("len"), F.round("score", 9).alias("score"))
-    # ordered fold over a compact (score, pos, len) array per document
-    arr = ranked.groupBy("doc_id").agg(F.array_sort(F.collect_list(
-        F.struct((-F.col("score")).alias("neg"), "pos", "len"))).alias("order"))
+def token_hashes(ss: Column) -> Column:
+    """array<array<long>>: the token set of each sentence, as hashes."""
+    return F.transform(ss, lambda s: F.transform(token_set(s), lambda t: F.xxhash64(t)))
+
+
+def has_large(docs: DataFrame, text: str, in_row: int) -> bool:
+    """Whether a document may have more than ``in_row`` sentences: a sentence ends with a delimiter or a line.
+    One scan that counts characters; where none has, nothing of the distributed path is planned."""
+    ends = F.length(text) - F.length(F.translate(F.col(text), DELIMS + "\r\n", ""))
+    return (docs.agg(F.max(ends)).first()[0] or 0) + 2 > in_row
+
+
+def _ranked_large(rows: DataFrame, ids: list[str], ss: str, block: int) -> DataFrame:
+    """(ids, idx, score, iterations) by the distributed path, for the rows of large documents."""
+    return G.rank_large(rows.select(*ids, token_hashes(F.col(ss)).alias("tokens")), "tokens", tuple(ids), block)
+
+
+def similarity_edges(docs: DataFrame, text: str = "text", in_row: int = G.IN_ROW, block: int = G.BLOCK) -> DataFrame:
+    """(doc_id, i, j, sim), both directions, of the sentences of ``docs(doc_id, text)`` with sim > 0."""
+    ss = with_sentences(docs.select("doc_id", text), text, "ss")
+    half = G.similarity(ss.select("doc_id", token_hashes(F.col("ss")).alias("tokens")), in_row=in_row, block=block, large=has_large(docs, text, in_row))
+    both = F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
+    return half.select("doc_id", both.alias("e"), "sim").select("doc_id", "e.i", "e.j", "sim")
+
+
+def textrank(docs: DataFrame, text: str = "text", in_row: int = G.IN_ROW, block: int = G.BLOCK) -> DataFrame:
+    """(doc_id, pos, score, iterations) of every sentence of ``docs(doc_id, text)``."""
+    ss = with_sentences(docs.select("doc_id", text), text, "ss")
+    small = F.when(F.size("ss") <= in_row, token_hashes(F.col("ss")))
+    ranked = ss.select("doc_id", G.rank_in_row(small).alias("r")).select("doc_id", "r.scores", "r.iterations")
+    out = explode_rows(ranked, F.col("scores"), ["doc_id", "iterations"], "pos", "score").select("doc_id", "pos", "score", "iterations")
+    if has_large(docs, text, in_row):
+        large = _ranked_large(ss.where(F.size("ss") > in_row), ["doc_id"], "ss", block)
+        out = out.unionByName(large.select("doc_id", F.col("idx").cast("int").alias("pos"), "score", "iterations"))
+    return out
+
+
+def _fold(order: Column, max_length: int, min_sentences: int) -> Column:
+    """array<int>: the positions that a walk over ``order`` (structs with pos and len, best first) takes."""
     init = F.struct(F.lit(0).cast("long").alias("cur"), F.lit(0).alias("n"), F.lit(False).alias("stop"),
                     F.array().cast("array<int>").alias("picked"))
 
@@ -315,64 +161,129 @@ def summary_select(docs: DataFrame, max_length: int = 600, min_sentences: int =
         return F.struct(cur.alias("cur"), n.alias("n"),
                         (acc["stop"] | ((cur >= max_length) & (n >= min_sentences))).alias("stop"),
                         F.when(take, F.concat(acc["picked"], F.array(x["pos"]))).otherwise(acc["picked"]).alias("picked"))
-    picked = explode_rows(arr, F.aggregate("order", init, step)["picked"], ["doc_id"], "_k", "pos")
-    chosen = nodes.join(picked, ["doc_id", "pos"])
-    joined = chosen.groupBy("doc_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), "\n")
-        .alias("summary"))
-    return short.unionByName(joined)
-
 
-def key_sentences(docs: DataFrame, k: int = 5, min_length: int = 20,
-                  max_group_edges: int = MAX_GROUP_EDGES) -> DataFrame:
+    return F.aggregate(order, init, step)["picked"]
+
+
+def choosable(ranked: DataFrame, ids: list[str], max_length: int, min_sentences: int) -> DataFrame:
+    """The rows of ``ranked(ids, pos, len, score)`` that a summary can choose.
+
+    Sentences of one length are met best first, and once one of them does not fit, none of that length does:
+    at most ``max_length / length`` fit and ``min_sentences`` are taken although they do not.  Longer ones than
+    ``max_length`` never fit.  So a document of any size leaves about max_length * (ln(max_length) + min_sentences)
+    rows, cut before the shuffle by the window's own limit, length by length."""
+    of_length = F.least("len", F.lit(max_length + 1))
+    place = F.row_number().over(Window.partitionBy(*ids, "of_length").orderBy(F.desc("score"), "pos"))
+    limit = F.floor(F.lit(max_length) / F.col("of_length")) + min_sentences
+    # one limit for all lengths lets the planner cut early; the exact one follows
+    return (ranked.withColumn("of_length", of_length).withColumn("place", place).where(F.col("place") <= max_length + min_sentences)
+            .where(F.col("place") <= limit).drop("of_length", "place"))
+
+
+def _summary_in_row(rows: DataFrame, max_length: int, min_sentences: int, in_row: int) -> DataFrame:
+    """Adds ``summary`` to rows with ``clean`` and ``ss``; null for more than ``in_row`` sentences."""
+    keep = rows.columns
+    short = (F.length("clean") <= max_length) | (F.size("ss") <= min_sentences)
+    rows = rows.withColumn("_short", short)
+    rows = rows.withColumn("_r", G.rank_in_row(F.when(~F.col("_short") & (F.size("ss") <= in_row), token_hashes(F.col("ss")))))
+    order = F.array_sort(F.transform(F.col("_r.scores"), lambda s, i: F.struct(
+        (-F.round(s, 9)).alias("neg"), i.alias("pos"), F.length(F.get(F.col("ss"), i)).alias("len"))))
+    rows = rows.withColumn("_order", order)
+    rows = rows.withColumn("_picked", F.array_sort(_fold(F.col("_order"), max_length, min_sentences)))
+    chosen = F.array_join(F.transform("_picked", lambda p: F.get(F.col("ss"), p)), "\n")
+    return rows.select(*keep, F.when(F.col("_short"), F.col("clean")).otherwise(chosen).alias("summary"))
+
+
+def _summary_large(rows: DataFrame, ids: list[str], max_length: int, min_sentences: int, block: int) -> DataFrame:
+    """(ids, summary) of rows of any number of sentences, of which only choosable ones are gathered."""
+    nodes = explode_rows(rows, F.col("ss"), ids, "pos", "text")
+    scores = _ranked_large(rows, ids, "ss", block).select(*ids, F.col("idx").cast("int").alias("pos"), F.round("score", 9).alias("score"))
+    ranked = nodes.select(*ids, "pos", F.length("text").alias("len")).join(scores, [*ids, "pos"])
+    order = (choosable(ranked, ids, max_length, min_sentences).groupBy(*ids)
+             .agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "pos", "len"))).alias("order")))
+    picked = explode_rows(order, _fold(F.col("order"), max_length, min_sentences), ids, "_k", "pos").drop("_k")
+    return (nodes.join(picked, [*ids, "pos"]).groupBy(*ids).agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), "\n").alias("summary")))
+
+
+def summary_select(docs: DataFrame, max_length: int = 600, min_sentences: int = 3, in_row: int = G.IN_ROW, block: int = G.BLOCK) -> DataFrame:
+    """(doc_id, summary): the cleaned text when it is short or has at most
+    ``min_sentences`` sentences; otherwise sentences taken greedily by score
+    (a sentence is taken if it fits or fewer than ``min_sentences`` are taken;
+    a misfit is skipped, the walk stops once full), restored to text order and
+    joined by newlines."""
+    cleaned = docs.select("doc_id", clean_text(F.col("text")).alias("clean"))
+    rows = with_sentences(cleaned, "clean", "ss", clean=False)
+    out = _summary_in_row(rows, max_length, min_sentences, in_row)
+    if not has_large(docs, "text", in_row):
+        return out.select("doc_id", "summary")
+    large = rows.where((F.size("ss") > in_row) & (F.length("clean") > max_length) & (F.size("ss") > min_sentences))
+    return out.where("summary IS NOT NULL OR clean IS NULL").select("doc_id", "summary").unionByName(_summary_large(large, ["doc_id"], max_length, min_sentences, block))
+
+
+def _keys_in_row(rows: DataFrame, k: int, min_length: int, in_row: int) -> DataFrame:
+    """Adds ``keys``, an array of (position, score, text) in position order, to rows with ``ss``; null for more
+    than ``in_row`` sentences."""
+    keep = rows.columns
+    valid = F.filter("ss", lambda s: F.length(s) >= min_length)
+    rows = rows.withColumn("_valid", valid)
+    many = (F.size("_valid") > k) & (F.size("ss") <= in_row)
+    rows = rows.withColumn("_r", G.rank_in_row(F.when(many, token_hashes(F.col("_valid")))))
+    best = F.slice(F.array_sort(F.transform(F.col("_r.scores"), lambda s, i: F.struct(
+        (-F.round(s, 9)).alias("order"), i.alias("vidx"), s.alias("score")))), 1, k)
+    rows = rows.withColumn("_best", best)
+    found = F.array_sort(F.transform("_best", lambda b: F.struct(
+        (F.array_position(F.col("ss"), F.get(F.col("_valid"), b["vidx"])) - 1).cast("int").alias("position"), (-b["score"]).alias("neg"), b["vidx"].alias("vidx"),
+        F.get(F.col("_valid"), b["vidx"]).alias("text"))))
+    few = F.transform("_valid", lambda s, i: F.struct(i.alias("position"), F.lit(1.0).alias("score"), s.alias("text")))
+    keys = F.when(F.size("_valid") <= k, few).otherwise(F.transform(found, lambda x: F.struct(x["position"], (-x["neg"]).alias("score"), x["text"])))
+    return rows.select(*keep, keys.alias("keys"))
+
+
+def _keys_large(rows: DataFrame, ids: list[str], k: int, min_length: int, block: int) -> DataFrame:
+    """(ids, rank, position, score, text) of rows of any number of sentences."""
+    rows = rows.select(*ids, F.col("ss"), F.filter("ss", lambda s: F.length(s) >= min_length).alias("valid")).where(F.size("valid") > k)
+    scores = _ranked_large(rows, ids, "valid", block).select(*ids, F.col("idx").cast("int").alias("vidx"), "score")
+    best = Window.partitionBy(*ids).orderBy(F.round("score", 9).desc(), "vidx")
+    top = scores.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+    nodes = explode_rows(rows, F.col("valid"), ids, "vidx", "text")
+    top = nodes.join(top, [*ids, "vidx"])
+    first = (explode_rows(rows, F.col("ss"), ids, "pos", "text").join(top.select(*ids, "text").distinct(), [*ids, "text"], "left_semi")
+             .groupBy(*ids, "text").agg(F.min("pos").cast("int").alias("position")))
+    rank = F.row_number().over(Window.partitionBy(*ids).orderBy("position", F.col("score").desc(), "vidx"))
+    return top.join(first, [*ids, "text"]).withColumn("rank", rank).select(*ids, "rank", "position", "score", "text")
+
+
+def key_sentences(docs: DataFrame, k: int = 5, min_length: int = 20, in_row: int = G.IN_ROW, block: int = G.BLOCK) -> DataFrame:
     """(doc_id, rank, position, score, text): sentences of at least ``min_length``
     chars; when there are at most ``k`` they are all returned with score 1 and
     their index among them; otherwise the ``k`` best by TextRank over those
-    sentences, positioned at the first equal sentence, in position order.
-
-    Equal sentences have equal length, so the first equal sentence is always a
-    valid one: ``min(pos)`` per ``(doc_id, text)`` among valid sentences."""
-    ss = with_sentences(docs.select("doc_id", "text"), "text", "ss")
-    valid = F.filter(F.transform("ss", lambda s, i: F.struct(i.alias("pos"), s.alias("text"))),
-                     lambda x: F.length(x["text"]) >= min_length)
-    ss = ss.select("doc_id", valid.alias("valid")).select("doc_id", "valid", F.size("valid").alias("n_valid"))
-    nodes = explode_rows(ss, F.col("valid"), ["doc_id", "n_valid"], "vidx", "v") \
-        .select("doc_id", "n_valid", "vidx", F.col("v.pos").alias("pos"), F.col("v.text").alias("text")) \
-        .persist(StorageLevel.MEMORY_AND_DISK)   # reused by several branches
-    scores = textrank_tokens(nodes, sentence_tokens(nodes, "vidx").select("doc_id", "idx", "token"), idx="vidx",
-                             max_group_edges=max_group_edges)
-    few = F.col("n_valid") <= k
-    top = (nodes.join(scores, ["doc_id", "vidx"])
-           .withColumn("r", F.row_number().over(
-               Window.partitionBy("doc_id").orderBy(F.round("score", 9).desc(), "vidx")))
-           .where(F.col("r") <= k))
-    first = (nodes.join(top.select("doc_id", "text").distinct(), ["doc_id", "text"], "left_semi")
-             .groupBy("doc_id", "text").agg(F.min("pos").alias("first_pos")))
-    out = top.join(first, ["doc_id", "text"]).select(
-        "doc_id", "vidx", "text",
-        F.when(few, F.col("vidx")).otherwise(F.col("first_pos")).cast("int").alias("position"),
-        F.when(few, F.lit(1.0)).otherwise(F.col("score")).alias("score"))
-    w = Window.partitionBy("doc_id").orderBy("position", F.col("score").desc(), "vidx")
-    return out.withColumn("rank", F.row_number().over(w)).select("doc_id", "rank", "position", "score", "text")
+    sentences, positioned at the first equal sentence, in position order."""
+    rows = with_sentences(docs.select("doc_id", "text"), "text", "ss")
+    keyed = _keys_in_row(rows, k, min_length, in_row)
+    out = (explode_rows(keyed, F.col("keys"), ["doc_id"], "pos", "key")
+           .select("doc_id", (F.col("pos") + 1).alias("rank"), "key.position", "key.score", "key.text"))
+    if has_large(docs, "text", in_row):
+        out = out.unionByName(_keys_large(rows.where(F.size("ss") > in_row), ["doc_id"], k, min_length, block))
+    return out
 
 
 def key_point_pages(keys: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, rank, page): ``min(floor(position / n_keys * n_pages) + 1, n_pages)``."""
-    keys = keys.persist(StorageLevel.MEMORY_AND_DISK)   # counted and joined
-    n_keys = keys.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_keys"))
-    return (keys.join(n_keys, "doc_id").join(pages.select("doc_id", "n_pages"), "doc_id")
+    n_keys = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
+    return (keys.withColumn("n_keys", n_keys).join(pages.select("doc_id", "n_pages"), "doc_id")
             .select("doc_id", "rank",
                     F.least(F.floor(F.col("position") / F.col("n_keys") * F.col("n_pages")) + 1,
                             F.col("n_pages")).cast("int").alias("page")))
 
 
 def section_summaries(docs: DataFrame, delimiter: str = r"\n(?=#{1,6} )", max_length: int = 300,
-                      max_group_edges: int = MAX_GROUP_EDGES) -> DataFrame:
+                      in_row: int = G.IN_ROW, block: int = G.BLOCK) -> DataFrame:
     """(doc_id, section_no, title, summary, key_points): cleaned text split by
     ``delimiter``; first line is the title (``Untitled Section`` when blank);
     sections whose body is under 50 characters are skipped; body summarised
     with at least two sentences, plus three key points of 10+ characters.
-    Sections get a unique row id (no shuffle) and reuse the document operators."""
+    Summary and key points are made in the section's row (no shuffle)."""
     secs = docs.select("doc_id", F.split(clean_text(F.col("text")), delimiter, -1).alias("ss"))
     secs = explode_rows(secs, F.col("ss"), ["doc_id"], "section_no", "sec")
     secs = secs.where(js_trim("sec") != "")
@@ -380,16 +291,16 @@ def section_summaries(docs: DataFrame, delimiter: str = r"\n(?=#{1,6} )", max_le
     secs = secs.select("doc_id", "section_no",
                        F.when(js_trim(F.element_at(lines, 1)) == "", F.lit("Untitled Section"))
                        .otherwise(js_trim(F.element_at(lines, 1))).alias("title"),
-                       F.array_join(F.slice(lines, 2, 1 << 30), "\n").alias("body"))
-    secs = secs.where(F.length("body") >= 50).withColumn("sid", F.monotonically_increasing_id())
-    from quire.session import cut_lineage
-    secs = cut_lineage(secs)   # the id must be stable across the reuses below
-    body = secs.select(F.col("sid").alias("doc_id"), F.col("body").alias("text"))
-    summ = summary_select(body, max_length=max_length, min_sentences=2, max_group_edges=max_group_edges)
-    keys = key_sentences(body, k=3, min_length=10, max_group_edges=max_group_edges)
-    kp = keys.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("k")) \
-        .select("doc_id", F.transform("k", lambda x: x["text"]).alias("key_points"))
-    return (secs.join(summ.withColumnRenamed("doc_id", "sid"), "sid")
-            .join(kp.withColumnRenamed("doc_id", "sid"), "sid", "left")
-            .select("doc_id", "section_no", "title", "summary",
-                    F.coalesce("key_points", F.array().cast("array<string>")).alias("key_points")))
+                       F.array_join(F.slice(lines, 2, 1 << 30), "\n").alias("clean"))
+    rows = with_sentences(secs.where(F.length("clean") >= 50), "clean", "ss", clean=False)
+    done = _summary_in_row(_keys_in_row(rows, 3, 10, in_row), max_length, 2, in_row)
+    points = F.transform("keys", lambda x: x["text"])
+    if not has_large(docs, "text", in_row):
+        return done.select("doc_id", "section_no", "title", "summary", points.alias("key_points"))
+    ids, many = ["doc_id", "section_no"], F.size("ss") > in_row
+    summaries = _summary_large(done.where(many & F.col("summary").isNull()), ids, max_length, 2, block).withColumnRenamed("summary", "chosen")
+    ranked = _keys_large(rows.where(many), ids, 3, 10, block).groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("best"))
+    found = done.where(many).join(summaries, ids, "left").join(ranked, ids, "left")
+    none = F.array().cast("array<string>")
+    found = found.select(*ids, "title", F.coalesce("summary", "chosen").alias("summary"), F.coalesce(F.transform("best", lambda x: x["text"]), points, none).alias("key_points"))
+    return done.where(~many).select(*ids, "title", "summary", points.alias("key_points")).unionByName(found)

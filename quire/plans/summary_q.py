@@ -1,6 +1,5 @@
 """§ text summarisation over ``v_prose`` (derived from ``documents``)."""
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from quire.operators import summarize as S
@@ -98,14 +97,13 @@ def sentence_tokens(spark, sf):
 @query("sentence_similarity", SENT.replace("WITH ", "WITH RECURSIVE ", 1) + graph_ctes("g", "sent", "pos")
        + "SELECT doc_id, i, j, sim FROM g_edges")
 def sentence_similarity(spark, sf):
-    return finish(S.similarity_edges(S.sentences(_docs(spark, sf))))
+    return finish(S.similarity_edges(_docs(spark, sf)))
 
 
 @query("textrank", SENT.replace("WITH ", "WITH RECURSIVE ", 1) + graph_ctes("g", "sent", "pos")
        + "SELECT doc_id, idx AS pos, round(s, 6) AS score, iter AS iterations FROM g_rank")
 def textrank(spark, sf):
-    nodes = S.sentences(_docs(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)
-    r = S.textrank_tokens(nodes, S.sentence_tokens(nodes).select("doc_id", "idx", "token"))
+    r = S.textrank(_docs(spark, sf))
     return finish(r.select("doc_id", "pos", F.round("score", 6).alias("score"), "iterations"))
 
 
