@@ -7,11 +7,14 @@ and nothing but the root is known to the driver.
 
 from __future__ import annotations
 
+import hashlib
 import os
+import uuid
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.config import DEFAULT, Config
@@ -98,10 +101,6 @@ def _read(root: str, part):
     return run
 
 
-def _whole(f, size):
-    return {"content": f.read() if f else b""}
-
-
 def _ends(n):
     def part(f, size):
         if not f:
@@ -115,15 +114,130 @@ def _files(scanned: DataFrame) -> DataFrame:
     return scanned.where("kind = 'file'").select("path", "rel_path", "size").repartition("path")
 
 
-def text_decode(scanned: DataFrame, root: str) -> DataFrame:
-    """(path, rel_path, size, text, head, error) of the files of a scan: UTF-8 with
-    invalid sequences replaced, and the first 1 KiB (for the NUL sniff).  A file
-    that cannot be read has size 0 and an error line as its text."""
-    read = _files(scanned).mapInPandas(_read(root, _whole), "path string, rel_path string, size long, content binary, error string")
-    text = F.when(F.col("error").isNotNull(), F.concat(F.lit("// Error reading file: "), F.col("error"))) \
-        .otherwise(F.make_valid_utf8(F.col("content").cast("string")))
-    return read.select("path", "rel_path", F.when(F.col("error").isNull(), F.col("size")).otherwise(0).alias("size"), text.alias("text"),
-                       F.substring("content", 1, 1024).alias("head"), "error")
+#: Bytes of a file that one task reads as text.
+SPLIT_BYTES = 8 << 20
+#: Reading tasks for each core at most.
+MOST_READERS = 64
+#: Bytes that a reader fetches at once to end its last line.
+AHEAD = 1 << 16
+
+SPLIT_SCHEMA = "path string, rel_path string, size long, part int, parts int, begin long, stop long"
+
+
+def file_splits(scanned: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """(path, rel_path, size, part, parts, begin, stop): the files of a scan cut into byte ranges of ``split_bytes``, dealt over as
+    many tasks as there are ranges, up to a few for each core (a range's row is tiny and its reading is not, so the number is set)."""
+    size = F.greatest(F.coalesce("size", F.lit(0)), F.lit(1))
+    begins = F.sequence(F.lit(0).cast("long"), size - 1, F.lit(split_bytes).cast("long"))
+    splits = (scanned.where("kind = 'file'").select("path", "rel_path", F.coalesce("size", F.lit(0)).alias("size"), F.posexplode(begins).alias("part", "begin"))
+              .select("path", "rel_path", "size", "part", F.ceil(F.greatest("size", F.lit(1)) / split_bytes).cast("int").alias("parts"), "begin",
+                      F.least("size", F.col("begin") + split_bytes).alias("stop")))
+    spark = scanned.sparkSession
+    count = scanned.where("kind = 'file'").agg(F.sum(F.ceil(size / split_bytes))).first()[0] or 1
+    return splits.repartition(max(1, min(int(count), MOST_READERS * spark.sparkContext.defaultParallelism)), "path", "part")
+
+
+def _continued(data: bytes) -> int:
+    """How many of the first bytes belong to a character that began before them.  Only up to three can; a fourth byte
+    of that kind, or one after another byte, stands alone in the whole text too."""
+    n = 0
+    while n < 3 and n < len(data) and data[n] & 0xC0 == 0x80:
+        n += 1
+    return n
+
+
+def _fetch(f, begin: int, stop: int, size: int) -> bytes:
+    return f.read_at(max(0, min(stop, size) - begin), begin) if begin < size else b""
+
+
+def text_decode(scanned: DataFrame, root: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """(path, rel_path, size, part, parts, text, head, error) of the files of a scan: UTF-8 with invalid sequences replaced,
+    and the first 1 KiB (for the NUL sniff) with the first part.
+
+    A file larger than ``split_bytes`` is several rows, read by several tasks, whose texts follow each other: a character that a
+    border cuts belongs to the part in which it begins, so together they are the text of the whole file.  A file that cannot
+    be read has one part, size 0 and an error line as its text."""
+    def run(it):
+        store, _ = open_folder(root)
+        for pdf in it:
+            for row in pdf.itertuples(index=False):
+                text, head, error, size = None, None, None, row.size
+                try:
+                    with store.open_input_file(row.path) as f:
+                        end = f.size() if row.part + 1 == row.parts else row.stop
+                        data = _fetch(f, row.begin, end + 3, f.size())
+                        skip = _continued(data) if row.part else 0
+                        inside = max(0, end - row.begin)
+                        text = data[skip:inside + _continued(data[inside:])].decode("utf-8", "replace")
+                        head = data[:1024] if row.part == 0 else None
+                except OSError as e:
+                    if row.part:
+                        continue
+                    text, head, error, size = f"// Error reading file: {e}", b"", str(e), 0
+                yield pd.DataFrame([(row.path, row.rel_path, size, row.part, 1 if error else row.parts, text, head, error)],
+                                   columns=["path", "rel_path", "size", "part", "parts", "text", "head", "error"])
+
+    return file_splits(scanned, split_bytes).mapInPandas(run, "path string, rel_path string, size long, part int, parts int, text string, head binary, error string")
+
+
+def text_lines(scanned: DataFrame, root: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """(path, rel_path, size, line_no, text): every line of the files of a scan, numbered from 1, as splitting the whole text at
+    newlines gives them (an empty file has one empty line, text that ends with a newline an empty last one).
+
+    Files are read by ranges.  A first pass counts each range's newlines, so a line's number needs no window over lines; a range then owns
+    the lines that begin after its newlines (the first range also the first line) and reads on until its last line ends.
+    A file that cannot be read has its error as only line."""
+    def opened(count):
+        def run(it):
+            store, _ = open_folder(root)
+            for pdf in it:
+                for row in pdf.itertuples(index=False):
+                    try:
+                        with store.open_input_file(row.path) as f:
+                            yield count(row, f, f.size())
+                    except OSError as e:
+                        yield count(row, None, e)
+        return run
+
+    def newlines(row, f, size):
+        n = _fetch(f, row.begin, size if row.part + 1 == row.parts else row.stop, size).count(b"\n") if f else 0
+        return pd.DataFrame([(row.path, row.part, n)], columns=["path", "part", "n"])
+
+    def lines(row, f, size):
+        columns = ["path", "rel_path", "size", "line_no", "text"]
+        if f is None:
+            return pd.DataFrame([(row.path, row.rel_path, 0, 1, f"// Error reading file: {size}")] if row.part == 0 else [], columns=columns)
+        last = row.part + 1 == row.parts
+        data = _fetch(f, row.begin, size if last else row.stop, size)
+        number = row.before + 1
+        if row.part:  # from the first newline on
+            at = data.find(b"\n")
+            if at < 0:
+                return pd.DataFrame([], columns=columns)
+            data, number = data[at + 1:], number + 1
+        ahead = row.stop
+        while not last and ahead < size:
+            more = _fetch(f, ahead, ahead + AHEAD, size)
+            ahead += len(more)
+            at = more.find(b"\n")
+            data += more if at < 0 else more[:at]
+            if at >= 0:
+                break
+        texts = data.decode("utf-8", "replace").split("\n")
+        return pd.DataFrame({"path": row.path, "rel_path": row.rel_path, "size": row.size, "line_no": range(number, number + len(texts)), "text": texts})
+
+    splits = file_splits(scanned, split_bytes)
+    counts = cut_lineage(splits.mapInPandas(opened(newlines), "path string, part int, n long"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("part")) - F.col("n")
+    n = splits.rdd.getNumPartitions()
+    numbered = splits.join(counts.select("path", "part", before.alias("before")), ["path", "part"]).repartition(n, "path", "part")
+    return numbered.mapInPandas(opened(lines), "path string, rel_path string, size long, line_no long, text string")
+
+
+def lines_digest(line_no, text):
+    """A number for each numbered line; the sum over the lines of a text tells whether all lines are the same and in the
+    same order, and can be added up in any order."""
+    return F.conv(F.substring(F.md5(F.concat(line_no.cast("string"), F.lit(":"), text).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
 def head_tail(scanned: DataFrame, root: str, n: int = HEAD) -> DataFrame:
@@ -145,12 +259,93 @@ def materialise(files: DataFrame, root: str) -> None:
     files.select("path", "content").mapInPandas(write, "n long").write.format("noop").mode("overwrite").save()
 
 
-def write_context(doc_rows: DataFrame, out_dir: str, partitions: int | None = None) -> None:
-    """Writes each project's document as ordered text parts under
-    ``out_dir/project=<p>/``: range-partitioned on (project, seq) and sorted,
-    so reading the parts in name order gives the document.  Rows end with a
-    newline, which the text writer supplies."""
-    n = partitions or doc_rows.sparkSession.sparkContext.defaultParallelism
-    (doc_rows.select("project", "seq", F.regexp_replace("text", "\n\\z", "").alias("value"))
-     .repartitionByRange(n, "project", "seq").sortWithinPartitions("project", "seq")
-     .drop("seq").write.mode("overwrite").partitionBy("project").text(out_dir))
+#: Fixed value: the file name of a context unless another is given.
+DEFAULT_NAME = "ai-context.md"
+
+MANIFEST = "project string, part int, file string, first_seq string, last_seq string, rows long, bytes long, sha256 string"
+
+
+def clean_name(name: str | None) -> str:
+    """The base name that a context is written under: trimmed, without folders; the default where nothing usable is left."""
+    base = os.path.basename(((name or "").strip() or DEFAULT_NAME).rstrip("/"))
+    return base if base and base not in (".", "..") else DEFAULT_NAME
+
+
+def write_context(doc_rows: DataFrame, out_dir: str, name: str | None = None, overwrite: bool = False, partitions: int | None = None) -> DataFrame:
+    """Writes each project's document as ordered parts below ``out_dir/<clean name>/`` and returns the manifest
+    (project, part, file, first_seq, last_seq, rows, bytes, sha256), whose writing is the commit.
+
+    ``doc_rows(project, seq, text)`` are range-partitioned on (project, seq) and sorted; a task writes one file for each
+    project in its range, under a name of its own attempt, and reports it.  Only the files of attempts whose
+    report Spark commits are in the manifest, so a retried or speculative task leaves at most a file that no one reads.  An existing context of
+    that name is an error unless ``overwrite``; then the new manifest replaces the old one at the end."""
+    spark = doc_rows.sparkSession
+    store, base = open_folder(out_dir)
+    target = f"{base}/{clean_name(name)}"
+    if store.get_file_info(f"{target}/manifest").type != fs.FileType.NotFound and not overwrite:
+        raise FileExistsError(f"{target} exists; pass overwrite=True to replace it")
+    run_id = uuid.uuid4().hex
+    columns = [c.split()[0] for c in MANIFEST.split(", ")]
+
+    def write(it):
+        out, project, state = open_folder(out_dir)[0], None, None
+        part = TaskContext.get().partitionId()
+
+        def closed():
+            state["f"].close()
+            return pd.DataFrame([(project, part, state["file"], state["first"], state["last"], state["rows"], state["bytes"], state["sha"].hexdigest())], columns=columns)
+
+        for pdf in it:
+            for p, seq, text in zip(pdf["project"], pdf["seq"], pdf["text"]):
+                if state is None or p != project:
+                    if state is not None:
+                        yield closed()
+                    project, folder = p, f"parts/{run_id}/{hashlib.sha256(p.encode()).hexdigest()[:16]}"
+                    out.create_dir(f"{target}/{folder}", recursive=True)
+                    file = f"{folder}/{part:06d}-{TaskContext.get().taskAttemptId()}.txt"
+                    state = {"f": out.open_output_stream(f"{target}/{file}"), "file": file, "first": seq, "rows": 0, "bytes": 0, "sha": hashlib.sha256()}
+                data = text.encode()
+                state["f"].write(data)
+                state["sha"].update(data)
+                state["last"], state["rows"], state["bytes"] = seq, state["rows"] + 1, state["bytes"] + len(data)
+        if state is not None:
+            yield closed()
+
+    n = partitions or spark.sparkContext.defaultParallelism
+    laid = doc_rows.select("project", "seq", "text").repartitionByRange(n, "project", "seq").sortWithinPartitions("project", "seq")
+    report = laid.select("project", F.to_json(F.struct("seq")).alias("seq"), "text").mapInPandas(write, MANIFEST)
+    place = f"{out_dir.rstrip('/')}/{clean_name(name)}/manifest"
+    report.write.mode("overwrite").parquet(place)
+    return spark.read.schema(MANIFEST).parquet(place)
+
+
+def read_context(spark: SparkSession, out_dir: str, name: str | None = None) -> DataFrame:
+    """(project, part, text) of a written context: each part as the manifest names it; one whose bytes are not those that
+    were written is an error.  The texts of a project in the order of parts are its document."""
+    address = f"{out_dir.rstrip('/')}/{clean_name(name)}"
+    manifest = spark.read.schema(MANIFEST).parquet(f"{address}/manifest")
+
+    def read(it):
+        store, base = open_folder(address)
+        for pdf in it:
+            for row in pdf.itertuples(index=False):
+                with store.open_input_file(f"{base}/{row.file}") as f:
+                    data = f.read()
+                if hashlib.sha256(data).hexdigest() != row.sha256:
+                    raise ValueError(f"{row.file} is not what was written")
+                yield pd.DataFrame([(row.project, row.part, data.decode())], columns=["project", "part", "text"])
+
+    return manifest.repartition(spark.sparkContext.defaultParallelism, "file").mapInPandas(read, "project string, part int, text string")
+
+
+def numbered_lines(parts: DataFrame) -> DataFrame:
+    """(project, line_no, text) of the parts of ``read_context``: a line's number follows from the newlines of the parts
+    before; only a line that goes on in the next part is put together from its pieces."""
+    sizes = parts.select("project", "part", F.regexp_count("text", F.lit("\n")).cast("long").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("project").orderBy("part")) - F.col("n")
+    numbered = parts.join(sizes.select("project", "part", before.alias("before"), "n"), ["project", "part"])
+    lines = (numbered.select("project", "part", "before", "n", F.posexplode(F.split("text", "\n", -1)).alias("k", "text"))
+             .withColumn("line_no", F.col("before") + F.col("k") + 1).withColumn("border", (F.col("k") == 0) | (F.col("k") == F.col("n"))))
+    pieces = F.array_sort(F.collect_list(F.struct("part", "k", "text")))
+    joined = lines.where("border").groupBy("project", "line_no").agg(F.array_join(F.transform(pieces, lambda p: p["text"]), "").alias("text"))
+    return lines.where("NOT border").select("project", "line_no", "text").unionByName(joined)
