@@ -14,6 +14,8 @@ import hashlib
 import html
 import re
 import uuid
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -26,8 +28,10 @@ from quire.llm.common import read_table
 VERSION = "WARC/1.1"
 
 # Of a head, only these hold text; whatever else stands before </head> or without it belongs to the body.
-_DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<svg\b[^<>]*/>|<(noscript|template|svg)\b.*?</\2\s*>"
-                      r"|<title\b[^<>]*>(?:(?:(?!</head\b|<body\b).)*?</title\s*>|[^<]*)", re.S | re.I)
+_OPEN = re.compile(r"<!--|<(script|style|noscript|template|svg|title)\b", re.I)
+_CLOSE = re.compile(r"</(script|style|noscript|template|svg|title)\s*>", re.I)
+_BODY = re.compile(r"</head\b|<body\b", re.I)
+_EMPTY_SVG, _TITLE_TAG = re.compile(r"<svg\b[^<>]*/>", re.I), re.compile(r"<title\b[^<>]*>", re.I)
 _TITLE = re.compile(r"<title\b[^<>]*>([^<]*)", re.I)
 _LANGUAGE = re.compile(r"<html\b[^<>]*\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
 _META_CHARSET = re.compile(rb"<meta\b[^<>]*\bcharset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.I)
@@ -42,9 +46,48 @@ def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def _without_hidden(page: str) -> str:
+    """The page with a space for each comment, script, style, closed noscript, template and svg, empty svg, and title.
+
+    An unclosed comment, script or style hides the rest; of what is otherwise unclosed only the tag goes (later), of a
+    title what stands before the next tag.  End tags are listed once and looked up, so the time is linear whatever is left open."""
+    closes: dict[str, list[tuple[int, int]]] = defaultdict(list)
+    for m in _CLOSE.finditer(page):
+        closes[m[1].lower()].append(m.span())
+    bodies = [m.start() for m in _BODY.finditer(page)]
+    out, kept, at = [], 0, 0
+    while found := _OPEN.search(page, at):
+        begin, kind, end = found.start(), (found[1] or "").lower(), None
+        ends = closes[kind]
+        after = bisect_left(ends, (found.end(), 0))
+        close = ends[after] if after < len(ends) else None
+        if not kind:
+            stop = page.find("-->", found.end())
+            end = stop + 3 if stop >= 0 else len(page)
+        elif kind in ("script", "style"):
+            end = close[1] if close else len(page)
+        elif kind == "title":
+            tag = _TITLE_TAG.match(page, begin)
+            if tag:
+                after = bisect_left(ends, (tag.end(), 0))
+                close = ends[after] if after < len(ends) else None
+                body = bisect_left(bodies, tag.end())
+                stop = page.find("<", tag.end())
+                end = close[1] if close and (body == len(bodies) or bodies[body] >= close[0]) else stop if stop >= 0 else len(page)
+        else:
+            empty = _EMPTY_SVG.match(page, begin) if kind == "svg" else None
+            end = empty.end() if empty else close[1] if close else None
+        if end is None:
+            at = found.end()
+        else:
+            out += [page[kept:begin], " "]
+            kept = at = end
+    return "".join(out) + page[kept:]
+
+
 def plain_text(page: str) -> str:
-    """The visible text: blocks on lines of their own, entities decoded, white space collapsed."""
-    page = _DROPPED.sub(" ", page)
+    """The visible text: blocks on lines of their own, entities decoded, white space collapsed; in linear time."""
+    page = _without_hidden(page)
     page = html.unescape(_TAG.sub("", _BLOCK.sub("\n", page)))
     return _LINES.sub("\n", _SPACES.sub(" ", page)).strip()
 

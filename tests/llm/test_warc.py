@@ -1,4 +1,10 @@
 import hashlib
+import random
+import re
+import time
+from html.parser import HTMLParser
+
+import pytest
 
 from quire.llm import warc
 
@@ -80,3 +86,56 @@ def test_whole_table(spark):
     rows = warc.derivatives(warc.responses_of_pages(pages), keep=("page_id",)).collect()
     assert len(rows) == 2 * pages.count() and len({r.record_id for r in rows}) == len(rows)
     assert not any(b"<p" in r.block or b"&amp;" in r.block for r in rows if r.record_type == "conversion")
+
+
+#: What is hidden, as one pattern (of quadratic time).
+HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<svg\b[^<>]*/>|<(noscript|template|svg)\b.*?</\2\s*>"
+                    r"|<title\b[^<>]*>(?:(?:(?!</head\b|<body\b).)*?</title\s*>|[^<]*)", re.S | re.I)
+
+
+def test_hidden_parts_by_the_pattern():
+    rng = random.Random(8)
+    pieces = ["<svg", "<svg>", "<SVG/>", "</svg>", "<svg a='1' />", "<noscript>", "</noscript >", "<template x>", "</template>", "<script>", "</script>", "<style", "</STYLE>", "<title>", "<title", "</title>",
+              "</title\n>", "</head>", "<body>", "<!--", "-->", "<!-->", "a", " b\n", "<p>", ">", "<", "/>", "<titles>", "<svgx>"]
+    for _ in range(20_000):
+        page = "".join(rng.choices(pieces, k=rng.randint(0, 14)))
+        assert warc._without_hidden(page) == HIDDEN.sub(" ", page), page
+
+
+@pytest.mark.parametrize("piece", ["<svg>", "<noscript>a", "<title>a</b>", "<template", "<script", "<!--", "</title <title>", "<a href=\"", "<svg /", "\n ", "&amp", "<title><body>"])
+def test_time_is_linear_in_the_page(piece):
+    took = []
+    for size in (200_000, 1_600_000):
+        page = piece * (size // len(piece))
+        begin = time.process_time()
+        warc.derive(response(block=b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + page.encode()))
+        took.append(time.process_time() - begin)
+    assert took[1] < 20 * took[0] + 1.0  # eight times the length
+
+
+class Reader(HTMLParser):
+    """An independent reader of the visible words."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.hidden, self.words = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style", "noscript", "template", "svg", "title")
+        self.words.append(" " if tag in ("p", "div", "br", "li", "td", "tr", "h1", "h2", "h3", "ul", "ol", "table", "nav", "footer", "header", "section", "article", "pre") else "")
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("script", "style", "noscript", "template", "svg", "title")
+        self.handle_starttag("p", None) if tag in ("p", "div", "li", "td", "tr", "h1", "h2", "h3", "ul", "ol", "table", "nav", "footer", "header", "section", "article", "pre") else None
+
+    def handle_data(self, data):
+        self.words.append(data if not self.hidden else "")
+
+
+def test_plain_text_against_an_independent_parser(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect() if r.html]
+    for page in pages + [PAGE]:
+        reader = Reader()
+        reader.feed(page)
+        reader.close()
+        assert warc.plain_text(page).split() == "".join(reader.words).split()
