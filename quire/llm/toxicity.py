@@ -25,6 +25,8 @@ from quire.llm.common import Memo, read_table, remainder_of
 FACTORS = 8
 #: A term enters from so many sampled texts, and from so many standard errors between the classes.
 LEAST_TEXTS, LEAST_ERRORS = 5, 3.0
+#: Terms that are tried in pairs (those in most texts), and the standard errors from which a pair's two terms enter.
+PAIRED_TERMS, PAIR_ERRORS = 1024, 7.0
 #: The bound of the training sample: labelled texts of each class, those of the smallest hash.
 SAMPLE_OF_CLASS = 4000
 #: Score from which a text counts as toxic.
@@ -87,13 +89,35 @@ def telling_terms(texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     return every[(count >= LEAST_TEXTS) & (errors >= LEAST_ERRORS)]
 
 
+def paired_terms(texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """The hashes, ascending, of terms that tell the classes apart in pairs, neutral alone or not: of the
+    ``PAIRED_TERMS`` terms in most texts, those of a pair whose effect on the log odds, beyond the sum of both terms' own, is
+    ``PAIR_ERRORS`` standard errors or more (there are half a million pairs to err in)."""
+    every, count = np.unique(np.concatenate(texts), return_counts=True)
+    often = np.sort(every[np.lexsort((every, -count))[:PAIRED_TERMS]])
+    beyond = total = None
+    for label in (0, 1):
+        mine = [t for t, y in zip(texts, labels) if y == label]
+        held = np.zeros((len(mine), len(often)), np.float32)
+        for i, t in enumerate(mine):
+            held[i, np.flatnonzero(np.isin(often, t, assume_unique=True))] = 1
+        both, one = held.T @ held, held.sum(axis=0)
+        cells = [(1, both), (-1, one[:, None] - both), (-1, one[None, :] - both), (1, len(mine) - one[:, None] - one[None, :] + both)]
+        effect = sum(sign * np.log(c + 0.5) for sign, c in cells) * (2 * label - 1)
+        error = sum(1 / (c + 0.5) for _, c in cells)
+        beyond, total = (effect, error) if beyond is None else (beyond + effect, total + error)
+    strong = np.abs(beyond) >= PAIR_ERRORS * np.sqrt(total)
+    np.fill_diagonal(strong, False)
+    return often[strong.any(axis=0)]
+
+
 def train(texts: list[np.ndarray], labels: np.ndarray, prior: float, epochs: int = 20, batch: int = 64, rate: float = 0.3,
           penalty: float = 1e-4, seed: int = 5) -> FactorizationMachine:
-    """AdaGrad on the log loss over the telling terms of ``texts`` (hashes); ``prior`` is the share of
+    """AdaGrad on the log loss over the terms of ``texts`` that tell alone or in pairs (hashes); ``prior`` is the share of
     class 1 among all labels, to which the bias of the sample is shifted."""
     labels = np.asarray(labels, np.float64)
     positive = float(labels.mean()) if len(labels) else 0.0
-    known = telling_terms(texts, labels) if 0 < positive < 1 else np.empty(0, np.uint32)
+    known = np.union1d(telling_terms(texts, labels), paired_terms(texts, labels)) if 0 < positive < 1 else np.empty(0, np.uint32)
     if not len(known):
         bias = np.log(prior / (1 - prior)) if 0 < prior < 1 else 8.0 * (1 if prior else -1)
         return FactorizationMachine(float(bias), np.zeros(1, np.uint32), np.zeros((1, 1 + FACTORS)))

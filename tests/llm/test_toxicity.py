@@ -39,17 +39,19 @@ def test_learns_a_pair_that_weights_alone_miss():
     texts, labels = corpus(rng, 3000, lambda ws: ("insult" in ws) == ("group" in ws))
     memo = Memo(toxicity._terms_of_word)
     hashed = [toxicity.terms(t.encode(), memo) for t in texts]
-    known = toxicity.LEAST_ERRORS
-    toxicity.LEAST_ERRORS = 0.0  # neither term tells the classes apart on its own
-    try:
-        machine = toxicity.train(hashed[:2400], labels[:2400], prior=0.5, epochs=40)
-    finally:
-        toxicity.LEAST_ERRORS = known
+    machine = toxicity.train(hashed[:2400], labels[:2400], prior=0.5, epochs=40)  # neither term tells the classes apart on its own
     own = machine.memo()
     scores = machine.scores([toxicity.terms(t.encode(), own) for t in texts[2400:]])
     assert ((scores >= 0.5) == labels[2400:]).mean() > 0.9
 
 
+def test_pairs_of_chance_do_not_enter():
+    rng = random.Random(4)
+    texts, labels = corpus(rng, 3000, lambda ws: rng.random() < 0.3)
+    memo = Memo(toxicity._terms_of_word)
+    assert len(toxicity.paired_terms([toxicity.terms(t.encode(), memo) for t in texts], labels)) == 0
+
+
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     found = toxicity.score(docs, toxicity.learn(docs, labels)).join(labels, "doc_id").where(F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
