@@ -68,7 +68,7 @@ SUMMARY_KINDS = {".log": "log", ".csv": "csv", ".tsv": "csv", ".json": "config",
 SYMBOL_LANGUAGES = ("typescript", "typescriptreact", "javascript", "javascriptreact", "python", "go",
                     "rust", "java", "c", "cpp", "csharp")
 COMPRESSIBLE_DOCS = (".pdf", ".docx", ".pptx")
-MAX_RULES = 10_000
+LITERAL_RULES = 200  # rules of a list that become one expression; more are joined
 # -----------------------------------------------------------------------------
 
 
@@ -298,11 +298,15 @@ def rule_decision(rules: list[tuple[bool, bool, str]], cand: Column, is_dir: Col
     return expr
 
 
-def ignore_filter(files: DataFrame, rules: list[str]) -> DataFrame:
+def ignore_filter(files: DataFrame, rules: list[str] | DataFrame) -> DataFrame:
     """Adds ``ignored``: a path is ignored when one of its ancestor directories
-    is ignored or its own last matching rule ignores it."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} ignore rules exceed the literal-expression bound {MAX_RULES}")
+    is ignored or its own last matching rule ignores it.  Rules that are a table
+    (ord, pattern), of any size, are joined to the paths (``ignore_rules``); a short list is one expression in the row."""
+    if isinstance(rules, DataFrame) or len(rules) > LITERAL_RULES:
+        from quire.operators.ignore_rules import ignore_by_table
+        if not isinstance(rules, DataFrame):
+            rules = files.sparkSession.createDataFrame(list(enumerate(rules)), "ord long, pattern string")
+        return ignore_by_table(files, rules)
     compiled = [c for c in (compile_rule(r) for r in rules) if c]
     parts = F.split(F.regexp_replace("rel_path", r"\\", "/"), "/", -1)
     n = F.size(parts)
@@ -312,13 +316,15 @@ def ignore_filter(files: DataFrame, rules: list[str]) -> DataFrame:
     return files.withColumn("ignored", ignored)
 
 
-def rules_of(df: DataFrame, limit: int = MAX_RULES) -> list[str]:
-    """Ordered pattern list from a small ``rules(layer, ord, pattern)`` table
-    (configuration, size-checked before it reaches the driver)."""
-    rows = df.orderBy("layer", "ord").select("pattern").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError("ignore rule table larger than the configured bound")
-    return [r[0] for r in rows]
+def rules_of(df: DataFrame) -> list[str]:
+    """The patterns of ``rules(layer, ord, pattern)`` in their order, as a list on the driver: for a short configuration; a
+    large table goes to ``ignore_filter`` as it is."""
+    return [r[0] for r in df.orderBy("layer", "ord").select("pattern").collect()]
+
+
+def ordered_rules(df: DataFrame) -> DataFrame:
+    """(ord, pattern) of ``rules(layer, ord, pattern)``: the layers one after the other."""
+    return df.select((F.col("layer").cast("long") * F.lit(1 << 40) + F.col("ord").cast("long")).alias("ord"), "pattern")
 
 
 def merge_rules(*layers: DataFrame) -> DataFrame:

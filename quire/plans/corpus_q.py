@@ -169,8 +169,7 @@ d AS (SELECT path, array_to_string(parts[1:k], '/') AS p, k < len(parts) AS is_d
 SELECT path, bool_or(coalesce({IGNORED_SQL}, false)) AS ignored FROM d GROUP BY path
 """)
 def ignore_filter(spark, sf):
-    rules = C.clean_rules(C.rules_of(derived(spark, sf, "v_rules")))
-    return finish(C.ignore_filter(_files(spark, sf), rules).select("path", "ignored"))
+    return finish(C.ignore_filter(_files(spark, sf), C.ordered_rules(derived(spark, sf, "v_rules"))).select("path", "ignored"))
 
 
 @query("ignore_rule_merge", duck_with("v_rules") + """
