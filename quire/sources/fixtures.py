@@ -377,7 +377,7 @@ FROM {part}
 
 _d("v_calls", ("events",), """
 SELECT concat('flow/u', CAST(user_id % 10 AS STRING), '.ts') AS path, concat('fn', CAST(user_id AS STRING)) AS fn,
-       CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS seq,
+       CAST(event_id + 1 AS BIGINT) AS seq,
        CASE event_type WHEN 'click' THEN (CASE WHEN event_id % 3 = 0 THEN 'svc.view' ELSE 'svc.click' END)
             WHEN 'view' THEN 'svc.view' WHEN 'error' THEN (CASE WHEN event_id % 2 = 0 THEN 'Logger.error' ELSE 'Logger.info' END)
             WHEN 'purchase' THEN (CASE WHEN event_id % 5 = 0 THEN 'JSON.stringify' ELSE 'db.buy' END)
@@ -387,7 +387,7 @@ FROM {events}
 
 _d("v_steps", ("events",), """
 SELECT concat('flow/u', CAST(user_id % 10 AS STRING), '.ts') AS path, concat('fn', CAST(user_id AS STRING)) AS fn,
-       CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS seq,
+       CAST(event_id + 1 AS BIGINT) AS seq,
        CASE event_id % 6 WHEN 2 THEN 'if' WHEN 3 THEN 'return' WHEN 4 THEN 'for' WHEN 1 THEN 'while' ELSE 'call' END AS kind,
        CASE event_id % 6 WHEN 2 THEN concat('if (', event_type, ' > ', CAST(event_id % 97 AS STRING), ')')
             WHEN 3 THEN 'return'
@@ -399,7 +399,7 @@ FROM {events}
 
 _d("v_flow", ("events",), """
 SELECT concat('flow/u', CAST(user_id % 10 AS STRING), '.ts') AS path, concat('fn', CAST(user_id AS STRING)) AS fn,
-       CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS seq,
+       CAST(event_id + 1 AS BIGINT) AS seq,
        CASE WHEN user_id % 3 = 0 THEN CASE WHEN event_id % 9 = 0 THEN '-> db.buy' WHEN event_id % 5 = 0 THEN '# decl' ELSE '~ misc' END
             WHEN event_id % 41 = 0 THEN '…(3 more)' WHEN event_id % 6 = 3 THEN '<- return' WHEN event_id % 6 = 2 THEN 'switch kind'
             WHEN event_id % 6 = 4 THEN '-> svc.view' WHEN event_id % 6 = 1 AND user_id % 3 = 1 THEN 'log: info' ELSE '~ misc' END AS line
