@@ -125,16 +125,17 @@ SPLIT_SCHEMA = "path string, rel_path string, size long, part int, parts int, be
 
 
 def file_splits(scanned: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """(path, rel_path, size, part, parts, begin, stop): the files of a scan cut into byte ranges of ``split_bytes``, dealt over as
-    many tasks as there are ranges, up to a few for each core (a range's row is tiny and its reading is not, so the number is set)."""
+    """(path, rel_path, size, part, parts, begin, stop): the files of a scan cut into byte ranges of ``split_bytes``, dealt over a
+    task for each ``split_bytes`` of them, up to ``MOST_READERS`` for each core (a range's row is tiny and its reading is not, so the number is set)."""
     size = F.greatest(F.coalesce("size", F.lit(0)), F.lit(1))
     begins = F.sequence(F.lit(0).cast("long"), size - 1, F.lit(split_bytes).cast("long"))
     splits = (scanned.where("kind = 'file'").select("path", "rel_path", F.coalesce("size", F.lit(0)).alias("size"), F.posexplode(begins).alias("part", "begin"))
               .select("path", "rel_path", "size", "part", F.ceil(F.greatest("size", F.lit(1)) / split_bytes).cast("int").alias("parts"), "begin",
                       F.least("size", F.col("begin") + split_bytes).alias("stop")))
-    spark = scanned.sparkSession
-    count = scanned.where("kind = 'file'").agg(F.sum(F.ceil(size / split_bytes))).first()[0] or 1
-    return splits.repartition(max(1, min(int(count), MOST_READERS * spark.sparkContext.defaultParallelism)), "path", "part")
+    ranges, total = scanned.where("kind = 'file'").agg(F.sum(F.ceil(size / split_bytes)), F.sum(size)).first()
+    cores = scanned.sparkSession.sparkContext.defaultParallelism
+    tasks = min(int(ranges or 1), max(cores, -(-int(total or 1) // split_bytes)), MOST_READERS * cores)
+    return splits.repartition(max(1, tasks), "path", "part")
 
 
 def _continued(data: bytes) -> int:
