@@ -172,3 +172,42 @@ FROM ks JOIN nk ON ks.doc_id = nk.doc_id JOIN v_paged p ON ks.doc_id = p.doc_id
 def key_point_pages(spark, sf):
     keys = S.key_sentences(_docs(spark, sf), k=5, min_length=20)
     return finish(S.key_point_pages(keys, derived(spark, sf, "v_paged")))
+
+
+def _section_sql() -> str:
+    """Sections of ``v_md`` (a heading line begins one), each summarised as a text of its own."""
+    title = trim("lines[1]")
+    return duck_with("v_md").replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+, c AS (SELECT doc_id, {clean_sql('text')} AS clean FROM v_md),
+cut AS (SELECT doc_id, string_split(regexp_replace(clean, chr(10) || '(#{{1,6}} )', chr(1) || '\\1', 'g'), chr(1)) AS parts FROM c),
+sec AS (SELECT doc_id, CAST(generate_subscripts(parts, 1) - 1 AS BIGINT) AS section_no, unnest(parts) AS body FROM cut),
+ll AS (SELECT doc_id, section_no, string_split(body, chr(10)) AS lines FROM sec WHERE {trim('body')} <> ''),
+bd AS (SELECT doc_id, section_no, CASE WHEN {title} = '' THEN 'Untitled Section' ELSE {title} END AS title, array_to_string(lines[2:], chr(10)) AS clean FROM ll),
+b AS (SELECT row_number() OVER (ORDER BY doc_id, section_no) AS sid, * FROM bd WHERE length(clean) >= 50),
+s AS (SELECT sid AS doc_id, clean, {split_sql('clean')} AS ss FROM b),
+short AS (SELECT doc_id, clean AS summary FROM s WHERE length(clean) <= 300 OR len(ss) <= 2),
+ln AS (SELECT doc_id, CAST(generate_subscripts(ss, 1) - 1 AS BIGINT) AS pos, unnest(ss) AS text FROM s WHERE NOT (length(clean) <= 300 OR len(ss) <= 2))
+{graph_ctes('g', 'ln', 'pos')}
+, o AS (SELECT r.doc_id, list(struct_pack(pos := r.idx, len := CAST(length(n.text) AS BIGINT)) ORDER BY round(r.s, 9) DESC, r.idx) AS lst
+        FROM g_rank r JOIN ln n ON r.doc_id = n.doc_id AND r.idx = n.pos GROUP BY r.doc_id),
+f AS (SELECT doc_id, unnest({_fold_sql('lst', 300, 2)}.picked) AS pos FROM o),
+summ AS (SELECT doc_id, summary FROM short UNION ALL SELECT f.doc_id, string_agg(ln.text, chr(10) ORDER BY ln.pos)
+         FROM f JOIN ln ON f.doc_id = ln.doc_id AND f.pos = ln.pos GROUP BY f.doc_id),
+v AS (SELECT doc_id, ss, list_filter(ss, lambda x: length(x) >= 10) AS valid FROM s),
+few AS (SELECT doc_id, CAST(generate_subscripts(valid, 1) - 1 AS BIGINT) AS position, CAST(1 AS DOUBLE) AS score, unnest(valid) AS text FROM v WHERE len(valid) <= 3),
+kn AS (SELECT doc_id, vidx, text, CAST(list_position(ss, text) - 1 AS BIGINT) AS position
+       FROM (SELECT doc_id, ss, CAST(generate_subscripts(valid, 1) - 1 AS BIGINT) AS vidx, unnest(valid) AS text FROM v WHERE len(valid) > 3))
+{graph_ctes('k', 'kn', 'vidx')}
+, top AS (SELECT kn.doc_id, kn.position, r.s AS score, kn.text, kn.vidx, row_number() OVER (PARTITION BY kn.doc_id ORDER BY round(r.s, 9) DESC, kn.vidx) AS r
+          FROM kn JOIN k_rank r ON kn.doc_id = r.doc_id AND kn.vidx = r.idx),
+points AS (SELECT doc_id, position, score, text, position AS vidx FROM few UNION ALL SELECT doc_id, position, score, text, vidx FROM top WHERE r <= 3),
+told AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY position, score DESC, vidx) AS key_points FROM points GROUP BY doc_id)
+SELECT b.doc_id, b.section_no, b.title, summ.summary, coalesce(told.key_points, '') AS key_points
+FROM b JOIN summ ON summ.doc_id = b.sid LEFT JOIN told ON told.doc_id = b.sid
+"""
+
+
+@query("section_summaries", _section_sql())
+def section_summaries(spark, sf):
+    r = S.section_summaries(derived(spark, sf, "v_md"))
+    return finish(r.withColumn("key_points", F.array_join("key_points", "\n")))
