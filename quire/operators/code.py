@@ -214,7 +214,9 @@ def leading_docs(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     items = (com.where(F.col("c") != "").join(above.select("path", "s", "p", "isl"), ["path", "isl"])
              .where(F.col("line_no") <= F.col("p")))
     w = Window.partitionBy("path", "s").orderBy(F.col("line_no").desc())
-    items = items.withColumn("k", F.row_number().over(w)).withColumn(
+    # a comment adds two characters at least, so so many reach the width: cut before the shuffle by the window's own limit
+    items = items.withColumn("k", F.row_number().over(w)).where(F.col("k") <= DOC_WIDTH // 2 + 2)
+    items = items.withColumn(
         "len_before", F.sum(F.length("c") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)) - 1)
     kept = items.where((F.col("k") == 1) | (F.col("len_before") <= DOC_WIDTH))
     return kept.groupBy("path", "s").agg(
