@@ -24,6 +24,7 @@ def tables(spark, tmp_path_factory):
     ("flow_run_length", "first_seq", "step", ["svc.click×2", "Logger.info", "Logger.error", "svc.view", "db.signup"]),
     ("flow_log_merge", "first_seq", "step", ["svc.click", "svc.click", "log: info, error", "svc.view", "db.signup"]),
     ("flow_early_returns", "seq", "step", ["while (queue6.length)", "return", "for (const item of items4 and a long trailing description that keeps going past the label width limit)", "return"]),
+    ("flow_collapse", "seq", "line", ["~ misc", "~ misc", "-> db.buy", "~misc×3 (path/dep)"]),
 ])
 def test_steps_follow_the_time(spark, tables, name, number, said, want):
     got = QUERIES[name](spark, tables)
