@@ -9,9 +9,10 @@ a wrong signature yields nulls, never an error.
 from __future__ import annotations
 
 import os
+from functools import reduce
+from operator import or_
 
-import pandas as pd
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,6 +150,8 @@ def _scan_mpeg(head: bytes) -> dict:
     return {}
 
 
+#: Rows that are scanned at once.
+SCANNED_AT_ONCE = 256
 SCANNED = ("width", "height", "bit_depth", "entries", "tables", "channels", "sample_rate", "bitrate_kbps", "family", "compression")
 
 
@@ -166,12 +169,19 @@ def media_scan_headers(head_tail: DataFrame) -> DataFrame:
     """(path, width, height, bit_depth, entries, tables, channels, sample_rate, bitrate_kbps,
     family, compression) for formats whose fields need a scan: JPEG start of frame in the first
     64 KiB, ZIP directory count in the last 64 KiB, font tables and family name, MPEG audio
-    frame or ID3 tag in the first 1 KiB.  Arrow-batched over the head and tail bytes only."""
-    def run(it):
-        for pdf in it:
-            found = [_scan_one(os.path.splitext(p)[1].lower(), bytes(hd or b""), bytes(tl or b""))
-                     for p, hd, tl in zip(pdf["path"], pdf["head"], pdf["tail"])]
-            columns = {name: [f.get(name) for f in found] for name in SCANNED}
-            yield pd.DataFrame({"path": pdf["path"], **{n: v if n in SCANNED[8:] else pd.array(v, dtype="Int64") for n, v in columns.items()}})
-    return head_tail.select("path", "head", "tail").mapInPandas(
+frame or ID3 tag in the first 1 KiB.  A row brings its task only the bytes that its kind is read
+    from, and they are scanned ``SCANNED_AT_ONCE`` rows at a time."""
+    low = F.lower("path")
+    kinds = {kind: reduce(or_, (low.endswith(e) for e in ends)) for kind, ends in (("head", (".jpg", ".jpeg", ".ttf", ".otf")), ("tail", (".zip",)), ("audio", (".mp3",)))}
+    head = F.when(kinds["head"], F.col("head")).when(kinds["audio"], F.substring("head", 1, AUDIO_HEAD))
+    types = {n: pa.string() if n in SCANNED[8:] else pa.int64() for n in SCANNED}
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SCANNED_AT_ONCE):
+                part = batch.slice(at, SCANNED_AT_ONCE)
+                found = [_scan_one(os.path.splitext(p.as_py())[1].lower(), h.as_py() or b"", t.as_py() or b"") for p, h, t in zip(*part.columns)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([f.get(n) for f in found], of) for n, of in types.items())], names=["path", *types])
+
+    return head_tail.select("path", head.alias("head"), F.when(kinds["tail"], F.col("tail")).alias("tail")).mapInArrow(
         run, "path string, " + ", ".join(f"{n} {'string' if n in SCANNED[8:] else 'long'}" for n in SCANNED))
