@@ -15,7 +15,7 @@ A hit places the item on the text.  Of all hits at once, the 64 bytes of the ite
 (Myers' search, one machine word each); where they lie nearby, the item's whole length of text is verified
 exactly.
 
-Items of fewer than ``LEAST_WORDS`` words have too few windows for that.  They, and with ``thorough`` all items, are found by
+Items of fewer than ``LEAST_WORDS`` words have too few windows for that.  They, and with ``thorough`` all items beside the walks, are found by
 their characters, without loss: an item is cut into segments, of which one at least has no more than its
 share of the edits, and a segment into pieces of ``q`` characters.  An edit spoils one piece, so the
 others stand in the text, shifted against each other by no more than the segment's edits; where
@@ -251,9 +251,12 @@ class ItemIndex:
         for item_id, text in items:
             words = _words(text)
             if words:
-                (pieced if thorough or len(words) < LEAST_WORDS else walked).append(len(self.items))
+                if len(words) >= LEAST_WORDS:
+                    walked.append(len(self.items))
+                if thorough or len(words) < LEAST_WORDS:  # beside the walks, what they may miss
+                    pieced.append(len(self.items))
                 self.items.append((item_id, b" ".join(words).decode("utf-8", "replace"), len(words)))
-        self.pieced = np.array(pieced, np.int64)
+        self.walked, self.pieced = bool(walked), np.array(pieced, np.int64)
         self.pieces = PieceIndex([self.items[n][1] for n in pieced], similarity)
         self.edits = [allowed_edits(len(pattern), similarity) for _, pattern, _ in self.items]
         symbols = {n: word_symbols(self.items[n][1].encode())[0] for n in walked}
@@ -383,7 +386,7 @@ def _matches(index: ItemIndex, texts: list[bytes | None]) -> Iterator[tuple[int,
         byte_at = np.append(byte_at, len(text) + 1)
         best: dict[tuple[int, int], tuple[int, int]] = {}
         todo = defaultdict(list)
-        for item, begin in index.hits(symbols, starts, byte_at[:-1], np.frombuffer(text, np.uint8)) if len(index.pieced) < len(index.items) else ():
+        for item, begin in index.hits(symbols, starts, byte_at[:-1], np.frombuffer(text, np.uint8)) if index.walked else ():
             middle = int(np.searchsorted(byte_at, begin + len(index.items[item][1]) // 2, "right")) - 1
             row = min(max(0, int(np.searchsorted(word_ends, middle, "right")) - 1), len(rows) - 1)
             todo[row, item].append(begin)
@@ -511,5 +514,5 @@ def without_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document that holds a benchmark item, exactly or nearly."""
-    return find_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    """Every document that holds a benchmark item, exactly or nearly: by walks, and by pieces what they miss."""
+    return find_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), thorough=True)
