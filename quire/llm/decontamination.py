@@ -16,10 +16,10 @@ A hit places the item on the text.  Of all hits at once, the 64 bytes of the ite
 exactly.
 
 Items of fewer than ``LEAST_WORDS`` words have too few windows for that.  They, and with ``thorough`` all items beside the walks, are found by
-their characters, without loss: an item is cut into segments, of which one at least has no more than its
-share of the edits, and a segment into pieces of ``q`` characters.  An edit spoils one piece, so the
-others stand in the text, shifted against each other by no more than the segment's edits; where
-so many pieces do, the segment is searched.  Its cost grows with the number of such items.
+their characters, without loss: an item is cut into spans, of which one at least has no more than its
+share of the edits, and a span into pieces of ``q`` characters.  An edit spoils one piece, so the
+others stand in the text, shifted against each other by no more than the span's edits; where
+so many pieces do, the span's segments are searched.  Its cost grows with the number of such items.
 """
 
 from __future__ import annotations
@@ -46,19 +46,24 @@ SIMILARITY = 0.8
 #: Items, and bytes of items, that one pass over the documents looks for (their keys are broadcast).
 ITEMS_OF_PASS, BYTES_OF_PASS = 20_000, 8 << 20
 #: Hits of one item this near to each other in bytes are one; share of edits at which a segment counts as nearby.
-BAND, NEARBY = 16, 0.32
+BAND_BITS, NEARBY = 4, 0.32
+BAND = 1 << BAND_BITS
 #: Hits that are searched at once.
 HITS_AT_ONCE = 1 << 17
-#: Bands of shifts that are searched together.
-BANDS = 8
+#: Bands of shifts that are searched together, and segments.
+BANDS, SEARCHED_AT_ONCE = 2, 8192
+#: Windows of bands of which the pieces are told apart at once.
+WINDOWS_AT_ONCE = 1 << 16
+#: Places for spans and bands that a block of text has at most, as far as it can be cut.
+CELLS = 1 << 20
 #: Pieces that are looked at at once, and classes of characters.
 PIECES_AT_ONCE, CLASSES = 1 << 22, 64
 #: Words that are walked over at once.
 CHUNK_WORDS = 1 << 15
 
-#: Characters of a segment at most (the bits of a word).
-SEGMENT = 64
-#: Characters of a segment from which its pieces have so many characters.
+#: Characters of a segment (the bits of a word) and of a span at most.
+SEGMENT, SPAN = 64, 256
+#: Characters of a span from which its pieces have so many characters.
 PIECE_SIZES = ((40, 4), (20, 3), (5, 2))
 
 _STRIPPED = b".,;:!?\"'()[]{}|*_-"
@@ -138,107 +143,174 @@ def _classes(characters: np.ndarray) -> np.ndarray:
 
 
 def _piece_buckets(characters: np.ndarray, q: int) -> np.ndarray:
-    """A number below 2 ** _TABLE_BITS for the ``q`` characters from each place on."""
-    last = max(0, len(characters) - q + 1)
-    h = np.full(last, q, np.uint64)
-    for i in range(q):
-        h = (h ^ characters[i:i + last]) * _MIX
-    return (h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
+    """A number below 2 ** _TABLE_BITS for the ``q`` (at most four) characters from each place on."""
+    last, low = max(0, len(characters) - q + 1), characters & np.uint32(255)
+    h = low[:last].copy()
+    for i in range(1, q):
+        h |= low[i:i + last] << np.uint32(8 * i)
+    return ((h * np.uint32(0x9E3779B1)) >> np.uint32(32 - _TABLE_BITS)).astype(np.int64)
 
 
 class PieceIndex:
-    """The items' pieces by their bucket, for each piece size.  Two contents in one bucket only add candidates."""
+    """The items' pieces by their bucket, for each piece size.  Two contents in one bucket only add candidates.
+
+    Pieces are counted by span: of a near copy some span has no more than its share of the edits, so as many of its pieces
+    stand as there are more than edits, at shifts no further apart than the edits.  A segment of such a span has no more
+    than its share either, which is searched."""
 
     def __init__(self, patterns: list[str], similarity: float):
         self.lengths = np.array([len(p) for p in patterns], np.int64)
         self.edits = np.array([allowed_edits(len(p), similarity) for p in patterns], np.int64)
-        item_of, width, least, begins, sizes, share = [], [], [], [], [], []
+        item_of, least, begins, sizes, share, segments = [], [], [], [], [], []
         found: dict[int, list[tuple[np.ndarray, int, np.ndarray]]] = defaultdict(list)
         for number, pattern in enumerate(patterns):
-            cuts = np.linspace(0, len(pattern), -(-len(pattern) // SEGMENT) + 1).astype(int).tolist()
             characters = _characters(pattern)
-            for a, b in zip(cuts, cuts[1:]):
+            for a, b in _cuts(0, len(pattern), SPAN):
                 edits = allowed_edits(b - a, similarity)
                 q = next((q for least_size, q in PIECE_SIZES if b - a >= least_size), b - a)
                 while q > 1 and (b - a) // q <= edits:
                     q -= 1
                 places = np.arange(a, b - q + 1, q)
-                found[q].append((_piece_buckets(characters, q)[places], len(item_of), places))
+                found[q].append((_piece_buckets(characters, q)[places], len(item_of), places - a))
+                # with the pieces that lie in the segment, and how many of them stand at least
+                parts = [(x, y, -(-(x - a) // q), min((y - a) // q, len(places))) for x, y in _cuts(a, b, SEGMENT)]
+                segments.append([(x, y - x, share_of, p, max(p, e), max(0, e - p - share_of), characters[x:y])
+                                 for x, y, p, e in parts for share_of in [allowed_edits(y - x, similarity)]])
                 item_of.append(number)
-                width.append(edits // 3 + 1)
                 least.append(max(1, len(places) - edits))
                 begins.append(a)
                 sizes.append(b - a)
                 share.append(edits)
-        self.item_of, self.width, self.least, self.begins, self.sizes, self.share = (
-            np.array(x, np.int64) for x in (item_of, width, least, begins, sizes, share))
+        self.item_of, self.least, self.begins, self.sizes, self.share = (np.array(x, np.int64) for x in (item_of, least, begins, sizes, share))
+        self.windows = self.share // BAND + 2  # bands that so many shifts touch
+        self.count = np.array([len(x) for x in segments], np.int64)
+        self.first = np.cumsum(self.count) - self.count
+        flat = [x for of_span in segments for x in of_span]
+        self.seg_begins, self.seg_sizes, self.seg_share, self.seg_first, self.seg_end, self.seg_least = (
+            np.array([x[k] for x in flat], np.int64) for k in range(6))
         # bit i: character i of the segment is of this class; characters that share one only add candidates
-        self.masks = np.zeros((len(item_of), CLASSES), np.uint64)
-        for n, (number, a, size) in enumerate(zip(item_of, begins, sizes)):
-            np.bitwise_or.at(self.masks[n], _classes(_characters(patterns[number][a:a + size])), np.uint64(1) << np.arange(size, dtype=np.uint64))
+        self.masks = np.zeros((len(flat), CLASSES), np.uint64)
+        for n, (_, size, *_, characters) in enumerate(flat):
+            np.bitwise_or.at(self.masks[n], _classes(characters), np.uint64(1) << np.arange(size, dtype=np.uint64))
+        # a block of text has a place for each span and band; shifts begin before it by the largest span
+        spans = max(1, len(item_of))
+        self.before = -(-int(self.sizes.max(initial=0)) // BAND) * BAND
+        self.overlap = int((self.sizes + self.share).max(initial=0)) + 8
+        self.block = max(1024, min(1 << 15, CELLS // spans * BAND - self.before - self.overlap))
+        self.bands = (self.block + self.overlap + self.before) // BAND + 1 + int(self.windows.max(initial=0))
         self.tables = {}
         for q, parts in found.items():
             buckets = np.concatenate([b for b, _, _ in parts])
-            segments = np.concatenate([np.full(len(b), n, np.int32) for b, n, _ in parts])
-            places = np.concatenate([x for _, _, x in parts]).astype(np.int32)
+            base = np.concatenate([n * self.bands * BAND + self.before - x for _, n, x in parts])
+            number = np.concatenate([x // q for _, _, x in parts]).astype(np.int32)  # of the piece in its span
             order = np.argsort(buckets, kind="stable")
             count = np.bincount(buckets, minlength=1 << _TABLE_BITS).astype(np.int32)
-            self.tables[q] = (count, (np.cumsum(count) - count).astype(np.int32), segments[order], places[order])
+            self.tables[q] = (count, (np.cumsum(count) - count).astype(np.int32), base[order], number[order])
 
     def candidates(self, characters: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(item, begin, end): parts of the text, outside which no near copy of the item lies."""
-        for q, (count, start, segments, places) in self.tables.items():
-            buckets = _piece_buckets(characters, q)
-            n = count[buckets]
-            held = np.flatnonzero(n)
-            keys = []
-            for at in np.split(held, np.flatnonzero(np.diff(np.cumsum(n[held], dtype=np.int64) // PIECES_AT_ONCE)) + 1):
-                m = n[at]
-                which = np.arange(int(m.sum())) + np.repeat(start[buckets[at]] - (np.cumsum(m) - m), m)
-                segment = segments[which].astype(np.int64)
-                shift = (np.repeat(at, m) - places[which] + _FAR) // self.width[segment]
-                keys.append((segment << 40) + shift)
-            # pieces of one near copy lie in four neighbouring bands of shifts
-            keys, times = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.empty(0, np.int64), np.empty(0, np.int64))
-            if not len(keys):
+        classes = _classes(characters)
+        buckets = {q: _piece_buckets(characters, q) for q in self.tables}
+        held = []
+        for begin in range(0, len(characters), self.block):
+            cells, pieces = np.zeros(len(self.item_of) * self.bands, np.int32), []
+            for q, (count, start, base, number) in self.tables.items():
+                here = buckets[q][begin:begin + self.block + self.overlap]
+                n = count[here]
+                known = np.flatnonzero(n)
+                for at in np.split(known, np.flatnonzero(np.diff(np.cumsum(n[known], dtype=np.int64) // PIECES_AT_ONCE)) + 1):
+                    m = n[at]
+                    which = np.arange(int(m.sum())) + np.repeat(start[here[at]] - (np.cumsum(m) - m), m)
+                    cell = (base[which] + np.repeat(at, m)) >> BAND_BITS
+                    cells += np.bincount(cell, minlength=len(cells)).astype(np.int32)
+                    pieces.append((cell.astype(np.int32), number[which]))
+            if not pieces:
                 continue
-            near = times.copy()
-            for k in (1, 2, 3):
-                for other in (1, 2, 3)[:k]:  # the band k further on is at most k keys away
-                    near[:-other] += np.where(keys[other:] == keys[:-other] + k, times[other:], 0)
-            good = np.unique(keys[near >= self.least[keys >> 40]] // BANDS) * BANDS
-            segment = good >> 40
-            shift = (good & ((1 << 40) - 1)) * self.width[segment] - _FAR
-            hit = self._near(characters, segment, shift)
-            segment, shift = segment[hit], shift[hit]
-            item = self.item_of[segment]
-            yield from zip(item.tolist(), (shift - self.edits[item]).tolist(),
-                           (shift + (BANDS + 3) * self.width[segment] + self.lengths[item] + self.edits[item]).tolist())
-
-    def _near(self, characters: np.ndarray, segment: np.ndarray, shift: np.ndarray) -> np.ndarray:
-        """Which segments lie in the text at these shifts (and the bands that start there) within their edits."""
-        if not len(segment):
-            return np.empty(0, np.int64)
-        one, size, edits = np.uint64(1), self.sizes[segment], self.share[segment]
+            cells, many = cells.reshape(-1, self.bands), np.zeros((len(self.item_of), self.bands), bool)
+            for window in np.unique(self.windows).tolist():
+                spans = np.flatnonzero(self.windows == window)
+                of_spans, last = cells[spans], self.bands - window + 1
+                near = of_spans[:, :last].copy()
+                for k in range(1, window):
+                    near += of_spans[:, k:k + last]
+                many[spans, :last] = near >= self.least[spans][:, None]
+            segment, span, band = self._of_distinct(many, pieces)
+            # bands that lie together are searched together
+            good, some = np.unique(segment * self.bands + band // BANDS, return_index=True)
+            shift = begin + good % self.bands * BANDS * BAND - self.before
+            held.append(np.stack([segment[some], span[some], shift]))
+            if sum(x.shape[1] for x in held) >= SEARCHED_AT_ONCE:
+                yield from self._found(classes, np.concatenate(held, axis=1))
+                held = []
+        if held:
+            yield from self._found(classes, np.concatenate(held, axis=1))
+
+    def _found(self, classes: np.ndarray, held: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """The candidates among (segment, span, shift)."""
+        width = (BANDS - 1 + int(self.windows.max())) * BAND
+        for k in range(0, held.shape[1], SEARCHED_AT_ONCE):
+            segment, span, shift = held[:, k:k + SEARCHED_AT_ONCE]
+            shift = shift - self.begins[span]
+            hit = np.flatnonzero(self._lies(classes, segment, shift + self.seg_begins[segment], width))
+            item, shift = self.item_of[span[hit]], shift[hit]
+            yield from zip(item.tolist(), (shift - self.edits[item]).tolist(), (shift + width + self.lengths[item] + self.edits[item]).tolist())
+
+    def _of_distinct(self, many: np.ndarray, pieces: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
+        """(segment, span, band) of those of ``many`` where pieces enough of the span and of the segment are different ones."""
+        flat = np.flatnonzero(many)
+        if not len(flat):
+            return flat, flat, flat
+        span, band = flat // self.bands, flat % self.bands
+        ids, near = np.full(many.size + 1, -1, np.int32), np.zeros(many.size + int(self.windows.max()), bool)
+        ids[flat] = np.arange(len(flat))
+        for k in range(int(self.windows.max())):  # the bands of these windows
+            near[flat[k < self.windows[span]] + k] = True
+        cell, number = (np.concatenate(x) for x in zip(*((c[kept], n[kept]) for c, n in pieces for kept in [near[c]])))
+        width, found = int(number.max(initial=0)) + 1, []
+        for first in range(0, len(flat), WINDOWS_AT_ONCE):
+            seen = np.zeros((min(WINDOWS_AT_ONCE, len(flat) - first), width), bool)
+            for k in range(int(self.windows.max())):
+                at = ids[np.maximum(cell - k, -1)] - first
+                kept = np.flatnonzero((at >= 0) & (at < len(seen)))
+                kept = kept[k < self.windows[span[at[kept] + first]]]
+                seen[at[kept], number[kept]] = True
+            kept = np.flatnonzero(seen.sum(axis=1) >= self.least[span[first:first + len(seen)]])
+            upto = np.pad(np.cumsum(seen[kept], axis=1), ((0, 0), (1, 0)))
+            row = np.repeat(np.arange(len(kept)), n := self.count[span[first + kept]])
+            segment = np.arange(len(row)) + np.repeat(self.first[span[first + kept]] - (np.cumsum(n) - n), n)
+            times = upto[row, np.minimum(self.seg_end[segment], width)] - upto[row, np.minimum(self.seg_first[segment], width)]
+            good = np.flatnonzero(times >= self.seg_least[segment])
+            at = first + kept[row[good]]
+            found.append((segment[good], span[at], band[at]))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def _lies(self, classes: np.ndarray, segment: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+        """Whether each segment lies in the text from there on (Myers' search of all at once)."""
+        one, size, edits = np.uint64(1), self.seg_sizes[segment], self.seg_share[segment]
         top = one << (size - 1).astype(np.uint64)
         full = top | (top - one)
-        at = shift + self.begins[segment] - edits
-        classes = _classes(characters)
         plus, minus, score, best = full.copy(), np.zeros(len(segment), np.uint64), size.copy(), size.copy()
-        masks, row, last = self.masks.reshape(-1), segment * CLASSES, size - 1
-        length = int(((BANDS + 3) * self.width[segment] + size + 2 * edits).max())
-        before = max(0, -int(at.min()))
-        classes = np.pad(classes, (before, max(0, int(at.max()) + length - len(classes))))
-        at, last = at + before, last.astype(np.uint64)
+        masks, row, last = self.masks.reshape(-1), segment * CLASSES, (size - 1).astype(np.uint64)
+        length = int((size + edits).max()) + width
+        low = int(at.min())
+        classes = np.pad(classes[max(0, low):max(0, int(at.max()) + length)], (max(0, -low), 0))
+        at = at - low
+        classes = np.pad(classes, (0, max(0, int(at.max()) + length - len(classes))))
         for step in range(length):
             eq = masks[row + classes[at + step]]
             x = (((eq & plus) + plus) ^ plus) | eq | minus
             up, down = minus | (full & ~(x | plus)), plus & x
-            score += (((up >> last) & one).view(np.int64) - ((down >> last) & one).view(np.int64))
+            score += ((up >> last) & one).view(np.int64) - ((down >> last) & one).view(np.int64)
             up, down, xv = (up << one) & full, (down << one) & full, eq | minus
             plus, minus = down | (full & ~(xv | up)), up & xv
             np.minimum(best, score, out=best)
-        return np.flatnonzero(best <= edits)
+        return best <= edits
+
+
+def _cuts(a: int, b: int, size: int) -> list[tuple[int, int]]:
+    """Runs of nearly equal length, of at most ``size``."""
+    ends = np.linspace(a, b, -(-(b - a) // size) + 1).astype(int).tolist()
+    return list(zip(ends, ends[1:]))
 
 
 class ItemIndex:
