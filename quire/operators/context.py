@@ -1,12 +1,12 @@
 """The whole context: one block for every file that the ignore rules leave, by its route.
 
 ``files(project, path, rel_path, size, content)`` are classified once and written by route, so each
-kind of block reads its own files only.  Blocks and tree lines are ordered rows, as in ``render``.
+kind of block reads its own files only.  Each kind is a job of its own that writes its blocks, as a plan of all
+kinds at once does not fit a small driver.  Blocks and tree lines are ordered rows, as in ``render``.
 """
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -19,7 +19,7 @@ from quire.operators import configs as K
 from quire.operators import corpus as C
 from quire.operators import render as R
 from quire.operators import tree as T
-from quire.session import ensure_checkpoint_dir
+from quire.session import written
 
 
 def kept_files(files: DataFrame, rules: list[str]) -> DataFrame:
@@ -27,11 +27,9 @@ def kept_files(files: DataFrame, rules: list[str]) -> DataFrame:
     return C.ignore_filter(files, rules).where(~F.col("ignored")).drop("ignored")
 
 
-def _by_route(routed: DataFrame) -> DataFrame:
+def by_route(files: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """The classified files, written once with a folder for each route."""
-    path = f"{ensure_checkpoint_dir(routed.sparkSession).rstrip('/')}/context-{uuid.uuid4().hex}"
-    routed.write.partitionBy("route").parquet(path)
-    return routed.sparkSession.read.schema(routed.schema).parquet(path)
+    return written(C.classify(files, config), "route")
 
 
 def _titled(blocks: DataFrame, files: DataFrame, key: str = "path") -> DataFrame:
@@ -43,10 +41,14 @@ def _titled(blocks: DataFrame, files: DataFrame, key: str = "path") -> DataFrame
 
 def file_blocks(files: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """(project, path, block): exactly one block for each file."""
-    routed = _by_route(C.classify(files, config))
+    return routed_blocks(by_route(files, config), config)
 
+
+def routed_blocks(routed: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """The blocks of files that ``by_route`` has written."""
     def of(*routes: str) -> DataFrame:
-        return routed.where(F.col("route").isin(*routes))
+        # dealt by path, so what a renderer groups by file and joins by file needs no other exchange
+        return routed.where(F.col("route").isin(*routes)).repartition("path")
 
     def as_docs(f: DataFrame, key: str = "path") -> DataFrame:
         return f.select(F.col(key).alias("doc_id"), C.basename(F.col("rel_path")).alias("name"), "size", F.coalesce("content", F.lit("")).alias("text"))
@@ -60,33 +62,33 @@ def file_blocks(files: DataFrame, config: Config = DEFAULT) -> DataFrame:
         R.file_block(F.col("rel_path"), F.col("size"), F.col("language"), F.col("content"), F.col("is_truncated"), config)).alias("text"))
     outs = [plain]
     logs, tables, docs = of("summary:log"), of("summary:csv"), of("summary:doc")
-    outs.append(_titled(R.render_log_summary(lines(logs), config), logs))
-    outs.append(_titled(R.render_csv_summary(lines(tables).select("path", "line_no", "text"), config), tables))
-    outs.append(_titled(R.render_doc_summary(as_docs(docs), config), docs, "doc_id"))
+    outs.append(written(_titled(R.render_log_summary(lines(logs), config), logs)))
+    outs.append(written(_titled(R.render_csv_summary(lines(tables).select("path", "line_no", "text"), config), tables)))
+    outs.append(written(_titled(R.render_doc_summary(as_docs(docs), config), docs, "doc_id")))
     settings = of("summary:config")
     json, others = (settings.where(c) for c in (F.lower("rel_path").endswith(".json"), ~F.lower("rel_path").endswith(".json")))
-    outs.append(_titled(R.render_json_summary(json.select("path", "content"), config), json))
+    outs.append(written(_titled(R.render_json_summary(json.select("path", "content"), config), json)))
     keys = K.order_keys(K.yaml_flat_keys(lines(others).select("path", "line_no", "text"), config))
-    outs.append(_titled(R.render_yaml_summary(keys, config), others))
+    outs.append(written(_titled(R.render_yaml_summary(keys, config), others)))
     # the summariser's documents have numbers: a hash of the path stands for it
-    pdf, word = (of(r).withColumn("number", F.xxhash64("path")) for r in ("summary:pdf", "summary:word"))
-    for made, those in ((R.render_pdf_summary(as_docs(pdf, "number").withColumn("n_pages", (1 + F.floor(F.length("text") / 1500)).cast("int")), config), pdf),
-                        (R.render_word_summary(as_docs(word, "number"), config), word)):
-        j = made.join(those.select(F.col("number").alias("doc_id"), "path", "rel_path", F.length(C.basename(F.col("rel_path"))).alias("skip")), "doc_id")
-        outs.append(j.select("path", F.concat(F.lit("// File: "), "rel_path", F.expr("substring(text, 10 + skip, length(text))")).alias("text")))
+    pdf, word = (of(r).withColumn("number", F.xxhash64("path")).repartition("number") for r in ("summary:pdf", "summary:word"))
+    paged = as_docs(pdf, "number").withColumn("n_pages", (1 + F.floor(F.length("text") / 1500)).cast("int"))
+    for render, of_docs, those in ((R.render_pdf_summary, paged, pdf), (R.render_word_summary, as_docs(word, "number"), word)):
+        j = render(of_docs, config).join(those.select(F.col("number").alias("doc_id"), "path", "rel_path", F.length(C.basename(F.col("rel_path"))).alias("skip")), "doc_id")
+        outs.append(written(j.select("path", F.concat(F.lit("// File: "), "rel_path", F.expr("substring(text, 10 + skip, length(text))")).alias("text"))))
     generic = of("summary:generic", "summary:excel", "summary:pptx")
     is_code = C.is_code_file(F.col("path"))
-    outs.append(R.render_text_summary(generic.where(~is_code), config))
-    outs.append(R.render_code_summary(generic.where(is_code)))
+    outs.append(written(R.render_text_summary(generic.where(~is_code), config)))
+    outs.append(written(R.render_code_summary(generic.where(is_code))))
     symbols = of("outline")
     head = F.concat(F.lit("// File: "), F.col("rel_path"), F.lit(f" ({WARNING_EMOJI} Overview — "), format_size(F.col("size")),
                     F.lit(", structure outline)\n// Language: "), F.coalesce("language", F.lit("text")), F.lit("\n\n"))
-    outline = R.render_outline(lines(symbols), config)
+    outline, summary = written(R.render_outline(lines(symbols), config)), written(R.render_code_summary(symbols))
     choice = CO.outline_choose(
         outline.select("path", F.lit(1).alias("priority"), F.lit("outline").alias("source"), "text")
-        .unionByName(R.render_code_summary(symbols).select("path", F.lit(2).alias("priority"), F.lit("summary").alias("source"), "text")))
-    outs.append(choice.join(symbols.select("path", head.alias("head")), "path").select(
-        "path", F.when(F.col("source") == "outline", F.concat("head", "text")).otherwise(F.col("text")).alias("text")))
+        .unionByName(summary.select("path", F.lit(2).alias("priority"), F.lit("summary").alias("source"), "text")))
+    outs.append(written(choice.join(symbols.select("path", head.alias("head")), "path").select(
+        "path", F.when(F.col("source") == "outline", F.concat("head", "text")).otherwise(F.col("text")).alias("text"))))
     made = reduce(DataFrame.unionByName, outs)
     # a file of which a renderer has nothing to tell still gets its header
     every = routed.select("project", "path", F.concat(F.lit("// File: "), F.col("rel_path"), F.lit(" ("), format_size(F.col("size")), F.lit(")\n")).alias("bare"))
@@ -95,8 +97,8 @@ def file_blocks(files: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 def whole_context(files: DataFrame, rules: list[str], config: Config = DEFAULT) -> DataFrame:
     """(project, seq, text): the tree and a block of every file that is left, as ordered rows."""
-    kept = kept_files(files, rules)
-    rank = rank_within(kept.select("project", "rel_path", "path"), "project", [F.col("rel_path")])
+    routed = by_route(kept_files(files, rules), config)
+    rank = rank_within(routed.select("project", "rel_path", "path"), "project", [F.col("rel_path")])
     tree = rank_within(T.dir_tree(rank), "project", [F.col("ord_key")], name="ord").select("project", "ord", "line")
-    blocks = file_blocks(kept, config).join(rank.select("path", "rank"), "path")
+    blocks = routed_blocks(routed, config).join(rank.select("path", "rank"), "path")
     return R.assemble(tree, blocks.select("project", "rank", "block"))

@@ -1,6 +1,5 @@
 """§ tree, file blocks, assembly, token budget and templates over ``v_files``."""
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from quire.functions.text import format_tokens, rank_within
@@ -13,6 +12,7 @@ from quire.plans.corpus_q import CFG, EXT, LANG_SQL, SYM, _binary_sql, case_map
 from quire.plans.context_sql import summary_blocks
 from quire.plans.registry import ORACLES, query
 from quire.plans.sqlfrag import utf16_len
+from quire.session import written
 from quire.sources.fixtures import derived, duck_with
 
 
@@ -21,9 +21,9 @@ def kept_files(spark, sf):
     return X.kept_files(derived(spark, sf, "v_files"), C.clean_rules(C.rules_of(derived(spark, sf, "v_rules"))))
 
 
-def ranks(spark, sf):
-    """(project, rel_path, path, rank) of the kept files: only the paths are ranked."""
-    return rank_within(kept_files(spark, sf).select("project", "rel_path", "path"), "project", [F.col("rel_path")])
+def ranks(files):
+    """(project, rel_path, path, rank) of files: only the paths are ranked."""
+    return rank_within(files.select("project", "rel_path", "path"), "project", [F.col("rel_path")])
 
 
 TREE = duck_with("v_files") + """
@@ -69,9 +69,14 @@ SIZE_SQL = """CASE
   ELSE CAST({s} AS VARCHAR) || 'B' END"""
 
 
-def _blocks(spark, sf, rank):
+def _routed(spark, sf):
+    """The kept files, written by route."""
+    return X.by_route(kept_files(spark, sf), CFG)
+
+
+def _blocks(routed, rank):
     """A block of every kept file, with its rank."""
-    return X.file_blocks(kept_files(spark, sf), CFG).join(rank.select("path", "rank"), "path")
+    return X.routed_blocks(routed, CFG).join(rank.select("path", "rank"), "path")
 
 
 PLAIN = f"""
@@ -129,15 +134,15 @@ doc AS (SELECT t.project, 1 AS a, t.ord AS b, CASE WHEN t.ord = 1 THEN '# Projec
 """
 
 
-def _doc(spark, sf, rank=None, tree=None):
-    rank = ranks(spark, sf) if rank is None else rank
+def _doc(routed, rank=None, tree=None):
+    rank = ranks(routed) if rank is None else rank
     tree = (tree if tree is not None else _tree(rank)).select("project", "ord", "line")
-    return R.assemble(tree, _blocks(spark, sf, rank).select("project", "rank", "block"))
+    return R.assemble(tree, _blocks(routed, rank).select("project", "rank", "block"))
 
 
 @query("context_assemble", ASSEMBLE + "SELECT project, a, b, text FROM doc")
 def context_assemble(spark, sf):
-    d = _doc(spark, sf)
+    d = _doc(_routed(spark, sf))
     return finish(d.select("project", F.col("seq.a").alias("a"), F.col("seq.b").alias("b"), "text"))
 
 
@@ -149,7 +154,8 @@ SELECT t.project, chars, CAST(ceil(chars / CAST(3.75 AS DOUBLE)) AS BIGINT) AS t
 FROM t JOIN n ON t.project = n.project
 """)
 def token_budget(spark, sf):
-    return finish(R.token_budget(_doc(spark, sf), kept_files(spark, sf)))
+    routed = _routed(spark, sf)
+    return finish(R.token_budget(_doc(routed), routed))
 
 
 @query("template_catalog", duck_with("v_templates") + f"""
@@ -180,12 +186,12 @@ STAMP = "2024-01-01T00:00:00.000Z"
 
 
 def _render_inputs(spark, sf):
-    rank = ranks(spark, sf)
-    kept = kept_files(spark, sf)
-    files = C.classify(kept, CFG).select("project", "path", "rel_path", "route").join(rank.select("path", "rank"), "path")
-    tree = _tree(rank)
-    doc = _doc(spark, sf, rank, tree).persist(StorageLevel.MEMORY_AND_DISK)  # its lengths and its rows
-    budget = R.token_budget(doc, kept)
+    routed = _routed(spark, sf)
+    rank = ranks(routed)
+    files = written(routed.select("project", "path", "rel_path", "route").join(rank.select("path", "rank"), "path"))
+    tree = written(_tree(rank))
+    doc = written(_doc(routed, rank, tree))  # its lengths and its rows
+    budget = R.token_budget(doc, routed)
     outl = files.groupBy("project").agg(F.count_if(F.col("route") == "outline").alias("n_outline"))
     choice = F.element_at(F.array(F.lit("default"), F.lit("brief"), F.lit("missing"), F.lit("treeonly")),
                           (F.regexp_extract("project", "([0-9]+)$", 1).cast("int") % 4 + 1))
